@@ -38,11 +38,36 @@ class Tables:
             F.sum("qty").alias("volume"),
         )
 
-    def monthly(self) -> DataFrame:
-        """Month-end closes: series of all symbols share their dates."""
-        b = self.bars()
-        return b.groupBy("symbol", (F.year("ts") * 12 + F.month("ts")).cast("bigint").alias("ts")).agg(
-            F.max_by("close", "ts").alias("close")
+    def periods(self) -> DataFrame:
+        """Last close of every two calendar months: series of all symbols share their dates."""
+        period = F.floor((F.year("ts") * 12 + F.month("ts") - 1) / 2).cast("bigint")
+        return self.bars().groupBy("symbol", period.alias("ts")).agg(F.max_by("close", "ts").alias("close"))
+
+    def strategy(self) -> DataFrame:
+        """Return series of a damped position in every symbol."""
+        from tapeloom.functions.frames import lag, own, segment
+
+        r = F.ln(F.col("close") / lag("close")) / 50.0
+        return own(segment(self.bars(), 1).withColumn("r", r)).filter(F.col("r").isNotNull()).select("symbol", "ts", "r")
+
+    def holdings(self) -> DataFrame:
+        """One position per supplier account."""
+        return self.raw("supplier").select(
+            F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
+            F.abs("s_acctbal").alias("market_value"),
+        )
+
+    def runs(self) -> DataFrame:
+        """One evaluation run per event."""
+        e, u = F.col("event_id"), F.col("user_id")
+        return self.raw("events").select(
+            e.alias("run_id"), F.col("event_type").alias("model"), "ts",
+            F.concat(F.lit("T"), (u % 7).cast("string")).alias("template"),
+            F.concat(F.lit("C"), (u % 3).cast("string")).alias("condition"),
+            F.concat(F.lit("X"), (u % 2).cast("string")).alias("strategy"),
+            (e % 3 != 0).alias("success"), F.col("value").alias("latency"),
+            ((e * 17 % 100) / 100.0).alias("accuracy"), ((e * 13 % 300) / 100.0 - 0.5).alias("sharpe_ratio"),
+            ((e * 29 % 40) / 100.0).alias("max_drawdown"), ((e * 7 % 90) / 100.0 - 0.3).alias("total_return"),
         )
 
     def spot(self) -> DataFrame:
@@ -148,11 +173,21 @@ VIEWS: dict[str, str] = {
                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS rn,
                COUNT(*) OVER (PARTITION BY l_suppkey, l_shipdate) AS n
         FROM lineitem) p GROUP BY symbol, ts""",
-    "monthly": """
+    "periods": """
   SELECT symbol, m AS ts, close FROM (
-    SELECT symbol, year(ts) * 12 + month(ts) AS m, close,
-           ROW_NUMBER() OVER (PARTITION BY symbol, year(ts) * 12 + month(ts) ORDER BY ts DESC) AS rn FROM bars) t
-  WHERE rn = 1""",
+    SELECT symbol, m, close, ROW_NUMBER() OVER (PARTITION BY symbol, m ORDER BY ts DESC) AS rn
+    FROM (SELECT *, CAST(floor((year(ts) * 12 + month(ts) - 1) / 2e0) AS BIGINT) AS m FROM bars) b) t WHERE rn = 1""",
+    "strategy": """
+  SELECT * FROM (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) / 50e0 AS r FROM bars) t
+  WHERE r IS NOT NULL""",
+    "holdings": """
+  SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS symbol, abs(s_acctbal) AS market_value FROM supplier""",
+    "runs": """
+  SELECT event_id AS run_id, event_type AS model, ts, concat('T', CAST(user_id % 7 AS VARCHAR)) AS template,
+         concat('C', CAST(user_id % 3 AS VARCHAR)) AS condition, concat('X', CAST(user_id % 2 AS VARCHAR)) AS strategy,
+         event_id % 3 <> 0 AS success, value AS latency, ((event_id * 17) % 100) / 100e0 AS accuracy,
+         ((event_id * 13) % 300) / 100e0 - 0.5e0 AS sharpe_ratio, ((event_id * 29) % 40) / 100e0 AS max_drawdown,
+         ((event_id * 7) % 90) / 100e0 - 0.3e0 AS total_return FROM events""",
     "spot": """
   SELECT symbol, close AS s FROM (
     SELECT symbol, close, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars) t WHERE rn = 1""",

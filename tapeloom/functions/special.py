@@ -26,7 +26,7 @@ def _horner(coefs, x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    """Φ(x) to double precision, inside whole-stage codegen."""
+    """Φ(x) to double precision, inside whole-stage codegen. Pass a plain column: the argument is used many times."""
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _horner(HART_NUM, a) / _horner(HART_DEN, a)
@@ -34,7 +34,8 @@ def norm_cdf(x: Column) -> Column:
     for k in (4, 3, 2, 1):
         far = a + F.lit(float(k)) / far
     upper = F.when(a > 37, F.lit(0.0)).when(a < HART_SPLIT, near).otherwise(e / far / SQRT_2PI)
-    return F.when(x > 0, 1 - upper).otherwise(upper)
+    # Φ(x) = 1/2 + sign(x) (1/2 - upper): one evaluation of the tail.
+    return F.lit(0.5) + F.signum(x) * (F.lit(0.5) - upper)
 
 
 def norm_pdf(x: Column) -> Column:

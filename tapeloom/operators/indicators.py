@@ -12,22 +12,44 @@ from tapeloom.functions import frames as fr
 from tapeloom.functions.frames import div, guarded, lag, last_n, max_n, mean_n, min_n, over, own, pct_change, segment, std_n
 from tapeloom.functions.special import EMA_ROWS, ema_reach, ewm_mean, span_alpha
 
-C, H, L, O, V = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
 YEAR = math.sqrt(252.0)
-ZERO = F.lit(0.0)
+
+
+def close() -> Column:
+    return F.col("close")
+
+
+def high() -> Column:
+    return F.col("high")
+
+
+def low() -> Column:
+    return F.col("low")
+
+
+def open_() -> Column:
+    return F.col("open")
+
+
+def vol() -> Column:
+    return F.col("volume")
+
+
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def returns(bars: DataFrame, ks=(1, 5, 20)) -> DataFrame:
     """Simple and log returns over k bars."""
     s = segment(bars, lookback=max(ks))
     for k in ks:
-        s = s.withColumn(f"return_{k}", pct_change(C, k)).withColumn(f"log_return_{k}", F.ln(div(C, lag(C, k))))
+        s = s.withColumn(f"return_{k}", pct_change(close(), k)).withColumn(f"log_return_{k}", F.ln(div(close(), lag(close(), k))))
     return own(s)
 
 
 def add_sma(s: DataFrame, ns) -> DataFrame:
     for n in ns:
-        s = s.withColumn(f"sma_{n}", mean_n(C, n)).withColumn(f"price_to_sma_{n}", div(C, F.col(f"sma_{n}")))
+        s = s.withColumn(f"sma_{n}", mean_n(close(), n)).withColumn(f"price_to_sma_{n}", div(close(), F.col(f"sma_{n}")))
     return s
 
 
@@ -44,12 +66,12 @@ def ema(bars: DataFrame, spans=(12, 26)) -> DataFrame:
     """Exponential mean with pandas ``adjust=True`` weights."""
     s = ema_layout(bars, max(ema_reach(span_alpha(n)) for n in spans))
     for n in spans:
-        s = s.withColumn(f"ema_{n}", ewm_mean(C, span_alpha(n)))
+        s = s.withColumn(f"ema_{n}", ewm_mean(close(), span_alpha(n)))
     return own(s).drop("_k")
 
 
 def add_macd(s: DataFrame) -> DataFrame:
-    s = s.withColumn("macd", ewm_mean(C, span_alpha(12)) - ewm_mean(C, span_alpha(26)))
+    s = s.withColumn("macd", ewm_mean(close(), span_alpha(12)) - ewm_mean(close(), span_alpha(26)))
     s = s.withColumn("macd_signal", ewm_mean(F.col("macd"), span_alpha(9)))
     return s.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
@@ -66,11 +88,11 @@ def _rsi_of(gain: Column, loss: Column) -> Column:
     return F.when(loss == 0, F.when(gain > 0, F.lit(100.0))).otherwise(100 - div(F.lit(100.0), 1 + div(gain, loss)))
 
 
-def add_rsi(s: DataFrame, n: int = 14, out: str = "rsi", price: Column = C) -> DataFrame:
+def add_rsi(s: DataFrame, n: int = 14, out: str = "rsi", price: str = "close") -> DataFrame:
     """Simple-mean RSI; the first bar counts as no change, so values start at bar ``n``."""
-    s = s.withColumn("_d", price - F.lag(price, 1).over(over()))
-    s = s.withColumn("_g", F.when(F.col("_d") > 0, F.col("_d")).otherwise(ZERO))
-    s = s.withColumn("_l", F.when(F.col("_d") < 0, -F.col("_d")).otherwise(ZERO))
+    s = s.withColumn("_d", F.col(price) - F.lag(price, 1).over(over()))
+    s = s.withColumn("_g", F.when(F.col("_d") > 0, F.col("_d")).otherwise(zero()))
+    s = s.withColumn("_l", F.when(F.col("_d") < 0, -F.col("_d")).otherwise(zero()))
     return s.withColumn(out, _rsi_of(mean_n(F.col("_g"), n), mean_n(F.col("_l"), n))).drop("_d", "_g", "_l")
 
 
@@ -85,7 +107,7 @@ def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder-smoothed RSI: seed is the mean of the first ``n`` changes, then alpha = 1/n."""
     a = 1.0 / n
     s = ema_layout(bars, ema_reach(a) + 1).withColumn("_pos", fr.position())
-    s = s.withColumn("_d", C - lag(C))
+    s = s.withColumn("_d", close() - lag(close()))
     rel = F.col("_k") - 1
     # A change before the seed point (bar n + 1) counts with the weight it has there: 1/n.
     origin = F.when(F.col("_pos") <= n + 1, F.lit(a) * F.pow(F.lit(1 / (1 - a)), (n + F.col("_k") - F.col("_pos")).cast("double"))).otherwise(
@@ -93,21 +115,21 @@ def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     )
     w = over().rowsBetween(-(10**9), 0)
     fade = F.pow(F.lit(1 - a), rel.cast("double"))
-    for name, x in (("_g", F.greatest(F.col("_d"), ZERO)), ("_l", F.greatest(-F.col("_d"), ZERO))):
-        s = s.withColumn(name, F.sum(F.coalesce(x, ZERO) * origin).over(w) * fade)
+    for name, x in (("_g", F.greatest(F.col("_d"), zero())), ("_l", F.greatest(-F.col("_d"), zero()))):
+        s = s.withColumn(name, F.sum(F.coalesce(x, zero()) * origin).over(w) * fade)
     g, l = F.col("_g"), F.col("_l")
-    value = F.when(g + l == 0, ZERO).otherwise(100 * div(g, g + l))
+    value = F.when(g + l == 0, zero()).otherwise(100 * div(g, g + l))
     return own(s.withColumn("rsi_wilder", F.when(F.col("_pos") > n, value))).drop("_k", "_d", "_g", "_l", "_pos")
 
 
 def add_bollinger(s: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    s = s.withColumn("bb_mid", mean_n(C, n)).withColumn("_sd", std_n(C, n))
+    s = s.withColumn("bb_mid", mean_n(close(), n)).withColumn("_sd", std_n(close(), n))
     m, sd = F.col("bb_mid"), F.col("_sd")
     return (
         s.withColumn("bb_upper", m + k * sd).withColumn("bb_lower", m - k * sd)
         .withColumn("bb_width", F.col("bb_upper") - F.col("bb_lower"))
         .withColumn("bb_width_rel", div(F.col("bb_width"), m))
-        .withColumn("bb_position", div(C - F.col("bb_lower"), F.col("bb_width")))
+        .withColumn("bb_position", div(close() - F.col("bb_lower"), F.col("bb_width")))
         .drop("_sd")
     )
 
@@ -117,9 +139,9 @@ def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def add_atr(s: DataFrame, n: int = 14) -> DataFrame:
-    pc = lag(C)
-    s = s.withColumn("true_range", F.greatest(H - L, F.abs(H - pc), F.abs(L - pc)))
-    return s.withColumn("atr", mean_n(F.col("true_range"), n)).withColumn("atr_ratio", div(F.col("atr"), C))
+    pc = lag(close())
+    s = s.withColumn("true_range", F.greatest(high() - low(), F.abs(high() - pc), F.abs(low() - pc)))
+    return s.withColumn("atr", mean_n(F.col("true_range"), n)).withColumn("atr_ratio", div(F.col("atr"), close()))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -127,12 +149,12 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def add_adx(s: DataFrame, n: int = 14) -> DataFrame:
-    up, down = H - lag(H), lag(L) - L
+    up, down = high() - lag(high()), lag(low()) - low()
     s = add_atr(s, n)
     s = s.withColumn("_up", up).withColumn("_dn", down)
     u, d = F.col("_up"), F.col("_dn")
-    s = s.withColumn("_pdm", F.when((u > d) & (u > 0), u).otherwise(ZERO))
-    s = s.withColumn("_mdm", F.when((d > u) & (d > 0), d).otherwise(ZERO))
+    s = s.withColumn("_pdm", F.when((u > d) & (u > 0), u).otherwise(zero()))
+    s = s.withColumn("_mdm", F.when((d > u) & (d > 0), d).otherwise(zero()))
     s = s.withColumn("plus_di", 100 * div(mean_n(F.col("_pdm"), n), F.col("atr")))
     s = s.withColumn("minus_di", 100 * div(mean_n(F.col("_mdm"), n), F.col("atr")))
     p, m = F.col("plus_di"), F.col("minus_di")
@@ -146,8 +168,8 @@ def adx(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def stochastic(bars: DataFrame, n: int = 14, smooth_k: int = 3, smooth_d: int = 3) -> DataFrame:
     s = segment(bars, lookback=n + smooth_k + smooth_d)
-    lo, hi = min_n(L, n), max_n(H, n)
-    s = s.withColumn("_fast", F.when(hi == lo, ZERO).otherwise(100 * div(C - lo, hi - lo)))
+    lo, hi = min_n(low(), n), max_n(high(), n)
+    s = s.withColumn("_fast", F.when(hi == lo, zero()).otherwise(100 * div(close() - lo, hi - lo)))
     s = s.withColumn("stoch_k_raw", mean_n(F.col("_fast"), smooth_k))
     s = s.withColumn("stoch_d", mean_n(F.col("stoch_k_raw"), smooth_d))
     # %K is reported from the bar on which %D exists.
@@ -157,31 +179,31 @@ def stochastic(bars: DataFrame, n: int = 14, smooth_k: int = 3, smooth_d: int =
 def williams_r(bars: DataFrame, ns=(14, 21)) -> DataFrame:
     s = segment(bars, lookback=max(ns))
     for n in ns:
-        hi, lo = max_n(H, n), min_n(L, n)
-        s = s.withColumn(f"williams_r_{n}", div(-100 * (hi - C), hi - lo))
+        hi, lo = max_n(high(), n), min_n(low(), n)
+        s = s.withColumn(f"williams_r_{n}", div(-100 * (hi - close()), hi - lo))
     return own(s)
 
 
 def cci(bars: DataFrame, n: int = 20) -> DataFrame:
-    s = segment(bars, lookback=n).withColumn("_tp", (H + L + C) / 3)
+    s = segment(bars, lookback=n).withColumn("_tp", (high() + low() + close()) / 3)
     s = s.withColumn("_m", mean_n(F.col("_tp"), n)).withColumn("_xs", F.collect_list("_tp").over(last_n(n)))
-    mad = F.aggregate("_xs", ZERO, lambda acc, x: acc + F.abs(x - F.col("_m"))) / n
+    mad = F.aggregate("_xs", zero(), lambda acc, x: acc + F.abs(x - F.col("_m"))) / n
     dev = F.col("_tp") - F.col("_m")
     # A window whose deviations are only rounding noise is flat: 0.
     flat = mad <= F.abs(F.col("_m")) * 1e-12
-    value = F.when(F.col("_m").isNotNull(), F.when(flat, ZERO).otherwise(div(dev, 0.015 * mad)))
+    value = F.when(F.col("_m").isNotNull(), F.when(flat, zero()).otherwise(div(dev, 0.015 * mad)))
     return own(s.withColumn("cci", value)).drop("_tp", "_m", "_xs")
 
 
 def rate_of_change(bars: DataFrame, ns=(5, 10, 20)) -> DataFrame:
     s = segment(bars, lookback=max(ns))
     for n in ns:
-        s = s.withColumn(f"roc_{n}", pct_change(C, n) * 100)
+        s = s.withColumn(f"roc_{n}", pct_change(close(), n) * 100)
     return own(s)
 
 
 def add_volatility(s: DataFrame, ns, annualise: bool = True) -> DataFrame:
-    s = s.withColumn("_r", pct_change(C))
+    s = s.withColumn("_r", pct_change(close()))
     for n in ns:
         s = s.withColumn(f"volatility_{n}", std_n(F.col("_r"), n) * (YEAR if annualise else 1.0))
     return s.drop("_r")
@@ -194,7 +216,7 @@ def volatility(bars: DataFrame, ns=(5, 10, 20, 60), annualise: bool = True) -> D
 
 
 def realized_volatility(bars: DataFrame, ns=(5, 20)) -> DataFrame:
-    s = segment(bars, lookback=max(ns) + 1).withColumn("_r", F.ln(div(C, lag(C))))
+    s = segment(bars, lookback=max(ns) + 1).withColumn("_r", F.ln(div(close(), lag(close()))))
     for n in ns:
         s = s.withColumn(f"realized_vol_{n}", guarded(F.stddev_pop, F.col("_r"), n) * YEAR)
     return own(s).drop("_r")
@@ -208,13 +230,13 @@ def volatility_regime(bars: DataFrame) -> DataFrame:
 
 
 def _log_returns(bars: DataFrame) -> DataFrame:
-    return own(segment(bars, lookback=1).withColumn("r", F.ln(div(C, lag(C)))))
+    return own(segment(bars, lookback=1).withColumn("r", F.ln(div(close(), lag(close())))))
 
 
 def ewma_volatility(bars: DataFrame, lam: float = 0.94) -> DataFrame:
     """Newest return weighs most. The weight decays with the distance from the last bar, so the sum is a plain
     aggregate over rows whose distance is known from block counts."""
-    s = segment(bars, lookback=1).withColumn("r", F.ln(div(C, lag(C)))).withColumn("_pos", fr.position())
+    s = segment(bars, lookback=1).withColumn("r", F.ln(div(close(), lag(close())))).withColumn("_pos", fr.position())
     s = s.filter((F.col("_chunk") == F.col("_own")) & F.col("r").isNotNull())
     wt = F.pow(F.lit(lam), (F.col("_n") - F.col("_pos")).cast("double"))
     g = s.groupBy("symbol").agg(F.sum(wt * F.col("r") ** 2).alias("_a"), F.sum(wt).alias("_w"), F.count("r").alias("n_returns"))
@@ -225,7 +247,7 @@ def ewma_volatility(bars: DataFrame, lam: float = 0.94) -> DataFrame:
 
 def garch_volatility(bars: DataFrame, alpha: float = 0.06, beta: float = 0.92, steps: int = 20) -> DataFrame:
     """Closed form of the variance recursion over the last ``steps`` returns, started from the whole-series variance."""
-    s = segment(bars, lookback=1).withColumn("r", F.ln(div(C, lag(C)))).withColumn("_pos", fr.position())
+    s = segment(bars, lookback=1).withColumn("r", F.ln(div(close(), lag(close())))).withColumn("_pos", fr.position())
     s = s.filter((F.col("_chunk") == F.col("_own")) & F.col("r").isNotNull())
     back = F.col("_n") - F.col("_pos")
     shock = F.when(back < steps, F.pow(F.lit(beta), back.cast("double")) * alpha * F.col("r") ** 2)
@@ -237,14 +259,14 @@ def garch_volatility(bars: DataFrame, alpha: float = 0.06, beta: float = 0.92, s
 
 def high_low_distance(bars: DataFrame, n: int = 20) -> DataFrame:
     s = segment(bars, lookback=n)
-    s = s.withColumn("distance_from_high", div(max_n(H, n) - C, C))
-    return own(s.withColumn("distance_from_low", div(C - min_n(L, n), C)))
+    s = s.withColumn("distance_from_high", div(max_n(high(), n) - close(), close()))
+    return own(s.withColumn("distance_from_low", div(close() - min_n(low(), n), close())))
 
 
 def max_drawdown(bars: DataFrame) -> DataFrame:
     """Deepest fall of the close below its running maximum, per symbol."""
-    b = fr.carried(bars, {"peak": (F.max, C)})
-    b = b.withColumn("_dd", div(C - fr.running_max("peak", C), fr.running_max("peak", C)))
+    b = fr.carried(bars, {"peak": (F.max, close())})
+    b = b.withColumn("_dd", div(close() - fr.running_max("peak", close()), fr.running_max("peak", close())))
     return b.groupBy("symbol").agg(F.abs(F.min("_dd")).alias("max_drawdown"))
 
 
@@ -272,26 +294,26 @@ def historical_var(bars: DataFrame, confidence: float = 0.95, horizon: int = 1)
 
 def volume_features(bars: DataFrame) -> DataFrame:
     s = segment(bars, lookback=20)
-    s = s.withColumn("volume_sma", mean_n(V, 20)).withColumn("volume_ratio", div(V, F.col("volume_sma")))
-    s = s.withColumn("volume_trend", div(mean_n(V, 5), F.col("volume_sma")))
-    return own(s.withColumn("dollar_volume", C * V))
+    s = s.withColumn("volume_sma", mean_n(vol(), 20)).withColumn("volume_ratio", div(vol(), F.col("volume_sma")))
+    s = s.withColumn("volume_trend", div(mean_n(vol(), 5), F.col("volume_sma")))
+    return own(s.withColumn("dollar_volume", close() * vol()))
 
 
 def momentum(bars: DataFrame) -> DataFrame:
     s = segment(bars, lookback=20)
-    s = s.withColumn("momentum_5", pct_change(C, 5)).withColumn("momentum_20", pct_change(C, 20))
+    s = s.withColumn("momentum_5", pct_change(close(), 5)).withColumn("momentum_20", pct_change(close(), 20))
     return own(s.withColumn("momentum_acceleration", F.col("momentum_5") - F.col("momentum_20")))
 
 
 def candle_shape(bars: DataFrame) -> DataFrame:
     return bars.select(
         "symbol", "ts",
-        div(H - L, C).alias("spread"),
-        div(F.abs(C - O), C).alias("body_size"),
-        div(H - F.greatest(O, C), C).alias("upper_shadow"),
-        div(F.least(O, C) - L, C).alias("lower_shadow"),
-        div(H, L).alias("high_low_ratio"),
-        div(C - L, H - L).alias("close_position"),
+        div(high() - low(), close()).alias("spread"),
+        div(F.abs(close() - open_()), close()).alias("body_size"),
+        div(high() - F.greatest(open_(), close()), close()).alias("upper_shadow"),
+        div(F.least(open_(), close()) - low(), close()).alias("lower_shadow"),
+        div(high(), low()).alias("high_low_ratio"),
+        div(close() - low(), high() - low()).alias("close_position"),
     )
 
 
@@ -299,13 +321,14 @@ def local_extremes(bars: DataFrame, half: int = 2) -> DataFrame:
     """Flags where the close is the extreme of a centred frame; false where the frame is incomplete."""
     s = segment(bars, lookback=half, lookahead=half)
     w = over().rowsBetween(-half, half)
-    full = F.count(C).over(w) == 2 * half + 1
-    s = s.withColumn("local_max", full & (F.max(C).over(w) == C))
-    return own(s.withColumn("local_min", full & (F.min(C).over(w) == C)))
+    full = F.count(close()).over(w) == 2 * half + 1
+    s = s.withColumn("local_max", full & (F.max(close()).over(w) == close()))
+    return own(s.withColumn("local_min", full & (F.min(close()).over(w) == close())))
 
 
-def add_trend_strength(s: DataFrame, n: int = 10, c: Column = C, out: str = "trend_strength") -> DataFrame:
+def add_trend_strength(s: DataFrame, n: int = 10, c: str = "close", out: str = "trend_strength") -> DataFrame:
     """Correlation of the value with its position in the frame."""
+    c = F.col(c)
     s = s.withColumn("_i", F.row_number().over(over()).cast("double"))
     w = last_n(n)
     ok = (F.count(c).over(w) >= n) & (F.max(c).over(w) > F.min(c).over(w))
@@ -352,10 +375,10 @@ def rolling_loose(bars: DataFrame, n: int = 20, c: str = "close") -> DataFrame:
 
 
 def add_targets(s: DataFrame, horizons=(1, 5, 10, 20)) -> DataFrame:
-    s = s.withColumn("_r", pct_change(C))
+    s = s.withColumn("_r", pct_change(close()))
     for h in horizons:
-        fut = F.lead(C, h).over(over())
-        s = s.withColumn(f"target_return_{h}", div(fut, C) - 1)
+        fut = F.lead(close(), h).over(over())
+        s = s.withColumn(f"target_return_{h}", div(fut, close()) - 1)
         # A missing future compares as not greater: 0, never null.
         s = s.withColumn(f"target_direction_{h}", F.coalesce((F.col(f"target_return_{h}") > 0).cast("int"), F.lit(0)))
         if h > 1:
@@ -372,16 +395,16 @@ def regime_per_bar(bars: DataFrame) -> DataFrame:
     """Regime from the 20 bars before each bar: trending when they moved more than 10 percent, else normal."""
     s = segment(bars, lookback=20)
     w = over().rowsBetween(-20, -1)
-    move = div(F.last(C).over(w), F.first(C).over(w)) - 1
-    trending = (F.count(C).over(w) == 20) & (F.abs(move) > 0.1)
+    move = div(F.last(close()).over(w), F.first(close()).over(w)) - 1
+    trending = (F.count(close()).over(w) == 20) & (F.abs(move) > 0.1)
     return own(s.withColumn("regime", F.when(trending, "trending").otherwise("normal")))
 
 
 def volume_flow(bars: DataFrame) -> DataFrame:
     """On-balance volume and accumulation / distribution, as running sums over blocks."""
-    s = own(segment(bars, lookback=1).withColumn("_pc", lag(C)))
-    signed = F.when(F.col("_pc").isNull(), V).when(C > F.col("_pc"), V).when(C < F.col("_pc"), -V).otherwise(ZERO)
-    mf = F.when(H == L, ZERO).otherwise(div((C - L) - (H - C), H - L) * V)
+    s = own(segment(bars, lookback=1).withColumn("_pc", lag(close())))
+    signed = F.when(F.col("_pc").isNull(), vol()).when(close() > F.col("_pc"), vol()).when(close() < F.col("_pc"), -vol()).otherwise(zero())
+    mf = F.when(high() == low(), zero()).otherwise(div((close() - low()) - (high() - close()), high() - low()) * vol())
     s = s.withColumn("_sv", signed).withColumn("_mf", mf)
     s = fr.carried(s, {"obv": (F.sum, F.col("_sv")), "ad": (F.sum, F.col("_mf"))})
     s = s.withColumn("obv", fr.running_sum("obv", F.col("_sv"))).withColumn("ad", fr.running_sum("ad", F.col("_mf")))
@@ -397,7 +420,7 @@ def indicator_flags(bars: DataFrame) -> DataFrame:
     s = s.withColumn("rsi_divergence", F.col("rsi") - lag("rsi"))
     s = s.withColumn("macd_cross", flag(F.col("macd") > F.col("macd_signal")))
     s = s.withColumn("macd_divergence", F.col("macd_histogram") - lag("macd_histogram"))
-    s = s.withColumn("bb_breakout_up", flag(C > F.col("bb_upper"))).withColumn("bb_breakout_down", flag(C < F.col("bb_lower")))
+    s = s.withColumn("bb_breakout_up", flag(close() > F.col("bb_upper"))).withColumn("bb_breakout_down", flag(close() < F.col("bb_lower")))
     return own(s.withColumn("sma_cross", flag(F.col("sma_20") > F.col("sma_50")))).drop("_k")
 
 
@@ -420,13 +443,13 @@ def sequences(bars: DataFrame, n: int = 20, features=("close", "volume")) -> Dat
 def history_range(bars: DataFrame, start: str, end: str) -> DataFrame:
     """Bars of a date range with returns and their 20-bar annualised volatility (the filter reaches the scan)."""
     b = bars.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz")))
-    s = segment(b, lookback=21).withColumn("daily_return", pct_change(C))
+    s = segment(b, lookback=21).withColumn("daily_return", pct_change(close()))
     return own(s.withColumn("volatility_20", std_n(F.col("daily_return"), 20) * YEAR))
 
 
 def symbol_regime(bars: DataFrame) -> DataFrame:
     """Regime per symbol at its last bar: recent against long volatility, then the 20-bar move."""
-    r = own(segment(bars, lookback=1).withColumn("r", pct_change(C)))
+    r = own(segment(bars, lookback=1).withColumn("r", pct_change(close())))
     long = r.groupBy("symbol").agg(F.stddev_samp("r").alias("_long"), F.count(F.lit(1)).alias("n_bars"))
     recent = fr.tail(r, 20).groupBy("symbol").agg(
         F.stddev_samp("r").alias("_recent"),
@@ -478,7 +501,7 @@ def fill_median_mode(df: DataFrame, number: str, category: str, digits: int = 3)
 
 def metric_pack(bars: DataFrame) -> DataFrame:
     """Per symbol: latest price and change, volume ratio, volatilities, SMA, RSI and a completeness score."""
-    r = own(segment(bars, lookback=1).withColumn("r", pct_change(C)).withColumn("d", C - lag(C)))
+    r = own(segment(bars, lookback=1).withColumn("r", pct_change(close())).withColumn("d", close() - lag(close())))
     whole = r.groupBy("symbol").agg(
         F.avg("volume").alias("avg_volume"), F.stddev_samp("r").alias("volatility_1d"),
         F.count("r").alias("_nr"), F.count(F.lit(1)).alias("_bars"),
@@ -488,9 +511,9 @@ def metric_pack(bars: DataFrame) -> DataFrame:
     recent = fr.tail(r, 50).groupBy("symbol").agg(
         at(1, "close").alias("price"), at(2, "close").alias("_prev"), at(1, "volume").alias("volume"),
         F.stddev_samp(F.when(b <= 20, F.col("r"))).alias("_sd20"),
-        F.avg(F.when(b <= 20, C)).alias("_s20"), F.avg(C).alias("_s50"),
-        (F.sum(F.when(b <= 14, F.greatest("d", ZERO))) / 14).alias("_g"),
-        (F.sum(F.when(b <= 14, F.greatest(-F.col("d"), ZERO))) / 14).alias("_l"),
+        F.avg(F.when(b <= 20, close())).alias("_s20"), F.avg(close()).alias("_s50"),
+        (F.sum(F.when(b <= 14, F.greatest("d", zero()))) / 14).alias("_g"),
+        (F.sum(F.when(b <= 14, F.greatest(-F.col("d"), zero()))) / 14).alias("_l"),
     )
     n = F.col("_bars")
     m = whole.join(recent, "symbol").select(
@@ -512,15 +535,15 @@ def metric_pack(bars: DataFrame) -> DataFrame:
 def price_feature_pack(bars: DataFrame, window: int = 30) -> DataFrame:
     """Features of the last ``window`` bars per symbol, with fallbacks for short histories."""
     t = fr.tail(bars, window)
-    t = t.withColumn("_p", lag(C)).withColumn("_d", C - F.col("_p")).withColumn("_r", div(C, F.col("_p")) - 1)
+    t = t.withColumn("_p", lag(close())).withColumn("_d", close() - F.col("_p")).withColumn("_r", div(close(), F.col("_p")) - 1)
     b = F.col("_back")
     wt = F.pow(F.lit(1 - span_alpha(12)), b.cast("double"))
     g = t.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("_m"), F.max_by("close", "ts").alias("current_price"), F.min_by("close", "ts").alias("_c0"),
         F.stddev_samp("_r").alias("volatility"), F.avg("volume").alias("avg_volume"), F.max_by("volume", "ts").alias("current_volume"),
-        (F.sum(F.when(b <= 14, F.greatest("_d", ZERO))) / 14).alias("_g"),
-        (F.sum(F.when(b <= 14, F.greatest(-F.col("_d"), ZERO))) / 14).alias("_l"),
-        F.avg(F.when(b <= 20, C)).alias("_s20"), (F.sum(C * wt) / F.sum(wt)).alias("_ema"),
+        (F.sum(F.when(b <= 14, F.greatest("_d", zero()))) / 14).alias("_g"),
+        (F.sum(F.when(b <= 14, F.greatest(-F.col("_d"), zero()))) / 14).alias("_l"),
+        F.avg(F.when(b <= 20, close())).alias("_s20"), (F.sum(close() * wt) / F.sum(wt)).alias("_ema"),
     )
     m, cur = F.col("_m"), F.col("current_price")
     return g.select(

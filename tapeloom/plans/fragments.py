@@ -31,7 +31,7 @@ def ewm_list(xs: str, alpha: float) -> str:
 def phi(x: str) -> str:
     """Normal distribution function by the series 1/2 + pdf(x) * (x + x^3/3 + x^5/15 + ...)."""
     series = (
-        f"list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) "
+        f"list_sum(list_transform(range(0, 130), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) "
         f"- (lgamma(2e0 * k + 2) - k * ln(2e0) - lgamma(k + 1e0)) - ({x}) * ({x}) / 2)))"
     )
     return f"(CASE WHEN {x} > 8.5 THEN 1e0 WHEN {x} < -8.5 THEN 0e0 ELSE 0.5e0 + sign({x}) * {series} / sqrt(2 * pi()) END)"

@@ -138,14 +138,19 @@ q("a18_insider_transactions", lambda t: ag.insider_transactions(t.quotes().repla
 SELECT symbol, b AS recent_buys, s AS recent_sells, n AS total_transactions, CASE WHEN b > s THEN 'bullish' WHEN s > b THEN 'bearish' ELSE 'neutral' END AS net_sentiment FROM (
  SELECT symbol, count(CASE WHEN source IN ('1-URGENT', '2-HIGH') THEN 1 END) AS b, count(CASE WHEN source IN ('3-MEDIUM', '5-LOW') THEN 1 END) AS s, count(*) AS n
  FROM quotes GROUP BY symbol) x""")
-K = F.col("quote_id")
+
+
+def qid():
+    return F.col("quote_id")
+
+
 q("a19_analyst_consensus", lambda t: ag.analyst_consensus(t.quotes().select(
-    "quote_id", (K % 7).alias("buy"), (K % 3).alias("strong_buy"), (K % 5).alias("sell"), (K % 4).alias("strong_sell"), (K % 6).alias("hold"))),
+    "quote_id", (qid() % 7).alias("buy"), (qid() % 3).alias("strong_buy"), (qid() % 5).alias("sell"), (qid() % 4).alias("strong_sell"), (qid() % 6).alias("hold"))),
   "quote_id consensus", """
 SELECT quote_id, CASE WHEN b > s + h THEN 'strong_buy' WHEN b > s THEN 'buy' WHEN s > b + h THEN 'strong_sell' WHEN s > b THEN 'sell' ELSE 'hold' END AS consensus
 FROM (SELECT quote_id, quote_id % 7 + 2 * (quote_id % 3) AS b, quote_id % 5 + 2 * (quote_id % 4) AS s, quote_id % 6 AS h FROM quotes) x""")
 q("a20_top_holders", lambda t: ag.top_holders(
-    t.quotes().select("symbol", "ts", "quote_id", F.concat(F.lit("H"), K.cast("string")).alias("holder"), F.col("volume").alias("shares")), ["ts", "quote_id"]
+    t.quotes().select("symbol", "ts", "quote_id", F.concat(F.lit("H"), qid().cast("string")).alias("holder"), F.col("volume").alias("shares")), ["ts", "quote_id"]
   ).withColumn("top_holders", F.concat_ws("|", "top_holders")),
   "symbol top_holders top_shares:l total_holders:l", """
 SELECT symbol, string_agg(CASE WHEN rn <= 5 THEN concat('H', CAST(quote_id AS VARCHAR)) END, '|' ORDER BY rn) AS top_holders,
@@ -171,13 +176,18 @@ FROM (SELECT template, count(*) AS n, count(CASE WHEN success THEN 1 END) AS ok,
 q("a27_correlations", lambda t: risk.correlations(t.bars()), "a b n:l correlation:5", """
 SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, CASE WHEN count(*) >= 2 AND var_pop(x.close) > 0 AND var_pop(y.close) > 0 THEN corr(x.close, y.close) END AS correlation
 FROM bars x JOIN bars y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY 1, 2""")
-PB = F.floor(F.col("ts") / 24)
+
+
+def two_years():
+    return F.floor(F.col("ts") / 24)
+
+
 PRET = f"SELECT symbol, ts, r FROM (SELECT symbol, ts, close / lag(close) OVER ({P}) - 1 AS r FROM periods) p WHERE r IS NOT NULL"
 FULL = f"SELECT * FROM ({PRET}) p WHERE ts IN (SELECT ts FROM ({PRET}) z GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ({PRET}) u))"
-q("j04_aligned_returns", lambda t: risk.complete_rows(risk.simple_returns(t.periods(), PB)), "symbol ts:l r:6", FULL)
+q("j04_aligned_returns", lambda t: risk.complete_rows(risk.simple_returns(t.periods(), two_years())), "symbol ts:l r:6", FULL)
 COV = f"SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, covar_samp(x.r, y.r) AS covariance, covar_pop(x.r, y.r) AS c FROM ({FULL}) x JOIN ({FULL}) y ON x.ts = y.ts AND x.symbol <= y.symbol GROUP BY 1, 2 HAVING count(*) >= 30"
-q("a28_covariance", lambda t: risk.covariance(risk.simple_returns(t.periods(), PB)), "a b n:l covariance:5", COV)
-q("a29_shrunk_covariance", lambda t: risk.shrunk_covariance(risk.simple_returns(t.periods(), PB)), "a b covariance:5 shrinkage:6", f"""
+q("a28_covariance", lambda t: risk.covariance(risk.simple_returns(t.periods(), two_years())), "a b n:l covariance:5", COV)
+q("a29_shrunk_covariance", lambda t: risk.shrunk_covariance(risk.simple_returns(t.periods(), two_years())), "a b covariance:5 shrinkage:6", f"""
 WITH c AS ({COV}), f AS ({FULL}),
 tot AS (SELECT sum(CASE WHEN a = b THEN c END) AS tr, count(CASE WHEN a = b THEN 1 END) AS p, max(n) AS n, sum(CASE WHEN a = b THEN c * c ELSE 2 * c * c END) AS dl FROM c),
 bt AS (SELECT sum(s * s) AS bt FROM (SELECT ts, sum((r - m) * (r - m)) AS s FROM (SELECT *, avg(r) OVER (PARTITION BY symbol) AS m FROM f) y GROUP BY ts) z),
@@ -242,7 +252,7 @@ j AS (SELECT coalesce(c.symbol, t.symbol) AS symbol, coalesce(c.w, 0) AS cw, coa
 SELECT symbol, CASE WHEN tw > cw THEN 'increase' ELSE 'decrease' END AS action, cw AS current_weight, tw AS target_weight, abs(cw - tw) AS deviation,
  abs(tw - cw) * (SELECT sum(market_value) FROM c) AS amount FROM j WHERE abs(cw - tw) > 0.01""")
 q("g23_equilibrium_returns", lambda t: risk.equilibrium_returns(
-    risk.covariance(risk.simple_returns(t.periods(), PB)), t.holdings(),
+    risk.covariance(risk.simple_returns(t.periods(), two_years())), t.holdings(),
     t.raw("supplier").filter("s_nationkey < 5").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.col("s_nationkey") / 10.0).alias("view"))),
   "symbol equilibrium_return:4 expected_return:4", f"""
 WITH c AS ({COV}), f AS (SELECT a, b, covariance AS v FROM c UNION ALL SELECT b, a, covariance FROM c WHERE a <> b),
@@ -351,10 +361,10 @@ WHERE ts >= (SELECT max(ts) FROM runs) - INTERVAL 7 DAYS GROUP BY GROUPING SETS
 
 
 def trades(t):
-    pct = (K % 101).cast("string")
+    pct = (qid() % 101).cast("string")
     return t.quotes().select(F.col("symbol").alias("ticker"), F.create_map(
-        F.lit("base_case"), F.concat(pct, F.lit("% - range holds")), F.lit("bull_case"), F.when(K % 4 == 0, "likely").otherwise(F.concat(F.lit(" "), (K % 50).cast("string"), F.lit(" % breakout"))),
-        F.lit("bear_case"), F.concat((K % 30).cast("string"), F.lit("%"))).alias("scenario_tree"))
+        F.lit("base_case"), F.concat(pct, F.lit("% - range holds")), F.lit("bull_case"), F.when(qid() % 4 == 0, "likely").otherwise(F.concat(F.lit(" "), (qid() % 50).cast("string"), F.lit(" % breakout"))),
+        F.lit("bear_case"), F.concat((qid() % 30).cast("string"), F.lit("%"))).alias("scenario_tree"))
 
 
 q("a57_scenario_probabilities", lambda t: ag.scenario_probabilities(trades(t)).withColumnRenamed("case", "case_"), "ticker case_ probability:l", """
@@ -364,7 +374,7 @@ q("a58_post_sentiment", lambda t: ag.post_sentiment(t.sentiments()), "symbol sen
 SELECT symbol, m AS sentiment_score, v AS variance, n, c AS confidence, (c * 0.7 + least(1, n / 20e0) * 0.3) * 100 AS quality FROM (
  SELECT symbol, avg(score) AS m, var_pop(score) AS v, count(score) AS n, least(0.95, greatest(0.1, 1 - var_pop(score))) AS c FROM sentiments GROUP BY symbol) x""")
 q("a59_price_targets", lambda t: ag.price_targets(t.quotes().select("symbol", F.concat(
-    F.lit('{"targetHigh": '), (K % 500 + 100).cast("string"), F.lit(', "targetLow": '), (K % 90).cast("string"), F.when(K % 9 != 0, F.concat(F.lit(', "targetMean": '), (K % 300).cast("string"))).otherwise(F.lit("")),
-    F.lit(', "targetMedian": 7.5, "numberOfAnalysts": '), (K % 30).cast("string"), F.lit("}")).alias("body"))),
+    F.lit('{"targetHigh": '), (qid() % 500 + 100).cast("string"), F.lit(', "targetLow": '), (qid() % 90).cast("string"), F.when(qid() % 9 != 0, F.concat(F.lit(', "targetMean": '), (qid() % 300).cast("string"))).otherwise(F.lit("")),
+    F.lit(', "targetMedian": 7.5, "numberOfAnalysts": '), (qid() % 30).cast("string"), F.lit("}")).alias("body"))),
   "symbol target_high:2 target_low:2 target_mean:2 target_median:2 num_analysts:l",
   "SELECT symbol, quote_id % 500 + 100 AS target_high, quote_id % 90 AS target_low, quote_id % 300 AS target_mean, 7.5 AS target_median, quote_id % 30 AS num_analysts FROM quotes WHERE quote_id % 9 <> 0")

@@ -50,6 +50,10 @@ class Tables:
         r = F.ln(F.col("close") / lag("close")) / 50.0
         return own(segment(self.bars(), 1).withColumn("r", r)).filter(F.col("r").isNotNull()).select("symbol", "ts", "r")
 
+    def vols(self) -> DataFrame:
+        """Annual volatility per symbol of the damped series."""
+        return self.strategy().groupBy("symbol").agg((F.stddev_samp("r") * 252.0**0.5).alias("hist_vol"))
+
     def holdings(self) -> DataFrame:
         """One position per supplier account."""
         return self.raw("supplier").select(
@@ -180,6 +184,8 @@ VIEWS: dict[str, str] = {
     "strategy": """
   SELECT * FROM (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) / 50e0 AS r FROM bars) t
   WHERE r IS NOT NULL""",
+    "vols": f"""
+  SELECT symbol, stddev_samp(r) * {252.0 ** 0.5!r} AS hist_vol FROM strategy GROUP BY symbol""",
     "holdings": """
   SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS symbol, abs(s_acctbal) AS market_value FROM supplier""",
     "runs": """

@@ -188,6 +188,15 @@ def pct_change(c: Column, k: int = 1) -> Column:
     return div(c, lag(c, k)) - 1
 
 
+def keep(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on a computed score where it stands.
+
+    A plain filter is pushed below the projections it depends on, with the whole score expression copied into it.
+    The partition id is not deterministic for the optimizer, so the filter stays above its columns and reads them.
+    """
+    return df.withColumn("_stage", F.spark_partition_id()).filter(cond & (F.col("_stage") >= 0)).drop("_stage")
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, digits: int = 4) -> DataFrame:
     """Exact linear-interpolated quantile per key without holding a key in one task.
 

@@ -598,10 +598,8 @@ def scan_summary(recs: DataFrame, k: int = 10) -> DataFrame:
     """Symbols and opportunities of a scan with its top k, ranked by a bounded limit."""
     totals = recs.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("symbols"), F.sum("n").alias("opportunities"))
     top = recs.orderBy(F.desc("opportunity_score"), "contract_id").limit(k)
-    return top.select(
-        "contract_id", "symbol", "opportunity_score",
-        totals.select("symbols").scalar().alias("symbols"), totals.select("opportunities").scalar().alias("opportunities"),
-    )
+    both = totals.select(F.struct("symbols", "opportunities")).scalar()
+    return top.select("contract_id", "symbol", "opportunity_score", both["symbols"].alias("symbols"), both["opportunities"].alias("opportunities"))
 
 
 def score_insights(recs: DataFrame) -> DataFrame:
@@ -624,7 +622,7 @@ def recommendation_stats(recs: DataFrame, k: int = 10) -> DataFrame:
     per = recs.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("opportunity_score").alias("s"), F.sum("confidence").alias("c"), F.count("confidence").alias("nc"))
     tot = per.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("s"), div(F.sum("c"), F.sum("nc")).alias("c"))
     top = per.orderBy(F.desc("n"), "symbol").limit(k)
+    x = tot.select(F.struct("n", "s", "c")).scalar()
     return top.select(
-        "symbol", F.col("n").alias("recommendations"), tot.select("n").scalar().alias("total_recommendations"),
-        tot.select("s").scalar().alias("avg_opportunity_score"), tot.select("c").scalar().alias("avg_ml_confidence"),
+        "symbol", F.col("n").alias("recommendations"), x["n"].alias("total_recommendations"), x["s"].alias("avg_opportunity_score"), x["c"].alias("avg_ml_confidence"),
     )

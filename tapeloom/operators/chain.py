@@ -275,7 +275,7 @@ def opportunity_analysis(valued: DataFrame) -> DataFrame:
 
     A call's maximum gain and risk/reward are unlimited and stay null.
     """
-    v = expected_returns(valued.filter("undervalued"))
+    v = expected_returns(fr.keep(valued, F.col("undervalued")))
     mp, p = F.col("market_price"), F.col("prob_profit")
     v = v.withColumn("max_gain", F.when(~is_call(), strike() - mp)).withColumn("risk_reward", div(F.col("max_gain"), mp))
     rr = F.col("risk_reward")
@@ -299,7 +299,8 @@ def opportunity_analysis(valued: DataFrame) -> DataFrame:
 
 def scan(valued: DataFrame, least: float = 70.0) -> DataFrame:
     """Opportunities at or above the score, best first."""
-    return opportunity_analysis(add_valuation_score(valued)).filter(F.col("opportunity_score") >= least).orderBy(F.desc("opportunity_score"), "contract_id")
+    good = fr.keep(add_valuation_score(valued), F.col("opportunity_score") >= least)
+    return opportunity_analysis(good).orderBy(F.desc("opportunity_score"), "contract_id")
 
 
 def top_opportunities(valued: DataFrame, k: int = 20) -> DataFrame:

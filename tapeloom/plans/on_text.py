@@ -125,9 +125,9 @@ for a_, b_ in tx.ABBREVIATIONS:
     EXP = f"replace({EXP}, '{a_}', '{b_}')"
 q("x05_expand_finance", lambda t: t.raw("conversations").withColumn("expanded", tx.expand_finance(F.concat(F.lit("CEO said EPS up 5% to $2, P/E and M&A in Q3: "), "text"))), "conv_id:l turn:l expanded",
   f"SELECT conv_id, turn, {EXP} AS expanded FROM (SELECT conv_id, turn, concat('CEO said EPS up 5% to $2, P/E and M&A in Q3: ', text) AS body FROM conversations) a")
-q("x06_money", lambda t: t.quotes().select("quote_id", tx.percent_change(qid() % 7, qid() % 11).alias("change"), F.round(F.col("price") * 1e8 / 1e9, 2).alias("cap_billions"), tx.currency_text(qid() * qid() * 0.753).alias("amount")), "quote_id:l change:4 cap_billions:2 amount", """
+q("x06_money", lambda t: t.quotes().select("quote_id", tx.percent_change(qid() % 7, qid() % 11).alias("change"), F.round(F.col("price") * 1e8 / 1e9, 2).alias("cap_billions"), tx.currency_text(qid() * qid() * 0.753 + 0.0012345).alias("amount")), "quote_id:l change:4 cap_billions:2 amount", """
 SELECT quote_id, CASE WHEN quote_id % 7 = 0 THEN 0 ELSE (quote_id % 11 - quote_id % 7) / (quote_id % 7) * 100 END AS change, round(price * 1e8 / 1e9, 2) AS cap_billions,
- CASE WHEN a >= 1e9 THEN printf('$%.2fB USD', a / 1e9) WHEN a >= 1e6 THEN printf('$%.2fM USD', a / 1e6) WHEN a >= 1e3 THEN printf('$%.2fK USD', a / 1e3) ELSE printf('$%.2f USD', a) END AS amount FROM (SELECT *, quote_id * quote_id * 0.753e0 AS a FROM quotes) x""")
+ CASE WHEN a >= 1e9 THEN printf('$%.2fB USD', a / 1e9) WHEN a >= 1e6 THEN printf('$%.2fM USD', a / 1e6) WHEN a >= 1e3 THEN printf('$%.2fK USD', a / 1e3) ELSE printf('$%.2f USD', a) END AS amount FROM (SELECT *, quote_id * quote_id * 0.753e0 + 0.0012345e0 AS a FROM quotes) x""")
 NW_ = "CASE WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) END"
 q("x07_token_estimate", lambda t: t.texts().withColumn("tokens", tx.token_estimate(F.col("text"))).withColumn("by_length", F.floor(F.length("text") / 4)), "doc_id:l tokens:l by_length:l", f"SELECT doc_id, floor({NW_} * 1.3e0) AS tokens, length(text) // 4 AS by_length FROM texts")
 q("x08_compress", lambda t: t.raw("conversations").withColumn("short", tx.compress_words(F.col("text"), 6)), "conv_id:l turn:l short",

@@ -10,6 +10,54 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Feature rows: arithmetic over the event, written once and read by both engines.
+FEATURES = (
+    ("close", "value + 10e0"),
+    ("rsi", "(event_id * 37 % 1000) / 10e0"),
+    ("macd", "(event_id * 13 % 200) / 100e0 - 1e0"),
+    ("macd_signal", "(event_id * 17 % 200) / 100e0 - 1e0"),
+    ("sentiment", "(event_id * 7 % 200) / 100e0 - 1e0"),
+    ("sentiment_confidence", "(event_id * 31 % 100) / 100e0"),
+    ("put_call_ratio", "(event_id * 11 % 200) / 100e0"),
+    ("valuation_score", "(event_id * 19 % 100) / 100e0 - 0.3e0"),
+    ("momentum_score", "(event_id * 3 % 40) / 100e0 - 0.2e0"),
+    ("iv", "(event_id * 23 % 90) / 100e0 + 0.1e0"),
+    ("t", "(event_id % 200 + 1) / 365e0"),
+    ("premium", "value / 10e0 + 0.1e0"),
+    ("theta", "-(event_id % 50) / 1000e0"),
+    ("confidence", "(event_id * 29 % 100) / 100e0"),
+    ("prediction", "(event_id * 41 % 200) / 200e0 - 0.5e0"),
+    ("bollinger_position", "(event_id * 43 % 120) / 100e0 - 0.1e0"),
+    ("volatility_ratio", "(event_id * 47 % 200) / 100e0"),
+    ("volatility_regime", "CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'normal' ELSE 'high' END"),
+    ("sharpe_ratio", "(event_id * 53 % 300) / 100e0 - 1e0"),
+    ("max_drawdown", "(event_id * 59 % 40) / 100e0"),
+    ("iv_rank", "(event_id * 61 % 100) / 1e0"),
+    ("realized_vol_20", "(event_id * 67 % 60) / 100e0"),
+    ("unusual_activity_score", "(event_id * 71 % 100) / 100e0"),
+    ("volume_oi_ratio", "(event_id * 73 % 150) / 100e0"),
+    ("smart_money_indicator", "(event_id * 79 % 100) / 100e0"),
+    ("gex_level", "(event_id * 83 % 5 - 2) * 100e0"),
+    ("sma_20", "(value + 10e0) * (0.9e0 + (event_id % 20) / 100e0)"),
+    ("sma_50", "CASE WHEN event_id % 9 <> 0 THEN (value + 10e0) * (0.92e0 + (event_id % 16) / 100e0) END"),
+    ("direction", "(event_id * 89 % 100) / 100e0"),
+    ("direction_confidence", "(event_id * 97 % 100) / 100e0"),
+    ("uncertainty", "CASE WHEN event_id % 6 <> 0 THEN (event_id * 101 % 100) / 100e0 END"),
+    ("historical_vol", "CASE WHEN event_id % 7 <> 0 THEN (event_id * 103 % 50) / 1000e0 END"),
+    ("vol_prediction", "(event_id * 107 % 80) / 100e0"),
+    ("vol_confidence", "(event_id * 109 % 100) / 100e0"),
+    ("regime", "CASE event_id % 5 WHEN 0 THEN 'normal' WHEN 1 THEN 'volatile' WHEN 2 THEN 'trending' WHEN 3 THEN 'sideways' ELSE 'odd' END"),
+    ("expected_return", "(event_id * 113 % 100) / 100e0 - 0.5e0"),
+    ("volatility", "(event_id * 127 % 60) / 100e0"),
+    ("violations", "CASE WHEN event_id % 4 = 0 THEN event_id % 3 ELSE 0 END"),
+    ("vega", "(event_id * 131 % 100) / 50e0"),
+    ("gamma", "(event_id * 137 % 100) / 5000e0"),
+    ("sentiment_change", "(event_id * 139 % 100) / 100e0 - 0.5e0"),
+    ("time_decay_factor", "1e0 / (1 + event_id % 60)"),
+    ("price_change_pct", "(event_id * 149 % 100) / 1000e0 - 0.05e0"),
+    ("volume_ratio", "(event_id * 151 % 200) / 100e0"),
+)
+
 
 class Tables:
     """Lazy readers of one data folder."""
@@ -161,6 +209,12 @@ class Tables:
             ((e * 31 % 100) / 100.0).alias("confidence"), (e % 300).alias("text_len"),
         )
 
+    def feats(self) -> DataFrame:
+        """One feature row per event."""
+        return self.raw("events").select(
+            "event_id", F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("symbol"), "ts", *[F.expr(e).alias(n) for n, e in FEATURES]
+        )
+
     def texts(self) -> DataFrame:
         return self.raw("documents").select(
             "doc_id", F.concat(F.lit("D"), (F.col("doc_id") % 20).cast("string")).alias("symbol"), "source", "lang", "text"
@@ -233,6 +287,8 @@ VIEWS: dict[str, str] = {
   SELECT event_id, concat('U', CAST(user_id % 20 AS VARCHAR)) AS symbol, event_type AS source, ts,
          LEAST(GREATEST((value - 50e0) / 100e0, -1e0), 1e0) AS score, ((event_id * 31) % 100) / 100e0 AS confidence,
          event_id % 300 AS text_len FROM events""",
+    "feats": f"""
+  SELECT event_id, concat('U', CAST(user_id % 20 AS VARCHAR)) AS symbol, ts, {', '.join(f'{e} AS {n}' for n, e in FEATURES)} FROM events""",
     "texts": """
   SELECT doc_id, concat('D', CAST(doc_id % 20 AS VARCHAR)) AS symbol, source, lang, text FROM documents""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import over
@@ -61,6 +61,6 @@ def ewm_mean(c: Column, alpha: float, pos: str = "_k") -> Column:
     The frame must be segmented with ``lookback >= ema_reach(alpha)`` and ``rows=EMA_ROWS``; ``pos`` is the row
     number in the chunk.
     """
-    w = over().rowsBetween(-(10**9), 0)
+    w = over().rowsBetween(Window.unboundedPreceding, 0)
     weight = F.pow(F.lit(1.0 / (1 - alpha)), F.col(pos))
     return F.sum(c * weight).over(w) / F.sum(F.when(c.isNotNull(), weight)).over(w)

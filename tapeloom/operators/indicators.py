@@ -113,7 +113,7 @@ def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     origin = F.when(F.col("_pos") <= n + 1, F.lit(a) * F.pow(F.lit(1 / (1 - a)), (n + F.col("_k") - F.col("_pos")).cast("double"))).otherwise(
         F.lit(a) * F.pow(F.lit(1 / (1 - a)), rel.cast("double"))
     )
-    w = over().rowsBetween(-(10**9), 0)
+    w = over().rowsBetween(Window.unboundedPreceding, 0)
     fade = F.pow(F.lit(1 - a), rel.cast("double"))
     for name, x in (("_g", F.greatest(F.col("_d"), zero())), ("_l", F.greatest(-F.col("_d"), zero()))):
         s = s.withColumn(name, F.sum(F.coalesce(x, zero()) * origin).over(w) * fade)

@@ -16,9 +16,8 @@ from tapeloom.plans.registry import all_queries  # noqa: E402
 from tapeloom.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "w02_sma", "w03_ema", "w04_rsi", "w06_macd", "w07_bollinger", "w14_volatility", "w20_max_drawdown", "w28_rolling_statistics", "a01_group_stats",
-    "a06_sentiment_summary", "a27_correlations", "a34_portfolio_risk", "v02_greeks", "v03_implied_vol", "v04_lattice_american", "j10_max_pain", "k01_top_opportunities",
-    "g01_technical_signals", "q05_bar_quality", "q07_bar_anomalies", "m01_feature_table", "m15_ks_drift", "t01_lexicon_score", "t07_similar_vectors",
+    "w02_sma", "w04_rsi", "w06_macd", "a01_group_stats", "a34_portfolio_risk", "v03_implied_vol", "v04_lattice_american", "j10_max_pain",
+    "k01_top_opportunities", "q07_bar_anomalies", "m15_ks_drift", "t01_lexicon_score",
 )
 
 

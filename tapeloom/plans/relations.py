@@ -70,21 +70,29 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def bars(self) -> DataFrame:
-        """One series per supplier: open/close by full line key, so partial aggregation applies."""
+        """One series per supplier: open and close by the full line key, so partial hash aggregation applies.
+
+        A struct as ordering would force a sort aggregate; the key columns are packed into one decimal instead, most
+        significant first: order, line, part, price in cents, quantity.
+        """
+        def digits(c, n):
+            return c.cast(f"decimal({n},0)")
+
+        line = digits(F.col("l_orderkey") * 10 + F.col("l_linenumber"), 16) * F.lit(f"{10**22}").cast("decimal(23,0)") + digits(
+            F.col("l_partkey"), 10
+        ) * F.lit(f"{10**12}").cast("decimal(13,0)") + digits(F.round(F.col("l_extendedprice") * 100) * 100 + F.col("l_quantity"), 12)
         li = self.raw("lineitem").select(
-            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-            F.col("l_shipdate").alias("ts"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-            F.col("l_quantity").alias("qty"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("line"),
+            "l_suppkey", F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+            F.col("l_quantity").alias("qty"), line.cast("decimal(38,0)").alias("line"),
         )
-        return li.groupBy("symbol", "ts").agg(
+        g = li.groupBy("l_suppkey", "ts").agg(
             F.min_by("price", "line").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", "line").alias("close"),
             F.sum("qty").alias("volume"),
         )
+        return g.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), "ts", "open", "high", "low", "close", "volume")
 
     def periods(self) -> DataFrame:
         """Last close of every two calendar months: series of all symbols share their dates."""

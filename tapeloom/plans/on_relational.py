@@ -165,7 +165,7 @@ SELECT symbol, doc_id, CASE WHEN contains(t, concat('$', lower(symbol))) THEN 1
  + CASE WHEN (symbol = 'D1' AND (contains(t, 'eau') OR contains(t, 'ent'))) OR (symbol = 'D7' AND contains(t, 'zzz')) OR (symbol = 'D9' AND (contains(t, 'cion') OR contains(t, 'ung'))) THEN 0.6 ELSE 0 END
  + least(0.5, 0.1 * (CASE WHEN contains(t, 'theth') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'ingen') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'ation') THEN 1 ELSE 0 END)) AS relevance FROM (SELECT *, lower(headline) AS t FROM ({HEADS}) x) y""")
 q("f07_typed_quote", lambda t: rel.typed_quote(t.quotes().withColumn("change", (qid() % 7 - 3) / 8.0), ["price", "change"]), "quote_id:l price:3 change:3 volume:l",
-  "SELECT quote_id, round(price, 2) AS price, CASE WHEN quote_id % 7 <> 3 THEN round((quote_id % 7 - 3) / 8e0, 2) END AS change, nullif(volume, 0) AS volume FROM quotes")
+  "SELECT quote_id, round(CAST(price AS DECIMAL(18, 6)), 2) AS price, CASE WHEN quote_id % 7 <> 3 THEN round((quote_id % 7 - 3) / 8e0, 2) END AS change, nullif(volume, 0) AS volume FROM quotes")
 q("f08_movers", lambda t: rel.movers(t.bars(), 25, 50.0), "symbol change_pct:4 high_volume:b large_mover:b", f"""
 SELECT symbol, (close / p - 1) * 100 AS change_pct, volume > 25 AS high_volume, coalesce(abs((close / p - 1) * 100) > 50, false) AS large_mover FROM (SELECT *, lag(close) OVER ({P}) AS p, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars) x WHERE rn = 1""")
 

@@ -78,6 +78,8 @@ class Page:
                     self.elements[self._open[-1]][6] += len(words)
 
     def _start(self, tag: str, rest: str) -> None:
+        if tag in RAW:  # what it holds is never read
+            return
         if tag in BLOCK:
             self._flush()
         if tag in NO_PARAGRAPH:

@@ -45,18 +45,22 @@ def wanted(residual: np.ndarray, size: int, most: int) -> list[tuple[int, ...]]:
     return out[:most]
 
 
-def fit(counts: np.ndarray, size: int, rounds: int = 40, step: int = 32) -> dict[tuple[int, ...], float]:
-    """Non-negative repeat counts of patterns by least squares on the histogram: active sets, as Lawson and Hanson do, by blocks."""
-    b = counts.astype(float)
+def fit(counts: np.ndarray, size: int, rounds: int = 24, step: int = 32) -> dict[tuple[int, ...], float]:
+    """Non-negative repeat counts of patterns by least squares on the histogram: active sets, as Lawson and Hanson do, by blocks.
+
+    A length weighs as it is long: what is left over should be short, for short pieces still fit into gaps.
+    """
+    weight = np.arange(size + 1) / size
+    b = counts * weight
     active: list[tuple[int, ...]] = []
     x, columns = np.zeros(0), np.zeros((size + 1, 0))
     for _ in range(rounds):
-        new = [p for p in wanted(b - columns @ x, size, step) if p not in set(active)]
+        new = [p for p in wanted((b - columns @ x) * weight, size, step) if p not in set(active)]
         if not new or len(active) + len(new) > size:
             break
         more = np.zeros((size + 1, len(new)))
         for j, p in enumerate(new):
-            np.add.at(more[:, j], list(p), 1)
+            np.add.at(more[:, j], list(p), weight[list(p)])
         active, columns, x = active + new, np.hstack([columns, more]), np.append(x, np.zeros(len(new)))
         for _ in range(len(active)):
             z = np.linalg.solve(columns.T @ columns + 1e-9 * np.eye(len(active)), columns.T @ b)
@@ -72,11 +76,21 @@ def fit(counts: np.ndarray, size: int, rounds: int = 40, step: int = 32) -> dict
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) for a histogram `counts[length]`; every piece is in exactly one."""
+    """(lengths of a sequence, how many such sequences) for a histogram `counts[length]`; every piece is in exactly one.
+
+    Of the fitted repeat counts that share is laid down, from half to all, that needs the fewest sequences with the rest.
+    """
+    fitted = sorted(fit(np.where(np.arange(size + 1) < size, counts, 0), size).items(), key=lambda t: (-t[1], t[0]))
+    plans = [laid(counts, size, [(p, x * share) for p, x in fitted]) for share in (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5)]
+    return min(plans, key=lambda way: sum(n for _, n in way))
+
+
+def laid(counts: np.ndarray, size: int, patterns: list[tuple[tuple[int, ...], float]]) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns, rounded down to what is there, and the rest best-fit, longest first."""
     left = counts.copy()
     out: list[tuple[tuple[int, ...], int]] = [((size,), int(left[size]))] if left[size] else []
     left[size] = 0
-    for p, x in sorted(fit(left, size).items(), key=lambda t: (-t[1], t[0])):
+    for p, x in patterns:
         need = np.bincount(p, minlength=size + 1)
         n = min(int(x), *(int(left[k] // need[k]) for k in p))
         if n > 0:
@@ -88,15 +102,16 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
         while n:
             room = min((r for r in bins if r >= k), default=None)
             held, many = bins[room].pop() if room is not None else ((), n if size < 2 * k else -(-n // (size // k)))
-            room = size if room is None else room
-            if room in bins and not bins[room]:
+            if room is None:
+                room = size
+            elif not bins[room]:
                 del bins[room]
             now = min(n, many)
             if many > now:
                 bins[room].append((held, many - now))
             bins[room - k].append(((*held, k), now))
             n -= now
-    return out + [x for room in bins.values() for x in room]
+    return out + [x for way in bins.values() for x in way]
 
 
 def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFrame:

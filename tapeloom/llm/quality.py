@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.nd
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [pooled(send.value, t).tobytes() for t in b["text"]]})
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.join(chosen, "doc_id").mapInPandas(work, f"doc_id {kind}, y int, x binary").toPandas()  # at most `sample` small rows
+    # at most `sample` rows of two numbers
+    rows = source.join(F.broadcast(chosen), "doc_id").mapInPandas(work, f"doc_id {kind}, y int, x binary").toPandas()  # at most `sample` small rows
     rows = rows.sort_values(["doc_id", "x"])
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]).astype(float) if len(rows) else np.zeros((0, WIDTH))
     return table, train(x, rows["y"].to_numpy(float))

@@ -81,7 +81,7 @@ def regions(docs: DataFrame, places: np.ndarray) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast(places)
 
     def hits(flow: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, hs = [], []
+        at, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for b in range(0, len(flow), PART):
             for h in seeds(flow[b: b + PART + SPAN - 1]):
                 h = h[:PART]

@@ -16,7 +16,7 @@ from tapeloom.plans.registry import all_queries  # noqa: E402
 from tapeloom.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "w04_rsi", "a01_group_stats", "v03_implied_vol", "j10_max_pain", "k01_top_opportunities", "q07_bar_anomalies", "m15_ks_drift", "t01_lexicon_score",
+    "w02_sma", "w04_rsi", "w06_macd", "a01_group_stats", "a34_portfolio_risk", "v03_implied_vol", "v04_lattice_american", "j10_max_pain", "k01_top_opportunities", "q07_bar_anomalies", "m15_ks_drift", "t01_lexicon_score",
 )
 
 

@@ -3,13 +3,16 @@
 A window partitioned by symbol alone puts a whole symbol into one task. ``segment`` cuts each symbol into
 time blocks, counts the rows per block (a map-side combined aggregate), and from the running counts gives every
 block its chunk of about ``rows`` rows plus the chunks that need it as context. A bounded frame
-computed over (symbol, chunk) then sees exactly the rows it would see over the symbol, and no task holds
-more than a chunk. Symbols shorter than ``rows`` stay whole and are not copied.
+computed over (symbol, chunk) then sees exactly the rows it would see over the symbol. A task holds a chunk and its
+context; a block is never cut, so a dense symbol needs a finer ``block``. A row is copied only into chunks that own rows and
+need it. Symbols shorter than ``rows`` stay whole and are not copied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -32,12 +35,19 @@ def _sizes(df: DataFrame, keys: Sequence[str], carry: dict[str, tuple[Callable,
     cols = [
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*keys)).alias("_n"),
-        F.max("_cnt").over(Window.partitionBy(*keys)).alias("_widest"),
     ]
     cols += [fn(F.col(f"_t_{name}")).over(before).alias(f"_carry_{name}") for name, (fn, _) in carry.items()]
     return df.groupBy(*keys, "_block").agg(*aggs).select(*keys, "_block", "_cnt", *cols)
 
 
+def _rejoin(b: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their block; null keys and null times are keys like any other."""
+    on = [*keys, "_block"]
+    right = sizes.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in sizes.columns if c not in on])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on])
+    return b.join(right, same).drop(*[f"_r_{k}" for k in on])
+
+
 def segment(
     df: DataFrame,
     lookback: int = 0,
@@ -53,16 +63,19 @@ def segment(
     block) and ``_n`` (rows of its key). Finish with :func:`own`.
     """
     b = df.withColumn("_block", block if block is not None else month_block(order[0]))
-    first = F.greatest(F.lit(0), F.col("_off") - lookahead - F.col("_widest")) if lookahead else F.col("_off")
-    sizes = _sizes(b, keys, {}).select(
-        *keys,
-        "_block",
-        "_off",
-        "_n",
-        F.floor(F.col("_off") / rows).alias("_own"),
-        F.sequence(F.floor(first / rows), F.floor((F.col("_off") + F.col("_cnt") - 1 + lookback) / rows)).alias("_chunks"),
-    )
-    return b.join(sizes, [*keys, "_block"]).withColumn("_chunk", F.explode("_chunks")).drop("_chunks")
+    by_start, by_end = Window.partitionBy(*keys).orderBy("_off"), Window.partitionBy(*keys).orderBy("_end")
+    sizes = _sizes(b, keys, {}).withColumn("_end", F.col("_off") + F.col("_cnt") - 1).withColumn("_step", F.floor(F.col("_off") / rows))
+    # chunks are numbered without gaps: each of them owns rows
+    sizes = sizes.withColumn("_own", F.sum(F.coalesce((F.col("_step") != F.lag("_step").over(by_start)).cast("long"), F.lit(0))).over(by_start))
+    first = last = F.col("_own")
+    if lookback:  # the last chunk that starts within the context after this block
+        sizes = sizes.withColumn("_reach", F.max("_own").over(by_start.rangeBetween(0, lookback - 1)))
+        last = F.coalesce(F.lead("_reach").over(by_start), last)
+    if lookahead:  # the first chunk that ends within the context before it
+        sizes = sizes.withColumn("_from", F.min("_own").over(by_end.rangeBetween(1 - lookahead, 0)))
+        first = F.coalesce(F.lag("_from").over(by_start), first)
+    sizes = sizes.select(*keys, "_block", "_off", "_n", "_own", F.sequence(first, last).alias("_chunks"))
+    return _rejoin(b, sizes, keys).withColumn("_chunk", F.explode("_chunks")).drop("_chunks")
 
 
 def over(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> WindowSpec:
@@ -98,7 +111,7 @@ def tail(
     sizes = sizes.select(*keys, "_block", "_off", "_n")
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (
-        b.join(sizes, [*keys, "_block"])
+        _rejoin(b, sizes, keys)
         .withColumn("_pos", F.col("_off") + F.row_number().over(w))
         .filter(F.col("_pos") > F.col("_n") - k)
         .withColumn("_back", F.col("_n") - F.col("_pos") + 1)
@@ -113,7 +126,7 @@ def head(df: DataFrame, k: int, keys: Sequence[str] = KEYS, order: Sequence[str]
     sizes = _sizes(b, keys, {}).filter(F.col("_off") < k).select(*keys, "_block", "_off", "_n")
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (
-        b.join(sizes, [*keys, "_block"])
+        _rejoin(b, sizes, keys)
         .withColumn("_pos", F.col("_off") + F.row_number().over(w))
         .filter(F.col("_pos") <= k)
     )
@@ -132,7 +145,7 @@ def carried(
     """
     b = df.withColumn("_block", block if block is not None else month_block(order[0]))
     sizes = _sizes(b, keys, carry)
-    return b.join(sizes.select(*keys, "_block", "_off", "_n", *[f"_carry_{c}" for c in carry]), [*keys, "_block"])
+    return _rejoin(b, sizes.select(*keys, "_block", "_off", "_n", *[f"_carry_{c}" for c in carry]), keys)
 
 
 def in_block(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> WindowSpec:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.frames import over
+from tapeloom.functions.frames import KEYS, ORDER
 
 # Hart's rational approximation of the normal tail in double precision (Hart 1968, West 2005).
 HART_NUM = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
@@ -51,16 +51,27 @@ def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-# One chunk of a segmented frame is short enough that (1 - alpha) ** -rows stays finite for spans of 5 and above.
+# Rows of a chunk for exponential means; longer blocks are fine, the weights start anew within them.
 EMA_ROWS = 512
 
 
 def ewm_mean(c: Column, alpha: float, pos: str = "_k") -> Column:
-    """Weighted mean Σ(1-α)^i x / Σ(1-α)^i as a ratio of two running sums over the chunk.
+    """Weighted mean Σ(1-α)^i x / Σ(1-α)^i over the chunk up to the row.
 
-    The frame must be segmented with ``lookback >= ema_reach(alpha)`` and ``rows=EMA_ROWS``; ``pos`` is the row
-    number in the chunk.
+    Weights grow from 1 to 1e16 over a stretch of ``ema_reach(alpha)`` rows and then start anew, so they stay finite however long the
+    chunk is. A row takes the running sums of its stretch and the decayed totals of the one before; what is older weighs
+    less than double precision. The frame must be segmented with ``lookback >= ema_reach(alpha)``; ``pos`` is the row number in the
+    chunk.
     """
-    w = over().rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.pow(F.lit(1.0 / (1 - alpha)), F.col(pos))
-    return F.sum(c * weight).over(w) / F.sum(F.when(c.isNotNull(), weight)).over(w)
+    reach = ema_reach(alpha)
+    stretch = F.floor(F.col(pos) / reach)
+    inside = Window.partitionBy(*KEYS, "_chunk", stretch).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*KEYS, "_chunk").orderBy(stretch).rangeBetween(-1, -1)
+    weight = F.pow(F.lit(1.0 / (1 - alpha)), F.col(pos) - stretch * reach)
+    decay = (1 - alpha) ** reach
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x).over(inside), F.lit(0.0)) + F.coalesce(F.sum(x).over(before), F.lit(0.0)) * decay
+
+    weights = total(F.when(c.isNotNull(), weight))
+    return F.when(weights > 0, total(c * weight) / weights)

@@ -42,7 +42,9 @@ def feature_table(bars: DataFrame, horizons: Sequence[int] = (1, 5, 10, 20)) ->
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
+    """Feature vectors of all rows; a missing or NaN feature counts as 0, as in the feature table, and no row is left out."""
+    filled = {f"_in_{i}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for i, f in enumerate(features)}
+    return VectorAssembler(inputCols=list(filled), outputCol=out, handleInvalid="error").transform(df.withColumns(filled)).drop(*filled)
 
 
 def entropy(p: Column) -> Column:

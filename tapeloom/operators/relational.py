@@ -62,6 +62,11 @@ COMPANY_WORDS = {
     "NVDA": ("nvidia", "graphics card", "gpu", "ai chip"),
 }
 
+# Company words that count for ranking.
+RANKING_COMPANY_WORDS = {
+    "AAPL": ("apple",), "TSLA": ("tesla",), "MSFT": ("microsoft",), "GOOGL": ("google", "alphabet"), "AMZN": ("amazon",), "META": ("meta", "facebook"),
+}
+
 
 def _aliases(words: dict[str, Sequence[str]]) -> Column:
     pairs = [x for k, v in words.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))]
@@ -83,7 +88,7 @@ def relevant_articles(articles: DataFrame, text: str, words: Sequence[str] = FIN
     return a.filter(cash | padded | company | finance).drop("_low", "_al")
 
 
-def relevance_score(articles: DataFrame, text: str, words: Sequence[str] = RANKING_WORDS, aliases: dict[str, Sequence[str]] = COMPANY_WORDS) -> DataFrame:
+def relevance_score(articles: DataFrame, text: str, words: Sequence[str] = RANKING_WORDS, aliases: dict[str, Sequence[str]] = RANKING_COMPANY_WORDS) -> DataFrame:
     """Ranking score: cashtag 1, padded symbol 0.8, company word 0.6, finance words 0.1 each up to 0.5."""
     a = articles.withColumn("_low", F.lower(text)).withColumn("_al", _aliases(aliases))
     low = F.col("_low")

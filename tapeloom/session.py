@@ -33,10 +33,13 @@ def build_session(app: str = "tapeloom", master: str | None = None, shuffle_part
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a local folder chosen and remembered in the session.
+    Where that setting is absent a session in one process (tests, a laptop) gets a folder of its own; on a cluster it is an error,
+    for executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

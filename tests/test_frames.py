@@ -77,3 +77,30 @@ def test_rsi_first_value_and_no_loss(spark):
     b = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
     r = [x["rsi_14"] for x in ind.rsi(b, (14,)).orderBy("ts").collect()]
     assert r[:13] == [None] * 13 and r[13:] == [100.0] * 7
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    start, rng = dt.datetime(2024, 3, 1), random.Random(3)
+    rows = [(None if i % 3 == 0 else "S", start + dt.timedelta(minutes=i), rng.uniform(50, 150)) for i in range(20_000)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double").cache()
+
+
+def test_ema_stays_finite_on_minute_bars_of_one_month(dense):
+    own = ind.ema(dense, (12,)).where("symbol = 'S'").orderBy("ts").toPandas()
+    want = own["close"].ewm(span=12, adjust=True).mean()
+    assert own["ema_12"].notna().all() and np.allclose(own["ema_12"], want, rtol=1e-9)
+
+
+def test_dense_blocks_are_not_copied_and_null_symbols_stay(dense):
+    laid = fr.segment(dense, lookback=480, rows=512)
+    assert laid.count() == 20_000 and fr.own(laid).count() == 20_000
+    day = F.dayofyear("ts")
+    fine = fr.segment(dense, lookback=480, lookahead=5, rows=512, block=day)
+    assert fr.segment(dense, lookback=480, rows=512, block=day).count() <= 2.5 * 20_000
+    assert fine.count() <= 3 * 20_000 and fr.own(fine).count() == 20_000  # its own chunk, one before it and one after
+    w = Window.partitionBy("symbol").orderBy("ts")
+    whole = dense.withColumns({"m": F.avg("close").over(w.rowsBetween(-479, 0)), "n": F.lead("close", 5).over(w)})
+    cut = fr.own(fine.withColumns({"m": F.avg("close").over(fr.last_n(480)), "n": F.lead("close", 5).over(fr.over())}))
+    a, b = (x.orderBy(F.col("symbol").asc_nulls_first(), "ts").select("m", "n").toPandas() for x in (whole, cut))
+    assert np.allclose(a, b, equal_nan=True)

@@ -122,3 +122,20 @@ def test_count_triggers_over_batches(spark, tmp_path):
     s = st.read_files(spark, str(tmp_path / "n"), "id bigint")
     got = sorted(tuple(r) for r in st.count_triggers(s, {"retrain": 50}).collect())
     assert got == [("retrain", 50), ("retrain", 100)]
+
+
+def test_ranking_counts_only_its_own_company_words(spark):
+    from tapeloom.operators import relational
+
+    rows = [("AAPL", "new iphone"), ("AAPL", "apple pie"), ("NVDA", "a gpu"), ("META", "facebook stock"), ("GOOG", "google")]
+    out = relational.relevance_score(spark.createDataFrame(rows, "symbol string, headline string"), "headline")
+    assert [(r.symbol, round(r.relevance, 2)) for r in out.collect()] == [("AAPL", 0.0), ("AAPL", 0.6), ("NVDA", 0.0), ("META", 0.7), ("GOOG", 0.0)]
+
+
+def test_missing_features_leave_no_row_out(spark):
+    from tapeloom.operators import ml
+
+    df = spark.createDataFrame([(1, 1.0, None), (2, float("nan"), 2.0), (3, 0.5, 0.5)], "id long, a double, b double")
+    out = ml.assemble(df, ("a", "b"))
+    assert out.columns == ["id", "a", "b", "features"]
+    assert [r.features.toArray().tolist() for r in out.orderBy("id").collect()] == [[1.0, 0.0], [0.0, 2.0], [0.5, 0.5]]

@@ -72,6 +72,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_packing, op3_warc, op4_decontam, op5_quality, op6_html, op7_tokens, op8_substrings, op9_vectors, op10_simhash)}
 
 
+#: Base 32 by hand: 40 bits, ten hexadecimal digits, are eight letters.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+d AS (SELECT *, [CAST('0x' || substr(sha1(html), 1 + 10 * i, 10) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS parts FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((parts[1 + k // 8] >> (35 - 5 * (k % 8))) & 31) AS BIGINT), 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+#: All pairs: for small tables.
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.a, r.c FROM r JOIN l ON r.id = l.b),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.id = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet."""
-    return {}
+    """SQL for the archive and the vectors; the other queries need a tokenizer, XXH64, a trained network, HTML or long windows of bytes."""
+    return {"op3_warc": OP3_SQL, "op9_vectors": OP9_SQL}

@@ -213,27 +213,30 @@ def iv_skew() -> Column:
     return F.when(~is_call() & (m < 0.95), 0.1 * (1 - m)).when(is_call() & (m > 1.05), -0.1 * (m - 1)).otherwise(0.0)
 
 
-def mispricing(chain: DataFrame, vols: DataFrame, lattice_steps: int | None = None, with_iv: bool = True) -> DataFrame:
-    """Valued chain: fair value, mispricing, ratio, flag, Greeks, IV, skew, confidence.
+def mispricing(chain: DataFrame, vols: DataFrame, lattice_steps: int = 100, with_iv: bool = True, ranks: DataFrame | None = None) -> DataFrame:
+    """Valued chain: consensus fair value, mispricing, ratio, flag, Greeks, IV, IV rank, skew, confidence.
 
-    ``lattice_steps`` adds the lattice to the consensus; without it the closed form stands alone.
+    The volatility is the symbol's historical one, else the one implied by the contract's own price, else 0.25.
+    ``ranks`` (symbol, iv_rank) fills ``iv_rank``; a symbol without a rank stands in the middle, at 50.
     """
-    c = chain.join(vols, "symbol", "left").withColumn("hist_vol", F.coalesce("hist_vol", F.lit(0.25)))
-    c = c.withColumn("market_price", market_price()).filter(F.coalesce("market_price", zero()) != 0)
-    c = add_black_scholes(c)
-    if lattice_steps:
-        c = add_consensus(add_lattice(c, steps=lattice_steps))
-        models = [F.col("bs_value"), F.col("lattice_value")]
-    else:
-        c = c.withColumn("fair_value", F.col("bs_value"))
-        models = [F.col("bs_value")]
+    c = chain.join(vols, "symbol", "left").withColumn("market_price", market_price())
+    c = c.filter(F.coalesce("market_price", zero()) != 0)
+    # contracts whose own volatility is not needed pass no price to the solver
+    asked = F.col("market_price") if with_iv else F.when(F.col("hist_vol").isNull(), F.col("market_price"))
+    c = c.withColumn("iv", F.coalesce(implied_vol(asked), F.lit(0.25)))
+    c = c.withColumn("hist_vol", F.coalesce("hist_vol", "iv"))
+    # both array functions below the closed form: its expressions are then evaluated once, above them
+    c = add_consensus(add_black_scholes(add_lattice(c, steps=lattice_steps)))
     c = c.withColumn("mispricing", F.col("fair_value") - F.col("market_price"))
     c = c.withColumn("mispricing_ratio", F.col("mispricing") / F.col("market_price"))
     c = c.withColumn("undervalued", F.col("mispricing_ratio") > 0.05)
+    models = [F.col("bs_value"), F.col("lattice_value")]
     c = c.withColumn("confidence_score", valuation_confidence(models)).withColumn("iv_skew", iv_skew())
-    if with_iv:
-        c = c.withColumn("iv", F.coalesce(implied_vol(F.col("market_price")), F.lit(0.25)))
-    return c
+    if ranks is not None:
+        c = c.join(ranks.select("symbol", "iv_rank"), "symbol", "left").withColumn("iv_rank", F.coalesce("iv_rank", F.lit(50.0)))
+    else:
+        c = c.withColumn("iv_rank", F.lit(50.0))
+    return c if with_iv else c.drop("iv")
 
 
 def valuation_score() -> Column:
@@ -288,6 +291,7 @@ def opportunity_analysis(valued: DataFrame) -> DataFrame:
     ))
     signals = F.array_compact(F.array(
         F.when(F.col("mispricing_ratio") > 0.1, F.format_string("Undervalued by %.1f%%", F.col("mispricing_ratio") * 100)),
+        F.when(F.col("iv_rank") < 30, "Low IV rank - good entry"),
         F.when(p > 0.6, F.format_string("High probability of profit: %.1f%%", p * 100)),
     ))
     return v.withColumns({

@@ -53,7 +53,7 @@ def iv_sql(src: str, price: str) -> str:
 def lattice_sql(src: str, steps: int, american: bool) -> str:
     early = "greatest(w, CASE WHEN put_call = 'call' THEN underlying * pow(u, i - 1 - 2 * (j - 1)) - strike ELSE strike - underlying * pow(u, i - 1 - 2 * (j - 1)) END)" if american else "w"
     step = "k * (p * val[j] + (1 - p) * val[j + 1])"
-    return f"""(WITH RECURSIVE l0 AS (SELECT x.*, exp(v * sqrt(t / {steps}e0)) AS u, exp(-0.05e0 * t / {steps}e0) AS k FROM ({src}) x),
+    return f"""(WITH RECURSIVE l0 AS MATERIALIZED (SELECT x.*, exp(v * sqrt(t / {steps}e0)) AS u, exp(-0.05e0 * t / {steps}e0) AS k FROM ({src}) x),
  l1 AS (SELECT *, (exp(0.05e0 * t / {steps}e0) - 1 / u) / (u - 1 / u) AS p FROM l0),
  l2 AS (SELECT contract_id, put_call, underlying, strike, u, k, p, {steps} AS i, list_transform(range(0, {steps + 1}), lambda j: greatest(CASE WHEN put_call = 'call' THEN 1 ELSE -1 END
      * (underlying * pow(u, {steps}e0 - 2 * j) - strike), 0e0)) AS val FROM l1
@@ -72,16 +72,16 @@ q("v04_lattice_european", lambda t: ch.add_lattice(with_vol(t), steps=50, americ
 CONF = """greatest(0, least(100, 100 - {dis} - CASE WHEN volume < 10 THEN 20 ELSE 0 END - CASE WHEN open_interest < 100 THEN 15 ELSE 0 END
  - CASE WHEN coalesce(bid, 0) <> 0 AND coalesce(ask, 0) > 0 THEN least(20, (ask - bid) / ask * 100) ELSE 0 END - CASE WHEN t < 0.02 THEN 25 ELSE 0 END))"""
 SKEW = "CASE WHEN put_call = 'put' AND strike / underlying < 0.95 THEN 0.1 * (1 - strike / underlying) WHEN put_call = 'call' AND strike / underlying > 1.05 THEN -0.1 * (strike / underlying - 1) ELSE 0 END"
-MIS = f"SELECT g.*, bs - mp AS mis, (bs - mp) / mp AS ratio, (bs - mp) / mp > 0.05 AS under, {CONF.format(dis='0')} AS conf, {SKEW} AS skew FROM ({G}) g WHERE mp IS NOT NULL AND mp <> 0"
+IVV = f"SELECT w.*, coalesce(hist_vol, w.iv, 0.25) AS v FROM {IV} w LEFT JOIN vols o ON w.symbol = o.symbol WHERE w.mp <> 0"
+FAIR = f"SELECT b.*, {0.4 / 0.7!r} * bs + {0.3 / 0.7!r} * lat AS fair, CASE WHEN bs + lat > 0 THEN least(30, abs(bs - lat) / (bs + lat) * 100) ELSE 0 END AS dis FROM ({greek_sql(lattice_sql(IVV, 100, True)[1:-1])}) b"
+MIS = f"SELECT g.*, fair - mp AS mis, (fair - mp) / mp AS ratio, (fair - mp) / mp > 0.05 AS under, {CONF.format(dis='dis')} AS conf, {SKEW} AS skew FROM ({FAIR}) g"
 q("v05_mispricing", lambda t: valued(t), "contract_id:l fair_value:4 mispricing:4 mispricing_ratio:5 undervalued:b confidence_score:4 iv_skew:6 iv:4 delta:6",
-  f"SELECT m.contract_id, bs AS fair_value, mis AS mispricing, ratio AS mispricing_ratio, under AS undervalued, conf AS confidence_score, skew AS iv_skew, coalesce(iv, 0.25) AS iv, delta FROM ({MIS}) m JOIN (SELECT contract_id, iv FROM {IV} w) v ON m.contract_id = v.contract_id")
-LATG = f"SELECT g.*, l.lat, {0.4 / 0.7!r} * bs + {0.3 / 0.7!r} * lat AS fair FROM ({G}) g JOIN (SELECT contract_id, lat FROM {lattice_sql(CV, 25, True)} k) l ON g.contract_id = l.contract_id"
-q("v06_consensus_value", lambda t: ch.add_consensus(ch.add_lattice(ch.add_price(with_vol(t)), steps=25)), "contract_id:l bs_value:4 lattice_value:3 fair_value:3", f"SELECT contract_id, bs AS bs_value, lat AS lattice_value, fair AS fair_value FROM ({LATG}) x")
-q("v07_valuation_confidence", lambda t: valued(t, lattice_steps=25, with_iv=False), "contract_id:l confidence_score:3",
-  f"SELECT contract_id, {CONF.format(dis='CASE WHEN bs + lat > 0 THEN least(30, abs(bs - lat) / (bs + lat) * 100) ELSE 0 END')} AS confidence_score FROM ({LATG}) x WHERE mp <> 0")
+  f"SELECT contract_id, fair AS fair_value, mis AS mispricing, ratio AS mispricing_ratio, under AS undervalued, conf AS confidence_score, skew AS iv_skew, coalesce(iv, 0.25) AS iv, delta FROM ({MIS}) m")
+q("v06_consensus_value", lambda t: valued(t, with_iv=False), "contract_id:l bs_value:4 lattice_value:3 fair_value:3", f"SELECT contract_id, bs AS bs_value, lat AS lattice_value, fair AS fair_value FROM ({FAIR}) x")
+q("v07_valuation_confidence", lambda t: valued(t, with_iv=False), "contract_id:l confidence_score:3", f"SELECT contract_id, conf AS confidence_score FROM ({MIS}) x")
 q("v08_iv_surface", lambda t: ch.iv_surface(t.chain()), "contract_id:l strike:4 dte:l implied_vol:4 moneyness:6 t:6", f"SELECT contract_id, strike, dte, coalesce(iv, 0.25) AS implied_vol, strike / underlying AS moneyness, t FROM {IV} v WHERE mp <> 0")
 q("v09_iv_skew", lambda t: t.chain().withColumn("iv_skew", ch.iv_skew()), "contract_id:l iv_skew:6", f"SELECT contract_id, {SKEW} AS iv_skew FROM chain")
-MIV = f"SELECT m.*, coalesce(v.iv, 0.25) AS iv, CASE WHEN put_call = 'call' THEN strike + m.mp ELSE strike - m.mp END AS be FROM ({MIS}) m JOIN (SELECT contract_id, iv FROM {IV} w) v ON m.contract_id = v.contract_id"
+MIV = f"SELECT m.* REPLACE (coalesce(iv, 0.25) AS iv), CASE WHEN put_call = 'call' THEN strike + mp ELSE strike - mp END AS be FROM ({MIS}) m"
 D2 = "(ln(underlying / be) + (0.05e0 + 0.5e0 * iv * iv) * t) / (iv * sqrt(t)) - iv * sqrt(t)"
 EXP = f"""SELECT e.*, CASE WHEN be > 0 THEN CASE WHEN put_call = 'call' THEN {phi('d2')} ELSE 1 - {phi('d2')} END END AS pp FROM (
  SELECT w.*, ((CASE WHEN put_call = 'call' THEN greatest(underlying * 1.05e0 - strike, 0) ELSE greatest(strike - underlying * 1.05e0, 0) END) - mp) / mp AS er,

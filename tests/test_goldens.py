@@ -139,3 +139,25 @@ def test_missing_features_leave_no_row_out(spark):
     out = ml.assemble(df, ("a", "b"))
     assert out.columns == ["id", "a", "b", "features"]
     assert [r.features.toArray().tolist() for r in out.orderBy("id").collect()] == [[1.0, 0.0], [0.0, 2.0], [0.5, 0.5]]
+
+
+def test_value_without_history_uses_the_contracts_own_volatility(contracts):
+    spark = contracts.sparkSession
+    priced = ch.add_price(contracts.withColumn("vol", F.lit(0.4)), "vol", "last").drop("vol", "hist_vol").withColumns(
+        {"bid": F.lit(None).cast("double"), "ask": F.lit(None).cast("double"), "volume": F.lit(500), "open_interest": F.lit(500)}
+    ).filter(F.col("last") > 0.01)
+    none = spark.createDataFrame([], "symbol string, hist_vol double")
+    rows = ch.mispricing(priced, none).collect()
+    assert rows
+    for r in rows:
+        assert r["hist_vol"] == pytest.approx(0.4, abs=1e-4) and r["bs_value"] == pytest.approx(r["last"], abs=1e-4)
+        assert r["fair_value"] == pytest.approx(ch.BS_WEIGHT * r["bs_value"] + ch.LATTICE_WEIGHT * r["lattice_value"], abs=1e-9)
+
+
+def test_low_iv_rank_is_an_entry_signal(contracts):
+    spark = contracts.sparkSession
+    cheap = contracts.drop("hist_vol").withColumns({"last": F.lit(0.5), "bid": F.lit(None).cast("double"), "ask": F.lit(None).cast("double"), "volume": F.lit(500), "open_interest": F.lit(500)})
+    vols = cheap.select("symbol").distinct().withColumn("hist_vol", F.lit(0.4))
+    for rank, want in ((10.0, True), (30.0, False)):
+        out = ch.opportunity_analysis(ch.mispricing(cheap, vols, ranks=vols.select("symbol", F.lit(rank).alias("iv_rank")))).collect()
+        assert out and all(("Low IV rank - good entry" in r["entry_signals"]) == want for r in out)

@@ -119,17 +119,21 @@ def option_quality(chain: DataFrame) -> DataFrame:
     return c.withColumn("overall", sum((F.col(k) * w for k, w in OPTION_WEIGHTS.items()), F.lit(0.0)))
 
 
+def bar_findings() -> Column:
+    """What is odd about a bar whose previous bars have the mean ``_m``, deviation ``_s`` and mean volume ``_v``."""
+    z = F.when(F.col("_s") > 0, F.abs((F.col("close") - F.col("_m")) / F.col("_s")))
+    return F.array_compact(F.array(
+        F.when(z > 3, F.struct(F.lit("price_outlier").alias("type"), F.lit("high").alias("severity"), F.least(F.lit(0.95), z / 5.0).alias("confidence"))),
+        F.when((F.col("_v") > 0) & (F.col("volume") > F.col("_v") * 5), F.struct(F.lit("volume_spike").alias("type"), F.lit("medium").alias("severity"), F.lit(0.8).alias("confidence"))),
+    ))
+
+
 def bar_anomalies(bars: DataFrame, history: int = 9) -> DataFrame:
     """Price outliers (|z| > 3 over the previous bars) and volume spikes (over 5 times their mean), one row each."""
     s = fr.segment(bars, lookback=history + 1)
     w = fr.over().rowsBetween(-history, -1)
     s = s.withColumns({"_m": F.avg("close").over(w), "_s": F.stddev_samp("close").over(w), "_v": F.avg("volume").over(w), "_k": F.count("close").over(w)})
-    z = F.when(F.col("_s") > 0, F.abs((F.col("close") - F.col("_m")) / F.col("_s")))
-    found = F.array_compact(F.array(
-        F.when(z > 3, F.struct(F.lit("price_outlier").alias("type"), F.lit("high").alias("severity"), F.least(F.lit(0.95), z / 5.0).alias("confidence"))),
-        F.when((F.col("_v") > 0) & (F.col("volume") > F.col("_v") * 5), F.struct(F.lit("volume_spike").alias("type"), F.lit("medium").alias("severity"), F.lit(0.8).alias("confidence"))),
-    ))
-    s = fr.own(s.filter(F.col("_k") == history)).select("symbol", "ts", F.explode(found).alias("a"))
+    s = fr.own(s.filter(F.col("_k") == history)).select("symbol", "ts", F.explode(bar_findings()).alias("a"))
     return s.select("symbol", "ts", "a.*")
 
 

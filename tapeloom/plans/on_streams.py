@@ -16,6 +16,20 @@ def q(key, plan, out, sql=None):
     QUERIES.append(Query(key, plan, out, sql))
 
 
+PARTS = 4
+
+
+def landed(spark, rows, order: str, per_trigger: int = 1):
+    """Rows that land in order, one file after another, and arrive as a stream of as many micro-batches."""
+    path = scratch(spark, "landed")
+    o = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
+    cuts = rows.select(o.alias("o")).approxQuantile("o", [i / PARTS for i in range(1, PARTS)], 0.01)
+    part = sum(((o > c).cast("int") for c in cuts), F.lit(0))
+    for i in range(PARTS):
+        rows.filter(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    return st.read_files(spark, path, rows.schema, per_trigger=per_trigger)
+
+
 class Live:
     """The relations over the event stream instead of the event table."""
 
@@ -23,7 +37,7 @@ class Live:
         self.t = t
 
     def raw(self, name):
-        return st.read_files(self.t.spark, self.t.dir, self.t.raw(name).schema, f"{name}.parquet")
+        return landed(self.t.spark, self.t.raw(name), "ts")
 
 
 def live(t, relation):
@@ -35,8 +49,8 @@ def doubled(pdf):
     return pdf.assign(doubled=pdf["price"] * 2)
 
 
-q("r01_map_chunks", lambda t: st.drain(st.map_chunks(live(t, "ticks").select("event_id", "price"), doubled, "event_id bigint, price double, doubled double"), "r01"), "event_id:l doubled:4", "SELECT event_id, price * 2 AS doubled FROM ticks")
-q("r02_fold", lambda t: st.fold(live(t, "ticks"), ["symbol"], [F.sum("size").alias("size"), F.max("price").alias("high"), F.count(F.lit(1)).alias("n")], "r02"), "symbol size:l high:4 n:l", "SELECT symbol, sum(size) AS size, max(price) AS high, count(*) AS n FROM ticks GROUP BY symbol")
+q("r01_map_chunks", lambda t: st.drain(st.map_chunks(live(t, "ticks").select("event_id", "price"), doubled, "event_id bigint, price double, doubled double"), st.Place.fresh(t.spark, "r01")), "event_id:l doubled:4", "SELECT event_id, price * 2 AS doubled FROM ticks")
+q("r02_fold", lambda t: st.fold(live(t, "ticks"), ["symbol"], [F.sum("size").alias("size"), F.max("price").alias("high"), F.count(F.lit(1)).alias("n")], st.Place.fresh(t.spark, "r02")), "symbol size:l high:4 n:l", "SELECT symbol, sum(size) AS size, max(price) AS high, count(*) AS n FROM ticks GROUP BY symbol")
 
 
 def samples(t):
@@ -44,44 +58,39 @@ def samples(t):
     return live(t, "ticks").select("event_id", F.col("price").alias("pred_a"), (e % 90 / 1.0).alias("pred_b"), (e % 7 / 10.0).alias("conf_a"), (e % 5 / 10.0).alias("conf_b"))
 
 
-q("r03_ensemble_stream", lambda t: st.drain(st.ensemble_stream(samples(t), ["a", "b"], {"a": 0.7, "b": 0.3}), "r03"), "event_id:l ensemble:4", """
+q("r03_ensemble_stream", lambda t: st.drain(st.ensemble_stream(samples(t), ["a", "b"], {"a": 0.7, "b": 0.3}), st.Place.fresh(t.spark, "r03")), "event_id:l ensemble:4", """
 SELECT event_id, CASE WHEN wa + wb > 0 THEN (price * wa + event_id % 90 * wb) / (wa + wb) ELSE 0 END AS ensemble FROM (SELECT *, 0.7e0 * (event_id % 7 / 10e0) AS wa, 0.3e0 * (event_id % 5 / 10e0) AS wb FROM ticks) x""")
 SCORE = "SELECT model, row_number() OVER (PARTITION BY model ORDER BY ts DESC, sample_id DESC) AS back, count(*) OVER (PARTITION BY model) AS total, CASE WHEN abs(actual - predicted) < 0.5 THEN 1 ELSE 1 / (1 + abs(actual - predicted)) END AS s FROM predictions"
-q("r04_track_scores", lambda t: st.track_scores(live(t, "predictions"), 1000, "r04"), "model kept:l mean_score:6 total_predictions:l", f"SELECT model, count(*) AS kept, avg(s) AS mean_score, max(total) AS total_predictions FROM ({SCORE}) x WHERE back <= 1000 GROUP BY model")
+q("r04_track_scores", lambda t: st.track_scores(live(t, "predictions"), st.Place.fresh(t.spark, "r04"), 1000), "model kept:l mean_score:6 total_predictions:l", f"SELECT model, count(*) AS kept, avg(s) AS mean_score, max(total) AS total_predictions FROM ({SCORE}) x WHERE back <= 1000 GROUP BY model")
 DRIFT = f"SELECT model, CASE WHEN count(*) >= 100 THEN CASE WHEN count(*) >= 200 THEN avg(CASE WHEN back > 100 AND back <= 200 THEN s END) ELSE 0.5 END - avg(CASE WHEN back <= 100 THEN s END) END AS performance_drop FROM ({SCORE}) x WHERE back <= 1000 GROUP BY model"
-q("r05_concept_drift", lambda t: st.track_scores(live(t, "predictions"), 1000, "r05"), "model performance_drop:6 drift:b", f"SELECT model, performance_drop, coalesce(performance_drop > 0.1, false) AS drift FROM ({DRIFT}) d")
+q("r05_concept_drift", lambda t: st.track_scores(live(t, "predictions"), st.Place.fresh(t.spark, "r05"), 1000), "model performance_drop:6 drift:b", f"SELECT model, performance_drop, coalesce(performance_drop > 0.1, false) AS drift FROM ({DRIFT}) d")
 q("r05_concept_drift_batch", lambda t: st.score_stats(st.last_scores(t.predictions().withColumn("score", st.outcome_score(F.col("actual"), F.col("predicted"))), 1000)), "model performance_drop:6 drift:b", f"SELECT model, performance_drop, coalesce(performance_drop > 0.1, false) AS drift FROM ({DRIFT}) d")
-q("r06_count_triggers", lambda t: st.count_triggers(live(t, "predictions"), {"retrain": 300, "select": 150}, "r06"), "event sample_count:l", """
+q("r06_count_triggers", lambda t: st.count_triggers(live(t, "predictions"), {"retrain": 300, "select": 150}, st.Place.fresh(t.spark, "r06")), "event sample_count:l", """
 SELECT 'retrain' AS event, i * 300 AS sample_count FROM (SELECT unnest(range(1, CAST(count(*) // 300 AS BIGINT) + 1)) AS i FROM predictions) a UNION ALL SELECT 'select', i * 150 FROM (SELECT unnest(range(1, CAST(count(*) // 150 AS BIGINT) + 1)) AS i FROM predictions) b""")
 
 
 def bar_stream(t):
-    """Bars land as files first, then arrive as a stream."""
-    path = scratch(t.spark, "r07-bars")
-    t.bars().select("symbol", "ts", "close", "volume").write.parquet(path)
-    return st.read_files(t.spark, path, "symbol string, ts timestamp_ntz, close double, volume double", per_trigger=100000)
+    return landed(t.spark, t.bars().select("symbol", "ts", "close", "volume"), "ts")
 
 
-q("r07_rolling_history", lambda t: st.anomaly_stream(bar_stream(t), 9, "r07"), "symbol ts type severity confidence:5", """
+q("r07_rolling_history", lambda t: st.anomaly_stream(bar_stream(t), st.Place.fresh(t.spark, "r07"), 9), "symbol ts type severity confidence:5", """
 SELECT symbol, ts, 'price_outlier' AS type, 'high' AS severity, least(0.95, abs(close - m) / sd / 5) AS confidence FROM (SELECT *, avg(close) OVER w AS m, stddev_samp(close) OVER w AS sd, count(close) OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)) x WHERE k = 9 AND sd > 0 AND abs(close - m) / sd > 3
 UNION ALL SELECT symbol, ts, 'volume_spike', 'medium', 0.8 FROM (SELECT *, avg(volume) OVER w AS vm, count(volume) OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)) y WHERE k = 9 AND vm > 0 AND volume > 5 * vm""")
 AS_OF = "2024-01-30 12:00:00"
-q("r08_fresh_unique", lambda t: st.drain(st.fresh_unique(live(t, "sentiments").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), ["event_id", "source"], F.lit(AS_OF).cast("timestamp_ntz")), "r08"), "event_id:l source freshness:2", f"""
+q("r08_fresh_unique", lambda t: st.drain(st.fresh_unique(live(t, "sentiments").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), ["event_id", "source"], F.lit(AS_OF).cast("timestamp_ntz")), st.Place.fresh(t.spark, "r08")), "event_id:l source freshness:2", f"""
 SELECT event_id, source, CASE WHEN h > 24 THEN 0.3 WHEN h > 12 THEN 0.6 WHEN h > 6 THEN 0.8 WHEN h > 1 THEN 0.9 ELSE 1 END AS freshness FROM (SELECT *, trunc(epoch(TIMESTAMP '{AS_OF}') - epoch(ts)) / 3600e0 AS h FROM sentiments) x""")
-q("r09_sliding_check", lambda t: st.sliding_check(live(t, "predictions"), 168, "r09"), "model view_end n:l accuracy:6 avg_confidence:6", """
+q("r09_sliding_check", lambda t: st.sliding_check(live(t, "predictions"), st.Place.fresh(t.spark, "r09"), 168), "model view_end n:l accuracy:6 avg_confidence:6", """
 WITH h AS (SELECT model, date_trunc('hour', ts) AS hr, count(*) AS n, sum(CASE WHEN (actual > 0) = (predicted > 0) THEN 1 ELSE 0 END) AS hits, sum(confidence) AS c FROM predictions GROUP BY 1, 2),
 g AS (SELECT DISTINCT model, hr + to_hours(CAST(i AS BIGINT)) AS view_end FROM h, (SELECT unnest(range(1, 169)) AS i) r)
 SELECT g.model, view_end, sum(n) AS n, sum(hits) / sum(n) AS accuracy, sum(c) / sum(n) AS avg_confidence FROM g JOIN h ON g.model = h.model AND h.hr >= view_end - INTERVAL 168 HOURS AND h.hr < view_end GROUP BY 1, 2""")
-q("r10_volume_bars", lambda t: st.volume_bars(live(t, "ticks"), "5 minutes", "r10"), "symbol bar volume:l ticks:l", "SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS bar, sum(size) AS volume, count(*) AS ticks FROM ticks GROUP BY 1, 2")
+q("r10_volume_bars", lambda t: st.volume_bars(live(t, "ticks"), st.Place.fresh(t.spark, "r10"), "5 minutes"), "symbol bar volume:l ticks:l", "SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS bar, sum(size) AS volume, count(*) AS ticks FROM ticks GROUP BY 1, 2")
 
 
 def snapshot_stream(t):
-    path = scratch(t.spark, "r11-snapshots")
-    t.chain_snapshots().select("contract_id", "chain_date", "open_interest").write.parquet(path)
-    return st.read_files(t.spark, path, "contract_id bigint, chain_date int, open_interest bigint", per_trigger=100000)
+    return landed(t.spark, t.chain_snapshots().select("contract_id", "chain_date", "open_interest"), "chain_date")
 
 
-q("r11_oi_changes", lambda t: st.drain(st.oi_changes(snapshot_stream(t)), "r11"), "contract_id:l chain_date:l oi_change:l", "SELECT contract_id, chain_date, open_interest - lag(open_interest) OVER (PARTITION BY contract_id ORDER BY chain_date) AS oi_change FROM chain_snapshots")
+q("r11_oi_changes", lambda t: st.drain(st.oi_changes(snapshot_stream(t)), st.Place.fresh(t.spark, "r11")), "contract_id:l chain_date:l oi_change:l", "SELECT contract_id, chain_date, open_interest - lag(open_interest) OVER (PARTITION BY contract_id ORDER BY chain_date) AS oi_change FROM chain_snapshots")
 
 # User functions --------------------------------------------------------------------------------------------------
 q("y01_chunk_function", lambda t: st.map_chunks(t.ticks().select("event_id", "price"), doubled, "event_id bigint, price double, doubled double"), "event_id:l doubled:4", "SELECT event_id, price * 2 AS doubled FROM ticks")

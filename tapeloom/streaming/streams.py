@@ -1,19 +1,22 @@
 """Structured Streaming operators. Each has the semantics of a batch operator on the same rows.
 
-State that a batch operator can rebuild is kept as a small written table per micro-batch below the shared folder, so
-a replayed batch overwrites its own version and a lost executor loses nothing.
+State lives in Spark: streaming aggregates, or keyed state of bounded size. A :class:`Place` names the output and the checkpoint
+of a stream; starting it again with the same place goes on where it stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeloom.operators.quality import age_hours, bar_anomalies
+from tapeloom.operators.quality import age_hours, bar_findings
 from tapeloom.session import scratch
 
 
@@ -26,48 +29,44 @@ def event_time(stream: DataFrame) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append stream over everything available into files and hand back the written table."""
-    spark = stream.sparkSession
-    out, mark = scratch(spark, label), scratch(spark, f"{label}-progress")
-    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+@dataclass(frozen=True)
+class Place:
+    """Where a stream writes and keeps its checkpoint (shared folders), and its trigger."""
 
+    out: str
+    checkpoint: str
+    trigger: dict = field(default_factory=lambda: {"availableNow": True})
 
-def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, mode: str = "append") -> None:
-    mark = scratch(stream.sparkSession, f"{label}-progress")
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    @staticmethod
+    def fresh(spark: SparkSession, label: str) -> Place:
+        root = scratch(spark, label)
+        return Place(f"{root}/out", f"{root}/checkpoint")
 
 
-class Versions:
-    """Tables written once per micro-batch under ``name/batch=N``."""
+def drain(stream: DataFrame, to: Place) -> DataFrame:
+    """Run an append stream into files and hand back the written table."""
+    w = stream.writeStream.format("parquet").outputMode("append").option("path", to.out).option("checkpointLocation", to.checkpoint)
+    w.trigger(**to.trigger).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(to.out)
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.last = spark, scratch(spark, label), -1
 
-    def write(self, df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/batch={n}")
-        self.last = max(self.last, n)
+def changes(stream: DataFrame, to: Place) -> DataFrame:
+    """Run an update stream; the rows that micro-batch N changed are written to ``batch=N``, which a replay overwrites."""
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{to.out}/batch={n}")
 
-    def read(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/batch={n}")
+    w = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", to.checkpoint)
+    w.trigger(**to.trigger).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    # a stream that brought nothing yet has an empty result
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{to.out}/batch=-1")
+    return stream.sparkSession.read.schema(schema).option("basePath", to.out).parquet(to.out)
 
-    def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.root)
 
-
-def with_state(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], label: str) -> Versions:
-    """Per micro-batch: (rows, previous state) to (output, new state), both written under the batch number."""
-    out, state = Versions(stream.sparkSession, label), Versions(stream.sparkSession, f"{label}-state")
-
-    def on_batch(df: DataFrame, n: int) -> None:
-        prev = state.read(n - 1) if n > 0 else None
-        result, new = step(df, prev)
-        state.write(new, n)
-        out.write(result, n)
-
-    drain_batches(stream, on_batch, label)
-    return out
+def newest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The last written row of every key of :func:`changes`."""
+    rest = [c for c in table.columns if c not in (*keys, "batch")]
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
 def map_chunks(stream: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -79,13 +78,9 @@ def map_chunks(stream: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sc
     return stream.mapInPandas(run, schema)
 
 
-def fold(stream: DataFrame, keys: list[str], aggs: list[Column], label: str = "fold") -> DataFrame:
-    """Running aggregates per key; every micro-batch writes the keys it changed, the newest row of a key counts."""
-    v = Versions(stream.sparkSession, label)
-    drain_batches(stream.groupBy(*keys).agg(*aggs), v.write, label, "update")
-    t = v.all()
-    rest = [c for c in t.columns if c not in (*keys, "batch")]
-    return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+def fold(stream: DataFrame, keys: list[str], aggs: list[Column], to: Place) -> DataFrame:
+    """Running aggregates per key, as a streaming aggregation."""
+    return newest(changes(stream.groupBy(*keys).agg(*aggs), to), keys)
 
 
 def ensemble_stream(stream: DataFrame, models: list[str], weights: dict[str, float]) -> DataFrame:
@@ -96,6 +91,14 @@ def ensemble_stream(stream: DataFrame, models: list[str], weights: dict[str, flo
     return stream.withColumn("ensemble", F.when(total > 0, mixed / total).otherwise(0.0))
 
 
+EARLIEST = -(2**63)
+
+
+def _micros(c: str) -> Column:
+    """Microseconds of a time; a null time comes before all others."""
+    return F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(EARLIEST))
+
+
 def outcome_score(actual: Column, predicted: Column) -> Column:
     """1 for a hit within one half, else 1 / (1 + error)."""
     e = F.abs(actual - predicted)
@@ -119,22 +122,33 @@ def score_stats(last: DataFrame) -> DataFrame:
     return g.withColumn("drift", F.coalesce(F.col("performance_drop") > 0.1, F.lit(False))).drop("_new", "_old")
 
 
-def track_scores(stream: DataFrame, k: int = 1000, label: str = "scores") -> DataFrame:
-    """Score tracking and drift per model over a prediction stream."""
-    cols = ["model", "sample_id", "ts", "score", "seen"]
+def track_scores(stream: DataFrame, to: Place, k: int = 1000, salts: int = 16) -> DataFrame:
+    """Score tracking and drift per model over a prediction stream.
 
-    def step(df, prev):
-        d = df.select("model", "sample_id", "ts", outcome_score(F.col("actual"), F.col("predicted")).alias("score"), F.lit(1).cast("bigint").alias("seen"))
-        seen = d.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-        if prev is not None:
-            before = prev.groupBy("model").agg(F.max("seen").alias("n"))
-            seen = seen.unionByName(before).groupBy("model").agg(F.sum("n").alias("n"))
-            d = d.unionByName(prev.select(*cols))
-        kept = last_scores(d, k).drop("seen").join(seen.withColumnRenamed("n", "seen"), "model")
-        return score_stats(kept).join(seen.withColumnRenamed("n", "total_predictions"), "model"), kept.select(*cols)
-
-    v = with_state(stream, step, label)
-    return v.read(v.last)
+    State per (model, salt) is a count and the last ``k`` scores, so a hot model spreads over ``salts`` tasks; the last ``k`` of a
+    model are among those of its salts. Rows pass through the state in chunks and are never held together.
+    """
+    def step(key, chunks, state: GroupState):
+        total, ts, ids, scores = state.get if state.exists else (0, [], [], [])
+        held = pd.DataFrame({"ts": list(ts), "sample_id": list(ids), "score": list(scores)})
+        for pdf in chunks:
+            total += len(pdf)
+            new = pdf[["ts", "sample_id", "score"]]
+            held = (pd.concat([held, new]) if len(held) else new).sort_values(["ts", "sample_id"], ascending=False).head(k)
+        kept = ([int(x) for x in held["ts"]], [int(x) for x in held["sample_id"]], [float(x) for x in held["score"]])
+        state.update((total, *kept))
+        yield pd.DataFrame({"model": [key[0]], "salt": [key[1]], "total": [total], "ts": [kept[0]], "ids": [kept[1]], "scores": [kept[2]]})
+
+    held = "total bigint, ts array<bigint>, ids array<bigint>, scores array<double>"
+    rows = stream.select(
+        "model", F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int").alias("salt"), _micros("ts").alias("ts"),
+        F.coalesce(F.col("sample_id").cast("bigint"), F.lit(EARLIEST)).alias("sample_id"), outcome_score(F.col("actual"), F.col("predicted")).alias("score"),
+    )
+    kept = rows.groupBy("model", "salt").applyInPandasWithState(step, f"model string, salt int, {held}", held, "update", GroupStateTimeout.NoTimeout)
+    parts = newest(changes(kept, to), ["model", "salt"])
+    totals = parts.groupBy("model").agg(F.sum("total").alias("total_predictions"))
+    each = parts.select("model", F.explode(F.arrays_zip("ts", "ids", "scores")).alias("x")).select("model", "x.ts", F.col("x.ids").alias("sample_id"), F.nanvl("x.scores", F.lit(None).cast("double")).alias("score"))
+    return score_stats(last_scores(each, k)).join(totals, "model")
 
 
 def _crossings(name: str, f: int) -> Column:
@@ -144,36 +158,44 @@ def _crossings(name: str, f: int) -> Column:
     return F.when(last >= first, rows).otherwise(F.array().cast("array<struct<event:string,sample_count:bigint>>"))
 
 
-def count_triggers(stream: DataFrame, every: dict[str, int], label: str = "triggers") -> DataFrame:
-    """One event row each time the sample count passes a multiple of a frequency."""
-    def step(df, prev):
-        n = df.agg(F.count(F.lit(1)).alias("n"))
-        if prev is not None:
-            n = n.select((F.col("n") + prev.select("total").scalar()).alias("n"))
-        base = prev.select("total").scalar() if prev is not None else F.lit(0)
-        new = n.select(F.col("n").alias("total"), base.cast("bigint").alias("before"))
-        hits = F.flatten(F.array(*[_crossings(name, f) for name, f in every.items()]))
-        return new.select(F.explode(hits).alias("x")).select("x.*"), new.select("total")
+def count_triggers(stream: DataFrame, every: dict[str, int], to: Place) -> DataFrame:
+    """One event row each time the sample count passes a multiple of a frequency.
 
-    return with_state(stream, step, label).all().drop("batch")
+    The count is a streaming aggregate; one total per micro-batch is written, and what lies between two totals has been passed.
+    """
+    totals = changes(stream.agg(F.count(F.lit(1)).alias("total")), to)
+    t = totals.withColumn("before", F.coalesce(F.lag("total").over(Window.orderBy("batch")), F.lit(0)))
+    hits = F.flatten(F.array(*[_crossings(name, f) for name, f in every.items()]))
+    return t.select(F.explode(hits).alias("x")).select("x.*")
 
 
-def anomaly_stream(stream: DataFrame, history: int = 9, label: str = "anomalies") -> DataFrame:
-    """Outlier checks on arriving bars against the last ``history`` bars of their symbol, by the batch operator.
+def anomaly_stream(stream: DataFrame, to: Place, history: int = 9) -> DataFrame:
+    """Outlier checks on arriving bars against the last ``history`` bars of their symbol, by the rules of the batch operator.
 
-    State is the tail of every symbol; a row is reported in the batch it arrives in.
+    State is the tail of every symbol; a row is reported in the batch it arrives in. A task holds what one trigger brings of a symbol,
+    which ``maxFilesPerTrigger`` bounds.
     """
-    cols = ["symbol", "ts", "close", "volume"]
-
-    def step(df, prev):
-        d = df.select(*cols).withColumn("_fresh", F.lit(True))
-        both = d if prev is None else d.unionByName(prev.select(*cols).withColumn("_fresh", F.lit(False)))
-        found = bar_anomalies(both.select(*cols), history).join(d.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-        w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-        tail = both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= history).select(*cols)
-        return found, tail
-
-    return with_state(stream, step, label).all().drop("batch")
+    def step(key, chunks, state: GroupState):
+        ts, close, volume = state.get if state.exists else ([], [], [])
+        tail = pd.DataFrame({"ts": list(ts), "close": list(close), "volume": list(volume)}, dtype="float64").astype({"ts": "int64"})
+        new = pd.concat([p[["ts", "close", "volume"]] for p in chunks])
+        both = pd.concat([tail.assign(fresh=False), new.assign(fresh=True)]).sort_values(["ts", "fresh"], kind="stable").reset_index(drop=True)
+        last = both.tail(history)
+        state.update(([int(x) for x in last["ts"]], [float(x) for x in last["close"]], [float(x) for x in last["volume"]]))
+        c, v = (np.column_stack([both[x].shift(i).to_numpy(float) for i in range(1, history + 1)]) for x in ("close", "volume"))
+        m, nv = c.mean(axis=1), (~np.isnan(v)).sum(axis=1)
+        out = both.assign(
+            symbol=key[0], _k=(~np.isnan(c)).sum(axis=1), _m=m, _s=np.sqrt(((c - m[:, None]) ** 2).sum(axis=1) / (history - 1)),
+            _v=np.where(nv > 0, np.nansum(v, axis=1) / np.maximum(nv, 1), np.nan),
+        )
+        yield out.loc[out["fresh"], ["symbol", "ts", "close", "volume", "_k", "_m", "_s", "_v"]]
+
+    rows = stream.select("symbol", _micros("ts").alias("ts"), F.col("close").cast("double"), F.col("volume").cast("double"))
+    out = "symbol string, ts bigint, close double, volume double, _k bigint, _m double, _s double, _v double"
+    seen = rows.groupBy("symbol").applyInPandasWithState(step, out, "ts array<bigint>, close array<double>, volume array<double>", "append", GroupStateTimeout.NoTimeout)
+    when = F.timestamp_micros(F.nullif(F.col("ts"), F.lit(EARLIEST))).cast("timestamp_ntz")
+    s = seen.filter(F.col("_k") == history).select("symbol", when.alias("ts"), F.explode(bar_findings()).alias("a"))
+    return drain(s.select("symbol", "ts", "a.*"), to)
 
 
 def fresh_unique(stream: DataFrame, keys: list[str], as_of: Column, delay: str = "2 hours") -> DataFrame:
@@ -183,7 +205,7 @@ def fresh_unique(stream: DataFrame, keys: list[str], as_of: Column, delay: str =
     return d.withColumn("freshness", F.when(h > 24, 0.3).when(h > 12, 0.6).when(h > 6, 0.8).when(h > 1, 0.9).otherwise(1.0))
 
 
-def sliding_check(stream: DataFrame, hours: int = 168, label: str = "sliding") -> DataFrame:
+def sliding_check(stream: DataFrame, to: Place, hours: int = 168) -> DataFrame:
     """Model measures over a sliding view, one row per hour.
 
     The stream keeps hourly sums; the overlapping views are combined from those, so a prediction is never copied per view.
@@ -191,37 +213,30 @@ def sliding_check(stream: DataFrame, hours: int = 168, label: str = "sliding") -
     a, p = F.col("actual"), F.col("predicted")
     hourly = fold(
         stream.withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), ["model", "hour"],
-        [F.count(F.lit(1)).alias("n"), F.sum(((a > 0) == (p > 0)).cast("int")).alias("hits"), F.sum("confidence").alias("conf")], label,
+        [F.count(F.lit(1)).alias("n"), F.sum(((a > 0) == (p > 0)).cast("int")).alias("hits"), F.sum("confidence").alias("conf")], to,
     )
     ends = F.expr(f"transform(sequence(0, {hours - 1}), i -> hour + make_interval(0, 0, 0, 0, i + 1, 0, 0))")
     v = hourly.withColumn("view_end", F.explode(ends)).groupBy("model", "view_end").agg(F.sum("n").alias("n"), F.sum("hits").alias("h"), F.sum("conf").alias("c"))
     return v.select("model", "view_end", "n", (F.col("h") / F.col("n")).alias("accuracy"), (F.col("c") / F.col("n")).alias("avg_confidence"))
 
 
-def volume_bars(stream: DataFrame, width: str = "5 minutes", label: str = "bars") -> DataFrame:
+def volume_bars(stream: DataFrame, to: Place, width: str = "5 minutes") -> DataFrame:
     """Tumbling volume bars of ticks. The watermark ends the state of bars that can no longer change."""
-    w = event_time(stream).withWatermark("ts", "1 day").groupBy("symbol", F.window("ts", width))
-    v = Versions(stream.sparkSession, label)
-    drain_batches(w.agg(F.sum("size").alias("volume"), F.count(F.lit(1)).alias("ticks")), v.write, label, "update")
-    t = v.all().select("symbol", F.col("window.start").cast("timestamp_ntz").alias("bar"), F.struct("volume", "ticks").alias("x"), "batch")
-    return t.groupBy("symbol", "bar").agg(F.max_by("x", "batch").alias("x")).select("symbol", "bar", "x.*")
-
+    w = event_time(stream).withWatermark("ts", "1 day").groupBy("symbol", F.window("ts", width).alias("w"))
+    t = newest(changes(w.agg(F.sum("size").alias("volume"), F.count(F.lit(1)).alias("ticks")).select("symbol", F.col("w.start").alias("bar"), "volume", "ticks"), to), ["symbol", "bar"])
+    return t.withColumn("bar", F.col("bar").cast("timestamp_ntz"))
 
 
 def oi_changes(stream: DataFrame) -> DataFrame:
-    """Open-interest change of every arriving snapshot row against the previous one of its contract, in keyed state.
-
-    A key is one contract: its arrivals in a micro-batch are few.
-    """
+    """Open-interest change of every arriving snapshot row against the previous one of its contract; the state is one number."""
     def change(key, chunks, state: GroupState):
-        prev = state.get[0] if state.exists else None
         rows = pd.concat(list(chunks)).sort_values("chain_date")
-        out = []
-        for date, oi in zip(rows["chain_date"], rows["open_interest"]):
-            out.append((key[0], int(date), int(oi - prev) if prev is not None else None))
-            prev = int(oi)
-        state.update((prev,))
-        yield pd.DataFrame(out, columns=["contract_id", "chain_date", "oi_change"]).astype({"oi_change": "Int64"})
+        oi = rows["open_interest"].astype("Int64")
+        before = oi.shift(1)
+        if state.exists:
+            before.iloc[0] = pd.NA if state.get[0] is None else state.get[0]
+        state.update((None if pd.isna(oi.iloc[-1]) else int(oi.iloc[-1]),))
+        yield pd.DataFrame({"contract_id": key[0], "chain_date": rows["chain_date"], "oi_change": oi - before})
 
     return stream.groupBy("contract_id").applyInPandasWithState(
         change, "contract_id bigint, chain_date int, oi_change bigint", "oi bigint", "append", GroupStateTimeout.NoTimeout

@@ -111,7 +111,7 @@ def test_stream_of_many_batches_equals_batch(spark, tmp_path):
         lo = dt.datetime(2024, 1, 1) + dt.timedelta(days=10 * i)
         b.filter((F.col("ts") >= lo) & (F.col("ts") < lo + dt.timedelta(days=10))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = st.read_files(spark, str(tmp_path / "in"), "symbol string, ts timestamp_ntz, close double, volume double")
-    got = sorted(tuple(r) for r in st.anomaly_stream(s).select("ts", "type").collect())
+    got = sorted(tuple(r) for r in st.anomaly_stream(s, st.Place(str(tmp_path / "out"), str(tmp_path / "mark"))).select("ts", "type").collect())
     want = sorted(tuple(r) for r in ql.bar_anomalies(b).select("ts", "type").collect())
     assert got == want and want
 
@@ -120,7 +120,7 @@ def test_count_triggers_over_batches(spark, tmp_path):
     for i in range(3):
         spark.range(i * 40, i * 40 + 40).coalesce(1).write.mode("append").parquet(str(tmp_path / "n"))
     s = st.read_files(spark, str(tmp_path / "n"), "id bigint")
-    got = sorted(tuple(r) for r in st.count_triggers(s, {"retrain": 50}).collect())
+    got = sorted(tuple(r) for r in st.count_triggers(s, {"retrain": 50}, st.Place(str(tmp_path / "out"), str(tmp_path / "mark"))).collect())
     assert got == [("retrain", 50), ("retrain", 100)]
 
 

@@ -355,23 +355,26 @@ def interaction_products(rows: DataFrame) -> DataFrame:
     })
 
 
-def pairwise_features(df: DataFrame, cols: Sequence[str], most: int = 50) -> DataFrame:
-    """Product, quotient and share of every column pair, in loop order, stopping once ``most`` new columns exist."""
-    out, made = {}, 0
-    cols = list(cols)[:10]
+def pairwise_features(df: DataFrame, cols: Sequence[str], most: int | None = None, most_columns: int | None = None) -> DataFrame:
+    """Product, quotient and share of every column pair, in loop order.
+
+    All pairs, unless ``most_columns`` keeps only the first columns or ``most`` ends the loop once so many new columns exist
+    (10 and 50 give the short form).
+    """
+    out: dict[str, Column] = {}
+    cols = list(cols)[:most_columns]
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
-            if made >= most:
+            if most is not None and len(out) >= most:
                 break
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
             out.update({f"{a}_x_{b}": x * y, f"{a}_div_{b}": div(x, y), f"{a}_ratio_{b}": div(x, x + y + 1e-8)})
-            made += 3
     return df.withColumns(out)
 
 
-def polynomial_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Interaction-only products of degree two over at most five columns; nulls count 0."""
-    cols = list(cols)[:5]
+def polynomial_features(df: DataFrame, cols: Sequence[str], most_columns: int | None = None) -> DataFrame:
+    """Interaction-only products of degree two over all columns, or the first ``most_columns`` (5 gives the short form); nulls count 0."""
+    cols = list(cols)[:most_columns]
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     return df.withColumns({f"poly_{a} {b}": z(a) * z(b) for i, a in enumerate(cols) for b in cols[i + 1:]})
 

@@ -243,10 +243,10 @@ WITH g AS (SELECT symbol, exp(sum(ln(1 + r))) - 1 AS tr, pow(1 + avg(r), 252e0)
 e AS (SELECT s.symbol, avg(r) AS es FROM strategy s JOIN g ON s.symbol = g.symbol WHERE r <= q GROUP BY s.symbol)
 SELECT g.symbol, tr AS total_return, ar AS annual_return, vol AS volatility, (ar - 0.02) / vol AS sharpe_ratio, (ar - 0.02) / dn AS sortino_ratio, mdd AS max_drawdown,
  wr AS win_rate, pf AS profit_factor, ar / mdd AS calmar_ratio, q AS var_95, es AS expected_shortfall FROM g JOIN e ON g.symbol = e.symbol JOIN ({DDS}) d ON g.symbol = d.symbol""")
-q("j09_rebalance", lambda t: risk.rebalance(t.holdings().filter("market_value > 100"), t.raw("supplier").groupBy(F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("symbol")).agg(
+q("j09_rebalance", lambda t: risk.rebalance(t.holdings(), t.raw("supplier").groupBy(F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("symbol")).agg(
     (F.count(F.lit(1)) / t.raw("supplier").agg(F.count(F.lit(1))).scalar()).alias("weight")), 0.01),
   "symbol action current_weight:6 target_weight:6 deviation:6 amount:2", """
-WITH c AS (SELECT symbol, market_value, market_value / sum(market_value) OVER () AS w FROM holdings WHERE market_value > 100),
+WITH c AS (SELECT symbol, market_value, market_value / sum(market_value) OVER () AS w FROM holdings),
 t AS (SELECT concat('S', CAST(s_nationkey AS VARCHAR)) AS symbol, count(*) / (SELECT count(*) FROM supplier) AS w FROM supplier GROUP BY 1),
 j AS (SELECT coalesce(c.symbol, t.symbol) AS symbol, coalesce(c.w, 0) AS cw, coalesce(t.w, 0) AS tw FROM c FULL OUTER JOIN t ON c.symbol = t.symbol)
 SELECT symbol, CASE WHEN tw > cw THEN 'increase' ELSE 'decrease' END AS action, cw AS current_weight, tw AS target_weight, abs(cw - tw) AS deviation,

@@ -64,17 +64,20 @@ q("s06_dividends_splits", lambda t: rd.dividends_and_splits(t.quotes().select("s
 SELECT symbol, 'dividend' AS kind, strftime(ts, '%Y-%m-%d') AS date, quote_id % 100 / 10e0 AS value FROM quotes WHERE quote_id % 6 <> 0 UNION ALL SELECT symbol, 'split', strftime(ts, '%Y-%m-%d'), quote_id % 4 FROM quotes""")
 
 
+PRIMARY = "source in ('1-URGENT', '2-HIGH') and symbol like '%3'"
+
+
 def earnings_primary(t):
     alt = qid() % 2 == 0
     body = F.when(alt, F.to_json(F.struct(F.col("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("AMC").alias("time"), (qid() % 90).alias("epsEstimated"), (qid() % 80).alias("eps")))).otherwise(
         F.to_json(F.struct(F.col("symbol").alias("ticker"), F.date_format("ts", "yyyy-MM-dd").alias("epsDate"), F.lit("none").alias("timeOfDay"), (qid() % 90).alias("epsEstimate"), (qid() % 80).alias("epsActual"), (qid() % 70).alias("revenue"))))
-    return t.quotes().filter(F.col("source") == "1-URGENT").select(body.alias("body"))
+    return t.quotes().filter(PRIMARY).select(body.alias("body"))
 
 
-q("s07_earnings_calendar", lambda t: rd.earnings_calendar(earnings_primary(t), t.quotes().filter(F.col("source") == "2-HIGH").select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("date"), (qid() % 60).cast("double").alias("eps_estimate"))),
-  "symbol date time eps_estimate:2 eps_actual:2 revenue_actual:2 source", """
+q("s07_earnings_calendar", lambda t: rd.earnings_calendar(earnings_primary(t), t.quotes().filter(f"not ({PRIMARY})").select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("date"), (qid() % 60).cast("double").alias("eps_estimate"))),
+  "symbol date time eps_estimate:2 eps_actual:2 revenue_actual:2 source", f"""
 SELECT symbol, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN quote_id % 2 = 0 THEN 'amc' END AS time, quote_id % 90 AS eps_estimate, quote_id % 80 AS eps_actual, CASE WHEN quote_id % 2 = 1 THEN quote_id % 70 END AS revenue_actual, 'primary' AS source
-FROM quotes WHERE source = '1-URGENT' UNION ALL SELECT symbol, strftime(ts, '%Y-%m-%d'), NULL, quote_id % 60, NULL, NULL, 'secondary' FROM quotes q WHERE source = '2-HIGH' AND symbol NOT IN (SELECT symbol FROM quotes WHERE source = '1-URGENT')""")
+FROM quotes WHERE {PRIMARY} UNION ALL SELECT symbol, strftime(ts, '%Y-%m-%d'), NULL, quote_id % 60, NULL, NULL, 'secondary' FROM quotes q WHERE NOT ({PRIMARY}) AND symbol NOT IN (SELECT symbol FROM quotes WHERE {PRIMARY})""")
 
 
 def side_frame(t, name):
@@ -109,11 +112,11 @@ SELECT symbol AS ticker, d AS direction, source AS instrument, CAST(quote_id % 5
 
 def written(t):
     path = scratch(t.spark, "s12")
-    rd.write_results(t.quotes().filter("price > 100").select("quote_id", "price"), path, "run-1", "2001-01-01")
+    rd.write_results(t.quotes().select("quote_id", "price"), path, "run-1", "2001-01-01")
     return t.spark.read.schema("quote_id bigint, price double, run_id string, as_of string").json(path)
 
 
-q("s12_write_results", written, "quote_id:l price:4 run_id as_of", "SELECT quote_id, price, 'run-1' AS run_id, '2001-01-01' AS as_of FROM quotes WHERE price > 100")
+q("s12_write_results", written, "quote_id:l price:4 run_id as_of", "SELECT quote_id, price, 'run-1' AS run_id, '2001-01-01' AS as_of FROM quotes")
 
 
 def appended(t):
@@ -198,11 +201,13 @@ q("f15_sector_validity", lambda t: rel.sector_validity(t.quotes().select(F.col("
 q("f16_retention", lambda t: rel.retain(t.runs(), "ts", t.runs().agg(F.max("ts")).scalar(), 10), "run_id:l model", "SELECT run_id, model FROM runs WHERE ts > (SELECT max(ts) FROM runs) - INTERVAL 10 DAYS")
 
 # Joins -----------------------------------------------------------------------------------------------------------
-cust = lambda t: t.raw("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
-ords = lambda t: t.raw("orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("k"), "o_orderkey")
+# Orders of nine in ten customers keep their key, the others miss: both sides have rows without a partner.
+SHIFTED = F.col("o_custkey") - F.when(F.col("o_custkey") % 10 == 0, 10_000_000).otherwise(0)
+cust = lambda t: t.raw("customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+ords = lambda t: t.raw("orders").select(SHIFTED.alias("k"), "o_orderkey")
 for how in ("inner", "left", "right", "outer"):
     q(f"j01_merge_{how}", lambda t, how=how: rel.merge(ords(t), cust(t), ["k"], how), "k:l o_orderkey:l c_mktsegment",
-      f"SELECT k, o_orderkey, c_mktsegment FROM (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_totalprice > 100000) o {'full' if how == 'outer' else how} JOIN (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_acctbal > 0) c USING (k)")
+      f"SELECT k, o_orderkey, c_mktsegment FROM (SELECT o_custkey - CASE WHEN o_custkey % 10 = 0 THEN 10000000 ELSE 0 END AS k, o_orderkey FROM orders) o {'full' if how == 'outer' else how} JOIN (SELECT c_custkey AS k, c_mktsegment FROM customer) c USING (k)")
 q("j01_merge_cross", lambda t: rel.merge(t.raw("nation").select("n_name"), t.raw("region").select("r_name"), None, "cross"), "n_name r_name", "SELECT n_name, r_name FROM nation, region")
 
 
@@ -220,11 +225,12 @@ q("j06_best_source", lambda t: rel.best_source(cand(t)), "symbol source quote_id
   f"SELECT symbol, source, quote_id, score FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN score >= 95 THEN 0 ELSE 1 END, CASE WHEN score < 95 THEN -score ELSE 0 END, p, quote_id) AS rn FROM ({CAND}) c WHERE score > 0) x WHERE rn = 1")
 q("j07_first_source", lambda t: rel.first_source(cand(t)), "symbol source quote_id:l price:4",
   f"SELECT symbol, source, quote_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p, quote_id) AS rn FROM ({CAND}) c WHERE price IS NOT NULL) x WHERE rn = 1")
-sig = lambda t, src: t.quotes().filter(F.col("source") == src).groupBy("symbol").agg((F.max(qid()) % 100 / 100.0).alias("confidence"))
-q("j08_merge_darkpool", lambda t: rel.merge_darkpool(sig(t, "1-URGENT"), sig(t, "2-HIGH")), "symbol confidence:5 origin", """
+MADE = "symbol like '%1' or (symbol not like '%2' and source < '3')"
+sig = lambda t, side: t.quotes().filter(side).groupBy("symbol").agg((F.max(qid()) % 100 / 100.0).alias("confidence"))
+q("j08_merge_darkpool", lambda t: rel.merge_darkpool(sig(t, MADE), sig(t, f"not ({MADE})")), "symbol confidence:5 origin", f"""
 SELECT coalesce(s.symbol, r.symbol) AS symbol, CASE WHEN s.c IS NOT NULL AND r.c IS NOT NULL THEN least(s.c * 1.3, 0.95) ELSE coalesce(s.c, r.c) END AS confidence,
  CASE WHEN s.c IS NOT NULL AND r.c IS NOT NULL THEN 'validated' WHEN s.c IS NOT NULL THEN 'synthetic' ELSE 'real' END AS origin
-FROM (SELECT symbol, max(quote_id) % 100 / 100e0 AS c FROM quotes WHERE source = '1-URGENT' GROUP BY 1) s FULL JOIN (SELECT symbol, max(quote_id) % 100 / 100e0 AS c FROM quotes WHERE source = '2-HIGH' GROUP BY 1) r ON s.symbol = r.symbol""")
+FROM (SELECT symbol, max(quote_id) % 100 / 100e0 AS c FROM quotes WHERE {MADE} GROUP BY 1) s FULL JOIN (SELECT symbol, max(quote_id) % 100 / 100e0 AS c FROM quotes WHERE NOT ({MADE}) GROUP BY 1) r ON s.symbol = r.symbol""")
 q("j12_pair_outcomes", lambda t: rel.pair_outcomes(t.predictions().select("sample_id", "model", "predicted"), t.predictions().filter("confidence > 0.2").select("sample_id", "actual")),
   "sample_id:l model error:5 direction_correct:b score:6", """
 SELECT sample_id, model, CASE WHEN actual = 0 THEN abs(predicted) ELSE abs(actual - predicted) / actual END AS error, (actual > 0) = (predicted > 0) AS direction_correct, 1 / (1 + abs(actual - predicted)) AS score FROM predictions WHERE confidence > 0.2""")
@@ -242,8 +248,8 @@ q("j14_as_of_join", asof, "symbol ts prior:4", "SELECT a.symbol, a.ts, b.close A
 q("k02_rank_predictions", lambda t: rel.latest_by_rank(t.predictions(), "predicted", ["sample_id"], 50), "sample_id:l model predicted:4", "SELECT sample_id, model, predicted FROM predictions ORDER BY predicted DESC, sample_id LIMIT 50")
 q("k04_best_per_ticker", lambda t: rel.best_per_key(t.quotes().withColumn("confidence", qid() % 50).select("symbol", "quote_id", "confidence", "source"), "symbol", "confidence", ["quote_id"]), "symbol quote_id:l confidence:l source",
   "SELECT symbol, quote_id, confidence, source FROM (SELECT *, quote_id % 50 AS confidence, row_number() OVER (PARTITION BY symbol ORDER BY quote_id % 50 DESC, quote_id) AS rn FROM quotes) x WHERE rn = 1")
-q("u01_union_by_name", lambda t: t.quotes().filter("source = '1-URGENT'").select("quote_id", "symbol", "price").unionByName(t.quotes().filter("source = '2-HIGH'").select("quote_id", "symbol", "volume"), allowMissingColumns=True),
-  "quote_id:l symbol price:4 volume:l", "SELECT quote_id, symbol, price, NULL AS volume FROM quotes WHERE source = '1-URGENT' UNION ALL SELECT quote_id, symbol, NULL, volume FROM quotes WHERE source = '2-HIGH'")
+q("u01_union_by_name", lambda t: t.quotes().filter("source < '3'").select("quote_id", "symbol", "price").unionByName(t.quotes().filter("source >= '3'").select("quote_id", "symbol", "volume"), allowMissingColumns=True),
+  "quote_id:l symbol price:4 volume:l", "SELECT quote_id, symbol, price, NULL AS volume FROM quotes WHERE source < '3' UNION ALL SELECT quote_id, symbol, NULL, volume FROM quotes WHERE source >= '3'")
 q("u02_distinct_items", lambda t: rel.distinct_items(t.quotes(), ["symbol"], F.trim(F.regexp_replace("source", "[0-9-]+", " ")), ["ts", "quote_id"], 3), "symbol item position:l", """
 SELECT symbol, item, position_ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o) AS position_ FROM (
  SELECT symbol, trim(regexp_replace(source, '[0-9-]+', ' ', 'g')) AS item, min((ts, quote_id)) AS o FROM quotes GROUP BY 1, 2) x) y WHERE position_ <= 3""".replace("position_", "position"))

@@ -129,16 +129,11 @@ SELECT symbol, CASE WHEN c > m THEN 1 ELSE 0 END AS direction, 0.6 AS direction_
 q("x12_interactions", lambda t: sg.interaction_products(t.feats()), "event_id:l rsi_sentiment:4 vol_vega_exposure:5 vol_gamma_risk:6 flow_structure_signal:5 momentum_sentiment_align:5 decay_vol_premium:5", """
 SELECT event_id, rsi * sentiment AS rsi_sentiment, volatility * vega AS vol_vega_exposure, volatility_ratio * gamma AS vol_gamma_risk, volume_oi_ratio * sign(gex_level) AS flow_structure_signal, momentum_score * sentiment_change AS momentum_sentiment_align, time_decay_factor * iv_rank AS decay_vol_premium FROM feats""")
 COLS = ("rsi", "macd", "sentiment", "iv", "volatility", "momentum_score", "premium")
-pairs, made = [], 0
-for i, a in enumerate(COLS):
-    for b in COLS[i + 1:]:
-        if made < 50:
-            pairs.append((a, b))
-            made += 3
-q("x13_pairwise_features", lambda t: sg.pairwise_features(t.feats(), COLS), "event_id:l " + " ".join(f"{a}_x_{b}:5 {a}_div_{b}:3 {a}_ratio_{b}:2" for a, b in pairs if b != "momentum_score" and a != "sentiment" and a != "macd"),
+pairs = [(a, b) for i, a in enumerate(COLS) for b in COLS[i + 1:]]
+q("x13_pairwise_features", lambda t: sg.pairwise_features(t.feats(), COLS), "event_id:l " + " ".join(f"{a}_x_{b}:5 {a}_div_{b}:3 {a}_ratio_{b}:2" for a, b in pairs),
   "SELECT event_id, " + ", ".join(f"{a} * {b} AS {a}_x_{b}, {a} / nullif({b}, 0) AS {a}_div_{b}, {a} / nullif({a} + {b} + 1e-8, 0) AS {a}_ratio_{b}" for a, b in pairs) + " FROM feats")
 q("x14_polynomial_features", lambda t: sg.polynomial_features(t.feats(), COLS).withColumnsRenamed({f"poly_{a} {b}": f"poly_{a}_{b}" for a in COLS for b in COLS}),
-  "event_id:l " + " ".join(f"poly_{a}_{b}:5" for i, a in enumerate(COLS[:5]) for b in COLS[i + 1:5]), "SELECT event_id, " + ", ".join(f"{a} * {b} AS poly_{a}_{b}" for i, a in enumerate(COLS[:5]) for b in COLS[i + 1:5]) + " FROM feats")
+  "event_id:l " + " ".join(f"poly_{a}_{b}:5" for a, b in pairs), "SELECT event_id, " + ", ".join(f"{a} * {b} AS poly_{a}_{b}" for a, b in pairs) + " FROM feats")
 q("x15_structure_features", lambda t: sg.structure_features(t.feats().select("event_id", F.col("gex_level").alias("call_gex"), F.when(F.col("event_id") % 2 == 0, F.col("gex_level") * -0.5).alias("put_gex"), F.when(F.col("event_id") % 3 == 0, F.col("rsi")).alias("vix"))),
   "event_id:l call_gex:2 put_gex:2 gex_tilt:5 vix:3 percent_above_200ma:2", """
 SELECT event_id, gex_level AS call_gex, coalesce(pg, 0) AS put_gex, gex_level / nullif(coalesce(pg, 0) + 1, 0) AS gex_tilt, coalesce(CASE WHEN event_id % 3 = 0 THEN rsi END, 20) AS vix, 50 AS percent_above_200ma FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN gex_level * -0.5 END AS pg FROM feats) a""")

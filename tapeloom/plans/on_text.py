@@ -74,15 +74,15 @@ SELECT doc_id, least(1, greatest(-1, (doc_id % 21 / 10e0 - 1) * CASE WHEN {has(E
 
 # Vectors ---------------------------------------------------------------------------------------------------------
 vecs = lambda t: t.raw("embeddings").select("vec_id", "embedding")
-qvecs = lambda t: t.raw("embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+qvecs = lambda t: t.raw("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 DIST = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))"
 HITS = f"""SELECT query_id, vec_id, 1 - d AS score, rank_ AS rank_ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank_ FROM (
- SELECT a.vec_id AS query_id, b.vec_id, {DIST} AS d FROM embeddings a, embeddings b WHERE a.vec_id < 20) x) y WHERE rank_ <= 5"""
+ SELECT a.vec_id AS query_id, b.vec_id, {DIST} AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) x) y WHERE rank_ <= 5"""
 q("t07_similar_vectors", lambda t: vc.similar(qvecs(t), vecs(t), 5).withColumnRenamed("rank", "rank_"), "query_id:l vec_id:l score:5 rank_:l", HITS)
 NRM = lambda x: f"sqrt(list_sum(list_transform({x}.embedding, lambda z: CAST(z AS DOUBLE) ** 2)))"
 q("t07_similar_cosine", lambda t: vc.similar(qvecs(t), vecs(t), 3, "cosine").withColumnRenamed("rank", "rank_"), "query_id:l vec_id:l score:6 rank_:l", f"""
 SELECT query_id, vec_id, s AS score, rank_ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - s, 9), vec_id) AS rank_ FROM (SELECT a.vec_id AS query_id, b.vec_id,
- list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / ({NRM('a')} * {NRM('b')}) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 20) x) y WHERE rank_ <= 3""")
+ list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / ({NRM('a')} * {NRM('b')}) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) x) y WHERE rank_ <= 3""")
 
 
 def trade_rows(t):
@@ -99,13 +99,13 @@ q("t09_collection_stats", lambda t: vc.collection_stats(t.raw("embeddings"), ("l
 
 def boosted(t):
     pay = t.raw("embeddings").select("vec_id", F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("ticker"), F.lit("long").alias("direction"), F.col("label").cast("string").alias("thesis"), F.lit(None).cast("string").alias("date"))
-    base = t.raw("embeddings").filter("vec_id < 25").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("base "), F.col("vec_id").cast("string")).alias("base"))
+    base = t.raw("embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("base "), F.col("vec_id").cast("string")).alias("base"))
     return vc.attach_similar(base, vc.similar(qvecs(t), vecs(t), 5), pay)
 
 
 q("j15_attach_similar", boosted, "query_id:l boosted", f"""
 SELECT e.vec_id AS query_id, CASE WHEN l IS NULL THEN concat('base ', CAST(e.vec_id AS VARCHAR)) ELSE concat('base ', CAST(e.vec_id AS VARCHAR), chr(10), chr(10), '### SIMILAR PAST SCENARIOS:', chr(10), l) END AS boosted
-FROM (SELECT vec_id FROM embeddings WHERE vec_id < 25) e LEFT JOIN (SELECT query_id, string_agg(concat('- Ticker: T', CAST(h.vec_id AS VARCHAR), ', Direction: long, Thesis: ', CAST(label AS VARCHAR), ', Date: N/A'), chr(10) ORDER BY rank_) AS l
+FROM embeddings e LEFT JOIN (SELECT query_id, string_agg(concat('- Ticker: T', CAST(h.vec_id AS VARCHAR), ', Direction: long, Thesis: ', CAST(label AS VARCHAR), ', Date: N/A'), chr(10) ORDER BY rank_) AS l
  FROM ({HITS}) h JOIN embeddings v ON h.vec_id = v.vec_id GROUP BY query_id) g ON e.vec_id = g.query_id""")
 
 # Scalar families -------------------------------------------------------------------------------------------------
@@ -115,8 +115,8 @@ SELECT conv_id, turn, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$',
  CASE WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) END AS text_word_count FROM conversations""")
 q("x02_clean_text", lambda t: t.raw("conversations").withColumn("cleaned", tx.clean_text(F.col("text"), 120)), "conv_id:l turn:l cleaned",
   f"SELECT conv_id, turn, CASE WHEN length(c) > 120 THEN concat(substr(c, 1, 120), '...') ELSE c END AS cleaned FROM (SELECT conv_id, turn, {CLEAN.format(x='text')} AS c FROM conversations) a")
-q("x03_clean_post", lambda t: t.raw("pages").withColumn("post", tx.clean_post(F.concat(F.lit("see "), F.col("url"), F.lit(" via @user_1  now\n ok "), F.col("url")))), "page_id:l post",
-  "SELECT page_id, 'see via now ok' AS post FROM pages")
+q("x03_clean_post", lambda t: t.raw("documents").withColumn("post", tx.clean_post(F.concat(F.col("text"), F.lit(" via @"), F.col("source"), F.lit(" https://x.example/"), F.col("source"), F.lit("?q=1  now\n ok")))), "doc_id:l post", """
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(concat_ws('', text || ' via @' || source || ' https://x.example/' || source || '?q=1  now' || chr(10) || ' ok'), 'https?://[^\\s]+', '', 'g'), '@\\w+', '', 'g'), '\\s+', ' ', 'g')) AS post FROM documents""")
 q("x04_cashtags", lambda t: heads(t).withColumn("tags", F.array_join(F.array_sort(tx.cashtags(F.col("body"))), "|")), "doc_id:l tags", """
 SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(body), '\\$([A-Z]{1,5})', 1))), '|') AS tags FROM (SELECT doc_id, concat('$aa', chr(CAST(97 + doc_id % 26 AS INT)), ' vs $AAB $toolongtag ', text) AS body FROM documents) a""")
 heads = lambda t: t.raw("documents").withColumn("body", F.concat(F.lit("$aa"), F.char((97 + F.col("doc_id") % 26).cast("int")), F.lit(" vs $AAB $toolongtag "), F.col("text")))

@@ -82,14 +82,19 @@ def price_consistency(soft: float = 0.7, hard: float = 0.0) -> Column:
     return F.when(l > h, hard).when(out, soft).otherwise(1.0) * F.when(F.col("volume") == 0, 0.8).otherwise(1.0)
 
 
+def past(n: int, tag: str = "") -> dict[str, Column]:
+    """Mean and deviation of close, mean volume and number of closes of the ``n`` bars before, as ``_m``, ``_s``, ``_v``, ``_k`` and ``tag``."""
+    w = fr.over().rowsBetween(-n, -1)
+    of = {"_m": F.avg("close"), "_s": F.stddev_samp("close"), "_v": F.avg("volume"), "_k": F.count("close")}
+    return {k + tag: e.over(w) for k, e in of.items()}
+
+
 def bar_quality(bars: DataFrame, as_of: Column) -> DataFrame:
-    """Six part scores and their weighted total per bar; accuracy looks at the 10 bars before."""
-    s = fr.segment(bars, lookback=11)
-    w = fr.over().rowsBetween(-10, -1)
+    """Six part scores and their weighted total per bar; accuracy looks at the 10 bars before, ``findings`` at the 9 before."""
+    s = fr.segment(bars, lookback=11).withColumns(past(10) | past(9, "9"))
     c, v = F.col("close"), F.col("volume")
-    s = s.withColumns({
-        "_m": F.avg(c).over(w), "_s": F.stddev_samp(c).over(w), "_v": F.avg(v).over(w), "_k": F.count(c).over(w),
-    })
+    none = F.filter(bar_findings("9"), lambda x: F.lit(False))
+    s = s.withColumn("findings", F.when(F.col("_k9") == 9, bar_findings("9")).otherwise(none))
     z = F.abs(div(c - F.col("_m"), F.col("_s")))
     ratio = div(v, F.col("_v"))
     acc = F.when(z > 3, 0.7).when(z > 2, 0.9).otherwise(1.0) * F.when((ratio > 10) | (ratio < 0.1), 0.8).otherwise(1.0)
@@ -101,11 +106,15 @@ def bar_quality(bars: DataFrame, as_of: Column) -> DataFrame:
         "validity": F.when(F.col("symbol").rlike("^[A-Z]+$"), 1.0).otherwise(0.5), "reliability": reliability(F.col("source")),
     })
     total = sum((F.col(k) * w_ for k, w_ in BAR_WEIGHTS.items()), F.lit(0.0))
-    return fr.own(s.withColumn("overall", total)).drop("_m", "_s", "_v", "_k")
+    return fr.own(s.withColumn("overall", total)).drop(*past(10), *past(9, "9"))
+
+
+#: Contracts that expire before this year are taken for broken.
+EXPIRY_YEAR = 2000
 
 
 def option_quality(chain: DataFrame) -> DataFrame:
-    """Four part scores and their weighted total per contract."""
+    """Four part scores and their weighted total per contract; a column ``expiry`` before the year 2000 costs validity."""
     req, opt = ("symbol", "strike", "dte", "put_call"), ("bid", "ask", "last", "volume", "open_interest", "iv", "underlying")
     share = lambda cs: sum((F.col(c).isNotNull().cast("int") for c in cs), F.lit(0)) / len(cs)
     bid, ask, u, iv = (F.col(c) for c in ("bid", "ask", "underlying", "iv"))
@@ -113,26 +122,26 @@ def option_quality(chain: DataFrame) -> DataFrame:
     iv_ok = F.when((iv < 0) | (iv > 5), 0.5).otherwise(1.0)
     parts = {
         "completeness": share(req) * 0.7 + share(opt) * 0.3, "consistency": quote * iv_ok, "accuracy": F.lit(0.8),
-        "validity": F.when(F.col("option_symbol").rlike(r"^[A-Z]+\d{6}[CP]\d{8}$"), 1.0).otherwise(0.5),
+        "validity": F.when(F.col("option_symbol").rlike(r"^[A-Z]+\d{6}[CP]\d{8}$"), 1.0).otherwise(0.5)
+        * (F.when(F.year("expiry") < EXPIRY_YEAR, 0.3).otherwise(1.0) if "expiry" in chain.columns else F.lit(1.0)),
     }
     c = chain.withColumns(parts)
     return c.withColumn("overall", sum((F.col(k) * w for k, w in OPTION_WEIGHTS.items()), F.lit(0.0)))
 
 
-def bar_findings() -> Column:
-    """What is odd about a bar whose previous bars have the mean ``_m``, deviation ``_s`` and mean volume ``_v``."""
-    z = F.when(F.col("_s") > 0, F.abs((F.col("close") - F.col("_m")) / F.col("_s")))
+def bar_findings(tag: str = "") -> Column:
+    """What is odd about a bar, by the columns of `past`."""
+    m, sd, vol = (F.col(x + tag) for x in ("_m", "_s", "_v"))
+    z = F.when(sd > 0, F.abs((F.col("close") - m) / sd))
     return F.array_compact(F.array(
         F.when(z > 3, F.struct(F.lit("price_outlier").alias("type"), F.lit("high").alias("severity"), F.least(F.lit(0.95), z / 5.0).alias("confidence"))),
-        F.when((F.col("_v") > 0) & (F.col("volume") > F.col("_v") * 5), F.struct(F.lit("volume_spike").alias("type"), F.lit("medium").alias("severity"), F.lit(0.8).alias("confidence"))),
+        F.when((vol > 0) & (F.col("volume") > vol * 5), F.struct(F.lit("volume_spike").alias("type"), F.lit("medium").alias("severity"), F.lit(0.8).alias("confidence"))),
     ))
 
 
 def bar_anomalies(bars: DataFrame, history: int = 9) -> DataFrame:
     """Price outliers (|z| > 3 over the previous bars) and volume spikes (over 5 times their mean), one row each."""
-    s = fr.segment(bars, lookback=history + 1)
-    w = fr.over().rowsBetween(-history, -1)
-    s = s.withColumns({"_m": F.avg("close").over(w), "_s": F.stddev_samp("close").over(w), "_v": F.avg("volume").over(w), "_k": F.count("close").over(w)})
+    s = fr.segment(bars, lookback=history + 1).withColumns(past(history))
     s = fr.own(s.filter(F.col("_k") == history)).select("symbol", "ts", F.explode(bar_findings()).alias("a"))
     return s.select("symbol", "ts", "a.*")
 
@@ -170,7 +179,15 @@ class RuleSet:
         return out.withColumn("is_valid", F.size("errors") == 0).withColumn("quality_score", score)
 
 
-def bar_rules(as_of: Callable[[], Column]) -> RuleSet:
+def with_history(bars: DataFrame, history: int = 10) -> DataFrame:
+    """Bars with mean and deviation of close and mean volume of the ``history`` bars before, null where there are fewer; `bar_rules` reads them."""
+    s = fr.segment(bars, lookback=history + 1).withColumns(past(history))
+    full = lambda c: F.when(F.col("_k") == history, F.col(c))
+    return fr.own(s.withColumns({"past_mean": full("_m"), "past_dev": full("_s"), "past_volume": full("_v")})).drop(*past(history))
+
+
+def bar_rules(as_of: Callable[[], Column], strict: bool = False) -> RuleSet:
+    """Rules of a bar. The ``strict`` level also compares with the bars before, by the columns of `with_history`."""
     c = F.col
     rs = RuleSet()
     rs = rs.register("symbol_format", "error", lambda: ~c("symbol").rlike("^[A-Z]+$"))
@@ -180,11 +197,19 @@ def bar_rules(as_of: Callable[[], Column]) -> RuleSet:
     rs = rs.register("low_above_high", "error", lambda: c("low") > c("high"))
     rs = rs.register("open_outside_range", "warning", lambda: (c("open") > c("high")) | (c("open") < c("low")))
     rs = rs.register("close_outside_range", "warning", lambda: (c("close") > c("high")) | (c("close") < c("low")))
+    rs = rs.register("price_outlier", "warning", lambda: (c("past_dev") > 0) & (F.abs(c("close") - c("past_mean")) > c("past_dev") * 3), strict)
+    rs = rs.register("volume_anomaly", "warning", lambda: c("volume") > c("past_volume") * 5, strict)
     rs = rs.register("stale", "warning", lambda: age_hours(c("ts"), as_of()) > 24)
     return rs.register("unreliable_source", "info", lambda: reliability(c("source")) < 0.7)
 
 
-def option_rules() -> RuleSet:
+def zone_rule(text: Callable[[], Column]) -> Rule:
+    """Landed time texts that do not say UTC (``Z`` or a zero offset) break it; typed timestamps of Spark carry no zone of their own."""
+    return Rule("time_zone", "error", lambda: ~F.coalesce(text().rlike(r"(Z|[+-]00:?00)$"), F.lit(False)))
+
+
+def option_rules(expiry: bool = False) -> RuleSet:
+    """Rules of a contract; with ``expiry`` the table has a column of that name, which must not lie before the year 2000."""
     c = F.col
     rs = RuleSet()
     rs = rs.register("option_symbol_format", "error", lambda: ~c("option_symbol").rlike(r"^[A-Z]+\d{6}[CP]\d{8}$"))
@@ -195,6 +220,7 @@ def option_rules() -> RuleSet:
     rs = rs.register("iv_range", "error", lambda: (c("iv") < 0) | (c("iv") > 5))
     rs = rs.register("spread_not_positive", "error", lambda: c("ask") - c("bid") <= 0)
     rs = rs.register("wide_spread", "warning", lambda: (c("ask") > c("bid")) & (div(c("ask") - c("bid"), c("underlying")) * 100 > 10))
+    rs = rs.register("past_expiry", "error", lambda: F.year("expiry") < EXPIRY_YEAR, expiry)
     return rs.register("far_expiry", "warning", lambda: c("dte") > 365 * 3)
 
 
@@ -264,8 +290,13 @@ OPTION_ADVICE = (
 )
 
 
-def advice(rules: Sequence[tuple[str, float, str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.col(c) < lim, F.lit(text)) for c, lim, text in rules]))
+ANOMALY_ADVICE = "Review detected anomalies before using data for trading decisions"
+
+
+def advice(rules: Sequence[tuple[str, float, str]], anomalous: Column | None = None) -> Column:
+    """One text per low part score, and one where the row is ``anomalous``."""
+    texts = [F.when(F.col(c) < lim, F.lit(text)) for c, lim, text in rules]
+    return F.array_compact(F.array(*texts, *([] if anomalous is None else [F.when(anomalous, F.lit(ANOMALY_ADVICE))])))
 
 
 def cross_field_checks(df: DataFrame) -> DataFrame:

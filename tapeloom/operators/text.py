@@ -343,20 +343,31 @@ def market_condition(packs: DataFrame, up: Sequence[str] = MOOD_UP, down: Sequen
     ).drop("_up", "_down", "_wild")
 
 
-def budgeted_pick(packs: DataFrame, budget: int, keys: Sequence[str] = ("pack",)) -> DataFrame:
-    """Signals of a pack in order of weight, taken while their tokens fit the budget; a signal that does not fit is skipped.
+def budgeted_pick(signals: DataFrame, budget: int, keys: Sequence[str] = ("pack",), high: float = 0.5) -> DataFrame:
+    """Signals of a pack in order of weight (halved without ``priority``), taken while their tokens fit the budget.
 
-    A pack holds a fixed set of named signals, so its ordered list stays short; packs are grouped in parallel.
-    """
-    rank = F.struct((-F.col("weight") * F.when(F.col("priority"), 1.0).otherwise(0.5)).alias("k"), F.col("signal").alias("signal"), F.col("tokens").cast("bigint").alias("tokens"))
-    g = packs.groupBy(*keys).agg(F.sort_array(F.collect_list(rank)).alias("_s"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("picked"))
+    The first signal above ``high`` that does not fit is cut to as many words as tokens are left, which ends its pack; others that
+    do not fit are skipped. ``words`` counts the words of a signal; those without any are never taken, a null weight comes last. Columns: keys, ``used``,
+    ``picked`` (signal, words kept), which `compress_words` turns into texts.
 
-    def step(acc, s):
-        fits = acc["used"] + s["tokens"] <= budget
+    What has not fitted once never fits again, so of the signals of t tokens only the first budget / t + 1 can matter; those beyond
+    the budget count as one size. The list collected for a pack is therefore bounded by the budget, whatever the pack holds.
+    """
+    tokens = lambda w: F.floor(w * 1.3).cast("bigint")
+    weight = F.coalesce(F.col("weight") * F.when(F.col("priority"), 1.0).otherwise(0.5), F.lit(0.0))
+    s = signals.filter("words > 0").select(*keys, "signal", F.col("words").cast("bigint").alias("words"), (-weight).alias("_k"))
+    s = s.withColumn("_t", F.least(tokens(F.col("words")), F.lit(budget + 1)))
+    by_size = Window.partitionBy(*keys, "_t").orderBy("_k", "signal")
+    s = s.withColumn("_n", F.row_number().over(by_size)).filter((F.col("_n") <= budget + 1) & (F.col("_n") <= F.floor(budget / F.col("_t")) + 1))
+    g = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", "signal", "words"))).alias("_s"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<signal:string,words:bigint>>").alias("picked"))
+
+    def step(acc, x):
+        left = budget - acc["used"]
+        kept = F.when(tokens(x["words"]) <= left, x["words"]).when((-x["_k"] > high) & (left > 0), F.least(x["words"], left))
         return F.struct(
-            F.when(fits, acc["used"] + s["tokens"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.array_append(acc["picked"], s["signal"])).otherwise(acc["picked"]).alias("picked"),
+            (acc["used"] + F.coalesce(tokens(kept), F.lit(0).cast("bigint"))).alias("used"),
+            F.when(kept.isNull(), acc["picked"]).otherwise(F.array_append(acc["picked"], F.struct(x["signal"].alias("signal"), kept.alias("words")))).alias("picked"),
         )
 
     return g.select(*keys, F.aggregate("_s", start, step).alias("r")).select(*keys, "r.*")

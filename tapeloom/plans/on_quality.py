@@ -21,6 +21,7 @@ def at(text: str):
 
 NOW = "2001-06-30 12:00:00"
 SRC = ("YFINANCE", "TWELVE_DATA", "FMP", "OTHER")
+ZONES = ("Z", "+00:00", "+0000", "+02:00", "")
 OPT_SYM = "concat('ABC', '240119', CASE WHEN put_call = 'call' THEN 'C' ELSE 'P' END, lpad(CAST(contract_id AS VARCHAR), 8, CASE WHEN contract_id % 9 = 0 THEN 'x' ELSE '0' END))"
 
 
@@ -70,25 +71,28 @@ BARQ = f"""SELECT symbol, ts, 1e0 AS completeness, CASE WHEN low > high THEN 0 W
 FROM (SELECT *, avg(close) OVER {W10} AS m, stddev_samp(close) OVER {W10} AS sd, avg(volume) OVER {W10} AS vm, count(close) OVER {W10} AS k FROM ({DIRTY}) d) x"""
 q("q05_bar_quality", lambda t: ql.bar_quality(dirty_bars(t), at(NOW)), "symbol ts completeness:4 consistency:4 accuracy:4 timeliness:4 validity:4 reliability:4 overall:5",
   f"SELECT *, 0.15e0 * completeness + 0.2e0 * consistency + 0.25e0 * accuracy + 0.15e0 * timeliness + 0.15e0 * validity + 0.1e0 * reliability AS overall FROM ({BARQ}) y")
-q("q12_bar_advice", lambda t: ql.bar_quality(dirty_bars(t), at(NOW)).withColumn("advice", F.concat_ws("|", ql.advice(ql.BAR_ADVICE))), "symbol ts advice", f"""
+W9 = f"({P} ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)"
+ODD = f"""SELECT symbol, ts, k = 9 AND (coalesce(sd > 0 AND abs(close - m) / sd > 3, false) OR coalesce(vm > 0 AND volume > vm * 5, false)) AS odd FROM (
+ SELECT *, avg(close) OVER {W9} AS m, stddev_samp(close) OVER {W9} AS sd, avg(volume) OVER {W9} AS vm, count(close) OVER {W9} AS k FROM ({DIRTY}) d) x"""
+q("q12_bar_advice", lambda t: ql.bar_quality(dirty_bars(t), at(NOW)).withColumn("advice", F.concat_ws("|", ql.advice(ql.BAR_ADVICE, F.size("findings") > 0))), "symbol ts advice", f"""
 SELECT symbol, ts, concat_ws('|', CASE WHEN consistency < 0.7 THEN 'Verify data consistency with source provider' END, CASE WHEN timeliness < 0.6 THEN 'Consider using more recent data or real-time sources' END,
- CASE WHEN reliability < 0.7 THEN 'Consider using higher reliability data sources' END) AS advice FROM ({BARQ}) y""")
+ CASE WHEN reliability < 0.7 THEN 'Consider using higher reliability data sources' END, CASE WHEN odd THEN 'Review detected anomalies before using data for trading decisions' END) AS advice FROM ({BARQ}) y JOIN ({ODD}) o USING (symbol, ts)""")
 
 
 def dirty_chain(t):
     k = F.col("contract_id")
     return t.chain().withColumns({
         "bid": F.when(k % 23 == 0, F.col("ask") * 1.1).when(k % 19 == 0, F.col("bid") - F.col("underlying") * 0.3).otherwise(F.col("bid")),
-        "iv": F.when(k % 6 != 0, k % 60 / 10.0 - 0.3), "option_symbol": F.expr(OPT_SYM.replace("VARCHAR", "STRING"))})
+        "iv": F.when(k % 6 != 0, k % 60 / 10.0 - 0.3), "option_symbol": F.expr(OPT_SYM.replace("VARCHAR", "STRING")),
+        "expiry": F.make_date(F.when(k % 29 == 0, 1999).otherwise(2024), F.lit(1), F.lit(19))})
 
 
-DCH = f"SELECT * REPLACE (CASE WHEN contract_id % 23 = 0 THEN ask * 1.1e0 WHEN contract_id % 19 = 0 THEN bid - underlying * 0.3e0 ELSE bid END AS bid), CASE WHEN contract_id % 6 <> 0 THEN contract_id % 60 / 10e0 - 0.3e0 END AS iv, {OPT_SYM} AS option_symbol FROM chain"
+DCH = f"SELECT * REPLACE (CASE WHEN contract_id % 23 = 0 THEN ask * 1.1e0 WHEN contract_id % 19 = 0 THEN bid - underlying * 0.3e0 ELSE bid END AS bid), CASE WHEN contract_id % 6 <> 0 THEN contract_id % 60 / 10e0 - 0.3e0 END AS iv, {OPT_SYM} AS option_symbol, CASE WHEN contract_id % 29 = 0 THEN 1999 ELSE 2024 END AS expiry_year FROM chain"
 OPQ = f"""SELECT contract_id, 0.7e0 + 0.3e0 * (7 - CASE WHEN bid IS NULL THEN 1 ELSE 0 END - CASE WHEN iv IS NULL THEN 1 ELSE 0 END) / 7 AS completeness,
  CASE WHEN bid >= ask THEN 0 WHEN (ask - bid) / underlying > 0.1 THEN 0.7 ELSE 1 END * CASE WHEN iv < 0 OR iv > 5 THEN 0.5 ELSE 1 END AS consistency, 0.8e0 AS accuracy,
- CASE WHEN regexp_full_match(option_symbol, '[A-Z]+\\d{{6}}[CP]\\d{{8}}') THEN 1 ELSE 0.5 END AS validity FROM ({DCH}) d"""
+ CASE WHEN regexp_full_match(option_symbol, '[A-Z]+\\d{{6}}[CP]\\d{{8}}') THEN 1 ELSE 0.5 END * CASE WHEN expiry_year < 2000 THEN 0.3 ELSE 1 END AS validity FROM ({DCH}) d"""
 q("q06_option_quality", lambda t: ql.option_quality(dirty_chain(t)), "contract_id:l completeness:5 consistency:4 accuracy:4 validity:4 overall:5",
   f"SELECT *, 0.25e0 * completeness + 0.25e0 * consistency + 0.3e0 * accuracy + 0.2e0 * validity AS overall FROM ({OPQ}) x")
-W9 = f"({P} ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)"
 AN = f"SELECT symbol, ts, close, volume, avg(close) OVER {W9} AS m, stddev_samp(close) OVER {W9} AS sd, avg(volume) OVER {W9} AS vm, count(close) OVER {W9} AS k FROM bars"
 BARAN = f"""SELECT symbol, ts, 'price_outlier' AS type, 'high' AS severity, least(0.95, abs(close - m) / sd / 5) AS confidence FROM ({AN}) x WHERE k = 9 AND sd > 0 AND abs(close - m) / sd > 3
 UNION ALL SELECT symbol, ts, 'volume_spike', 'medium', 0.8 FROM ({AN}) x WHERE k = 9 AND vm > 0 AND volume > vm * 5"""
@@ -102,11 +106,20 @@ SELECT *, errors = '' AS is_valid, pow(0.5e0, least(5, ne)) * pow(0.9e0, least(1
   CASE WHEN {REL} < 0.7 THEN 'unreliable_source' ELSE '' END AS info,
   CASE WHEN NOT regexp_full_match(symbol, '[A-Z]+') THEN 1 ELSE 0 END + CASE WHEN low > high THEN 1 ELSE 0 END AS ne,
   CASE WHEN open > high OR open < low THEN 1 ELSE 0 END + CASE WHEN close > high OR close < low THEN 1 ELSE 0 END + CASE WHEN {AGE} > 24 THEN 1 ELSE 0 END AS nw FROM ({DIRTY}) d) x""")
-q("q09_option_rules", lambda t: ql.option_rules().apply(dirty_chain(t)).withColumns({c: F.concat_ws("|", c) for c in ("errors", "warnings")}),
+W10H = f"SELECT *, avg(close) OVER {W10} AS m, stddev_samp(close) OVER {W10} AS sd, avg(volume) OVER {W10} AS vm, count(close) OVER {W10} AS k FROM ({DIRTY}) d"
+q("q09_strict_rules", lambda t: ql.bar_rules(lambda: at(NOW), strict=True).apply(ql.with_history(dirty_bars(t))).withColumn("warnings", F.concat_ws("|", "warnings")), "symbol ts warnings quality_score:5", f"""
+SELECT symbol, ts, warnings, pow(0.5e0, ne) * pow(0.9e0, len(warnings) - len(replace(warnings, '|', '')) + CASE WHEN warnings = '' THEN 0 ELSE 1 END) AS quality_score FROM (
+ SELECT symbol, ts, CASE WHEN NOT regexp_full_match(symbol, '[A-Z]+') THEN 1 ELSE 0 END + CASE WHEN low > high THEN 1 ELSE 0 END AS ne,
+  concat_ws('|', CASE WHEN open > high OR open < low THEN 'open_outside_range' END, CASE WHEN close > high OR close < low THEN 'close_outside_range' END,
+   CASE WHEN k = 10 AND sd > 0 AND abs(close - m) > sd * 3 THEN 'price_outlier' END, CASE WHEN k = 10 AND volume > vm * 5 THEN 'volume_anomaly' END, CASE WHEN {AGE} > 24 THEN 'stale' END) AS warnings FROM ({W10H}) h) x""")
+q("q09_time_zone", lambda t: ql.RuleSet([ql.zone_rule(lambda: F.col("at_"))]).apply(t.quotes().withColumn("at_", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(*map(F.lit, ZONES)), (F.col("quote_id") % 5 + 1).cast("int")))))
+  .withColumn("errors", F.concat_ws("|", "errors")), "quote_id:l errors is_valid:b quality_score:3", """
+SELECT quote_id, CASE WHEN quote_id % 5 < 3 THEN '' ELSE 'time_zone' END AS errors, quote_id % 5 < 3 AS is_valid, CASE WHEN quote_id % 5 < 3 THEN 1 ELSE 0.5 END AS quality_score FROM quotes""")
+q("q09_option_rules", lambda t: ql.option_rules(expiry=True).apply(dirty_chain(t)).withColumns({c: F.concat_ws("|", c) for c in ("errors", "warnings")}),
   "contract_id:l errors warnings quality_score:5", f"""
 SELECT contract_id, errors, warnings, pow(0.5e0, len(errors) - len(replace(errors, '|', '')) + CASE WHEN errors = '' THEN 0 ELSE 1 END) * CASE WHEN warnings = '' THEN 1 ELSE 0.9 END AS quality_score FROM (
  SELECT contract_id, concat_ws('|', CASE WHEN NOT regexp_full_match(option_symbol, '[A-Z]+\\d{{6}}[CP]\\d{{8}}') THEN 'option_symbol_format' END, CASE WHEN bid <= 0 THEN 'bid_positive' END, CASE WHEN ask <= 0 THEN 'ask_positive' END,
-  CASE WHEN last <= 0 THEN 'last_positive' END, CASE WHEN iv < 0 OR iv > 5 THEN 'iv_range' END, CASE WHEN ask - bid <= 0 THEN 'spread_not_positive' END) AS errors,
+  CASE WHEN last <= 0 THEN 'last_positive' END, CASE WHEN iv < 0 OR iv > 5 THEN 'iv_range' END, CASE WHEN ask - bid <= 0 THEN 'spread_not_positive' END, CASE WHEN expiry_year < 2000 THEN 'past_expiry' END) AS errors,
   CASE WHEN ask > bid AND (ask - bid) / underlying * 100 > 10 THEN 'wide_spread' ELSE '' END AS warnings FROM ({DCH}) d) x""")
 FIELDS = (ql.FieldRule("symbol", True, pattern="^C[0-9]{1,3}$"), ql.FieldRule("price", True, 20.0, 400.0), ql.FieldRule("volume", False, 100.0))
 q("q10_schema_quality", lambda t: ql.schema_quality(t.quotes(), FIELDS, "ts", at("2001-12-01 06:00:00")).withColumn("failed", F.concat_ws("|", "failed")),

@@ -185,16 +185,17 @@ SELECT conv_id, role, item, rank_ FROM (SELECT *, row_number() OVER (PARTITION B
 
 
 def packs(t):
-    r = t.runs()
-    return r.select("model", F.concat("template", "condition", "strategy").alias("signal"), F.to_date("ts").alias("pack"), (F.col("run_id") * 13 % 97 / 97.0).alias("weight"), (F.col("run_id") % 3 == 0).alias("priority"), (F.col("run_id") % 150 + 5).alias("tokens"), "run_id").withColumn("signal", F.lpad(F.col("run_id").cast("string"), 12, "0"))
+    i = F.col("run_id")
+    return t.runs().select("model", F.lpad(i.cast("string"), 12, "0").alias("signal"), F.to_date("ts").alias("pack"), (i * 13 % 97 / 97.0).alias("weight"), (i % 3 == 0).alias("priority"), (i % 150 + 5).alias("words"))
 
 
-q("k06_budgeted_pick", lambda t: tx.budgeted_pick(packs(t), 900, ["pack", "model"]).withColumn("picked", F.array_join("picked", "|")), "pack model used:l picked", """
-WITH RECURSIVE o AS (SELECT CAST(ts AS DATE) AS pack, model, lpad(CAST(run_id AS VARCHAR), 12, '0') AS sig, run_id % 150 + 5 AS tk,
- row_number() OVER (PARTITION BY CAST(ts AS DATE), model ORDER BY -(run_id * 13 % 97 / 97e0) * CASE WHEN run_id % 3 = 0 THEN 1 ELSE 0.5e0 END, run_id) AS i FROM runs),
+q("k06_budgeted_pick", lambda t: tx.budgeted_pick(packs(t), 900, ["pack", "model"]).withColumn("picked", F.array_join(F.transform("picked", lambda x: F.concat_ws(":", x["signal"], x["words"].cast("string"))), "|")), "pack model used:l picked", """
+WITH RECURSIVE o AS (SELECT *, CAST(floor(w * 1.3e0) AS BIGINT) AS tk, row_number() OVER (PARTITION BY pack, model ORDER BY -p, sig) AS i FROM (
+ SELECT CAST(ts AS DATE) AS pack, model, lpad(CAST(run_id AS VARCHAR), 12, '0') AS sig, run_id % 150 + 5 AS w, (run_id * 13 % 97 / 97e0) * CASE WHEN run_id % 3 = 0 THEN 1 ELSE 0.5e0 END AS p FROM runs) r),
 s AS (SELECT DISTINCT pack, model, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, '' AS picked FROM o
- UNION ALL SELECT s.pack, s.model, s.i + 1, s.used + CASE WHEN s.used + tk <= 900 THEN tk ELSE 0 END, CASE WHEN s.used + tk <= 900 THEN concat(picked, CASE WHEN picked = '' THEN '' ELSE '|' END, sig) ELSE picked END
- FROM s JOIN o ON s.pack = o.pack AND s.model = o.model AND o.i = s.i + 1)
+ UNION ALL SELECT pack, model, i, used + CASE WHEN kept IS NULL THEN 0 ELSE CAST(floor(kept * 1.3e0) AS BIGINT) END, CASE WHEN kept IS NULL THEN picked ELSE concat(picked, CASE WHEN picked = '' THEN '' ELSE '|' END, sig, ':', kept) END
+ FROM (SELECT s.pack, s.model, s.i + 1 AS i, used, picked, sig, CASE WHEN used + tk <= 900 THEN w WHEN p > 0.5e0 AND used < 900 THEN least(w, 900 - used) END AS kept
+  FROM s JOIN o ON s.pack = o.pack AND s.model = o.model AND o.i = s.i + 1) n)
 SELECT pack, model, used, picked FROM (SELECT *, row_number() OVER (PARTITION BY pack, model ORDER BY i DESC) AS rn FROM s) z WHERE rn = 1""")
 q("k07_best_template", lambda t: tx.best_template(t.runs().groupBy("condition", "template").agg(F.min("run_id").alias("listed")), t.runs().filter("template <> 'T3'").groupBy("template").agg(F.avg(F.col("success").cast("int")).alias("success_rate"))), "condition template rate:6", """
 SELECT condition, template, rate FROM (SELECT c.*, coalesce(s, 0.5) AS rate, row_number() OVER (PARTITION BY condition ORDER BY coalesce(s, 0.5) DESC, listed) AS rn FROM (SELECT condition, template, min(run_id) AS listed FROM runs GROUP BY 1, 2) c

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import chain as ch
 from tapeloom.operators import quality as ql
+from tapeloom.operators import signals as sg
 from tapeloom.operators import text as tx
 from tapeloom.streaming import streams as st
 
@@ -161,3 +163,46 @@ def test_low_iv_rank_is_an_entry_signal(contracts):
     for rank, want in ((10.0, True), (30.0, False)):
         out = ch.opportunity_analysis(ch.mispricing(cheap, vols, ranks=vols.select("symbol", F.lit(rank).alias("iv_rank")))).collect()
         assert out and all(("Low IV rank - good entry" in r["entry_signals"]) == want for r in out)
+
+
+def plain_pick(signals, budget):
+    """The pick of one pack, one signal after the other."""
+    used, picked = 0, []
+    for rank, name, words in sorted((-(w * (1.0 if first else 0.5)), s, n) for s, w, first, n in signals if n):
+        kept = None
+        if used + int(words * 1.3) <= budget:
+            kept = words
+        elif -rank > 0.5 and used < budget:
+            kept = min(words, budget - used)
+        if kept:
+            used += int(kept * 1.3)
+            picked.append((name, kept))
+    return used, picked
+
+
+def test_budgeted_pick_against_plain_loop(spark):
+    rng, rows = random.Random(3), []
+    for pack in range(12):
+        many = 400 if pack == 0 else rng.randrange(1, 40)
+        sizes = [0, 1, 2, 7, 200] if pack % 2 else list(range(60))
+        rows += [(pack, f"s{i:04d}", round(rng.random(), 2), rng.random() < 0.5, rng.choice(sizes)) for i in range(many)]
+    df = spark.createDataFrame(rows, "pack int, signal string, weight double, priority boolean, words int")
+    got = {r["pack"]: (r["used"], [tuple(x) for x in r["picked"]]) for r in tx.budgeted_pick(df, 100).collect()}
+    want = {p: plain_pick([r[1:] for r in rows if r[0] == p], 100) for p in range(12)}
+    assert got == {p: v for p, v in want.items() if p in got} and all(v == (0, []) for p, v in want.items() if p not in got)
+    assert any(n < 7 for _, picked in want.values() for _, n in picked)
+
+
+def test_feature_limits_are_parameters(spark):
+    df = spark.createDataFrame([tuple(float(i) for i in range(12))], [f"c{i}" for i in range(12)])
+    cols = df.columns
+    assert len(sg.pairwise_features(df, cols).columns) == 12 + 3 * 66
+    assert len(sg.pairwise_features(df, cols, 50, 10).columns) == 12 + 51
+    assert len(sg.polynomial_features(df, cols).columns) == 12 + 66
+    assert len(sg.polynomial_features(df, cols, 5).columns) == 12 + 10
+
+
+def test_zone_rule_reads_the_landed_text(spark):
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01T00:00:00+00:00",), ("2024-01-01T00:00:00",), ("2024-01-01T00:00:00-05:00",), (None,)], "at string")
+    out = ql.RuleSet([ql.zone_rule(lambda: F.col("at"))]).apply(df)
+    assert [r["is_valid"] for r in out.collect()] == [True, True, False, False, False]

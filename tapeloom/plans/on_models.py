@@ -29,9 +29,9 @@ q("m01_feature_table", lambda t: ml.feature_table(t.bars()), "symbol ts returns:
 FEW = ("rsi", "iv", "volatility", "momentum_score", "sentiment")
 numeric = lambda t: t.feats().withColumn("value_", F.col("expected_return") + F.col("sentiment") / 4).withColumn("up", (F.col("prediction") > 0).cast("int")).drop("prediction")
 split = lambda t: (numeric(t).filter("event_id % 4 <> 0"), numeric(t).filter("event_id % 4 = 0"))
-q("m02_forest_direction", lambda t: ml.forest_classifier(*split(t), "up", FEW, 20, 5), "event_id:l prediction:4 uncertainty:4")
-q("m02_forest_target", lambda t: ml.forest_regressor(*split(t), "value_", FEW, 10, 5), "event_id:l prediction:4 uncertainty:4")
-q("m03_boosted_trees", lambda t: ml.boosted(*split(t), "value_", FEW, 10, 4), "event_id:l prediction:4")
+q("m02_forest_direction", lambda t: ml.forest_classifier(*split(t), "up", FEW), "event_id:l prediction:4 uncertainty:4")
+q("m02_forest_target", lambda t: ml.forest_regressor(*split(t), "value_", FEW), "event_id:l prediction:4 uncertainty:4")
+q("m03_boosted_trees", lambda t: ml.boosted(*split(t), "value_", FEW), "event_id:l prediction:4")
 q("m04_time_folds", lambda t: ml.time_folds(t.bars().select("symbol", "ts"), 5), "symbol ts fold:l", "SELECT symbol, b.ts, fold FROM bars b JOIN (SELECT ts, ntile(5) OVER (ORDER BY ts) AS fold FROM (SELECT DISTINCT ts FROM bars) d) f ON b.ts = f.ts")
 q("m04_cross_validation", lambda t: ml.cross_validate(numeric(t), "value_", FEW, 4), "fold:l rows:l mse:5")
 perf = lambda t: t.runs().groupBy(F.col("condition").alias("target"), "model").agg(F.avg("accuracy").alias("accuracy"), F.avg(F.col("latency") / 10).alias("mse")).withColumn("is_direction", F.col("target") == "C0")

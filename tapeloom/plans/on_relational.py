@@ -202,9 +202,9 @@ q("f16_retention", lambda t: rel.retain(t.runs(), "ts", t.runs().agg(F.max("ts")
 
 # Joins -----------------------------------------------------------------------------------------------------------
 # Orders of nine in ten customers keep their key, the others miss: both sides have rows without a partner.
-SHIFTED = F.col("o_custkey") - F.when(F.col("o_custkey") % 10 == 0, 10_000_000).otherwise(0)
+shifted = lambda: F.col("o_custkey") - F.when(F.col("o_custkey") % 10 == 0, 10_000_000).otherwise(0)
 cust = lambda t: t.raw("customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
-ords = lambda t: t.raw("orders").select(SHIFTED.alias("k"), "o_orderkey")
+ords = lambda t: t.raw("orders").select(shifted().alias("k"), "o_orderkey")
 for how in ("inner", "left", "right", "outer"):
     q(f"j01_merge_{how}", lambda t, how=how: rel.merge(ords(t), cust(t), ["k"], how), "k:l o_orderkey:l c_mktsegment",
       f"SELECT k, o_orderkey, c_mktsegment FROM (SELECT o_custkey - CASE WHEN o_custkey % 10 = 0 THEN 10000000 ELSE 0 END AS k, o_orderkey FROM orders) o {'full' if how == 'outer' else how} JOIN (SELECT c_custkey AS k, c_mktsegment FROM customer) c USING (k)")

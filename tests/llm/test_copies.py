@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tapeloom.llm import common, simhash, substrings, vectors
+from tapeloom.llm import common, resemblance, simhash, substrings, vectors
 
 ODD = "doc_id long, text string, fp string, a string, n_chars long"
 
@@ -202,3 +204,49 @@ def test_empty_documents(spark, empty):
 
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def five(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) / len(a | b) >= 0.8
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_edited_copies_link_from_0_8_on(spark, block):
+    rng, rows = random.Random(3), [(-1, None), (-2, ""), (-3, "one two"), (-4, "one  TWO"), (None, "one two"), (-5, "one three")]
+    for g in range(40):
+        base = words(rng, rng.choice([60, 200, 900]), 5000)
+        first = base.split()
+        for c in range(rng.choice([1, 2, 3, 30])):
+            w = list(first)
+            for at in rng.sample(range(len(w)), max(1, len(w) * rng.randrange(5) // 100)):
+                w[at] = f"x{g}y{c}"
+            rows.append((100 * g + c, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {i: five(t) for i, t in rows if i is not None}
+    linked = [(a, b) for a in texts for b in texts if a < b and alike(texts[a], texts[b])]
+    want = groups(texts, linked)
+    prints = {i: print_of(t or "") for i, t in rows if i is not None}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in linked) > 100  # which two bits of a fingerprint miss
+    if block == 2048:
+        got = {r.doc_id: r.component_id for r in resemblance.near_copies(df).collect()}
+        assert got.pop(None) == want[-3] and got == want
+        assert {r.doc_id for r in resemblance.keep_one(df).collect()} == {i for i in want if want[i] == i} | {None}
+    else:
+        found = resemblance.prints(df)
+        classes = found.groupBy("class").agg(F.min("doc_id").alias("root"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("tokens").alias("tokens")).cache()
+        root = {r["class"]: r.root for r in classes.collect()}
+        edges = [(root[r.a], root[r.b]) for r in resemblance.links(classes, classes.select("class", "tokens"), block=block).collect()]
+        assert groups(set(root.values()), edges) == {i: want[i] for i in root.values()}
+
+
+def test_the_pipeline_s_stage_drops_edited_copies(spark):
+    rng = random.Random(5)
+    base = words(rng, 300, 5000).split()
+    edited = [*base[:100], "other", *base[101:200], "words", *base[201:]]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, words(rng, 300, 5000))], "doc_id long, text string")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, df, "").collect()} == {1, 3}

@@ -1,6 +1,6 @@
 """Main text of web pages by removing site templates: element subtrees that recur across many pages of a host.
 
-Every element's subtree is hashed; Spark counts on how many pages of its host each hash occurs. Pages are then read again with
+Every element's subtree is hashed; Spark counts on how many different pages of its host each hash occurs. Pages are then read again with
 the hashes of theirs that recur, and those subtrees are deleted with what the markup itself names as no article: menus, footers,
 forms and so on. Where a page marks its article (or main part) only that is read, and running text in it (paragraphs, headings,
 lists) is never taken for a template, however often it recurs; nor is a subtree that holds half of the page's text.
@@ -157,16 +157,17 @@ class Page:
 def extract(pages: DataFrame, least_pages: int = 8, least_share: float = 0.1) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. A subtree recurs if on at least `least_pages` pages of the host and `least_share` of them.
 
-    Null html is an empty page with empty text; pages without a host in their url share one. Repeated rows are pages each and
-    give repeated results; null page_ids stay; an empty table gives an empty result.
+    Pages with the same html count as one. Null html is an empty page with empty text; pages without a host in their url share one.
+    Repeated rows give repeated results; null page_ids stay; an empty table gives an empty result.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     hashes = F.pandas_udf(lambda s: s.map(lambda t: sorted(Page(t).templates())), "array<long>")
-    seen = rows.select("page_id", F.xxhash64(host).alias("host"), F.explode(hashes("html")).alias("tree"))
-    sizes = rows.groupBy(F.xxhash64(host).alias("host")).agg(F.count("*").alias("pages"))
-    common = seen.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "tree")
+    content = F.unhex(F.substring(F.sha2("html", 256), 1, 32)).alias("content")  # half of it tells contents apart
+    seen = rows.select("page_id", F.xxhash64(host).alias("host"), content, F.explode(hashes("html")).alias("tree"))
+    sizes = rows.select(F.xxhash64(host).alias("host"), content).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    common = seen.select("host", "tree", "content").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "tree")
     drop = seen.join(common, ["host", "tree"]).groupBy(F.col("page_id").alias("_id")).agg(F.collect_set("tree").alias("gone"))  # at most a page's elements
     both = rows.join(drop, F.col("page_id").eqNullSafe(F.col("_id")), "left").select("page_id", "url", "html", "gone")
 

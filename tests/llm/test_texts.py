@@ -204,6 +204,15 @@ def test_templates_of_a_host_go(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_copies_of_a_page_are_no_templates(spark):
+    body = "<h2>Head</h2><p>first part</p><div><p>second part</p></div><ul><li>x one</li><li>y two</li></ul><table><tr><td>cell</td></tr></table>"
+    rows = [(i, "http://h/", f"<body>{body}</body>") for i in range(20)] + [(i, "http://g/", f"<article>{body}</article>") for i in range(20, 40)]
+    rows += [(i, f"http://{'hg'[i % 2]}/{i}", f"<p>page {i}</p>") for i in range(40, 140)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert {got[i] for i in range(40)} == {"Head first part second part x one y two cell"}
+
+
 def corpus(n=400):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]

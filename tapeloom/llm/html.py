@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 # An attribute value ends before the next tag at the latest, which keeps the scan linear on broken markup.
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<[!?/a-zA-Z][^<>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w-])""")
-WORD = re.compile(r"[a-z]+")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -30,9 +29,9 @@ BLOCK = frozenset(
 #: Elements that a start tag closes if they are open and nothing of the second set lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NO_PARAGRAPH = BLOCK - {"br", "option", "title", "legend", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot"}
-DROPPED = frozenset("head title nav footer aside form script style noscript template iframe noembed noframes button select textarea input svg canvas object dialog menu".split())
+DROPPED = frozenset("head title nav footer aside script style noscript template iframe noembed noframes button select textarea input svg canvas object dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words in a class or id that name what is no article.
+#: Whole class names or ids of what is no article. They, roles and forms say nothing of a wrapper, see Page._wrappers.
 NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation footer masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social comment comments disqus related breadcrumb breadcrumbs pagination widget".split())
 #: Elements that can be templates inside an article; all others there are running text.
 PARTS = frozenset("div section figure aside header table ul ol".split())
@@ -43,8 +42,10 @@ class Page:
     """Blocks of a page's text in order, and the hash and text length of each element's subtree."""
 
     def __init__(self, text: str) -> None:
-        #: Per element: tag, parent, whether named as no article, whether in an article, whether in a main part, hash, characters.
+        #: Per element: tag, parent, whether named as no article, whether in an article, whether in a main part, hash, characters, whether hidden or by its tag no article.
         self.elements: list[list] = []
+        #: Elements that only a name, a role or their being a form calls no article.
+        self._soft: set[int] = set()
         self.blocks: list[tuple[int, str]] = []
         self._open: list[int] = []
         self._parts: list[list[bytes]] = []
@@ -66,6 +67,29 @@ class Page:
         while self._open:
             self._pop()
         self._flush()
+        self._resolve(self._soft)
+        if self._soft and (free := self._wrappers()):
+            self._resolve(self._soft - free)
+
+    def _resolve(self, soft: set[int]) -> None:
+        """Sets what is named as no article, in an article and in a main part, of parents first."""
+        for i, e in enumerate(self.elements):
+            tag, up = e[0], e[1]
+            _, _, off, article, main, _, _, _ = self.elements[up] if up >= 0 else ("", -1, False, False, False, 0, 0, False)
+            if tag not in SPARED or tag == "main":
+                off = off or e[7] or i in soft or (tag == "header" and not article)
+            e[2:5] = off, article or (tag == "article" and not off), main or (tag == "main" and not off)
+
+    def _wrappers(self) -> set[int]:
+        """Of the soft elements, those that wrap the article: with an article or main part in them where else none is found, or that
+        and over half of the page's text; or, on a page without such a part, over half of the text."""
+        found, half, holds = any(e[3] or e[4] for e in self.elements), sum(len(words) for _, words in self.blocks) / 2, set()
+        for i, e in enumerate(self.elements):
+            if e[0] in ("article", "main"):
+                while i >= 0 and i not in holds:
+                    holds.add(i)
+                    i = self.elements[i][1]
+        return {i for i in self._soft if not self.elements[i][3] and (i in holds and not found or self.elements[i][6] > half and (i in holds or not found))}
 
     def _flush(self) -> None:
         if self._text:
@@ -88,22 +112,20 @@ class Page:
             self._close(*CLOSES[tag])
         if tag in VOID:
             return
-        named = tag in DROPPED
+        named, soft = tag in DROPPED, tag == "form"
         if rest and not named and not rest.isspace():
             for key, a, b, c, flag in ATTRIBUTE.findall(rest):
                 key, value = key.lower(), (a or b or c).lower()
-                named = named or bool(flag) or (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key in ("class", "id") and not NAMES.isdisjoint(WORD.findall(value)))
+                named = named or bool(flag) or (key == "aria-hidden" and value == "true")
+                soft = soft or (key == "role" and value in ROLES) or (key in ("class", "id") and not NAMES.isdisjoint(value.split()))
         up = self._open[-1] if self._open else -1
-        _, _, off, article, main, _, _ = self.elements[up] if up >= 0 else ("", -1, False, False, False, 0, 0)
-        if tag == "header" and not article:
-            named = True
-        if tag not in SPARED or tag == "main":
-            off = off or named
         # blocks are taken to the innermost open element, so inline elements end no block but do start one
-        if tag not in BLOCK and tag not in ("script", "style") and not named:
+        if tag not in BLOCK and tag not in ("script", "style") and not named and not soft:
             return
         self._flush()
-        self.elements.append([tag, up, off, article or (tag == "article" and not off), main or (tag == "main" and not off), 0, 0])
+        if soft and not named:
+            self._soft.add(len(self.elements))
+        self.elements.append([tag, up, False, False, False, 0, 0, named])
         self._open.append(len(self.elements) - 1)
         self._parts.append([tag.encode()])
 
@@ -138,13 +160,13 @@ class Page:
     def templates(self) -> set[int]:
         """Hashes of the subtrees that are deleted if they recur."""
         half = sum(len(words) for _, words in self.blocks) / 2
-        return {h for tag, _, _, article, main, h, n in self.elements if 0 < n < half and tag not in SPARED and tag != "article" and (tag in PARTS or not (article or main))}
+        return {h for tag, _, _, article, main, h, n, _ in self.elements if 0 < n < half and tag not in SPARED and tag != "article" and (tag in PARTS or not (article or main))}
 
     def main(self, recurring: set[int]) -> str:
         """The blocks that are left, joined by single spaces."""
         gone = recurring & self.templates() if recurring else recurring
         off = []  # parents come first
-        for _, up, named, _, _, h, _ in self.elements:
+        for _, up, named, _, _, h, _, _ in self.elements:
             off.append(named or h in gone or (up >= 0 and off[up]))
         kept = [(self.elements[i] if i >= 0 else ["", -1, False, False, False, 0, 0], words) for i, words in self.blocks if i < 0 or not off[i]]
         for part in (3, 4):

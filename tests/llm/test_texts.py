@@ -184,6 +184,19 @@ def test_page_text(page, text):
     assert html.Page(page or "").main(set()) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='site has-sidebar'><article><p>text</p></article></div>", "text"), ("<div class='no-sidebar ad-free'><p>text</p></div><div class=sidebar>s</div>", "text"),
+    ("<section class='related-work'><p>text of it</p></section><p>b</p>", "text of it b"), ("<body><form><div class=menu>m</div><p>all of the text</p></form></body>", "all of the text"),
+    ("<div class=sidebar><article><header>H</header>text</article><footer>f</footer></div>", "H text"), ("<div role=dialog><main>text</main></div><p>out</p>", "text"),
+    ("<article class=share>text</article>", "text"), ("<div class=widget><p>most of the text</p></div><p>b</p>", "most of the text b"),
+    ("<article>a<section id=comments><article>much more than is in the text itself</article></section></article>", "a"),
+    ("<article>a</article><div class=related><article>b</article></div>", "a"), ("<article>a</article><div class=comments>much more than the text</div>", "a"),
+    ("<div hidden><article>no</article></div><p>yes</p>", "yes"), ("<p>much of the text</p><form>f</form>", "much of the text"),
+])
+def test_wrappers_are_no_boilerplate(page, text):
+    assert html.Page(page).main(set()) == text
+
+
 def test_templates_of_a_host_go(spark):
     rows = []
     for i in range(20):

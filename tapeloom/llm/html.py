@@ -176,8 +176,8 @@ class Page:
         return " ".join(words for _, words in kept)
 
 
-def extract(pages: DataFrame, least_pages: int = 8, least_share: float = 0.1) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row. A subtree recurs if on at least `least_pages` pages of the host and `least_share` of them.
+def extract(pages: DataFrame, least_pages: int = 8, least_share: float = 0.1, enough: int = 200) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row. A subtree recurs if on at least `least_pages` pages of the host and `least_share` of them, or on `enough`.
 
     Pages with the same html count as one. Null html is an empty page with empty text; pages without a host in their url share one.
     Repeated rows give repeated results; null page_ids stay; an empty table gives an empty result.
@@ -189,7 +189,7 @@ def extract(pages: DataFrame, least_pages: int = 8, least_share: float = 0.1) ->
     content = F.unhex(F.substring(F.sha2("html", 256), 1, 32)).alias("content")  # half of it tells contents apart
     seen = rows.select("page_id", F.xxhash64(host).alias("host"), content, F.explode(hashes("html")).alias("tree"))
     sizes = rows.select(F.xxhash64(host).alias("host"), content).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    common = seen.select("host", "tree", "content").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "tree")
+    common = seen.select("host", "tree", "content").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= F.least(least_share * F.col("pages"), F.lit(enough))).select("host", "tree")
     drop = seen.join(common, ["host", "tree"]).groupBy(F.col("page_id").alias("_id")).agg(F.collect_set("tree").alias("gone"))  # at most a page's elements
     both = rows.join(drop, F.col("page_id").eqNullSafe(F.col("_id")), "left").select("page_id", "url", "html", "gone")
 

@@ -226,6 +226,13 @@ def test_copies_of_a_page_are_no_templates(spark):
     assert {got[i] for i in range(40)} == {"Head first part second part x one y two cell"}
 
 
+def test_templates_of_a_section_of_a_large_host_go(spark):
+    menu = "<div>Section menu</div>"
+    rows = [(i, "http://h/", f"<body>{menu if i < 200 else ''}{'<p>Said of few</p>' if 200 <= i < 300 else ''}<p>the text of page {i} is longer than that</p></body>") for i in range(3000)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"{'Said of few ' * (200 <= i < 300)}the text of page {i} is longer than that" for i in range(3000))
+
+
 def corpus(n=400):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]

@@ -169,7 +169,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, batc
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, Model]:
     """Word vectors over all `docs` and the network from at most `sample` labelled rows outside the held-out fifth.
 
-    The rows are those with the smallest hashes of doc_id. Labels that are null or contradict each other for a doc_id are not used.
+    The rows are those with the smallest hashes of doc_id, one for each. Labels that are null or contradict each other for a doc_id are not used.
     """
     source = texts(docs)
     table = contexts(source)
@@ -185,8 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.nd
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [pooled(send.value, t).tobytes() for t in b["text"]]})
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    # at most `sample` rows of two numbers
-    rows = source.join(F.broadcast(chosen), "doc_id").mapInPandas(work, f"doc_id {kind}, y int, x binary").toPandas()  # at most `sample` small rows
+    # at most `sample` rows of two numbers are sent; of repeated ids one text, that of the smallest digest
+    own = source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    rows = own.mapInPandas(work, f"doc_id {kind}, y int, x binary").toPandas()  # at most `sample` small rows
     rows = rows.sort_values(["doc_id", "x"])
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]).astype(float) if len(rows) else np.zeros((0, WIDTH))
     return table, train(x, rows["y"].to_numpy(float))

@@ -265,6 +265,21 @@ def test_quality_holds_out_and_learns(spark):
     assert quality.score(df.where("false"), lab).count() == 0 and quality.score(df, lab.where("false")).count() == len(out)
 
 
+def test_quality_takes_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows, labels = corpus(60)
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append((x, y)) or train(x, y))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    used = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    smallest = min((rows[used[0]][1], "another text"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for more in ([(used[0], rows[used[0]][1])] * 500 + [(used[0], "another text")] * 2, []):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(3)
+        table, _ = quality.fit(docs, lab)
+        x, y = seen.pop()
+        assert len(x) == len(y) == len(used)
+        assert np.allclose(x[0], quality.pooled(table, smallest if more else rows[used[0]][1]))
+
+
 def test_temperature_is_calibrated():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 10))

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,17 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of at most `rows` rows and `size` bytes in a text or binary column; a single longer row is a part of its own."""
+    for b in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < b.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            n = int(np.clip(np.searchsorted(ends, done + size, "right") - at, 1, rows))
+            yield b.slice(at, n)
+            at += n
+
+
 def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """The runs of rows with equal integer keys, as columns; the rows come sorted by the keys. One run is held at a time."""
     held: pd.DataFrame | None = None

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontam, html, packing, pii, quality, simhash, substrings, token_count, vectors, warc
+from tapeloom.llm import alignment, bpe, decontam, html, packing, phrases, pii, quality, simhash, substrings, token_count, vectors, warc
+from tapeloom.llm.common import stored
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +69,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path(RANKS)
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file, public_tokenizers.PATTERN), file, public_tokenizers.PATTERN)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a_path, b_path = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    aligned = stored(alignment.align(table(spark, sf_dir, "documents"), a_path, b_path), "aligned")
+    scored = alignment.scores(aligned, len(alignment.tokenizers(a_path, b_path).b.entries))
+    listed = F.when(F.size("a") > 0, F.sha2(alignment.listed(), 256)).otherwise("").alias("groups_sha256")
+    n_links = F.aggregate(F.zip_with("na", "nb", lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda x, y: x + y).alias("n_links")
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("na", "n_groups"))]
+    own = aligned.select("row", "doc_id", *sizes, n_links, listed).join(scored, "row", "left")
+    return own.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_warc, op4_decontam, op5_quality, op6_html, op7_tokens, op8_substrings, op9_vectors, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_warc, op4_decontam, op5_quality, op6_html, op7_tokens, op8_substrings, op9_vectors, op10_simhash, op11_bpe, op12_alignment, op13_phrases)}
 
 
 #: Base 32 by hand: 40 bits, ten hexadecimal digits, are eight letters.
@@ -95,6 +117,24 @@ FROM v JOIN m ON m.id = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 """
 
 
+OP13_SQL = r"""
+WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS v(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score, j.j
+  FROM c JOIN (VALUES (1), (2), (3)) AS j(j) ON j.j < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:j.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j.j + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+t AS (SELECT c.lang, array_to_string(c.w[i.i:i.i + z.z - 1], ' ') AS phrase, max(c.a) AS longer FROM c JOIN (VALUES (2), (3)) AS z(z) ON z.z < c.k JOIN (VALUES (1), (2), (3)) AS i(i) ON i.i + z.z - 1 <= c.k GROUP BY ALL),
+b AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY m.score DESC, m.a DESC, m.phrase) AS rank FROM m LEFT JOIN t ON t.lang = m.lang AND t.phrase = m.phrase
+  WHERE t.longer IS NULL OR CAST(t.longer AS HUGEINT) * 100 < CAST(m.a AS HUGEINT) * 80)
+SELECT b.lang, b.rank, b.phrase, b.a, b.l, b.r, n.n, b.score FROM b JOIN n ON n.lang = b.lang WHERE b.rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the archive and the vectors; the other queries need a tokenizer, XXH64, a trained network, HTML or long windows of bytes."""
-    return {"op3_warc": OP3_SQL, "op9_vectors": OP9_SQL}
+    """SQL for the archive, the vectors and the phrases; the other queries need a tokenizer, XXH64, a trained network, HTML or long windows of bytes."""
+    return {"op3_warc": OP3_SQL, "op9_vectors": OP9_SQL, "op13_phrases": OP13_SQL}

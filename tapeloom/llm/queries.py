@@ -118,11 +118,15 @@ FROM v JOIN m ON m.id = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 
 
 OP13_SQL = r"""
-WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+WITH p AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
-n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
-g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS v(k)),
-f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p WHERE len(w) > 0 GROUP BY lang),
+o AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM p),
+q AS (SELECT lang, w AS w1, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM o WINDOW x AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM q GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM q WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM q WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM q WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
 s AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score, j.j
   FROM c JOIN (VALUES (1), (2), (3)) AS j(j) ON j.j < c.k

@@ -1,11 +1,12 @@
 """Where two tokenizers agree: token ids of the same bytes, cut into groups at the byte offsets where tokens of both end.
 
 Each side's cumulative ends become a dictionary from end to index; the intersection of the two key sets, sorted, slices both id lists
-into groups, and the links of a group are all pairs of its ids. A long text is cut before a space that follows a character which is no
-white space: there a token of either side ends, for no entry of the piece model has a space after another character.
+into groups, and the links of a group are all pairs of its ids. A text is cut into segments before every space that follows a character
+which is no white space: there a token of either side ends, for no entry of the piece model has a space after another character.
 
-How many documents hold a linked pair is counted over the corpus. Documents lie in chunks of bounded size; a chunk sends each of its
-pairs once, so a pair that every document holds costs a row a chunk, and gets its totals back the same way.
+How many documents hold a linked pair is counted over the corpus. Documents lie in chunks of bounded size, a row each: the distinct
+segments with their ids and groups, and the documents as numbers of segments. A chunk sends each of its pairs once, so a pair that every
+document holds costs a row a chunk, and gets its totals back the same way.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
@@ -22,38 +24,32 @@ import regex
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.bpe import PART, ids, parts
+from tapeloom.llm.bpe import PART, ids
 from tapeloom.llm.common import slices, stored, texts
 from tapeloom.llm.tokens import PATTERN, SPACE, byte_letters
 
-SAFE = regex.compile(rf"(?<=[^{SPACE[1:-1]}▁])(?= [\s\S])")
+SAFE = regex.compile(rf"(?<=[^{SPACE[1:-1]}▁]) (?=[\s\S])")
+#: Texts in which some space is not such a place.
+ODD = regex.compile(rf"(?:^|[{SPACE[1:-1]}▁]) | $")
 BYTE = regex.compile(r"<0x([0-9A-F]{2})>")
-#: Tokens of a chunk (a longer document is one of its own), and the links that are written out one by one in a group.
-CHUNK, PLAIN = 1 << 21, 64
-
-
-class Side(NamedTuple):
-    """A tokenizer's entries: the bytes of each id and their number."""
-
-    entries: list[bytes]
-    lengths: np.ndarray
+#: Tokens of a chunk (a slice of documents may go over it), and the links that are written out one by one in a group.
+CHUNK, PLAIN = 1 << 22, 64
+FIELDS = ("words", "n_words", "a", "b", "na", "nb", "la", "lb", "lg")
 
 
 class Pair(NamedTuple):
-    a: Side
-    b: Side
+    """Two tokenizers and the bytes of each of their ids."""
+
+    a: list[bytes]
+    b: list[bytes]
     enc: tiktoken.Encoding
     pieces: sentencepiece.SentencePieceProcessor
     cuts: bool
 
 
-def side(entries: list[bytes]) -> Side:
-    return Side(entries, np.array([len(x) for x in entries], np.int64))
-
-
 @lru_cache(maxsize=2)
 def tokenizers(a_path: str, b_path: str) -> Pair:
     """A byte-level `.json` file (its special strings as plain text) and a piece model; one pair a worker process."""
@@ -69,136 +65,136 @@ def tokenizers(a_path: str, b_path: str) -> Pair:
     names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
     other = [bytes([int(m[1], 16)]) if pieces.is_byte(i) and (m := BYTE.fullmatch(x)) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
     enc = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Pair(side(own), side(other), enc, pieces, not any(regex.search("[^▁]▁", x) for x in names))
-
-
-def tokens(pair: Pair, text: str, size: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of space+text by A and of text by B; none where the text is empty or the bytes of a side are not those of space+text."""
-    a, b = [], []
-    for k, part in enumerate(parts(text, size, SAFE) if pair.cuts else [text]):
-        whole = part if k else " " + part
-        if whole == " " and not text:
-            break
-        x, y, raw = ids(pair.enc, whole), np.array(pair.pieces.encode(whole[1:], num_threads=1), np.int64), whole.encode()
-        if b"".join([pair.a.entries[i] for i in x]) != raw or b"".join([pair.b.entries[i] for i in y]) != raw:
-            a = b = []
-            break
-        a.append(x.astype(np.int64))
-        b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def groups(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many ids of a and of b each group has."""
-    ends_a, ends_b = (dict(zip(np.cumsum(s.lengths[x]).tolist(), range(1, len(x) + 1), strict=True)) for s, x in ((pair.a, a), (pair.b, b)))
-    common = sorted(ends_a.keys() & ends_b.keys())
-    upto = (np.fromiter((e[p] for p in common), np.int64, len(common)) for e in (ends_a, ends_b))
-    return tuple(np.diff(x, prepend=0) for x in upto)
-
+    return Pair(own, other, enc, pieces, not any(regex.search("[^▁]▁", x) for x in names))
 
-def links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct linked pairs as a * width + b, sorted, and how many links each has. Large groups go through their distinct ids."""
-    sizes, sa, sb = na * nb, np.cumsum(na) - na, np.cumsum(nb) - nb
-    few = np.flatnonzero(sizes <= PLAIN)
-    g = np.repeat(few, sizes[few])
-    at = np.arange(len(g)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
-    keys, counts = np.unique(a[sa[g] + at // nb[g]] * width + b[sb[g] + at % nb[g]], return_counts=True)
-    many = np.flatnonzero(sizes > PLAIN)
-    if not len(many):
-        return keys, counts
-    keys, counts = [keys], [counts]
-    for k in many.tolist():
-        (ua, ca), (ub, cb) = (np.unique(x[s[k]: s[k] + n[k]], return_counts=True) for x, s, n in ((a, sa, na), (b, sb, nb)))
-        keys.append((ua[:, None] * width + ub).ravel())
-        counts.append((ca[:, None] * cb).ravel())
-    keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(keys), np.int64)
-    np.add.at(total, where, np.concatenate(counts))
-    return keys, total
 
+def segments(text: str, cuts: bool = True) -> list[str]:
+    """The text without the spaces before which it is cut; the first segment gets one, too, by the contract of A."""
+    if not text or not cuts:
+        return [text] if text else []
+    return SAFE.split(text) if ODD.search(text) else text.split(" ")
 
-def align(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
-    """(row, chunk, doc_id, a, b, na, nb) of every row: ids by both files and the sizes of the groups. Write it before going on: row and chunk are made up.
 
-    Null and empty texts, and texts that a side does not give back byte for byte, have empty arrays. Repeated rows are rows of their
-    own, null doc_ids stay, an empty table gives an empty result, further columns are not looked at.
-    """
+def groups(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[list[int], list[int]]:
+    """How many ids of a and of b each group has."""
+    if len(a) == 1 or len(b) == 1:
+        return [len(a)], [len(b)]
+    ends_a, ends_b = (dict(zip(accumulate(map(len, raw)), count(1), strict=False)) for raw in (bytes_a, bytes_b))
+    common = sorted(ends_a.keys() & ends_b.keys())
+    upto = ([0, *map(e.__getitem__, common)] for e in (ends_a, ends_b))
+    return tuple([y - x for x, y in zip(u, u[1:], strict=False)] for u in upto)
+
+
+class Chunk:
+    """Documents as numbers of distinct segments, and the segments' ids and groups."""
+
+    def __init__(self, pair: Pair) -> None:
+        self.pair, self.number, self.lists, self.tokens, self.docs = pair, {}, {f: [] for f in FIELDS[2:]}, 0, []
+        self.words: list[np.ndarray] = []
+
+    def add(self, doc_ids: list, texts_: list[str]) -> None:
+        cut = [segments(t, self.pair.cuts) for t in texts_]
+        new = list({w for ws in cut for w in ws if w not in self.number})
+        for w, b in zip(new, self.pair.pieces.encode(new, num_threads=1), strict=True):
+            whole = " " + w
+            a = self.pair.enc.encode_ordinary(whole) if len(w) <= PART else ids(self.pair.enc, whole).tolist()
+            bytes_a, bytes_b, raw = [self.pair.a[i] for i in a], [self.pair.b[i] for i in b], whole.encode()
+            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+                self.number[w] = -1
+                continue
+            self.number[w] = len(self.lists["la"])
+            na, nb = groups(a, b, bytes_a, bytes_b)
+            for f, x in zip(FIELDS[2:], (a, b, na, nb, [len(a)], [len(b)], [len(na)]), strict=True):
+                self.lists[f] += x
+        for d, ws in zip(doc_ids, cut, strict=True):
+            found = np.fromiter(map(self.number.__getitem__, ws), np.int32, len(ws))
+            self.words.append(found[:0] if (found < 0).any() else found)
+            self.docs.append(d)
+            self.tokens += 3 * len(ws)
+
+    def fields(self) -> list[bytes]:
+        flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int32)
+        return [x.astype("<i4").tobytes() for x in (flat, np.array([len(w) for w in self.words]), *(np.array(v) for v in self.lists.values()))]
+
+
+def chunked(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
+    """(chunk, docs, then FIELDS as little-endian 32-bit integers): a row a chunk. Write it before going on: chunk is made up."""
     source = texts(docs)
+    kind = source.schema["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, row, size = tokenizers(a_path, b_path), TaskContext.get().partitionId() << 36, 0
-        mark = row
-        for batch in slices(batches, "text"):
-            found = [tokens(pair, x) for x in batch.column("text").to_pylist()]
-            sizes = [groups(pair, a, b) for a, b in found]
-            rows, marks = np.arange(row, row + len(found)), []
-            for i, (a, _) in zip(rows.tolist(), found, strict=True):
-                if size and size + len(a) > chunk:
-                    mark, size = i, 0
-                size += len(a)
-                marks.append(mark)
-            lists = [pa.array([x[k].astype(np.int32) for x in where], pa.list_(pa.int32())) for where in (found, sizes) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(marks, pa.int64()), batch.column("doc_id"), *lists], names=["row", "chunk", "doc_id", "a", "b", "na", "nb"])
-            row += len(found)
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"row long, chunk long, doc_id {kind}, a array<int>, b array<int>, na array<int>, nb array<int>")
+        pair, at, own = tokenizers(a_path, b_path), TaskContext.get().partitionId() << 36, None
+        doc_type = None
 
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([at]), pa.array([own.docs], pa.list_(doc_type)), *(pa.array([x], pa.binary()) for x in own.fields())]
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "docs", *FIELDS])
 
-def lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    """The rows of a list column of integers."""
-    col = batch.column(name)
-    ends, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for batch in slices(batches, "text"):
+            doc_type, own = batch.column("doc_id").type, own or Chunk(pair)
+            own.add(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+            if own.tokens >= chunk:
+                yield out()
+                at, own = at + 1, None
+        if own:
+            yield out()
 
+    return source.mapInArrow(work, f"chunk long, docs array<{kind.dataType.simpleString()}>, {', '.join(f'{f} binary' for f in FIELDS)}")
 
-def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
 
+def links(f: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, a * width + b, number of links) of the distinct linked pairs of each segment, sorted. Large groups go through their distinct ids."""
+    a, b, na, nb = (f[x].astype(np.int64) for x in ("a", "b", "na", "nb"))
+    owner, sizes, sa, sb = np.repeat(np.arange(len(f["lg"])), f["lg"]), na * nb, np.cumsum(na) - na, np.cumsum(nb) - nb
+    few = np.flatnonzero(sizes <= PLAIN)
+    g = np.repeat(few, sizes[few])
+    at = np.arange(len(g)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
+    who, keys, times = [owner[g]], [a[sa[g] + at // nb[g]] * width + b[sb[g] + at % nb[g]]], [np.ones(len(g), np.int64)]
+    for k in np.flatnonzero(sizes > PLAIN).tolist():
+        (ua, ca), (ub, cb) = (np.unique(x[s[k]: s[k] + n[k]], return_counts=True) for x, s, n in ((a, sa, na), (b, sb, nb)))
+        keys.append((ua[:, None] * width + ub).ravel())
+        times.append((ca[:, None] * cb).ravel())
+        who.append(np.full(len(keys[-1]), owner[k]))
+    who, keys, times = (np.concatenate(x) for x in (who, keys, times))
+    order = np.lexsort((keys, who))
+    who, keys = who[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    return who[first], keys[first], np.add.reduceat(times[order], first) if len(first) else times
 
-def linked(aligned: DataFrame, width: int) -> DataFrame:
-    """(row, chunk, n, keys, times) of every row with tokens: its distinct pairs as sorted differences of a * width + b, and their numbers of links."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in few(batches):
-            found = [links(*x, width) for x in zip(*(lists(b, c) for c in ("a", "b", "na", "nb")), strict=True)]
-            keys = [np.diff(k, prepend=0) for k, _ in found]
-            narrow = [k.astype("<u4" if not len(k) or k.max() < 1 << 32 else "<u8").tobytes() for k in keys]
-            times = [t.astype("<u1" if not len(t) or t.max() < 256 else "<u8").tobytes() for _, t in found]
-            n = pa.array([len(k) for k in keys], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), n, pa.array(narrow, pa.binary()), pa.array(times, pa.binary())], names=["row", "chunk", "n", "keys", "times"])
+def held(f: dict[str, np.ndarray], who: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a chunk and how many of its documents hold each."""
+    known, place = np.unique(keys, return_inverse=True)
+    n = len(f["lg"])
+    doc = np.repeat(np.arange(len(f["n_words"])), f["n_words"])
+    seen = np.unique(doc * n + f["words"]) if n else doc
+    start = np.searchsorted(who, np.arange(n + 1))
+    word, many = seen % max(n, 1), np.diff(start)
+    sizes = many[word]
+    at = np.repeat(start[:-1][word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    own = np.unique(np.repeat(seen // max(n, 1), sizes) * max(len(known), 1) + place[at])
+    return known, np.bincount(own % max(len(known), 1), minlength=len(known))
 
-    return aligned.where(F.size("a") > 0).select("row", "chunk", "a", "b", "na", "nb").mapInArrow(work, "row long, chunk long, n int, keys binary, times binary")
 
+def read(row: dict) -> dict[str, np.ndarray]:
+    return {f: np.frombuffer(row[f], "<i4").astype(np.int64) for f in FIELDS}
 
-def unpacked(n: int, raw: bytes, kinds: str) -> np.ndarray:
-    return np.frombuffer(raw, kinds[0:3] if len(raw) == n * int(kinds[2]) else kinds[3:6]).astype(np.int64)
 
-
-def chunk_pairs(pairs: DataFrame, width: int) -> DataFrame:
-    """(chunk, a, b, docs): how many rows of the chunk hold the pair; a chunk read by two tasks lists it twice."""
+def chunk_pairs(chunks: DataFrame, width: int) -> DataFrame:
+    """(chunk, a, b, docs): how many documents of the chunk hold the pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chunk, size = [], None, 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys, docs = np.unique(np.concatenate(held), return_counts=True)
-                cols = [pa.array(np.full(len(keys), chunk, np.int64)), pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(docs.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "a", "b", "docs"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                f = read(row)
+                keys, docs = held(f, *links(f, width)[:2])
+                for s in range(0, len(keys), 1 << 16):
+                    part = keys[s: s + (1 << 16)]
+                    cols = [np.full(len(part), row["chunk"], np.int64), (part // width).astype(np.int32), (part % width).astype(np.int32), docs[s: s + (1 << 16)].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["chunk", "a", "b", "docs"])
 
-        for b in few(batches):
-            for c, n, raw in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), b.column("keys").to_pylist(), strict=True):
-                if c != chunk or size > 1 << 22:
-                    yield from out()
-                    held, chunk, size = [], c, 0
-                held.append(np.cumsum(unpacked(n, raw, "<u4<u8")))
-                size += n
-        yield from out()
-
-    return pairs.select("chunk", "n", "keys").mapInArrow(work, "chunk long, a int, b int, docs long")
+    return chunks.drop("docs").mapInArrow(work, "chunk long, a int, b int, docs long")
 
 
 def lexicon(counted: DataFrame) -> DataFrame:
@@ -208,62 +204,66 @@ def lexicon(counted: DataFrame) -> DataFrame:
     return totals.join(most, "a").select("a", "b", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
 
-def rated(pairs: DataFrame, counted: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """(row, n_best, count_sum) of the rows of `pairs`: links whose pair is the best of its a, and the documents of all links summed."""
-    entries = counted.select("chunk", "a", "b").join(known, ["a", "b"])
-    entries = entries.select("chunk", F.lit(-1).cast("long").alias("row"), (F.col("a").cast("long") * width + F.col("b")).alias("key"), "n_docs", "best", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("times"))
-    asked = pairs.select("chunk", "row", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n_docs"), F.lit(False).alias("best"), "n", "keys", "times")
+def listed(f: dict[str, np.ndarray]) -> list[str]:
+    """Each segment's groups as text: ids of A joined by commas, a bar, ids of B; groups joined by semicolons."""
+    a, b, na, nb, out, i, j, g = [str(x) for x in f["a"].tolist()], [str(x) for x in f["b"].tolist()], f["na"].tolist(), f["nb"].tolist(), [], 0, 0, 0
+    for n in f["lg"].tolist():
+        own = []
+        for p, q in zip(na[g: g + n], nb[g: g + n], strict=True):
+            own.append(f"{a[i]}|{b[j]}" if p == q == 1 else f"{','.join(a[i: i + p])}|{','.join(b[j: j + q])}")
+            i, j = i + p, j + q
+        out.append(";".join(own))
+        g += n
+    return out
+
+
+def finished(row: dict, table: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """The documents of a chunk with their groups and sums; `table` has (key, n_docs, best) of the chunk's pairs, sorted by key."""
+    f = read(row)
+    who, keys, times = links(f, width)
+    at, n = np.searchsorted(table["key"].to_numpy(), keys), len(f["lg"])
+    docs, best = table["n_docs"].to_numpy()[at], table["best"].to_numpy(bool)[at]
+    values = [f["la"], f["lb"], f["lg"]]
+    for x in (times, times * best, times * docs):
+        values.append(np.zeros(n, np.int64))
+        np.add.at(values[-1], who, x)
+    ends = np.cumsum(f["n_words"])
+    starts = ends - f["n_words"]
+    sums = {}
+    for name, x in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), values, strict=True):
+        run = np.concatenate([[0], np.cumsum(x[f["words"]])])
+        sums[name] = run[ends] - run[starts]
+    text, words = listed(f), f["words"]
+    for s in range(0, len(ends), 256):
+        some = slice(s, s + 256)
+        own = [";".join([text[w] for w in words[i:j].tolist()]) for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+        yield pd.DataFrame({"doc_id": pd.Series(list(row["docs"])[some], dtype=object), "groups": own, **{k: v[some] for k, v in sums.items()}})
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, groups, n_a, n_b, n_groups, n_links, n_best, count_sum) of every row.
+
+    `groups` is `a1,a2|b1;a3|b2,b3`: the ids of A and of B in order. A link joins an occurrence of an A id and one of a B id in a group;
+    its count is the number of documents that hold its pair; n_best are the links with the highest count of their A id, ties included.
+    Null and empty texts, and texts that a side does not give back byte for byte, have no tokens: '' and zeros. Repeated rows count as
+    documents of their own, null doc_ids stay, an empty table gives an empty result, further columns are not looked at.
+    """
+    width = len(tokenizers(a_path, b_path).b)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = stored(chunked(docs, a_path, b_path, chunk), "aligned-chunks")
+    counted = stored(chunk_pairs(chunks, width), "chunk-pairs")
+    key = (F.col("a").cast("long") * width + F.col("b")).alias("key")
+    entries = counted.select("chunk", "a", "b").join(lexicon(counted), ["a", "b"]).select("chunk", key, "n_docs", "best")
+    both = entries.unionByName(chunks, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("key").isNull(), "key")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        chunk, table = None, None
+        known: list[pd.DataFrame] = []
         for b in batches:
-            b = b.reset_index(drop=True)
-            cuts = np.flatnonzero(np.diff(b["chunk"].to_numpy(), prepend=-1 if chunk is None else chunk))
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
-                if s == e:
-                    continue
-                part = b.iloc[s:e]
-                if part["chunk"].iloc[0] != chunk:
-                    chunk, table, held = part["chunk"].iloc[0], None, []
-                own = part["row"].to_numpy() < 0
-                if own.any():
-                    held.append(part.loc[own, ["key", "n_docs", "best"]])
-                if own.all():
-                    continue
-                if table is None:
-                    whole = pd.concat(held)
-                    table = (whole["key"].to_numpy(), whole["n_docs"].to_numpy(), whole["best"].to_numpy())
-                rows, best, total = part["row"].to_numpy()[~own], [], []
-                for n, keys, times in part.loc[~own, ["n", "keys", "times"]].itertuples(index=False):
-                    at, t = np.searchsorted(table[0], np.cumsum(unpacked(n, keys, "<u4<u8"))), unpacked(n, times, "<u1<u8")
-                    best.append(int(t[table[2][at]].sum()))
-                    total.append(int((t * table[1][at]).sum()))
-                yield pd.DataFrame({"row": rows, "n_best": best, "count_sum": total})
-
-    both = entries.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("row") >= 0, "key")
-    return both.select("chunk", "row", "key", "n_docs", "best", "n", "keys", "times").mapInPandas(work, "row long, n_best long, count_sum long")
-
-
-def scores(aligned: DataFrame, width: int) -> DataFrame:
-    """(row, n_best, count_sum) of the rows with tokens of a written `aligned`; `width` is the number of entries of B."""
-    pairs = stored(linked(aligned, width), "linked-pairs")
-    counted = stored(chunk_pairs(pairs, width), "chunk-pairs")
-    return rated(pairs, counted, lexicon(counted), width)
-
-
-def listed(a: str = "a", b: str = "b", na: str = "na", nb: str = "nb") -> Column:
-    """The groups as text: ids of A joined by commas, a bar, ids of B; groups joined by semicolons."""
-
-    @F.pandas_udf("string")
-    def text(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        out = []
-        for x, y, m, n in zip(a, b, na, nb, strict=True):
-            x, y, parts_, i, j = list(map(str, x)), list(map(str, y)), [], 0, 0
-            for p, q in zip(m.tolist(), n.tolist(), strict=True):
-                parts_.append(f"{x[i]}|{y[j]}" if p == q == 1 else f"{','.join(x[i: i + p])}|{','.join(y[j: j + q])}")
-                i, j = i + p, j + q
-            out.append(";".join(parts_))
-        return pd.Series(out, dtype=object)
-
-    return text(a, b, na, nb)
+            own, at = b["key"].isna().to_numpy(), 0
+            for k in np.flatnonzero(own).tolist():  # the row of a chunk comes behind its pairs
+                known.append(b.iloc[at:k][["key", "n_docs", "best"]])
+                yield from finished(b.iloc[k].to_dict(), pd.concat(known), width)
+                known, at = [], k + 1
+            known.append(b.iloc[at:][["key", "n_docs", "best"]])
+
+    return both.mapInPandas(work, f"doc_id {kind}, groups string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long")

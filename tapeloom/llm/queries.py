@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import alignment, bpe, decontam, html, packing, phrases, pii, quality, simhash, substrings, token_count, vectors, warc
-from tapeloom.llm.common import stored
 
 TOKENIZER, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -76,14 +75,9 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a_path, b_path = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
-    aligned = stored(alignment.align(table(spark, sf_dir, "documents"), a_path, b_path), "aligned")
-    scored = alignment.scores(aligned, len(alignment.tokenizers(a_path, b_path).b.entries))
-    listed = F.when(F.size("a") > 0, F.sha2(alignment.listed(), 256)).otherwise("").alias("groups_sha256")
-    n_links = F.aggregate(F.zip_with("na", "nb", lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda x, y: x + y).alias("n_links")
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("na", "n_groups"))]
-    own = aligned.select("row", "doc_id", *sizes, n_links, listed).join(scored, "row", "left")
-    return own.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256")
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

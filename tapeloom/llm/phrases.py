@@ -2,8 +2,9 @@
 
 Every word starts one window of the longest length, its lead columns padded with null where the piece ends; only these windows are
 counted, and a ROLLUP over their columns sums the counts of all shorter prefixes. Windows are counted inside a task before they are
-shuffled. Two neighbours of which fewer than the least number exist can be in no phrase, so a piece is cut between them first: a table
-of hashed neighbours, of fixed size at any input, tells which these can't be (a bucket holds at least as many as each of its pairs).
+shuffled. Two neighbours of which fewer than the least number exist can be in no phrase, so a piece is cut between them first. For this
+the hashes of all neighbours are counted; the frequent ones set bits of a filter, which has one size at any input and a slab for each
+share of the hashes. It never misses a frequent pair; a rare one that it lets through costs windows but changes no result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 EDGE = re.compile(rb"[ \t.,;:!?\n-\r]")
 SIGNS = frozenset(b".,;:!?\n\x0b\x0c\r")
-#: Bytes of a text looked at at once, words held before they are counted, counters of the neighbour table and of a row of it.
-STEP, HELD, BUCKETS, SLAB = 1 << 20, 1 << 19, 1 << 23, 1 << 12
+#: Bytes of a text looked at at once, words held before they are counted, hashed neighbours held before they are sent.
+STEP, HELD, SENT = 1 << 20, 1 << 19, 1 << 21
+#: Bits of a neighbour's hash, of its share, and of a share's slab of the filter.
+HASH, SHARE, SLAB = 42, 12, 14
 
 
 class Words(dict):
@@ -88,13 +91,19 @@ def flows(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[np.nd
         yield np.concatenate(held), np.array(hashes, np.uint64), 0, names
 
 
-def buckets(flow: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
-    """The bucket of each number with the next one, -1 where either is a gap."""
+def neighbours(flow: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hash of each number with the next one, -1 where either is a gap."""
     left, right = flow[:-1], flow[1:]
     if not len(hashes):
         return np.full(len(left), -1, np.int64)
     mixed = (hashes[left] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[right] + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.where((left >= 0) & (right >= 0), (mixed >> np.uint64(32)).astype(np.int64) % size, -1)
+    return np.where((left >= 0) & (right >= 0), (mixed >> np.uint64(64 - HASH)).astype(np.int64), -1)
+
+
+def bits(keys: np.ndarray) -> np.ndarray:
+    """Two bits of a key in its share's slab of the filter."""
+    low = keys & ((1 << (HASH - SHARE)) - 1)
+    return (keys >> (HASH - SHARE) << SLAB) + np.stack([low >> (HASH - SHARE - SLAB), low & ((1 << SLAB) - 1)])
 
 
 def sourced(docs: DataFrame) -> DataFrame:
@@ -102,56 +111,79 @@ def sourced(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), docs["text"].alias("text")).where("text is not null")
 
 
-def common_neighbours(docs: DataFrame, least: int, size: int) -> np.ndarray:
-    """A flag for each bucket of neighbours: whether it may hold a pair of `least` occurrences or more; `docs` has (lang, text).
+def common_neighbours(docs: DataFrame, least: int) -> np.ndarray:
+    """The filter, a byte for 8 bits, of all neighbours of `least` occurrences or more; `docs` has (lang, text).
 
-    Counts are cut at `least` before they are summed, which changes no flag. All sums are over rows of SLAB counters.
+    A task sends its neighbours by shares, sorted, with counts cut at `least`, which changes no sum below it; a share is merged part by
+    part and only its distinct hashes are held.
     """
     kind = np.min_scalar_type(least).newbyteorder("<")
-    step = min(SLAB, size)
-
-    def out(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = [k for k, x in enumerate(table.reshape(-1, step)) if x.any()]
-        for at in range(0, len(rows), 64):
-            some = rows[at: at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.minimum(table[k * step: (k + 1) * step], least).astype(kind).tobytes() for k in some], pa.binary())], names=["slab", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.int32)
-        for flow, hashes, skipped, _ in flows(batches, 1):
-            at = buckets(flow, hashes, size)
-            np.add.at(table, at[at >= 0], 1)
-            np.minimum(table, 1 << 30, out=table)
-        yield from out(table)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[int, np.ndarray] = {}
+    form = "share int, keys binary, counts binary"
+
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return keys, np.minimum(np.bincount(where, np.concatenate(counts), len(keys)), least).astype(np.int64)
+
+    def out(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = merged(keys, counts)
+        share = keys >> (HASH - SHARE)
+        cuts = np.flatnonzero(np.diff(share, prepend=-1))
+        raw = [[(x[a:b] & mask).astype(t).tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)] for x, t, mask in ((keys, "<u4", (1 << (HASH - SHARE)) - 1), (counts, kind, -1))]
+        yield pa.RecordBatch.from_arrays([pa.array(share[cuts].astype(np.int32)), *(pa.array(x, pa.binary()) for x in raw)], names=["share", "keys", "counts"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
+        for flow, hashes, _, _ in flows(batches, 1):
+            own = neighbours(flow, hashes)
+            own, n = np.unique(own[own >= 0], return_counts=True)
+            keys.append(own), counts.append(n)
+            size += len(own)
+            if size >= SENT:
+                yield from out(keys, counts)
+                keys, counts, size = [], [], 0
+        if size:
+            yield from out(keys, counts)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, keys, counts, size, limit = None, [], [], 0, SENT
+
+        def slab() -> Iterator[pa.RecordBatch]:
+            if share is not None:
+                found, n = merged(keys, counts)
+                flags = np.zeros(1 << SLAB, bool)
+                flags[bits(found[n >= least]).ravel()] = True
+                yield pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["share", "slab"])
+
         for b in batches:
-            for k, raw in zip(b.column("slab").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                own = table.setdefault(k, np.zeros(step, np.int32))
-                np.minimum(own + np.frombuffer(raw, kind), least, out=own, casting="unsafe")
-        for k, own in table.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.astype(kind).tobytes()], pa.binary())], names=["slab", "counts"])
-
-    form = "slab int, counts binary"
-    # two steps, so that no task adds more than a share of the partial tables
-    first = docs.mapInArrow(count, form).withColumn("share", F.pmod(F.spark_partition_id(), F.lit(32))).repartition("slab", "share").select("slab", "counts").mapInArrow(add, form)
-    flags = np.zeros(size, bool)
-    for k, raw in first.repartition("slab").mapInArrow(add, form).collect():  # a table of fixed size
-        flags[k * step: (k + 1) * step] = np.frombuffer(raw, kind) >= least
-    return flags
-
-
-def windows(docs: DataFrame, words: int, flags: np.ndarray) -> DataFrame:
+            for s, k, n in zip(b.column("share").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                if s != share:
+                    yield from slab()
+                    share, keys, counts, size, limit = s, [], [], 0, SENT
+                keys.append(np.frombuffer(k, "<u4").astype(np.int64)), counts.append(np.frombuffer(n, kind).astype(np.int64))
+                size += len(keys[-1])
+                if size > limit:
+                    found, n = merged(keys, counts)
+                    keys, counts, size, limit = [found], [n], len(found), max(SENT, 2 * len(found))
+        yield from slab()
+
+    shares = docs.mapInArrow(send, form).repartition("share").sortWithinPartitions("share").mapInArrow(decide, "share int, slab binary")
+    table = np.zeros((1 << SHARE, 1 << (SLAB - 3)), np.uint8)
+    for share, slab in shares.collect():  # a table of fixed size
+        table[share] = np.frombuffer(slab, np.uint8)
+    return table.ravel()
+
+
+def windows(docs: DataFrame, words: int, table: np.ndarray) -> DataFrame:
     """(lang, w1 .. wN, c): every word with the words that follow it, null behind the end of its piece or a cut, counted inside tasks."""
-    send = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))  # one bit a bucket
-    size, names_ = len(flags), [f"w{k}" for k in range(1, words + 1)]
+    send = docs.sparkSession.sparkContext.broadcast(table)  # a table of fixed size
+    names_ = [f"w{k}" for k in range(1, words + 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = np.unpackbits(send.value, count=size).astype(bool)
+        good = send.value
         for flow, hashes, skipped, names in flows(batches, words):
-            at = buckets(flow, hashes, size)
-            joins = (at >= 0) & good[np.maximum(at, 0)]
+            key = neighbours(flow, hashes)
+            at = bits(np.maximum(key, 0))
+            joins = (key >= 0) & ((good[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=0)
             lead = [flow]
             for k in range(1, words):  # the k-th word behind, if all joins up to it hold
                 here = np.full(len(flow), -1, np.int32)
@@ -180,11 +212,11 @@ def windows(docs: DataFrame, words: int, flags: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, f"lang string, {', '.join(f'{x} string' for x in names_)}, c long")
 
 
-def counts(docs: DataFrame, least: int = 30, words: int = 4, size: int = BUCKETS) -> DataFrame:
+def counts(docs: DataFrame, least: int = 30, words: int = 4) -> DataFrame:
     """(lang, k, phrase, f) of all phrases of 1 to `words` words with f >= `least` occurrences; k = 0 has a language's number of words."""
     names = [f"w{k}" for k in range(1, words + 1)]
     source = sourced(docs)
-    seen = windows(source, words, common_neighbours(source, least, size))
+    seen = windows(source, words, common_neighbours(source, least))
     summed = seen.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     # of a prefix of k words the last words - k columns are rolled up; a pad within the prefix is no phrase
     k = reduce(lambda rest, n: F.when(F.col("g") == (1 << (words - n)) - 1, F.lit(n)).otherwise(rest), range(words + 1), F.lit(-1)).alias("k")

@@ -91,10 +91,11 @@ def test_texts_longer_than_what_is_held(spark, monkeypatch):
     assert seen == want
 
 
-def test_neighbour_table_never_loses_a_common_pair(spark):
+def test_the_filter_never_loses_a_common_pair(spark, monkeypatch):
     rows = [("en", "q w e r")] * 31 + [(None, " ".join(f"u{i}" for i in range(3000)))]
-    for size in (8, 64, 1 << 16):
-        docs = phrases.sourced(frame(spark, rows))
-        found = {(r.lang, r.phrase): r.f for r in phrases.counts(frame(spark, rows), size=size).where("k > 0").collect()}
-        assert found == {("en", " ".join("qwer"[i: j])): 31 for i in range(4) for j in range(i + 1, 5)}, size
-        assert phrases.common_neighbours(docs, 30, size).sum() >= 1
+    for sent in (1, 1 << 21):
+        monkeypatch.setattr(phrases, "SENT", sent)
+        found = {(r.lang, r.phrase): r.f for r in phrases.counts(frame(spark, rows)).where("k > 0").collect()}
+        assert found == {("en", " ".join("qwer"[i: j])): 31 for i in range(4) for j in range(i + 1, 5)}
+        table = phrases.common_neighbours(phrases.sourced(frame(spark, rows)), 30)
+        assert len(table) == 1 << 23 and 3 <= np.unpackbits(table).sum() <= 6

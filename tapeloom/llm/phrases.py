@@ -2,9 +2,10 @@
 
 Every word starts one window of the longest length, its lead columns padded with null where the piece ends; only these windows are
 counted, and a ROLLUP over their columns sums the counts of all shorter prefixes. Windows are counted inside a task before they are
-shuffled. Two neighbours of which fewer than the least number exist can be in no phrase, so a piece is cut between them first. For this
-the hashes of all neighbours are counted; the frequent ones set bits of a filter, which has one size at any input and a slab for each
-share of the hashes. It never misses a frequent pair; a rare one that it lets through costs windows but changes no result.
+shuffled. A sequence of fewer than the least number of occurrences is in no phrase, so a window ends before it would hold one. For this
+the hashes of all neighbours, then of all longer sequences of frequent neighbours, are counted; the frequent ones set bits of a filter,
+which has one size at any input and a slab for each share of the hashes. It never misses a frequent sequence; a rare one that it lets
+through lengthens windows but changes no result.
 """
 
 from __future__ import annotations
@@ -91,13 +92,26 @@ def flows(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[np.nd
         yield np.concatenate(held), np.array(hashes, np.uint64), 0, names
 
 
-def neighbours(flow: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The hash of each number with the next one, -1 where either is a gap."""
-    left, right = flow[:-1], flow[1:]
-    if not len(hashes):
-        return np.full(len(left), -1, np.int64)
-    mixed = (hashes[left] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[right] + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.where((left >= 0) & (right >= 0), (mixed >> np.uint64(64 - HASH)).astype(np.int64), -1)
+def folded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a sequence and one more word."""
+    return (left * np.uint64(0x9E3779B97F4A7C15) ^ (right + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xFF51AFD7ED558CCD)
+
+
+def leads(flow: np.ndarray, hashes: np.ndarray, words: int, known: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1 .. words - 1 at each place with k words behind it: whether the k + 1 words can be in a phrase, and the hash of the sequence.
+
+    `known` are the filters of pairs and of longer sequences, as far as there are any yet.
+    """
+    fits, own = flow >= 0, hashes[np.maximum(flow, 0)] if len(hashes) else np.zeros(len(flow), np.uint64)
+    mixed = own
+    for k in range(1, words):
+        mixed = folded(mixed[:-1], own[k:])
+        key = (mixed >> np.uint64(64 - HASH)).astype(np.int64)
+        fits = fits[:-1] & fits[1:]  # both sequences of a word less
+        if k == 1 and known or k > 1 and len(known) > 1:
+            at = bits(key)
+            fits = fits & ((known[min(k, 2) - 1][at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=0)
+        yield fits, key
 
 
 def bits(keys: np.ndarray) -> np.ndarray:
@@ -111,13 +125,14 @@ def sourced(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), docs["text"].alias("text")).where("text is not null")
 
 
-def common_neighbours(docs: DataFrame, least: int) -> np.ndarray:
-    """The filter, a byte for 8 bits, of all neighbours of `least` occurrences or more; `docs` has (lang, text).
+def frequent(docs: DataFrame, least: int, words: int, known: list[np.ndarray]) -> np.ndarray:
+    """The filter, a byte for 8 bits, of all pairs of neighbours of `least` occurrences or more, or, where these are known, of all longer sequences.
 
-    A task sends its neighbours by shares, sorted, with counts cut at `least`, which changes no sum below it; a share is merged part by
-    part and only its distinct hashes are held.
+    `docs` has (lang, text). A task sends its sequences by shares, sorted, with counts cut at `least`, which changes no sum below it; a
+    share is merged part by part and only its distinct hashes are held.
     """
     kind = np.min_scalar_type(least).newbyteorder("<")
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in known]  # tables of fixed size
     form = "share int, keys binary, counts binary"
 
     def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +140,8 @@ def common_neighbours(docs: DataFrame, least: int) -> np.ndarray:
         return keys, np.minimum(np.bincount(where, np.concatenate(counts), len(keys)), least).astype(np.int64)
 
     def out(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not sum(map(len, keys)):
+            return
         keys, counts = merged(keys, counts)
         share = keys >> (HASH - SHARE)
         cuts = np.flatnonzero(np.diff(share, prepend=-1))
@@ -133,9 +150,10 @@ def common_neighbours(docs: DataFrame, least: int) -> np.ndarray:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
-        for flow, hashes, _, _ in flows(batches, 1):
-            own = neighbours(flow, hashes)
-            own, n = np.unique(own[own >= 0], return_counts=True)
+        filters = [x.value for x in sent]
+        for flow, hashes, skipped, _ in flows(batches, words):
+            found = [key[: len(flow) - skipped][fits[: len(flow) - skipped]] for fits, key in leads(flow, hashes, words if filters else 2, filters)]
+            own, n = np.unique(np.concatenate(found[min(len(filters), 1):]), return_counts=True)
             keys.append(own), counts.append(n)
             size += len(own)
             if size >= SENT:
@@ -173,22 +191,18 @@ def common_neighbours(docs: DataFrame, least: int) -> np.ndarray:
     return table.ravel()
 
 
-def windows(docs: DataFrame, words: int, table: np.ndarray) -> DataFrame:
-    """(lang, w1 .. wN, c): every word with the words that follow it, null behind the end of its piece or a cut, counted inside tasks."""
-    send = docs.sparkSession.sparkContext.broadcast(table)  # a table of fixed size
+def windows(docs: DataFrame, words: int, known: list[np.ndarray]) -> DataFrame:
+    """(lang, w1 .. wN, c): every word with the words that follow it, null behind the end of its piece or of what can be a phrase, counted inside tasks."""
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in known]  # tables of fixed size
     names_ = [f"w{k}" for k in range(1, words + 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = send.value
+        filters = [x.value for x in sent]
         for flow, hashes, skipped, names in flows(batches, words):
-            key = neighbours(flow, hashes)
-            at = bits(np.maximum(key, 0))
-            joins = (key >= 0) & ((good[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=0)
             lead = [flow]
-            for k in range(1, words):  # the k-th word behind, if all joins up to it hold
-                here = np.full(len(flow), -1, np.int32)
-                here[:-k] = np.where((lead[-1][:-k] >= 0) & joins[k - 1:], flow[k:], -1)
-                lead.append(here)
+            for k, (fits, _) in enumerate(leads(flow, hashes, words, filters), 1):
+                lead.append(np.full(len(flow), -1, np.int32))
+                lead[k][:-k] = np.where(fits, flow[k:], -1)
             starts = np.flatnonzero(flow[: len(flow) - skipped] >= 0)
             alone = starts[lead[1][starts] < 0]
             once = np.bincount(flow[alone], minlength=len(names))
@@ -216,7 +230,8 @@ def counts(docs: DataFrame, least: int = 30, words: int = 4) -> DataFrame:
     """(lang, k, phrase, f) of all phrases of 1 to `words` words with f >= `least` occurrences; k = 0 has a language's number of words."""
     names = [f"w{k}" for k in range(1, words + 1)]
     source = sourced(docs)
-    seen = windows(source, words, common_neighbours(source, least))
+    pairs = frequent(source, least, words, [])
+    seen = windows(source, words, [pairs, frequent(source, least, words, [pairs])] if words > 2 else [pairs])
     summed = seen.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     # of a prefix of k words the last words - k columns are rolled up; a pad within the prefix is no phrase
     k = reduce(lambda rest, n: F.when(F.col("g") == (1 << (words - n)) - 1, F.lit(n)).otherwise(rest), range(words + 1), F.lit(-1)).alias("k")

@@ -97,5 +97,7 @@ def test_the_filter_never_loses_a_common_pair(spark, monkeypatch):
         monkeypatch.setattr(phrases, "SENT", sent)
         found = {(r.lang, r.phrase): r.f for r in phrases.counts(frame(spark, rows)).where("k > 0").collect()}
         assert found == {("en", " ".join("qwer"[i: j])): 31 for i in range(4) for j in range(i + 1, 5)}
-        table = phrases.common_neighbours(phrases.sourced(frame(spark, rows)), 30)
-        assert len(table) == 1 << 23 and 3 <= np.unpackbits(table).sum() <= 6
+        source = phrases.sourced(frame(spark, rows))
+        pairs = phrases.frequent(source, 30, 4, [])
+        longer = phrases.frequent(source, 30, 4, [pairs])
+        assert len(pairs) == len(longer) == 1 << 23 and 3 <= np.unpackbits(pairs).sum() <= 6 and 3 <= np.unpackbits(longer).sum() <= 6

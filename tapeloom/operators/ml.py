@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import frames as fr
 from tapeloom.functions.frames import div
 from tapeloom.operators import indicators as ind
+from tapeloom.operators import linear as lm
 from tapeloom.operators import relational as rel
+from tapeloom.operators import trees as tr
 from tapeloom.operators.risk import trading_metrics
 
 FEATURES = ("returns", "volatility", "sma_20", "sma_50", "ema_12", "ema_26", "rsi", "price_to_sma_20", "price_to_sma_50", "volume_ratio", "high_low_ratio", "close_position")
@@ -47,34 +49,23 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(filled), outputCol=out, handleInvalid="error").transform(df.withColumns(filled)).drop(*filled)
 
 
-def entropy(p: Column) -> Column:
-    """Entropy of a probability array."""
-    return F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
-
-
 def forest_classifier(train: DataFrame, score: DataFrame, label: str, features: Sequence[str] = FEATURES, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
-    """Direction probability with entropy as uncertainty."""
+    """Direction with the entropy of the mean class probabilities as uncertainty."""
     m = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(train, features))
-    s = m.transform(assemble(score, features))
-    return s.withColumn("uncertainty", entropy(vector_to_array("probability"))).drop("features", "rawPrediction", "probability")
+    return tr.scored(score, tr.flatten(m, train.sparkSession, classes=True), features, "class")
 
 
 def forest_regressor(train: DataFrame, score: DataFrame, label: str, features: Sequence[str] = FEATURES, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """Expected value with the deviation over the single trees as uncertainty."""
     m = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(train, features))
-    s = m.transform(assemble(score, features))
-    for i, tree in enumerate(m.trees):
-        s = tree.setPredictionCol(f"_p{i}").transform(s)
-    ps = F.array(*[f"_p{i}" for i in range(trees)])
-    mean = F.aggregate(ps, F.lit(0.0), lambda a, x: a + x) / trees
-    s = s.withColumn("_m", mean)
-    var = F.aggregate(ps, F.lit(0.0), lambda a, x: a + (x - F.col("_m")) ** 2) / trees
-    return s.withColumn("uncertainty", F.sqrt(var)).drop("features", "_m", *[f"_p{i}" for i in range(trees)])
+    return tr.scored(score, tr.flatten(m, train.sparkSession), features, "mean")
 
 
 def boosted(train: DataFrame, score: DataFrame, label: str, features: Sequence[str] = FEATURES, rounds: int = 50, depth: int = 5, classify: bool = False, seed: int = 42) -> DataFrame:
+    """Boosted trees: the weighted sum, or for classes whether it is positive."""
     est = (GBTClassifier if classify else GBTRegressor)(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed)
-    return est.fit(assemble(train, features)).transform(assemble(score, features)).drop("features", "rawPrediction", "probability")
+    m = est.fit(assemble(train, features))
+    return tr.scored(score, tr.flatten(m, train.sparkSession), features, "sign" if classify else "sum").drop("uncertainty")
 
 
 def time_folds(df: DataFrame, k: int, ts: str = "ts") -> DataFrame:
@@ -83,17 +74,10 @@ def time_folds(df: DataFrame, k: int, ts: str = "ts") -> DataFrame:
     return df.join(dates, ts)
 
 
-def cross_validate(df: DataFrame, label: str, features: Sequence[str], k: int = 4) -> DataFrame:
-    """One row per fold from the second on: linear model trained on the earlier folds, error on the fold."""
-    d = assemble(time_folds(df.filter(F.col(label).isNotNull()), k), features)
-    out = None
-    for i in range(2, k + 1):
-        m = LinearRegression(labelCol=label, regParam=0.1).fit(d.filter(F.col("fold") < i))
-        s = m.transform(d.filter(F.col("fold") == i))
-        e = F.col("prediction") - F.col(label)
-        row = s.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("rows"), F.avg(e * e).alias("mse"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def cross_validate(df: DataFrame, label: str, features: Sequence[str], k: int = 4, penalty: float = 0.1) -> DataFrame:
+    """(fold, rows, mse) of every fold from the second on: the ridge of all earlier folds, its error on the fold. One scan for all folds."""
+    found = lm.gather(time_folds(df.filter(F.col(label).isNotNull()), k), features, label, F.col("fold"))
+    return df.sparkSession.createDataFrame(lm.expanding_errors(found, penalty), "fold int, rows long, mse double")
 
 
 # Ensembles -----------------------------------------------------------------------------------------------------
@@ -129,21 +113,15 @@ def smooth_weights(old: DataFrame, perf: DataFrame) -> DataFrame:
     return j.select("model", F.when((total > 0) & F.col("performance").isNotNull(), fresh).otherwise(F.col("weight")).alias("weight"))
 
 
-def stacked(train: DataFrame, label: str, features: Sequence[str], key: str, k: int = 3) -> DataFrame:
-    """Out-of-fold predictions of two base models as inputs of a second-stage linear model; folds by key hash."""
-    d = assemble(train.filter(F.col(label).isNotNull()), features).withColumn("_f", F.pmod(F.xxhash64(key), F.lit(k)))
-    bases = {"linear": LinearRegression(labelCol=label, regParam=0.1), "forest": RandomForestRegressor(labelCol=label, numTrees=10, maxDepth=5, seed=42)}
-    parts = []
-    for f in range(k):
-        hold = d.filter(F.col("_f") == f)
-        for name, est in bases.items():
-            hold = est.setPredictionCol(f"p_{name}").fit(d.filter(F.col("_f") != f)).transform(hold)
-        parts.append(hold.select(key, label, *[f"p_{n}" for n in bases]))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    x = assemble(oof, [f"p_{n}" for n in bases], "stage")
-    return LinearRegression(labelCol=label, featuresCol="stage").fit(x).transform(x).drop("stage")
+def stacked(train: DataFrame, label: str, models: dict[str, tuple[Sequence[str], float]], key: str, k: int = 3, fold: Column | None = None) -> DataFrame:
+    """Rows with a label, the out-of-fold prediction of every base model, the second stage over them, and the blend by fold-score weights.
+
+    `models`: name to (columns, penalty). Folds are by key hash unless given. All models come from one aggregate.
+    """
+    fold = F.pmod(F.xxhash64(key), F.lit(k)) if fold is None else fold
+    d = train.filter(F.col(label).isNotNull())
+    features = list(dict.fromkeys(f for own, _ in models.values() for f in own))
+    return lm.score_ensemble(d, lm.ensemble(lm.gather(d, features, label, fold), features, models), fold)
 
 
 def walk_forward(returns: DataFrame, origin: str, train_days: int = 180, test_days: int = 60, expanding: bool = False) -> DataFrame:
@@ -217,17 +195,15 @@ def clean_features(df: DataFrame, cols: Sequence[str], most_null: float = 0.5, l
 
 def correlation_selection(df: DataFrame, cols: Sequence[str], target: str, threshold: float = 0.1, most: int = 100) -> DataFrame:
     """Absolute correlation of every feature with the target; those at the threshold, best first, at most ``most``."""
-    d = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols])
-    g = d.unpivot(["_y"], list(cols), "feature", "value").groupBy("feature").agg(F.abs(F.corr("value", "_y")).alias("score"))
+    g = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c) for c in cols])
+    g = g.unpivot([], list(cols), "feature", "score")
     return g.filter(F.col("score") >= threshold).orderBy(F.desc("score"), "feature").limit(most)
 
 
 def f_test_selection(df: DataFrame, cols: Sequence[str], target: str, k: int) -> DataFrame:
-    """k features with the highest F statistic against a class target."""
-    d = assemble(df.filter(F.col(target).isNotNull()), cols)
-    sel = UnivariateFeatureSelector(featuresCol="features", labelCol=target, selectionMode="numTopFeatures", outputCol="chosen")
-    m = sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k).fit(d)
-    return df.sparkSession.createDataFrame([(cols[i],) for i in m.selectedFeatures], "feature string")
+    """k features with the highest F statistic against a class target, by name where equal."""
+    found = sorted(lm.analysis_of_variance(df, cols, target).items(), key=lambda x: (-x[1], x[0]))[:k]
+    return df.sparkSession.createDataFrame(found, "feature string, score double")
 
 
 def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10) -> DataFrame:
@@ -243,23 +219,65 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: in
     return j.withColumn("_t", F.col("n") / n * F.ln(F.col("n") * n / (px * py))).groupBy("feature").agg(F.sum("_t").alias("score"))
 
 
-def model_selection(df: DataFrame, cols: Sequence[str], target: str, method: str, k: int) -> DataFrame:
-    """Features by lasso, forest importance, or recursive elimination of the weakest scaled coefficient."""
-    d = df.filter(F.col(target).isNotNull())
-    names = list(cols)
-    if method == "forest":
-        imp = RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=42).fit(assemble(d, names)).featureImportances.toArray()
-    elif method == "lasso":
-        imp = abs(LinearRegression(labelCol=target, regParam=0.01, elasticNetParam=1.0).fit(assemble(d, names)).coefficients.toArray())
-    else:
-        sd = d.agg(*[F.stddev_samp(c).alias(c) for c in names]).first()
-        while len(names) > k:
-            co = LinearRegression(labelCol=target, regParam=0.01).fit(assemble(d, names)).coefficients.toArray()
-            weakest = min(range(len(names)), key=lambda i: abs(co[i]) * (sd[names[i]] or 0.0))
-            names.pop(weakest)
-        imp = [1.0] * len(names)
-    rows = sorted(((n, float(v)) for n, v in zip(names, imp) if v > 0), key=lambda r: (-r[1], r[0]))[:k]
-    return df.sparkSession.createDataFrame(rows, "feature string, score double")
+def lasso_selection(df: DataFrame, cols: Sequence[str], target: str, fold: Column, least: float = 0.0) -> tuple[DataFrame, lm.Linear, float]:
+    """Features whose lasso coefficient is over `least` in size, largest first; with the model and its cross-validated penalty."""
+    model, penalty = lm.cross_validated_lasso(lm.gather(df, cols, target, fold))
+    found = sorted(((c, abs(float(b))) for c, b in zip(cols, model.coefficients, strict=True) if abs(b) > least), key=lambda x: (-x[1], x[0]))
+    return df.sparkSession.createDataFrame(found, "feature string, score double"), model, penalty
+
+
+def lasso_conditions(df: DataFrame, cols: Sequence[str], target: str, model: lm.Linear, penalty: float, tolerance: float = 1e-7) -> DataFrame:
+    """(feature, optimal): whether the slope of the error along each coefficient is what the penalty allows, counted on the rows."""
+    d = df.filter(F.col(target).isNotNull()).select(*[lm.number(c).alias(c) for c in cols], (F.col(target).cast("double") - model.column(cols)).alias("_rest"))
+    g = d.agg(*[F.covar_pop(c, "_rest").alias(c) for c in cols], F.stddev_pop("_rest").alias("_s"), *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(cols)])
+    rows = []
+    for i, (c, b) in enumerate(zip(cols, model.coefficients, strict=True)):
+        slack = tolerance * (F.col("_s") * F.col(f"_s{i}") + penalty)
+        fine = F.abs(F.col(c)) <= penalty + slack if b == 0 else F.abs(F.col(c) - float(np.sign(b)) * penalty) <= slack
+        rows.append(F.struct(F.lit(c).alias("feature"), fine.alias("optimal")))
+    return g.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def forest_importance(df: DataFrame, cols: Sequence[str], target: str, classify: bool = False, trees: int = 50, depth: int = 5, seed: int = 42) -> dict[str, float]:
+    d = assemble(df.filter(F.col(target).isNotNull()), cols)
+    m = (RandomForestClassifier if classify else RandomForestRegressor)(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(d)
+    return dict(zip(cols, map(float, m.featureImportances.toArray()), strict=True))
+
+
+def forest_selection(df: DataFrame, cols: Sequence[str], target: str, k: int, **how: int) -> DataFrame:
+    """The k features of highest forest importance."""
+    found = sorted(forest_importance(df, cols, target, **how).items(), key=lambda x: (-x[1], x[0]))[:k]
+    return df.sparkSession.createDataFrame(found, "feature string, score double")
+
+
+def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, fold: Column, folds: int = 3, classify: bool = False, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, rank, kept): the weakest by forest importance goes, one a round; as many stay as have the lowest error on folds left out.
+
+    Each fold eliminates by its own training rows; the number with the best mean score decides, fewer features where equal. `rank` is 1
+    for kept features, then the order in which the others went, last out first.
+    """
+    d = df.filter(F.col(target).isNotNull()).select(*[lm.number(c).alias(c) for c in cols], F.col(target), fold.cast("int").alias("_fold"))
+    y = F.col(target).cast("double")
+    est = RandomForestClassifier if classify else RandomForestRegressor
+
+    def rounds(train: DataFrame, test: DataFrame | None) -> tuple[list[str], dict[int, float]]:
+        left, out, errors = list(cols), [], {}
+        while left:
+            m = est(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(train, left))
+            if test is not None:
+                s = tr.scored(test, tr.flatten(m, df.sparkSession, classes=classify), left, "class" if classify else "mean")
+                wrong = (F.col("prediction") != y).cast("double") if classify else (F.col("prediction") - y) ** 2
+                errors[len(left)] = s.agg(F.avg(wrong)).first()[0] or 0.0
+            weight = dict(zip(left, m.featureImportances.toArray(), strict=True))
+            out.append(min(left, key=lambda c: (weight[c], c)))
+            left.remove(out[-1])
+        return out, errors
+
+    scores = [rounds(d.filter(F.col("_fold") != f), d.filter(F.col("_fold") == f))[1] for f in range(folds)]
+    best = min(range(1, len(cols) + 1), key=lambda n: (sum(s[n] for s in scores), n))
+    order = rounds(d, None)[0][::-1]
+    rows = [(c, 1 if i < best else i - best + 2, i < best) for i, c in enumerate(order)]
+    return df.sparkSession.createDataFrame(rows, "feature string, rank int, kept boolean")
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:

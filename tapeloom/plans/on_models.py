@@ -1,4 +1,4 @@
-"""Model queries. Trained models are compared by rows only; everything that is an aggregate has its SQL."""
+"""Model queries. Linear models have the same normal equations in SQL; forests and the lasso are compared by facts that any right result has."""
 
 from __future__ import annotations
 
@@ -29,11 +29,64 @@ q("m01_feature_table", lambda t: ml.feature_table(t.bars()), "symbol ts returns:
 FEW = ("rsi", "iv", "volatility", "momentum_score", "sentiment")
 numeric = lambda t: t.feats().withColumn("value_", F.col("expected_return") + F.col("sentiment") / 4).withColumn("up", (F.col("prediction") > 0).cast("int")).drop("prediction")
 split = lambda t: (numeric(t).filter("event_id % 4 <> 0"), numeric(t).filter("event_id % 4 = 0"))
-q("m02_forest_direction", lambda t: ml.forest_classifier(*split(t), "up", FEW), "event_id:l prediction:4 uncertainty:4")
-q("m02_forest_target", lambda t: ml.forest_regressor(*split(t), "value_", FEW), "event_id:l prediction:4 uncertainty:4")
-q("m03_boosted_trees", lambda t: ml.boosted(*split(t), "value_", FEW), "event_id:l prediction:4")
+HELD = "SELECT event_id, {} FROM feats WHERE event_id % 4 = 0"
+
+
+def judged(model, t):
+    """Rows not trained on with what every tree model must keep to: predictions near the labels' range, and on its own rows an error below that of their mean."""
+    train, test = split(t)
+    known = train.agg(F.min("value_"), F.max("value_"), F.var_pop("value_")).first()
+    s = model(train, numeric(t), "value_", FEW)
+    own = s.filter("event_id % 4 <> 0").agg(F.avg((F.col("prediction") - F.col("value_")) ** 2) < known[2]).scalar()
+    return s.filter("event_id % 4 = 0").withColumns({"beats_mean": own, "gap": F.greatest(F.col("prediction") - known[1], known[0] - F.col("prediction")) / (known[1] - known[0])})
+
+
+def direction(t):
+    train, test = split(t)
+    s = ml.forest_classifier(train, test, "up", FEW)
+    return s.withColumns({"is_class": F.col("prediction").isin(0.0, 1.0), "entropy_fits": F.col("uncertainty").between(0.0, math.log(2) + 1e-9), "label": F.col("up")})
+
+
+def target(t):
+    return judged(ml.forest_regressor, t).withColumns({"in_range": F.col("gap") <= 1e-9, "deviates": F.col("uncertainty") >= 0})
+
+
+q("m02_forest_direction", direction, "event_id:l is_class:b entropy_fits:b label:l", HELD.format("true AS is_class, true AS entropy_fits, CASE WHEN prediction > 0 THEN 1 ELSE 0 END AS label"))
+q("m02_forest_target", target, "event_id:l in_range:b beats_mean:b deviates:b", HELD.format("true AS in_range, true AS beats_mean, true AS deviates"))
+q("m03_boosted_trees", lambda t: judged(ml.boosted, t).withColumn("in_range", F.col("gap") <= 1), "event_id:l in_range:b beats_mean:b", HELD.format("true AS in_range, true AS beats_mean"))
 q("m04_time_folds", lambda t: ml.time_folds(t.bars().select("symbol", "ts"), 5), "symbol ts fold:l", "SELECT symbol, b.ts, fold FROM bars b JOIN (SELECT ts, ntile(5) OVER (ORDER BY ts) AS fold FROM (SELECT DISTINCT ts FROM bars) d) f ON b.ts = f.ts")
-q("m04_cross_validation", lambda t: ml.cross_validate(numeric(t), "value_", FEW, 4), "fold:l rows:l mse:5")
+
+
+def moments_sql(features, label, source, where, group):
+    """One row: means and population covariances of the features and the label over the rows of `source`."""
+    cols = [*features, label]
+    parts = [f"avg({c}) AS m{i}" for i, c in enumerate(cols)]
+    parts += [f"covar_pop({cols[i]}, {cols[j]}) AS c{i}_{j}" for i in range(len(features)) for j in range(i, len(cols))]
+    return f"SELECT {group} AS g, {', '.join(parts)} FROM {source} WHERE {where}"
+
+
+def solved_sql(moments, n, penalty):
+    """g, b0 .. b<n-1> and the intercept a of the ridge for each row of moments, by elimination."""
+    c = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    first = ", ".join(f"{c(i, j)}{f' * {1 + penalty}' if i == j else ''} AS a{i}_{j}" for i in range(n) for j in range(n + 1))
+    means = ", ".join(f"m{i}" for i in range(n + 1))
+    sql = f"SELECT g, {means}, {first} FROM ({moments}) z"
+    for k in range(n):
+        cells = ", ".join(f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(n) for j in range(k + 1, n + 1))
+        sql = f"SELECT g, {means}, {cells} FROM ({sql}) z"
+    b = ", ".join(f"a{i}_{n} AS b{i}" for i in range(n))
+    return f"SELECT g, {b}, m{n} - ({' + '.join(f'a{i}_{n} * m{i}' for i in range(n))}) AS a FROM ({sql}) z"
+
+
+def predicted(features, model):
+    return " + ".join([f"{model}.a", *(f"{model}.b{i} * {f}" for i, f in enumerate(features))])
+
+
+VALUED = "SELECT *, expected_return + sentiment / 4 AS value_ FROM feats"
+q("m04_cross_validation", lambda t: ml.cross_validate(numeric(t), "value_", FEW, 4), "fold:l rows:l mse:5", f"""
+WITH d AS (SELECT v.*, fold FROM ({VALUED}) v JOIN (SELECT ts, ntile(4) OVER (ORDER BY ts) AS fold FROM (SELECT DISTINCT ts FROM feats) x) f ON v.ts = f.ts),
+m AS ({solved_sql(' UNION ALL '.join(moments_sql(FEW, 'value_', 'd', f'fold < {i}', i) for i in (2, 3, 4)), len(FEW), 0.1)})
+SELECT fold, count(*) AS rows, avg(pow({predicted(FEW, 'm')} - value_, 2)) AS mse FROM d JOIN m ON d.fold = m.g GROUP BY 1""")
 perf = lambda t: t.runs().groupBy(F.col("condition").alias("target"), "model").agg(F.avg("accuracy").alias("accuracy"), F.avg(F.col("latency") / 10).alias("mse")).withColumn("is_direction", F.col("target") == "C0")
 PERF = "SELECT condition AS target, model, avg(accuracy) AS accuracy, avg(latency / 10) AS mse, condition = 'C0' AS is_direction FROM runs GROUP BY 1, 2"
 WTS = f"SELECT target, model, w / sum(w) OVER (PARTITION BY target) AS weight FROM (SELECT *, CASE WHEN is_direction THEN greatest(0.1, accuracy) ELSE greatest(0.1, 1 / (1 + mse)) END AS w FROM ({PERF}) p) x"
@@ -60,12 +113,37 @@ c AS (SELECT abs(corr(p, v)) AS pv, abs(corr(p, w)) AS pw, abs(corr(v, w)) AS vw
 SELECT 'price' AS column_name, np AS null_share, 0 AS highest_corr, true AS kept FROM n UNION ALL SELECT 'volume', nv, pv, pv <= 0.95 FROM n, c UNION ALL SELECT 'twice', nv, greatest(pw, vw), greatest(pw, vw) <= 0.95 FROM n, c UNION ALL SELECT 'mostly_null', nm, 0, false FROM n""")
 q("m09_correlation_selection", lambda t: ml.correlation_selection(numeric(t), FEW, "value_", 0.01), "feature score:5", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, abs(corr({f}, expected_return + sentiment / 4)) AS score FROM feats HAVING abs(corr({f}, expected_return + sentiment / 4)) >= 0.01" for f in FEW))
-q("m10_f_test_selection", lambda t: ml.f_test_selection(numeric(t), list(FEW), "up", 3), "feature")
+ANOVA = lambda f: f"""SELECT '{f}' AS feature, sum(n * pow(m - w, 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS score FROM (
+ SELECT CASE WHEN prediction > 0 THEN 1 ELSE 0 END AS up, count(*)::DOUBLE AS n, avg({f}) AS m, var_pop({f}) AS v FROM feats GROUP BY 1) c, (SELECT avg({f}) AS w FROM feats) a"""
+q("m10_f_test_selection", lambda t: ml.f_test_selection(numeric(t), list(FEW), "up", 3), "feature score:3", "SELECT * FROM (" + " UNION ALL ".join(ANOVA(f) for f in FEW) + ") x ORDER BY score DESC LIMIT 3")
 MI = lambda f: f"""SELECT '{f}' AS feature, sum(n / tot * ln(n * tot / (px * py))) AS score FROM (SELECT n, sum(n) OVER () AS tot, sum(n) OVER (PARTITION BY b) AS px, sum(n) OVER (PARTITION BY y) AS py FROM (
  SELECT least(floor(({f} - lo) * 10 / (hi - lo)), 9) AS b, CASE WHEN prediction > 0 THEN 1 ELSE 0 END AS y, count(*)::DOUBLE AS n FROM feats, (SELECT min({f}) AS lo, max({f}) AS hi FROM feats) m GROUP BY 1, 2) a) b"""
 q("m11_mutual_information", lambda t: ml.mutual_information(numeric(t), FEW, "up"), "feature score:6", " UNION ALL ".join(MI(f) for f in FEW))
-for how in ("lasso", "forest", "elimination"):
-    q(f"m12_selection_{how}", lambda t, how=how: ml.model_selection(numeric(t), FEW, "value_", how, 3), "feature score:4")
+FOLD = "event_id % 3"
+
+
+def lasso(t):
+    d = numeric(t)
+    found, model, penalty = ml.lasso_selection(d, FEW, "value_", F.expr(FOLD))
+    on_path = float(max(abs(m) for m in ml.lm.total(ml.lm.gather(d, FEW, "value_", F.expr(FOLD)).values(), len(FEW) + 1).products[:-1, -1])) / d.count()
+    facts = ml.lasso_conditions(d, FEW, "value_", model, penalty)
+    return facts.join(found, "feature", "left").withColumns({"highest_penalty": F.lit(on_path), "penalty_fits": F.lit(on_path * 1e-3 * (1 - 1e-9) <= penalty <= on_path * (1 + 1e-9))})
+
+
+def forest(t):
+    s = ml.forest_selection(numeric(t), FEW, "value_", 3)
+    return s.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("feature").alias("features"), F.min(F.col("score").between(0, 1)).alias("shares"), (F.sum("score") <= 1 + 1e-9).alias("at_most_one"), F.max(F.col("feature").isin("sentiment")).alias("has_sentiment"))
+
+
+def elimination(t):
+    s = ml.recursive_elimination(numeric(t), FEW, "value_", F.expr(FOLD), trees=20)
+    return s.select("feature", F.col("rank").between(1, len(FEW)).alias("ranked"), (F.col("kept") == (F.col("rank") == 1)).alias("consistent"), F.when(F.col("feature") == "sentiment", F.col("kept")).alias("sentiment_kept"))
+
+
+EACH = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in FEW)
+q("m12_selection_lasso", lasso, "feature optimal:b highest_penalty:5 penalty_fits:b", f"SELECT feature, true AS optimal, greatest({', '.join(f'abs(covar_pop({f}, value_))' for f in FEW)}) AS highest_penalty, true AS penalty_fits FROM ({VALUED}) v, ({EACH}) e GROUP BY feature")
+q("m12_selection_forest", forest, "rows:l features:l shares:b at_most_one:b has_sentiment:b", "SELECT 3 AS rows, 3 AS features, true AS shares, true AS at_most_one, true AS has_sentiment")
+q("m12_selection_elimination", elimination, "feature ranked:b consistent:b sentiment_kept:b", f"SELECT feature, true AS ranked, true AS consistent, CASE WHEN feature = 'sentiment' THEN true END AS sentiment_kept FROM ({EACH}) e")
 q("m13_standard_scale", lambda t: ml.standard_scale(t.feats(), ("rsi", "premium")), "event_id:l rsi_scaled:5 premium_scaled:5", """
 SELECT event_id, (rsi - m1) / s1 AS rsi_scaled, (premium - m2) / s2 AS premium_scaled FROM feats, (SELECT avg(rsi) AS m1, stddev_pop(rsi) AS s1, avg(premium) AS m2, stddev_pop(premium) AS s2 FROM feats) x""")
 q("m13_robust_scale", lambda t: ml.robust_scale(t.feats(), ("rsi", "premium")), "event_id:l rsi_robust:5 premium_robust:5", """
@@ -89,7 +167,26 @@ q("m17_mean_vector_drift", lambda t: ml.mean_vector_drift(*[t.feats().filter(c).
   "SELECT 1 - abs(corr(a, b)) AS drift_score FROM (" + " UNION ALL ".join(f"SELECT avg(CASE WHEN event_id % 2 = 0 THEN {c} END) AS a, avg(CASE WHEN event_id % 2 = 1 THEN {c} END) AS b FROM feats" for c in DC) + ") x")
 q("m18_drift_decision", lambda t: ml.drift_decision(ml.ks_statistics(*halves(t)), "ks", *[h.agg(F.count(F.lit(1))).scalar() for h in halves(t)], threshold=0.005), "drift_score:6 drift_detected:b status",
   f"SELECT avg(ks) AS drift_score, avg(ks) > 0.005 AS drift_detected, 'ok' AS status FROM ({KS('price')} UNION ALL {KS('volume')}) x")
-q("m19_stacked_ensemble", lambda t: ml.stacked(numeric(t), "value_", FEW, "event_id"), "event_id:l p_linear:4 p_forest:4 prediction:4")
+BASES = {"trend": (("rsi", "momentum_score"), 0.0), "value": (("iv", "volatility", "sentiment"), 0.1)}
+
+
+def ensemble_sql():
+    """Both base models without each fold and on all rows, their errors, the second stage and the blend."""
+    ctes, out, whole = [f"d AS (SELECT *, event_id % 3 AS fold FROM ({VALUED}) v)"], [], []
+    for n, (own, penalty) in BASES.items():
+        ctes.append(f"m_{n} AS ({solved_sql(' UNION ALL '.join(moments_sql(own, 'value_', 'd', f'fold <> {i}', i) for i in range(3)), len(own), penalty)})")
+        ctes.append(f"w_{n} AS ({solved_sql(moments_sql(own, 'value_', 'd', 'true', 0), len(own), penalty)})")
+        out.append(f"{predicted(own, 'm_' + n)} AS p_{n}")
+        whole.append(f"{predicted(own, 'w_' + n)} AS q_{n}")
+    ctes.append(f"p AS (SELECT d.*, {', '.join(out + whole)} FROM d {' '.join(f'JOIN m_{n} ON m_{n}.g = d.fold CROSS JOIN w_{n}' for n in BASES)})")
+    ctes.append(f"e AS (SELECT {', '.join(f'1 / (avg(e_{n}) + 1e-8) AS e_{n}' for n in BASES)} FROM (SELECT fold, {', '.join(f'avg(pow(p_{n} - value_, 2)) AS e_{n}' for n in BASES)} FROM p GROUP BY 1) x)")
+    ctes.append(f"s AS ({solved_sql(moments_sql([f'p_{n}' for n in BASES], 'value_', 'p', 'true', 0), len(BASES), 0.0)})")
+    sum_ = " + ".join(f"e_{n}" for n in BASES)
+    blend = " + ".join(f"q_{n} * e_{n}" for n in BASES)
+    return f"WITH {', '.join(ctes)} SELECT event_id, {', '.join(f'p_{n}' for n in BASES)}, {predicted([f'p_{n}' for n in BASES], 's')} AS stacked, ({blend}) / ({sum_}) AS blended FROM p, e, s"
+
+
+q("m19_stacked_ensemble", lambda t: ml.stacked(numeric(t), "value_", BASES, "event_id", fold=F.expr(FOLD)), "event_id:l p_trend:5 p_value:5 stacked:5 blended:5", ensemble_sql())
 WF = "SELECT symbol, CAST(floor((date_diff('day', DATE '1995-01-01', CAST(ts AS DATE)) - 180) / 60e0) AS BIGINT) AS w, ts, r FROM strategy"
 q("m20_walk_forward", lambda t: ml.walk_forward(t.strategy(), "1995-01-01").withColumnRenamed("window", "window_"), "symbol window_:l total_return:5 win_rate:6 var_95:6 max_drawdown:6 train_from:l train_to:l", f"""
 WITH x AS (SELECT * FROM ({WF}) z WHERE w >= 0), g AS (SELECT symbol, w, exp(sum(ln(1 + r))) - 1 AS tr, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS wr, quantile_cont(r, 0.05) AS q FROM x GROUP BY 1, 2),

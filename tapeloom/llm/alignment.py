@@ -23,20 +23,22 @@ import pyarrow as pa
 import regex
 import sentencepiece
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.bpe import PART, ids
+from tapeloom.llm.bpe import ids
 from tapeloom.llm.common import slices, stored, texts
 from tapeloom.llm.tokens import PATTERN, SPACE, byte_letters
 
 SAFE = regex.compile(rf"(?<=[^{SPACE[1:-1]}▁]) (?=[\s\S])")
+END = regex.compile(rf"[{SPACE[1:-1]}▁]\Z|\A\Z")
 #: Texts in which some space is not such a place.
 ODD = regex.compile(rf"(?:^|[{SPACE[1:-1]}▁]) | $")
 BYTE = regex.compile(r"<0x([0-9A-F]{2})>")
 #: Tokens of a chunk (a slice of documents may go over it), and the links that are written out one by one in a group.
-CHUNK, PLAIN = 1 << 22, 64
+CHUNK, PLAIN = 1 << 20, 64
 FIELDS = ("words", "n_words", "a", "b", "na", "nb", "la", "lb", "lg")
 
 
@@ -75,37 +77,74 @@ def segments(text: str, cuts: bool = True) -> list[str]:
     return SAFE.split(text) if ODD.search(text) else text.split(" ")
 
 
-def groups(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[list[int], list[int]]:
-    """How many ids of a and of b each group has."""
-    if len(a) == 1 or len(b) == 1:
-        return [len(a)], [len(b)]
-    ends_a, ends_b = (dict(zip(accumulate(map(len, raw)), count(1), strict=False)) for raw in (bytes_a, bytes_b))
-    common = sorted(ends_a.keys() & ends_b.keys())
-    upto = ([0, *map(e.__getitem__, common)] for e in (ends_a, ends_b))
-    return tuple([y - x for x, y in zip(u, u[1:], strict=False)] for u in upto)
+class Encoded(NamedTuple):
+    """Segments one behind the other: ids of both sides, sizes of the groups, and how many of each a segment has; which segments have none for want of equal bytes."""
+
+    a: np.ndarray
+    b: np.ndarray
+    na: np.ndarray
+    nb: np.ndarray
+    la: np.ndarray
+    lb: np.ndarray
+    lg: np.ndarray
+    good: np.ndarray
+
+
+def joined(parts: list[Encoded]) -> Encoded:
+    return Encoded(*(np.concatenate([p[k] for p in parts]) for k in range(len(Encoded._fields))))
+
+
+def encode(pair: Pair, words: list[str]) -> Encoded:
+    """Each segment with a space before it by A, the segment by B. They are encoded as one text, for a token ends at each of their ends.
+
+    Where the bytes of all don't agree, halves are looked at by themselves, down to the segments without tokens. A segment that ends in
+    white space stands only at the end of a text and is encoded alone.
+    """
+    alone = len(words) == 1
+    if not alone and (not pair.cuts or any(map(END.search, words))):
+        runs: list[list[str]] = [[]]
+        for w in words:
+            if pair.cuts and not END.search(w):
+                runs[-1].append(w)
+            else:
+                runs += [[w], []]
+        return joined([encode(pair, r) for r in runs if r])
+    text = " ".join(words)
+    a, b = ids(pair.enc, " " + text).astype(np.int64), np.array(pair.pieces.encode(text, num_threads=1), np.int64)
+    bytes_a, bytes_b, raw = list(map(pair.a.__getitem__, a.tolist())), list(map(pair.b.__getitem__, b.tolist())), (" " + text).encode()
+    ends = np.cumsum([1 + len(w.encode()) for w in words])
+    if b"".join(bytes_a) == raw == b"".join(bytes_b):
+        ends_a, ends_b = (dict(zip(accumulate(map(len, own)), count(1), strict=False)) for own in (bytes_a, bytes_b))
+        common = sorted(ends_a.keys() & ends_b.keys())
+        upto_a, upto_b = (np.fromiter(map(e.__getitem__, common), np.int64, len(common)) for e in (ends_a, ends_b))
+        at = np.searchsorted(common, ends)
+        if (np.array(common)[np.minimum(at, len(common) - 1)] == ends).all():
+            sizes = (np.diff(x, prepend=0) for x in (upto_a[at], upto_b[at], at + 1))
+            return Encoded(a, b, np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0), *sizes, np.ones(len(words), bool))
+    if alone:
+        none = np.zeros(0, np.int64)
+        return Encoded(none, none, none, none, none, none, none, np.zeros(1, bool))
+    half = len(words) // 2
+    return joined([encode(pair, words[:half]), encode(pair, words[half:])])
 
 
 class Chunk:
     """Documents as numbers of distinct segments, and the segments' ids and groups."""
 
     def __init__(self, pair: Pair) -> None:
-        self.pair, self.number, self.lists, self.tokens, self.docs = pair, {}, {f: [] for f in FIELDS[2:]}, 0, []
+        self.pair, self.number, self.parts, self.tokens, self.docs = pair, {}, [], 0, []
+        self.size = 0
         self.words: list[np.ndarray] = []
 
     def add(self, doc_ids: list, texts_: list[str]) -> None:
         cut = [segments(t, self.pair.cuts) for t in texts_]
         new = list({w for ws in cut for w in ws if w not in self.number})
-        for w, b in zip(new, self.pair.pieces.encode(new, num_threads=1), strict=True):
-            whole = " " + w
-            a = self.pair.enc.encode_ordinary(whole) if len(w) <= PART else ids(self.pair.enc, whole).tolist()
-            bytes_a, bytes_b, raw = [self.pair.a[i] for i in a], [self.pair.b[i] for i in b], whole.encode()
-            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-                self.number[w] = -1
-                continue
-            self.number[w] = len(self.lists["la"])
-            na, nb = groups(a, b, bytes_a, bytes_b)
-            for f, x in zip(FIELDS[2:], (a, b, na, nb, [len(a)], [len(b)], [len(na)]), strict=True):
-                self.lists[f] += x
+        if new:
+            found = encode(self.pair, new)
+            own = np.where(found.good, self.size + np.cumsum(found.good) - 1, -1)
+            self.number.update(zip(new, own.tolist(), strict=True))
+            self.parts.append(found)
+            self.size += len(found.la)
         for d, ws in zip(doc_ids, cut, strict=True):
             found = np.fromiter(map(self.number.__getitem__, ws), np.int32, len(ws))
             self.words.append(found[:0] if (found < 0).any() else found)
@@ -114,11 +153,13 @@ class Chunk:
 
     def fields(self) -> list[bytes]:
         flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int32)
-        return [x.astype("<i4").tobytes() for x in (flat, np.array([len(w) for w in self.words]), *(np.array(v) for v in self.lists.values()))]
+        whole = joined(self.parts)[:7] if self.parts else [np.zeros(0, np.int32)] * 7
+        pack = zstandard.ZstdCompressor(level=1)
+        return [pack.compress(x.astype("<i4").tobytes()) for x in (flat, np.array([len(w) for w in self.words]), *whole)]
 
 
 def chunked(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
-    """(chunk, docs, then FIELDS as little-endian 32-bit integers): a row a chunk. Write it before going on: chunk is made up."""
+    """(chunk, docs, then FIELDS as compressed little-endian 32-bit integers): a row a chunk. Write it before going on: chunk is made up."""
     source = texts(docs)
     kind = source.schema["doc_id"]
 
@@ -177,7 +218,8 @@ def held(f: dict[str, np.ndarray], who: np.ndarray, keys: np.ndarray) -> tuple[n
 
 
 def read(row: dict) -> dict[str, np.ndarray]:
-    return {f: np.frombuffer(row[f], "<i4").astype(np.int64) for f in FIELDS}
+    unpack = zstandard.ZstdDecompressor()
+    return {f: np.frombuffer(unpack.decompress(row[f]), "<i4").astype(np.int64) for f in FIELDS}
 
 
 def chunk_pairs(chunks: DataFrame, width: int) -> DataFrame:

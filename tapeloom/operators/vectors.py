@@ -47,6 +47,7 @@ def similar(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "l
             "distance": np.take_along_axis(dist, top, axis=1).ravel(),
         })
 
+    q, v = q.toDF(*q.columns), v.toDF(*v.columns)  # columns of their own where both come from one table
     parts = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, "query_id bigint, vec_id bigint, distance double")
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import text as tx
+from tapeloom.operators import vector_index as vx
 from tapeloom.operators import vectors as vc
 from tapeloom.plans.registry import NUDGE, Query
 
@@ -85,6 +86,25 @@ SELECT query_id, vec_id, s AS score, rank_ FROM (SELECT *, row_number() OVER (PA
  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / ({NRM('a')} * {NRM('b')}) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) x) y WHERE rank_ <= 3""")
 
 
+def indexed(t, metric, k):
+    """A query's k neighbours by the index, and for all queries: is recall 0.9 or more, were under a tenth of the vectors read, are the scores exact?"""
+    v, qs = vecs(t), qvecs(t)
+    ix = vx.fit(v, metric=metric)
+    hits, exact = vx.search(qs, vx.assign(v, ix), ix, k), vc.similar(qs, v, k, metric)
+    enough = vx.recall(hits, exact).select(F.col("recall") >= 0.9).scalar()
+    own = v.select("vec_id", F.col("embedding").alias("e")).join(hits, "vec_id").join(qs, "query_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    off = dot("e", "e") + dot("embedding", "embedding") - 2 * dot("e", "embedding") if metric == "l2" else 1 - dot("e", "embedding") / F.sqrt(dot("e", "e") * dot("embedding", "embedding"))
+    g = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max(F.abs(1 - F.col("score") - off) < 1e-6).alias("scores_exact"))
+    few = v.agg(F.count(F.lit(1)) * 0.1 > k * 8).scalar()
+    return g.withColumns({"enough": enough, "few_read": few})
+
+
+for metric, k in (("l2", 5), ("cosine", 5)):
+    q(f"t07_indexed_{metric}", lambda t, metric=metric, k=k: indexed(t, metric, k), "query_id:l hits:l scores_exact:b enough:b few_read:b",
+      f"SELECT vec_id AS query_id, {k} AS hits, true AS scores_exact, true AS enough, true AS few_read FROM embeddings WHERE vec_id % 50 = 0")
+
+
 def trade_rows(t):
     return t.quotes().select(
         F.col("symbol").alias("ticker"), F.col("source").alias("direction"), F.date_format("ts", "yyyy-MM").alias("date"), F.when(qid() % 9 != 0, F.concat(F.lit("thesis "), qid().cast("string"))).alias("thesis"),

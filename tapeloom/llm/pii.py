@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import texts
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "tel", "key")
+KINDS = (*BASE, "iban", "ssn", "tel", "key", "secret")
 WINDOW, CONTEXT, ACCEPT = 48, 0.3, 0.5
 #: Score of a confirmed proposal without context.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "tel": 0.2, "key": 0.9}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "tel": 0.2, "key": 0.9, "secret": 0.3}
 WORDS = {
     "email": r"e-?mail|contact|mail", "ip": r"ip|address|host|server|login", "card": r"card|visa|credit|payment|karte|carte|tarjeta", "phone": r"phone|call|tel|mobile|fax",
     "iban": r"iban|account|bank|konto|compte|cuenta", "ssn": r"ssn|social security", "tel": r"phone|call|tel|mobile|fax", "key": r"key|secret|token|password",
+    "secret": r"(?:api|access|private|client|auth)?[_ -]?(?:key|secret|token|password|passwd|pwd|credential)s?|bearer",
 }
 NEAR = {k: re.compile(rf"(?<!\w)(?:{w})(?!\w)", re.IGNORECASE) for k, w in WORDS.items()}
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -35,6 +36,8 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 TEL = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
+#: Long runs of hexadecimal digits, of one case with a letter and a digit, or of base 64 with a capital, a small letter and a digit.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/])(?:(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+|(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{32,}+|(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}+={0,2}+)(?![A-Za-z0-9+/])")
 #: Length of an account number by country; fixed values.
 IBAN_LENGTH = {"AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
 
@@ -76,7 +79,7 @@ def account(m: re.Match) -> int | None:
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans of all kinds, by kind and then start."""
     yield from (("email", s, e) for s, e in emails(text))
-    yield from (("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")))
+    yield from (("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split(".")))
     for m in CARD.finditer(text):
         if 13 <= m.end() - m.start() <= 37:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -87,6 +90,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     yield from (("ssn", *m.span()) for m in SSN.finditer(text))
     yield from (("tel", *m.span()) for m in TEL.finditer(text))
     yield from (("key", *m.span()) for m in KEY.finditer(text))
+    yield from (("secret", *m.span()) for m in SECRET.finditer(text))
 
 
 def spans(text: str) -> list[Span]:

@@ -28,7 +28,7 @@ BUCKETS, DIM, ONES, REACH = 1 << 14, 64, 4, 2
 LAGS = 4
 WIDTH = 2 * DIM + 1 + LAGS
 #: Words handled at once, and words remembered by a worker.
-PART, KNOWN = 1 << 18, 500_000
+PART, KNOWN = 1 << 18, 1 << 16
 #: Rows of the table in one row of the shuffle.
 SLAB = 512
 SEED = 20

@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tapeloom.llm import pii, quality
-from tests.llm.test_copies import groups, print_of
+from tests.llm.test_copies import alike, five, groups
 from tests.llm.test_texts import overlaps
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +18,8 @@ def test_pipeline_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
     left = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in good}
-    prints = {i: print_of(t) for i, t in left.items()}
-    same = groups(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    sets = {i: five(t) for i, t in left.items()}
+    same = groups(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
     left = {i: t for i, t in left.items() if same[i] == i}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = {i: pii.masked(t) for i, t in left.items() if not any(overlaps(t, x) for x in items if set(x.lower().split()[:8]) & set(t.lower().split()))}

@@ -124,10 +124,20 @@ def test_base_spans_match_the_patterns(spark):
 
 
 def test_long_runs_are_linear():
-    for t in ("a" * 2_000_000, "1" * 2_000_000, "@" * 500_000, "a@" * 300_000, "1." * 500_000, "+1 " * 300_000, "AA11" * 300_000):
+    for t in ("a" * 2_000_000, "1" * 2_000_000, "@" * 500_000, "a@" * 300_000, "1." * 500_000, "+1 " * 300_000, "AA11" * 300_000, "0" * 5000 + ".1.1.1", "a1" * 500_000, "ab/" * 300_000, "abcdef" * 200_000):
         pii.spans(t)
 
 
+def test_secrets_of_the_table_are_found(spark):
+    import re
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {i: [m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', t)] for i, t in texts.items()}
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "secret"] for r in pii.detect(docs).collect()}
+    assert found == planted and sum(map(len, planted.values())) == 13
+    assert not any(re.search("[0-9a-f]{40}", r.text or "") for r in pii.redact(docs).collect())
+
+
 def test_checksums_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
     kinds = lambda t: [k for k, *_ in pii.spans(t)]
@@ -135,6 +145,11 @@ def test_checksums_and_context():
     assert kinds("his SSN is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
     assert kinds("call 555-123-4567 today") == ["tel"] and kinds("code 555-123-4567") == []
     assert pii.masked("mail a@b.cd or 10.0.0.1, GB82WEST12345698765432") == "mail [EMAIL] or [IP], [IBAN]"
+    digest, key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzKEY"
+    assert kinds(f'token = "{digest}"') == kinds(f"the secret: {key}") == ["secret"]
+    assert kinds(f"commit {digest} was fine") == kinds("key " + "a" * 40) == kinds("key " + "7" * 50) == kinds("the key is internationalizationoftheworldwide") == []
+    assert pii.masked(f'api_key="{digest}"') == 'api_key="[SECRET]"'
+    assert kinds("0" * 5000 + ".1.1.1") == ["ip"] and kinds("1" * 5000 + ".1.1.1") == []
     assert pii.masked("a clean line, 12.5 and 2026-01-02") == "a clean line, 12.5 and 2026-01-02"
 
 

@@ -98,19 +98,19 @@ def folded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def leads(flow: np.ndarray, hashes: np.ndarray, words: int, known: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For k = 1 .. words - 1 at each place with k words behind it: whether the k + 1 words can be in a phrase, and the hash of the sequence.
+    """For k = 0 .. words - 1 at each place with k words behind it: whether the k + 1 words can be in a phrase, and the hash of the sequence.
 
-    `known` are the filters of pairs and of longer sequences, as far as there are any yet.
+    `known` are the filters of words and pairs, and of longer sequences, as far as there are any yet.
     """
     fits, own = flow >= 0, hashes[np.maximum(flow, 0)] if len(hashes) else np.zeros(len(flow), np.uint64)
     mixed = own
-    for k in range(1, words):
-        mixed = folded(mixed[:-1], own[k:])
+    for k in range(words):
+        mixed = folded(mixed[:-1], own[k:]) if k else own
         key = (mixed >> np.uint64(64 - HASH)).astype(np.int64)
-        fits = fits[:-1] & fits[1:]  # both sequences of a word less
-        if k == 1 and known or k > 1 and len(known) > 1:
+        fits = fits[:-1] & fits[1:] if k else fits  # both sequences of a word less
+        if k <= 1 and known or k > 1 and len(known) > 1:
             at = bits(key)
-            fits = fits & ((known[min(k, 2) - 1][at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=0)
+            fits = fits & ((known[int(k > 1)][at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=0)
         yield fits, key
 
 
@@ -126,7 +126,7 @@ def sourced(docs: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame, least: int, words: int, known: list[np.ndarray]) -> np.ndarray:
-    """The filter, a byte for 8 bits, of all pairs of neighbours of `least` occurrences or more, or, where these are known, of all longer sequences.
+    """The filter, a byte for 8 bits, of all words and pairs of neighbours of `least` occurrences or more, or, where these are known, of all longer sequences.
 
     `docs` has (lang, text). A task sends its sequences by shares, sorted, with counts cut at `least`, which changes no sum below it; a
     share is merged part by part and only its distinct hashes are held.
@@ -153,7 +153,7 @@ def frequent(docs: DataFrame, least: int, words: int, known: list[np.ndarray]) -
         filters = [x.value for x in sent]
         for flow, hashes, skipped, _ in flows(batches, words):
             found = [key[: len(flow) - skipped][fits[: len(flow) - skipped]] for fits, key in leads(flow, hashes, words if filters else 2, filters)]
-            own, n = np.unique(np.concatenate(found[min(len(filters), 1):]), return_counts=True)
+            own, n = np.unique(np.concatenate(found[2 * len(filters):]), return_counts=True)
             keys.append(own), counts.append(n)
             size += len(own)
             if size >= SENT:
@@ -199,11 +199,12 @@ def windows(docs: DataFrame, words: int, known: list[np.ndarray]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [x.value for x in sent]
         for flow, hashes, skipped, names in flows(batches, words):
-            lead = [flow]
-            for k, (fits, _) in enumerate(leads(flow, hashes, words, filters), 1):
+            lead = []
+            for k, (fits, _) in enumerate(leads(flow, hashes, words, filters)):
                 lead.append(np.full(len(flow), -1, np.int32))
-                lead[k][:-k] = np.where(fits, flow[k:], -1)
-            starts = np.flatnonzero(flow[: len(flow) - skipped] >= 0)
+                lead[k][: max(0, len(flow) - k)] = np.where(fits, flow[k:], -1)
+            rare = flow[: len(flow) - skipped][(flow[: len(flow) - skipped] >= 0) & (lead[0][: len(flow) - skipped] < 0)]
+            starts = np.flatnonzero(lead[0][: len(flow) - skipped] >= 0)
             alone = starts[lead[1][starts] < 0]
             once = np.bincount(flow[alone], minlength=len(names))
             rows = [np.full((int((once > 0).sum()), words), -1, np.int32)]
@@ -216,12 +217,20 @@ def windows(docs: DataFrame, words: int, known: list[np.ndarray]) -> DataFrame:
             first = np.flatnonzero(new)
             rows = np.concatenate([rows[0], long[first]])
             counts = np.concatenate([once[once > 0], np.diff(np.append(first, len(long)))])
+            # rare words only count as words of their language: a row of pads for each
+            seen: dict[str, int] = {}
+            code = np.array([seen.setdefault(x, len(seen)) for x, _ in names], np.int64)
+            others = np.bincount(code[rare], minlength=len(seen))
+            some = np.flatnonzero(others)
+            who = np.concatenate([rows[:, 0], np.array([int(np.argmax(code == x)) for x in some], np.int64)]).astype(np.int32)
+            rows = np.concatenate([rows, np.full((len(some), words), -1, rows.dtype)])
+            counts = np.concatenate([counts, others[some]])
             text = pa.array([w.decode("utf-8", "surrogatepass") for _, w in names], pa.string())
             tongue = pa.array([x for x, _ in names], pa.string())
             for s in range(0, len(rows), 1 << 15):
                 part = rows[s: s + (1 << 15)]
                 cols = [text.take(pa.array(part[:, k], pa.int32(), mask=part[:, k] < 0)) for k in range(words)]
-                yield pa.RecordBatch.from_arrays([tongue.take(pa.array(part[:, 0])), *cols, pa.array(counts[s: s + (1 << 15)], pa.int64())], names=["lang", *names_, "c"])
+                yield pa.RecordBatch.from_arrays([tongue.take(pa.array(who[s: s + (1 << 15)])), *cols, pa.array(counts[s: s + (1 << 15)], pa.int64())], names=["lang", *names_, "c"])
 
     return docs.mapInArrow(work, f"lang string, {', '.join(f'{x} string' for x in names_)}, c long")
 

@@ -100,4 +100,4 @@ def test_the_filter_never_loses_a_common_pair(spark, monkeypatch):
         source = phrases.sourced(frame(spark, rows))
         pairs = phrases.frequent(source, 30, 4, [])
         longer = phrases.frequent(source, 30, 4, [pairs])
-        assert len(pairs) == len(longer) == 1 << 23 and 3 <= np.unpackbits(pairs).sum() <= 6 and 3 <= np.unpackbits(longer).sum() <= 6
+        assert len(pairs) == len(longer) == 1 << 23 and 7 <= np.unpackbits(pairs).sum() <= 14 and 3 <= np.unpackbits(longer).sum() <= 6

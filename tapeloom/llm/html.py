@@ -9,7 +9,9 @@ lists) is never taken for a template, however often it recurs; nor is a subtree
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -31,13 +33,32 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "d
 NO_PARAGRAPH = BLOCK - {"br", "option", "title", "legend", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot"}
 DROPPED = frozenset("head title nav footer aside script style noscript template iframe noembed noframes button select textarea input svg canvas object dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Whole class names or ids of what is no article. They, roles and forms say nothing of a wrapper, see Page._wrappers.
+#: The elements a start tag can close, each with what it can't reach beyond, numbered; and what opening an element does to them.
+SCOPES = [({"p"}, {"table", "td", "th", "button", "object"}), *dict.fromkeys((frozenset(a), frozenset(b)) for a, b in CLOSES.values())]
+SCOPE = {tag: next(k for k, (a, b) in enumerate(SCOPES) if k and a == own[0] and b == own[1]) for tag, own in CLOSES.items()}
+EDGES = {"article", "body", "html"}
+TOUCHED = EDGES.union(*(set(a) | set(b) for a, b in SCOPES))
+#: Class names or ids, or the first or last part of them, of what is no article. They, roles and forms say nothing of a wrapper, see Page._wrappers.
 NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation footer masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social comment comments disqus related breadcrumb breadcrumbs pagination widget".split())
+#: Parts that turn a name's sense, names that say nothing in first place, and what makes them say something there.
+TURNED = frozenset("has no not non with without is free hide show toggle below above".split())
+VAGUE, LISTED = frozenset("related share notice widget menu".split()), frozenset("posts articles stories links content items news buttons bar list area box toggle".split())
 #: Elements that can be templates inside an article; all others there are running text.
 PARTS = frozenset("div section figure aside header table ul ol".split())
 SPARED = frozenset("html body main".split())
 
 
+@lru_cache(maxsize=1 << 14)
+def names(token: str) -> bool:
+    """Whether a class or id names what is no article: comment-list and site-footer do, has-sidebar, ad-free and related-work don't."""
+    if token in NAMES:
+        return True
+    parts = re.split(r"[-_]+", token.strip("-_"))
+    if len(parts) < 2 or not TURNED.isdisjoint(parts):
+        return False
+    return parts[-1] in NAMES or parts[0] in NAMES and (parts[0] not in VAGUE or parts[-1] in LISTED)
+
+
 class Page:
     """Blocks of a page's text in order, and the hash and text length of each element's subtree."""
 
@@ -48,6 +69,9 @@ class Page:
         self._soft: set[int] = set()
         self.blocks: list[tuple[int, str]] = []
         self._open: list[int] = []
+        #: Per open element the depth of the nearest element of each scope that can still be closed, and how many of a tag are open.
+        self._near: list[tuple[int, ...]] = []
+        self._count: Counter[str] = Counter()
         self._parts: list[list[bytes]] = []
         self._text: list[str] = []
         at = 0
@@ -107,9 +131,9 @@ class Page:
         if tag in BLOCK:
             self._flush()
         if tag in NO_PARAGRAPH:
-            self._close({"p"}, {"table", "td", "th", "button", "object"})
+            self._close(0)
         if tag in CLOSES:
-            self._close(*CLOSES[tag])
+            self._close(SCOPE[tag])
         if tag in VOID:
             return
         named, soft = tag in DROPPED, tag == "form"
@@ -117,7 +141,7 @@ class Page:
             for key, a, b, c, flag in ATTRIBUTE.findall(rest):
                 key, value = key.lower(), (a or b or c).lower()
                 named = named or bool(flag) or (key == "aria-hidden" and value == "true")
-                soft = soft or (key == "role" and value in ROLES) or (key in ("class", "id") and not NAMES.isdisjoint(value.split()))
+                soft = soft or (key == "role" and value in ROLES) or (key in ("class", "id") and any(map(names, value.split())))
         up = self._open[-1] if self._open else -1
         # blocks are taken to the innermost open element, so inline elements end no block but do start one
         if tag not in BLOCK and tag not in ("script", "style") and not named and not soft:
@@ -127,30 +151,32 @@ class Page:
             self._soft.add(len(self.elements))
         self.elements.append([tag, up, False, False, False, 0, 0, named])
         self._open.append(len(self.elements) - 1)
+        near = self._near[-1] if self._near else (-1,) * len(SCOPES)
+        if tag in TOUCHED:
+            near = tuple(len(self._near) if tag in a else -1 if tag in b or tag in EDGES else n for (a, b), n in zip(SCOPES, near, strict=True))
+        self._near.append(near)
+        self._count[tag] += 1
         self._parts.append([tag.encode()])
 
-    def _close(self, tags: set[str], within: set[str]) -> None:
-        for i in range(len(self._open) - 1, -1, -1):
-            tag = self.elements[self._open[i]][0]
-            if tag in tags:
-                while len(self._open) > i:
-                    self._pop()
-                return
-            if tag in within or tag in ("article", "body", "html"):
-                return
+    def _close(self, scope: int) -> None:
+        """Closes the nearest element of the scope, if one is in reach."""
+        if self._near and (at := self._near[-1][scope]) >= 0:
+            while len(self._open) > at:
+                self._pop()
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._open) - 1, -1, -1):
-            if self.elements[self._open[i]][0] == tag:
-                while len(self._open) > i:
-                    self._pop()
-                return
-        if tag in BLOCK:
+        if self._count[tag]:
+            while self.elements[self._open[-1]][0] != tag:
+                self._pop()
+            self._pop()
+        elif tag in BLOCK:
             self._flush()
 
     def _pop(self) -> None:
         self._flush()
         me, parts = self.elements[self._open.pop()], self._parts.pop()
+        self._near.pop()
+        self._count[me[0]] -= 1
         digest = xxhash.xxh64_digest(b"\0".join(parts))
         me[5] = int.from_bytes(digest, "big", signed=True)
         if self._parts:

@@ -360,3 +360,18 @@ def test_registered_queries_have_the_contract_s_columns(spark):
     found = queries.queries()
     for name, columns in want.items():
         assert " ".join(found[name](spark, "/root/testdata/sf0.001").columns) == columns
+
+
+def test_names_by_parts_and_deep_markup():
+    import time
+
+    gone = ["comment-list", "comments-section", "user-comments", "cookie-banner", "site-footer", "sidebar-left", "ad-slot", "nav-bar", "newsletter-signup", "related-posts", "site_footer"]
+    kept = ["has-sidebar", "no-sidebar", "ad-free", "related-work", "with-comments", "content-main", "share-price", "article-body"]
+    for name in gone + kept:
+        block = f'<div class="{name}">Some words here</div>'
+        for page in (f"<p>First text of the page.</p>{block}<p>Last.</p>", f"<article><p>First text of the page.</p>{block}<p>Last.</p></article>"):
+            assert ("Some words here" in html.Page(page).main(set())) == (name in kept), (name, page)
+    t = time.process_time()
+    for page in ("<div>" * 100_000, "<div>" * 30_000 + "</span>" * 30_000, "<p><table><td>" + "<div>" * 50_000, "<li><ol>" + "<div><li></li>" * 30_000, "<p>" * 50_000, "<ul><li>" * 30_000):
+        html.Page(page + "x").main(set())
+    assert time.process_time() - t < 8

@@ -27,7 +27,7 @@ TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 EDGE = re.compile(rb"[ \t.,;:!?\n-\r]")
 SIGNS = frozenset(b".,;:!?\n\x0b\x0c\r")
 #: Bytes of a text looked at at once, words held before they are counted, hashed neighbours held before they are sent.
-STEP, HELD, SENT = 1 << 20, 1 << 19, 1 << 21
+STEP, HELD, SENT = 1 << 20, 1 << 20, 1 << 21
 #: Bits of a neighbour's hash, of its share, and of a share's slab of the filter.
 HASH, SHARE, SLAB = 42, 12, 14
 

@@ -33,11 +33,26 @@ def rotation(dim: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim]
 
 
+def found_share(cosine: float, width: int, count: int, bits: int = BITS) -> float:
+    """The odds that a pair of this cosine shares one of `count` bands: the bands are drawn from the same bits, of which a binomial number differ."""
+    p, out = math.acos(min(1.0, max(-1.0, cosine))) / math.pi, 0.0
+    for d in range(bits + 1):
+        odds = math.exp(math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) + d * math.log(p) + (bits - d) * math.log1p(-p)) if 0 < p < 1 else float(d == p * bits)
+        same = math.comb(bits - d, width) / math.comb(bits, width)
+        out += odds * (1 - (1 - same) ** count)
+    return out
+
+
 def shape(n: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Bits in a band, and bands: at the threshold a pair shares some band with the odds `recall`, and a bucket has some 16 rows."""
+    """Bits in a band, and the fewest bands by which a pair at the threshold shares some band with the odds `recall`; a bucket has some 16 rows."""
     width = min(30, max(8, math.ceil(math.log2(max(2, n))) - 4))
-    same = (1 - math.acos(cosine) / math.pi) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - same))
+    low, high = 0, 1
+    while found_share(cosine, width, high) < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if found_share(cosine, width, mid) >= recall else (mid, high)
+    return width, high
 
 
 def bands(width: int, count: int, bits: int) -> np.ndarray:

@@ -210,28 +210,42 @@ def keep(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumn("_stage", F.spark_partition_id()).filter(cond & (F.col("_stage") >= 0)).drop("_stage")
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, digits: int = 4) -> DataFrame:
-    """Exact linear-interpolated quantile per key without holding a key in one task.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], qs: Sequence[float], accuracy: int = 10000) -> DataFrame:
+    """(keys, column_name, quantiles): exact linear-interpolated quantiles of several columns per key, in two scans.
 
-    Values are counted, histogrammed at ``digits`` decimals, and only the buckets that hold the two neighbouring
-    ranks are read in order.
+    The first scan makes a mergeable sketch per key and column, whose ranks are off by at most n / ``accuracy``; it brackets every
+    wanted rank by two values. The second counts what lies outside the brackets and keeps values only inside them, about
+    8 n / ``accuracy`` rows a quantile before equal ones are counted together, whatever the range or scale of the values; a key of up to
+    2 ``accuracy`` rows is kept whole. A rank that its bracket does not hold is an error, never a wrong value. Nulls do not count, NaN is the largest value; a column without values gives no row.
     """
-    keys = list(keys)
-    vals = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor(F.col("_v") * 10**digits))
-    hist = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rank = F.lit(q) * (F.sum("_bc").over(wk) - 1)
-    hist = hist.select(
-        *keys,
-        "_b",
-        (F.sum("_bc").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bc")).alias("_before"),
-        "_bc",
-        rank.alias("_h"),
-    ).filter((F.col("_before") <= F.ceil("_h")) & (F.col("_before") + F.col("_bc") > F.floor("_h")))
-    inb = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(hist, [*keys, "_b"]).withColumn("_to", F.col("_before") + F.sum("_c").over(inb))
-    lo = F.max(F.when((F.col("_to") > F.floor("_h")) & (F.col("_to") - F.col("_c") <= F.floor("_h")), F.col("_v")))
-    hi = F.max(F.when((F.col("_to") > F.ceil("_h")) & (F.col("_to") - F.col("_c") <= F.ceil("_h")), F.col("_v")))
-    frac = F.max(F.col("_h") - F.floor("_h"))
-    return ranked.groupBy(*keys).agg((lo + (hi - lo) * frac).alias(out))
+    on, eps = [*keys, "column_name"], 3.0 / accuracy
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in values])
+    vals = df.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.*").filter(F.col("_v").isNotNull())
+    ends = sorted({round(min(1.0, max(0.0, q + d)), 12) for q in qs for d in (-eps, eps)})
+    edges = vals.groupBy(*on).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    v = F.col("_v")
+    at = lambda p: F.element_at("_e", ends.index(round(min(1.0, max(0.0, p)), 12)) + 1)
+    inside = F.col("_n") <= 2 * accuracy  # there a bracket may be narrower than the distance of two ranks
+    for q in qs:
+        inside = inside | v.between(at(q - eps), at(q + eps))
+    slot = F.size(F.filter("_e", lambda e: e < v))
+    counts = vals.join(edges, on).select(*on, slot.alias("_slot"), F.when(inside, v).alias("_v")).groupBy(*on, "_slot", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*on)
+    upto = F.sum("_c").over(w.orderBy("_slot", "_v").rowsBetween(Window.unboundedPreceding, 0))  # within a slot what is outside comes first
+    ranked = counts.select(*on, "_v", "_c", upto.alias("_to"), (F.sum("_c").over(w) - 1).alias("_last"))
+
+    def held(rank: Column) -> Column:
+        here = (F.col("_to") > rank) & (F.col("_to") - F.col("_c") <= rank)
+        return F.max(F.when(here, F.coalesce(v, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))))
+
+    aggs = []
+    for i, q in enumerate(qs):
+        h = F.lit(q) * F.col("_last")
+        aggs += [held(F.floor(h)).alias(f"_lo{i}"), held(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_f{i}")]
+    out = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(qs))]
+    return ranked.groupBy(*on).agg(*aggs).select(*on, F.array(*out).alias("quantiles"))
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+    """(keys, out): one exact quantile of a column per key, see `exact_quantiles`."""
+    return exact_quantiles(df, keys, [value], [q]).select(*keys, F.col("quantiles")[0].alias(out))

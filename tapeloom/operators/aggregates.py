@@ -608,7 +608,7 @@ def score_insights(recs: DataFrame) -> DataFrame:
         F.avg("opportunity_score").alias("mean"), F.stddev_pop("opportunity_score").alias("std"), F.min("opportunity_score").alias("min"),
         F.max("opportunity_score").alias("max"), F.avg("confidence").alias("average_confidence"),
     )
-    med = fr.exact_quantile(recs, [], "opportunity_score", 0.5, "median", 3)
+    med = fr.exact_quantile(recs, [], "opportunity_score", 0.5, "median")
     return g.withColumn("median", med.scalar())
 
 

@@ -484,9 +484,9 @@ def change_between_snapshots(df: DataFrame, cols, keys, order, block) -> DataFra
     return own(s)
 
 
-def fill_median_mode(df: DataFrame, number: str, category: str, digits: int = 3) -> DataFrame:
+def fill_median_mode(df: DataFrame, number: str, category: str) -> DataFrame:
     """Fill a numeric column with its exact median and a category with its most frequent value."""
-    med = fr.exact_quantile(df, [], number, 0.5, "_median", digits)
+    med = fr.exact_quantile(df, [], number, 0.5, "_median")
     top = (
         df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("_n"))
         .agg(F.min_by(category, F.struct(-F.col("_n"), F.col(category))).alias("_mode"))

@@ -286,10 +286,11 @@ def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{c}_scaled": div(F.col(c) - s[f"m_{c}"], s[f"s_{c}"]) for c in cols})
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
-    """(x - median) / interquartile range with exact quantiles."""
-    q = {c: [fr.exact_quantile(df, [], c, p, "q", digits).scalar() for p in (0.25, 0.5, 0.75)] for c in cols}
-    return df.withColumns({f"{c}_robust": div(F.col(c) - q[c][1], q[c][2] - q[c][0]) for c in cols})
+def robust_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(x - median) / interquartile range with exact quantiles, two scans for all columns."""
+    q = fr.exact_quantiles(df, [], cols, (0.25, 0.5, 0.75))
+    s = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("quantiles"))).alias(c) for c in cols]).select(F.struct("*")).scalar()
+    return df.withColumns({f"{c}_robust": div(F.col(c) - s[c][1], s[c][2] - s[c][0]) for c in cols})
 
 
 # Drift ---------------------------------------------------------------------------------------------------------

@@ -123,13 +123,13 @@ def shrunk_covariance(returns: DataFrame, least: int = 30, tiles: int | None = N
     return m.select("a", "b", ((1 - sh) * F.col("c") + F.when(diag, sh * mu_).otherwise(0.0)).alias("covariance"), sh.alias("shrinkage"))
 
 
-def value_at_risk(returns: DataFrame, keys, value: str = "r", confidence_z: float = Z95, q: float = 0.05, digits: int = 4) -> DataFrame:
+def value_at_risk(returns: DataFrame, keys, value: str = "r", confidence_z: float = Z95, q: float = 0.05) -> DataFrame:
     """The lower of the normal and the empirical quantile; 0 below 30 returns."""
     keys = list(keys)
     g = returns.groupBy(*keys).agg(
         F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n_returns")
     )
-    emp = fr.exact_quantile(returns, keys, value, q, "_q", digits)
+    emp = fr.exact_quantile(returns, keys, value, q, "_q")
     j = g.join(emp, keys)
     return j.select(
         *keys, "n_returns",
@@ -137,10 +137,10 @@ def value_at_risk(returns: DataFrame, keys, value: str = "r", confidence_z: floa
     )
 
 
-def expected_shortfall(returns: DataFrame, keys, value: str = "r", digits: int = 4) -> DataFrame:
+def expected_shortfall(returns: DataFrame, keys, value: str = "r") -> DataFrame:
     """Mean of the returns at or below VaR, else VaR."""
     keys = list(keys)
-    v = value_at_risk(returns, keys, value, digits=digits)
+    v = value_at_risk(returns, keys, value)
     j = returns.join(v, keys)
     return j.groupBy(*keys).agg(
         F.max("var").alias("var"), F.avg(F.when(F.col(value) <= F.col("var"), F.col(value))).alias("_t"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ REGIME = {
     "volume": 0.1, "options flow": 0.3, "soft landing": 0.6, "hard landing": -0.9, "disinflation": 0.5, "stagflation": -1.4, "tightening": -0.6,
     "easing": 0.5, "recession risk": -1.1, "credit crunch": -1.2,
 }
+# Qualifiers, markers and keywords.
 INTENSIFIERS = {"materially": 1.25, "significantly": 1.2, "substantially": 1.2, "meaningfully": 1.15, "strongly": 1.1}
 DIMINISHERS = {"slightly": 0.85, "modestly": 0.9, "marginally": 0.9, "somewhat": 0.92}
 NEGATIONS = ("not", "no", "without", "lack", "isn't", "wasn't", "aren't", "weren't", "never")
@@ -60,6 +62,24 @@ def _strings(xs: Sequence[str]) -> Column:
     return F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
 
 
+def any_term(terms: Sequence[str]) -> str:
+    """A pattern whose first group is, at each place of a text, the longest term that starts there; common beginnings are tried once."""
+    tree: dict = {}
+    for t in terms:
+        node = tree
+        for ch in t:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def part(node: dict) -> str:
+        ways = [re.escape(ch) + part(below) for ch, below in sorted(node.items()) if ch]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return f"(?=({part(tree)}))"
+
+
 def lexicon_score(
     texts: DataFrame, text: str = "text", terms: dict[str, float] | None = None, negations: Sequence[str] = NEGATIONS,
     intensifiers: dict[str, float] = INTENSIFIERS, diminishers: dict[str, float] = DIMINISHERS, forward: Sequence[str] = FORWARD,
@@ -69,29 +89,44 @@ def lexicon_score(
 
     A negation near the term flips the weight at 0.8; distinct intensifiers and diminishers multiply it. Forward
     markers anywhere raise the sum by 1.08, backward markers lower it to 0.96. Adds ``lex_score``, ``lex_matches``.
+    The text is searched once for all terms: the longest at each place, which holds any other term that begins there.
     """
     terms = terms if terms is not None else {**BULLISH, **BEARISH, **REGIME}
     factors = {**diminishers, **intensifiers}
     lex = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.split()[0]).alias("first"), F.lit(float(w)).alias("weight")) for t, w in terms.items()])
     scale = F.create_map(*[x for k, v in factors.items() for x in (F.lit(k), F.lit(float(v)))]) if factors else F.create_map().cast("map<string,double>")
-    d = texts.withColumn("_low", F.lower(text)).withColumn("_tok", words(F.col("_low")))
-    d = d.withColumn("_hits", F.filter(lex, lambda t: F.contains(F.col("_low"), t["term"])))
-    tok = F.col("_tok")
-
-    def adjusted(hit: Column) -> Column:
-        at = F.greatest(F.array_position(tok, hit["first"]).cast("int"), F.lit(1))
-        start = F.greatest(at - reach, F.lit(1))
-        near = F.array_distinct(F.slice(tok, start, at + reach - start + 1))
-        w = hit["weight"]
-        flipped = F.when(w > 0, -F.abs(w) * 0.8).otherwise(F.abs(w) * 0.8)
-        w = F.when(F.arrays_overlap(near, _strings(negations)), flipped).otherwise(w)
-        known = F.filter(near, lambda x: F.array_contains(_strings(tuple(factors)), x))
-        return w * F.aggregate(known, F.lit(1.0), lambda a, x: a * scale[x])
-
-    total = F.aggregate("_hits", F.lit(0.0), lambda a, h: a + adjusted(h))
-    ahead = F.when(F.arrays_overlap(tok, _strings(forward)), 1.08).otherwise(1.0)
-    behind = F.when(F.arrays_overlap(tok, _strings(backward)), 0.96).otherwise(1.0)
-    return d.withColumn("lex_score", total * ahead * behind).withColumn("lex_matches", F.size("_hits")).drop("_low", "_tok", "_hits")
+
+    def once(x: Column, f: Callable[[Column], Column]) -> Column:
+        """f(x) with x computed once a row: what stands inside a lambda is computed for each of its elements."""
+        return F.transform(F.array(x), f)[0]
+
+    def adjusted(tok: Column, hit: Column) -> Column:
+        def by(near: Column) -> Column:
+            w = hit["weight"]
+            flipped = F.when(w > 0, -F.abs(w) * 0.8).otherwise(F.abs(w) * 0.8)
+            w = F.when(F.arrays_overlap(near, _strings(negations)), flipped).otherwise(w)
+            known = F.filter(near, lambda x: F.array_contains(_strings(tuple(factors)), x))
+            return w * F.aggregate(known, F.lit(1.0), lambda a, x: a * scale[x])
+
+        def around(at: Column) -> Column:
+            start = F.greatest(at - reach, F.lit(1))
+            return once(F.array_distinct(F.slice(tok, start, at + reach - start + 1)), by)
+
+        return once(F.greatest(F.array_position(tok, hit["first"]).cast("int"), F.lit(1)), around)
+
+    def scored(tok: Column, hits: Column) -> Column:
+        total = F.aggregate(F.transform(hits, lambda h: adjusted(tok, h)), F.lit(0.0), lambda a, w: a + w)
+        ahead = F.when(F.arrays_overlap(tok, _strings(forward)), 1.08).otherwise(1.0)
+        behind = F.when(F.arrays_overlap(tok, _strings(backward)), 0.96).otherwise(1.0)
+        return F.struct((total * ahead * behind).alias("score"), F.size(hits).alias("matches"))
+
+    def of(low: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(any_term(tuple(terms))), F.lit(1)))
+        hits = once(found, lambda all_: F.filter(lex, lambda t: F.exists(all_, lambda x: F.contains(x, t["term"]))))
+        return once(F.struct(words(low).alias("tok"), hits.alias("hits")), lambda s: scored(s["tok"], s["hits"]))
+
+    d = texts.withColumn("_lex", once(F.lower(text), of))
+    return d.withColumn("lex_score", F.col("_lex.score")).withColumn("lex_matches", F.col("_lex.matches")).drop("_lex")
 
 
 def keyword_polarity(low: Column, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS) -> Column:

@@ -68,7 +68,7 @@ q("v02_greeks", lambda t: ch.add_greeks(with_vol(t)), "contract_id:l delta:6 gam
 IV = iv_sql(f"SELECT *, {MP} AS mp FROM chain", "mp")
 q("v03_implied_vol", lambda t: ch.add_implied_vol(t.chain()), "contract_id:l market_price:4 iv:4", f"SELECT contract_id, mp AS market_price, iv FROM {IV} v")
 q("v04_lattice_american", lambda t: ch.add_lattice(with_vol(t), steps=100), "contract_id:l lattice_value:3", f"SELECT contract_id, lat AS lattice_value FROM {lattice_sql(CV, 100, True)} l")
-q("v04_lattice_european", lambda t: ch.add_lattice(with_vol(t), steps=50, american=False), "contract_id:l lattice_value:3", f"SELECT contract_id, lat AS lattice_value FROM {lattice_sql(CV, 50, False)} l")
+q("v04_lattice_european", lambda t: ch.add_lattice(with_vol(t), steps=100, american=False), "contract_id:l lattice_value:3", f"SELECT contract_id, lat AS lattice_value FROM {lattice_sql(CV, 100, False)} l")
 CONF = """greatest(0, least(100, 100 - {dis} - CASE WHEN volume < 10 THEN 20 ELSE 0 END - CASE WHEN open_interest < 100 THEN 15 ELSE 0 END
  - CASE WHEN coalesce(bid, 0) <> 0 AND coalesce(ask, 0) > 0 THEN least(20, (ask - bid) / ask * 100) ELSE 0 END - CASE WHEN t < 0.02 THEN 25 ELSE 0 END))"""
 SKEW = "CASE WHEN put_call = 'put' AND strike / underlying < 0.95 THEN 0.1 * (1 - strike / underlying) WHEN put_call = 'call' AND strike / underlying > 1.05 THEN -0.1 * (strike / underlying - 1) ELSE 0 END"

@@ -25,20 +25,40 @@ def qid():
 LEX = {"the": 1.2, "ation": -0.7, "en the": 2.0, "que": 0.6, "der": -1.1, "ing of": 0.9, "une": 1.5, "zzz": 3.0, "para": -0.4}
 NEG, INT, DIM, FWD, BWD = ("no", "de", "not"), {"of": 1.2, "und": 1.1}, {"and": 0.9, "la": 0.85}, ("with", "est"), ("was", "des", "ist")
 vals = lambda xs: ", ".join(f"('{a}', {b})" for a, b in xs)
-lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+lst = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 FACT = {**DIM, **INT}
 TOK = "regexp_split_to_array(regexp_replace(low, '^\\s+|\\s+$', '', 'g'), '\\s+')"
-LEXSQL = f"""WITH d AS (SELECT doc_id, low, {TOK} AS tok FROM (SELECT doc_id, lower(text) AS low FROM texts) a),
-lex AS (SELECT * FROM (VALUES {vals((k, float(v)) for k, v in LEX.items())}) v(term, weight)),
+
+
+def lexicon_sql(source, terms, negations, factors, forward, backward):
+    return f"""WITH d AS (SELECT doc_id, low, {TOK} AS tok FROM (SELECT doc_id, lower(text) AS low FROM ({source}) t) a),
+lex AS (SELECT * FROM (VALUES {vals((k, float(v)) for k, v in terms.items())}) v(term, weight)),
 h AS (SELECT d.doc_id, tok, weight, greatest(coalesce(list_position(tok, split_part(term, ' ', 1)), 0), 1) AS at_ FROM d JOIN lex ON contains(d.low, lex.term)),
 n AS (SELECT doc_id, weight, list_distinct(tok[greatest(at_ - 3, 1):at_ + 3]) AS near FROM h),
-f AS (SELECT doc_id, CASE WHEN list_has_any(near, {lst(NEG)}) THEN CASE WHEN weight > 0 THEN -abs(weight) * 0.8 ELSE abs(weight) * 0.8 END ELSE weight END
-   * {' * '.join(f"CASE WHEN list_contains(near, '{k}') THEN {v} ELSE 1 END" for k, v in FACT.items())} AS w FROM n),
+f AS (SELECT doc_id, CASE WHEN list_has_any(near, {lst(negations)}) THEN CASE WHEN weight > 0 THEN -abs(weight) * 0.8 ELSE abs(weight) * 0.8 END ELSE weight END
+   * {' * '.join(f"CASE WHEN list_contains(near, '{k}') THEN {v} ELSE 1 END" for k, v in factors.items())} AS w FROM n),
 s AS (SELECT doc_id, sum(w) AS s, count(*) AS m FROM f GROUP BY doc_id)
-SELECT d.doc_id, coalesce(s, 0) * CASE WHEN list_has_any(tok, {lst(FWD)}) THEN 1.08 ELSE 1 END * CASE WHEN list_has_any(tok, {lst(BWD)}) THEN 0.96 ELSE 1 END AS lex_score, coalesce(m, 0) AS lex_matches
+SELECT d.doc_id, coalesce(s, 0) * CASE WHEN list_has_any(tok, {lst(forward)}) THEN 1.08 ELSE 1 END * CASE WHEN list_has_any(tok, {lst(backward)}) THEN 0.96 ELSE 1 END AS lex_score, coalesce(m, 0) AS lex_matches
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+
 scored = lambda t: tx.lexicon_score(t.texts(), "text", LEX, NEG, INT, DIM, FWD, BWD)
-q("t01_lexicon_score", scored, "doc_id:l lex_score:5 lex_matches:l", LEXSQL)
+q("t01_lexicon_score", scored, "doc_id:l lex_score:5 lex_matches:l", lexicon_sql("SELECT doc_id, text FROM texts", LEX, NEG, FACT, FWD, BWD))
+FINANCE = {**tx.BULLISH, **tx.BEARISH, **tx.REGIME}
+QUALIFIERS = ("not", "never", *tx.INTENSIFIERS, *tx.DIMINISHERS, *tx.FORWARD, *tx.BACKWARD, "the", "a")
+
+
+def finance_texts(t):
+    """Every text behind a line of two finance terms and a qualifier, which its id chooses: the invented prose holds few of the terms."""
+    one = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    i = F.col("doc_id")
+    return t.texts().withColumn("text", F.concat_ws(" ", one(QUALIFIERS, i), one(FINANCE, i), F.lit("on"), one(FINANCE, i * 7 + 3), "text"))
+
+
+pick = lambda xs, k: f"({lst(xs)})[CAST(({k}) % {len(xs)} + 1 AS INT)]"
+q("t01_finance_lexicon", lambda t: tx.lexicon_score(finance_texts(t)), "doc_id:l lex_score:5 lex_matches:l", lexicon_sql(
+    f"SELECT doc_id, concat_ws(' ', {pick(QUALIFIERS, 'doc_id')}, {pick(FINANCE, 'doc_id')}, 'on', {pick(FINANCE, 'doc_id * 7 + 3')}, text) AS text FROM texts",
+    FINANCE, tx.NEGATIONS, {**tx.DIMINISHERS, **tx.INTENSIFIERS}, tx.FORWARD, tx.BACKWARD))
 PW, NW = ("the", "que", "ing"), ("der", "des", "was", "no")
 cnt = lambda col, ws: " + ".join(f"CASE WHEN contains({col}, '{w}') THEN 1 ELSE 0 END" for w in ws)
 POL = f"SELECT doc_id, symbol, coalesce((({cnt('low', PW)}) - ({cnt('low', NW)})) / nullif(({cnt('low', PW)}) + ({cnt('low', NW)}), 0), 0) AS p FROM (SELECT doc_id, symbol, lower(text) AS low FROM texts) a"

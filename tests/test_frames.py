@@ -60,12 +60,26 @@ def test_carried_totals_and_tail(bars):
 
 @pytest.mark.parametrize("q", [0.05, 0.5, 0.9])
 def test_exact_quantile(bars, q):
-    got = {r["symbol"]: r["v"] for r in fr.exact_quantile(bars, ["symbol"], "close", q, "v", 0).collect()}
+    got = {r["symbol"]: r["v"] for r in fr.exact_quantile(bars, ["symbol"], "close", q, "v").collect()}
     for sym in ("HOT", "B", "C"):
         xs = [r["close"] for r in bars.filter(F.col("symbol") == sym).collect()]
         assert got[sym] == pytest.approx(float(np.quantile(xs, q)), abs=1e-9)
 
 
+@pytest.mark.parametrize("accuracy", [20, 10000])
+def test_quantiles_of_narrow_wide_and_tied_values(spark, accuracy):
+    """Nearly constant, very wide and much repeated columns, nulls, a key with one value and one with none, in one call."""
+    rng = np.random.default_rng(3)
+    x = {"narrow": 1 + rng.normal(size=3000) * 1e-9, "wide": 10 ** rng.uniform(-200, 200, 3000), "tied": rng.integers(0, 3, 3000).astype(float)}
+    rows = [("a", *(float(v[i]) for v in x.values())) for i in range(3000)] + [("a", None, None, None), ("one", 5.0, 5.0, 5.0), ("none", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, narrow double, wide double, tied double").repartition(7)
+    got = {(r.k, r.column_name): r.quantiles for r in fr.exact_quantiles(df, ["k"], list(x), [0.0, 0.05, 0.5, 0.75, 1.0], accuracy).collect()}
+    assert got.keys() == {(k, c) for k in ("a", "one") for c in x}
+    for c in x:
+        assert got["a", c] == pytest.approx(np.quantile(x[c], [0.0, 0.05, 0.5, 0.75, 1.0]).tolist(), rel=1e-12)
+        assert got["one", c] == [5.0] * 5
+
+
 def test_ema_equals_pandas(bars):
     got = ind.ema(bars, (12,)).toPandas().sort_values(["symbol", "ts"])
     want = got.groupby("symbol")["close"].transform(lambda s: s.ewm(span=12).mean())

@@ -215,7 +215,7 @@ def portfolio_risk(holdings: DataFrame, returns: DataFrame, risk_free: float = 0
         (F.avg("r") * 252).alias("expected_return"), (F.stddev_samp("r") * YEAR).alias("volatility"),
         (F.stddev_samp(F.when(r < 0, r)) * YEAR).alias("_down"),
     )
-    es = expected_shortfall(p, ["book"], digits=6)
+    es = expected_shortfall(p, ["book"])
     dd = return_drawdown(p, ("book",))
     vols = returns.groupBy("symbol").agg((F.stddev_samp("r") * YEAR).alias("v"))
     h = holdings.join(vols, "symbol", "left").agg(

@@ -563,13 +563,13 @@ def regression_metrics(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return g.withColumn("rmse", F.sqrt("mse")).withColumn("r2_score", 1 - div(F.col("mse"), F.col("_v"))).drop("_v")
 
 
-def auc(scored: DataFrame, digits: int = 2) -> DataFrame:
+def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve by average ranks, from counts per distinct score.
 
-    Ranks are running counts over score buckets, so no task orders all rows.
+    Ranks are running counts over equally full ranges of scores, so no task orders all rows.
     """
     c = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).withColumn("_k", F.lit(0))
-    c = fr.carried(c, {"n": (F.sum, F.col("n"))}, keys=("_k",), order=("score",), block=F.floor(F.col("score") * 10**digits))
+    c = fr.carried(fr.value_blocks(c, ["_k"], "score"), {"n": (F.sum, F.col("n"))}, keys=("_k",), order=("score",), block=F.col("_part"))
     upto = fr.running_sum("n", F.col("n").cast("double"), keys=("_k",), order=("score",))
     c = c.withColumn("_rank", upto - (F.col("n") - 1) / 2.0)
     np_, nn = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))

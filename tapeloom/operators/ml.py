@@ -295,17 +295,18 @@ def robust_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # Drift ---------------------------------------------------------------------------------------------------------
 
-def ks_statistics(reference: DataFrame, current: DataFrame, least: int = 10, digits: int = 0) -> DataFrame:
+def ks_statistics(reference: DataFrame, current: DataFrame, least: int = 10) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per common numeric column.
 
-    Values are counted per side, and both distribution functions run over value buckets, so no column is ordered in one task.
+    Values are counted per side, and both distribution functions run over equally full ranges of values, so no column is ordered in one task.
     """
     long = rel.common_numeric_long(reference, current).filter(F.col("value").isNotNull())
     c = long.groupBy("column_name", "value").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
     kw = {"keys": ("column_name",), "order": ("value",)}
     cnt = {k: F.col(k).cast("double") for k in ("a", "b")}
     tot = c.groupBy("column_name").agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
-    d = fr.carried(c, {k: (F.sum, x) for k, x in cnt.items()}, block=F.floor(F.col("value") * 10**digits), **kw)
+    c = fr.value_blocks(c, ["column_name"], "value")
+    d = fr.carried(c, {k: (F.sum, x) for k, x in cnt.items()}, block=F.col("_part"), **kw)
     d = d.withColumns({f"_r{k}": fr.running_sum(k, x, **kw) for k, x in cnt.items()}).join(tot, "column_name")
     d = d.filter((F.col("_na") >= least) & (F.col("_nb") >= least))
     return d.groupBy("column_name").agg(F.max(F.abs(F.col("_ra") / F.col("_na") - F.col("_rb") / F.col("_nb"))).alias("ks"))

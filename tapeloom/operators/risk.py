@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import frames as fr
@@ -16,43 +15,44 @@ from tapeloom.functions.frames import div
 YEAR = math.sqrt(252.0)
 Z95 = 1.6448536269514722
 TILE = 128
-DATES = 512
+TIMES = 512
 
 
-def pairwise_moments(series: DataFrame, value: str, tiles: int, dates_per_block: int = DATES) -> DataFrame:
-    """Counts, sums and products of every pair of symbols over their common dates, in long form (a <= b).
+def pairwise_moments(series: DataFrame, value: str, tiles: int | None = None, blocks: int | None = None) -> DataFrame:
+    """Counts, sums and products of every pair of symbols over their common times, in long form (a <= b).
 
-    Blocked matrix product: symbols are hashed into ``tiles``, dates into blocks, and each (tile, tile, block) group
-    holds at most two tiles of one block. Each group is one dense product; partial sums are added per pair. No
-    pair is emitted per date.
+    Two passes: the mean of every symbol, then blocked matrix products of the distances from it, so that small moves of
+    large values keep their digits. Symbols are hashed into ``tiles`` of about ``TILE``, times into ``blocks`` of about
+    ``TIMES`` whatever their calendar density, and each (tile, tile, block) group is one dense product of at most
+    2 * ``TILE`` * ``TIMES`` rows; partial sums are added per pair. No pair is emitted per time. Repeated rows of a
+    symbol and time count as their mean; null values, symbols and times do not count.
     """
-    d = series.filter(F.col(value).isNotNull()).select(
-        "symbol", "ts", F.col(value).cast("double").alias("v"),
-        F.pmod(F.hash("symbol"), F.lit(tiles)).alias("tile"),
-        F.pmod(F.hash("ts"), F.lit(1 << 30)).alias("_h"),
-    )
-    day = F.datediff("ts", F.lit("1970-01-01").cast("date")) if dict(series.dtypes)["ts"] != "bigint" else F.col("ts")
-    d = d.withColumn("block", F.floor(day / dates_per_block)).drop("_h")
-    others = F.sequence(F.lit(0), F.lit(tiles - 1))
-    d = d.withColumn("other", F.explode(others)).select(
-        F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "block", "symbol", "ts", "v", "tile"
-    )
+    v = F.col(value).cast("double")
+    rows = series.filter(v.isNotNull()).groupBy("symbol", "ts").agg(F.avg(v).alias("v"))
+    if tiles is None or blocks is None:
+        n = series.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("ts").alias("t")).first()
+        tiles, blocks = tiles or max(1, math.ceil(n["s"] / TILE)), blocks or max(1, math.ceil(n["t"] / TIMES))
+    means = rows.groupBy("symbol").agg(F.avg("v").alias("_m"))
+    d = rows.join(means, "symbol").select(
+        "symbol", "ts", (F.col("v") - F.col("_m")).alias("v"), F.pmod(F.hash("symbol"), F.lit(tiles)).alias("tile"),
+        F.pmod(F.hash("ts"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"),
+    ).select(F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "block", "symbol", "ts", "v", "tile")
     schema = "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double"
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         ta, tb = pdf["ta"].iat[0], pdf["tb"].iat[0]
-        wide = pdf.pivot(index="ts", columns="symbol", values="v")
-        names = wide.columns.to_numpy()
-        tile_of = pdf.drop_duplicates("symbol").set_index("symbol")["tile"].reindex(names).to_numpy()
-        x = wide.to_numpy()
-        m = (~np.isnan(x)).astype(float)
-        x = np.nan_to_num(x)
+        at, times = pd.factorize(pdf["ts"])
+        of, names = pd.factorize(pdf["symbol"])
+        names, tile_of = np.asarray(names, object), np.empty(len(names), np.int64)
+        tile_of[of] = pdf["tile"].to_numpy()
+        x, m = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+        x[at, of], m[at, of] = pdf["v"].to_numpy(), 1.0
         ia, ib = np.where(tile_of == ta)[0], np.where(tile_of == tb)[0]
         xa, ma, xb, mb = x[:, ia], m[:, ia], x[:, ib], m[:, ib]
         parts = [ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb]
         na, nb = np.meshgrid(names[ia], names[ib], indexing="ij")
         # Inside one tile both orders exist; across tiles the names may be in either order.
-        swap = na > nb
+        swap = (na > nb).astype(bool)
         keep = (parts[0] > 0) & (~swap if ta == tb else np.ones_like(swap))
         n, sx, sy, sxx, syy, sxy = (p[keep] for p in parts)
         sw = swap[keep]
@@ -66,21 +66,29 @@ def pairwise_moments(series: DataFrame, value: str, tiles: int, dates_per_block:
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
-def tile_count(series: DataFrame) -> int:
-    """Tiles so that one holds about ``TILE`` symbols (one small count on the driver)."""
-    n = series.agg(F.approx_count_distinct("symbol")).first()[0]
-    return max(1, math.ceil(n / TILE))
-
+def correlations(
+    series: DataFrame, value: str = "close", tiles: int | None = None, least: float | None = None, most: int | None = None
+) -> DataFrame:
+    """Correlation of every pair of symbols over their common times, pairwise complete, a < b.
 
-def correlations(series: DataFrame, value: str = "close", tiles: int | None = None) -> DataFrame:
-    """Correlation of every pair of symbols over their common dates, pairwise complete, a < b."""
-    m = pairwise_moments(series, value, tiles or tile_count(series)).filter(F.col("a") < F.col("b"))
+    ``least`` keeps pairs of at least that absolute correlation. ``most`` keeps a pair that is among the ``most`` strongest of one
+    of its symbols (ties to the smaller partner); pairs without a correlation are dropped by either.
+    """
+    m = pairwise_moments(series, value, tiles).filter(F.col("a") < F.col("b"))
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     ok = (n >= 2) & (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
-    return m.select("a", "b", n.cast("bigint").alias("n"), F.when(ok, cov / F.sqrt(vx * vy)).alias("correlation"))
+    pairs = m.select("a", "b", n.cast("bigint").alias("n"), F.when(ok, cov / F.sqrt(vx) / F.sqrt(vy)).alias("correlation"))
+    if least is not None:
+        pairs = pairs.filter(F.abs("correlation") >= least)
+    if most is None:
+        return pairs
+    ends = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o"))))
+    w = Window.partitionBy("e.s").orderBy(F.abs("correlation").desc(), "e.o")
+    top = pairs.filter(F.col("correlation").isNotNull()).withColumn("e", ends).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    return top.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("correlation").alias("correlation"))
 
 
 def simple_returns(series: DataFrame, block: Column | None = None, c: str = "close") -> DataFrame:
@@ -98,14 +106,14 @@ def complete_rows(returns: DataFrame) -> DataFrame:
 def covariance(returns: DataFrame, least: int = 30, tiles: int | None = None) -> DataFrame:
     """Sample covariance over complete rows in long form (a <= b); empty below ``least`` rows."""
     full = complete_rows(returns)
-    m = pairwise_moments(full, "r", tiles or tile_count(returns)).filter(F.col("n") >= least)
+    m = pairwise_moments(full, "r", tiles).filter(F.col("n") >= least)
     return m.select("a", "b", "n", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
 
 
 def shrunk_covariance(returns: DataFrame, least: int = 30, tiles: int | None = None) -> DataFrame:
     """Covariance shrunk toward a scaled identity (Ledoit and Wolf 2004), long form (a <= b)."""
     full = complete_rows(returns)
-    m = pairwise_moments(full, "r", tiles or tile_count(returns)).filter(F.col("n") >= least)
+    m = pairwise_moments(full, "r", tiles).filter(F.col("n") >= least)
     m = m.select("a", "b", "n", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n")).alias("c"))
     diag = F.col("a") == F.col("b")
     tot = m.agg(
@@ -123,29 +131,32 @@ def shrunk_covariance(returns: DataFrame, least: int = 30, tiles: int | None = N
     return m.select("a", "b", ((1 - sh) * F.col("c") + F.when(diag, sh * mu_).otherwise(0.0)).alias("covariance"), sh.alias("shrinkage"))
 
 
+def tail_measures(returns: DataFrame, keys, value: str = "r", confidence_z: float = Z95, q: float = 0.05, carry=()) -> DataFrame:
+    """(keys, n_returns, var, n_tail, expected_shortfall, quantile, quantile_mean) and the aggregates ``carry`` per key, in two scans.
+
+    VaR is the lower of the normal and the empirical quantile, 0 below 30 returns; the shortfall is the mean of the returns at or below
+    it, VaR itself without any. ``quantile_mean`` is the mean at or below the empirical quantile. Null returns do not count.
+    """
+    m, s = F.avg(value), F.stddev_samp(value)
+    t = fr.tails(returns, keys, value, q, F.when(F.count(value) < 30, 0.0).otherwise(m - confidence_z * s), carry)
+    names = [c for c in t.columns if c not in {*keys, "_n", "_cut", "_q", "_n_cut", "_s_cut", "_n_q", "_s_q"}]
+    by_cut = (F.col("_n") < 30) | (F.col("_cut") <= F.col("_q"))
+    n_tail, total = (F.when(by_cut, F.col(f"_{x}_cut")).otherwise(F.col(f"_{x}_q")) for x in "ns")
+    var = F.when(by_cut, F.col("_cut")).otherwise(F.col("_q"))
+    return t.select(
+        *keys, F.col("_n").alias("n_returns"), var.alias("var"), n_tail.alias("n_tail"), F.coalesce(div(total, n_tail), var).alias("expected_shortfall"),
+        F.col("_q").alias("quantile"), div(F.col("_s_q"), F.col("_n_q")).alias("quantile_mean"), *names,
+    )
+
+
 def value_at_risk(returns: DataFrame, keys, value: str = "r", confidence_z: float = Z95, q: float = 0.05) -> DataFrame:
     """The lower of the normal and the empirical quantile; 0 below 30 returns."""
-    keys = list(keys)
-    g = returns.groupBy(*keys).agg(
-        F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n_returns")
-    )
-    emp = fr.exact_quantile(returns, keys, value, q, "_q")
-    j = g.join(emp, keys)
-    return j.select(
-        *keys, "n_returns",
-        F.when(F.col("n_returns") < 30, 0.0).otherwise(F.least(F.col("_m") - confidence_z * F.col("_s"), F.col("_q"))).alias("var"),
-    )
+    return tail_measures(returns, keys, value, confidence_z, q).select(*keys, "n_returns", "var")
 
 
 def expected_shortfall(returns: DataFrame, keys, value: str = "r") -> DataFrame:
     """Mean of the returns at or below VaR, else VaR."""
-    keys = list(keys)
-    v = value_at_risk(returns, keys, value)
-    j = returns.join(v, keys)
-    return j.groupBy(*keys).agg(
-        F.max("var").alias("var"), F.avg(F.when(F.col(value) <= F.col("var"), F.col(value))).alias("_t"),
-        F.count_if(F.col(value) <= F.col("var")).alias("n_tail"),
-    ).select(*keys, "var", "n_tail", F.coalesce("_t", "var").alias("expected_shortfall"))
+    return tail_measures(returns, keys, value).select(*keys, "var", "n_tail", "expected_shortfall")
 
 
 def market_returns(returns: DataFrame) -> DataFrame:
@@ -166,25 +177,31 @@ def beta(returns: DataFrame, market: DataFrame, least: int = 30) -> DataFrame:
     return g.select("symbol", "n_aligned", b.alias("beta"))
 
 
-def return_drawdown(returns: DataFrame, keys=("symbol",), value: str = "r") -> DataFrame:
-    """Deepest fall of the cumulated return below its running maximum, through carried log sums and carried peaks."""
-    lr = F.log1p(F.col(value))
-    kw = {"keys": keys, "order": ("ts",)}
-    c = fr.carried(returns, {"lc": (F.sum, lr)}, **kw)
-    c = fr.drop_layout(c.withColumn("_lc", fr.running_sum("lc", lr, **kw)))
-    p = fr.carried(c, {"peak": (F.max, F.col("_lc"))}, **kw)
-    dd = F.exp(F.col("_lc") - fr.running_max("peak", F.col("_lc"), **kw)) - 1
-    return p.withColumn("_dd", dd).groupBy(*keys).agg(F.abs(F.min("_dd")).alias("max_drawdown"))
+def return_drawdown(returns: DataFrame, keys=("symbol",), value: str = "r", block: Column | None = None) -> DataFrame:
+    """Deepest fall of the cumulated return below its running maximum, in one scan.
+
+    Every block of a key gives four numbers of its running log sums: the total, the highest, the lowest and the deepest fall. They
+    combine associatively, so a key is only a row a block (a calendar month unless given) when its blocks are put in order.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys, "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    d = returns.select(*keys, "ts", (fr.default_block(returns) if block is None else block).alias("_block"), F.log1p(value).alias("_lr"))
+    d = d.withColumn("_l", F.sum("_lr").over(w)).withColumn("_gap", F.col("_l") - F.max("_l").over(w))
+    b = d.groupBy(*keys, "_block").agg(F.sum("_lr").alias("_sum"), F.max("_l").alias("_high"), F.min("_l").alias("_low"), F.min("_gap").alias("_gap"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    fall = F.least(F.col("_gap"), F.col("_base") + F.col("_low") - F.max(F.col("_base") + F.col("_high")).over(before))
+    return b.withColumn("_fall", fall).groupBy(*keys).agg(F.abs(F.exp(F.min("_fall")) - 1).alias("max_drawdown"))
 
 
 def position_risk(holdings: DataFrame, returns: DataFrame, risk_free: float = 0.02) -> DataFrame:
     """Risk row per position; symbols without history get the stated defaults."""
     total = holdings.agg(F.sum("market_value")).scalar()
     h = holdings.withColumn("position_size", F.col("market_value") / total)
-    g = returns.groupBy("symbol").agg((F.avg("r") * 252).alias("_er"), (F.stddev_samp("r") * YEAR).alias("_vol"))
-    v = value_at_risk(returns, ["symbol"]).select("symbol", "var")
+    g = tail_measures(returns, ["symbol"], carry=[(F.avg("r") * 252).alias("_er"), (F.stddev_samp("r") * YEAR).alias("_vol")])
+    g = g.select("symbol", "var", "_er", "_vol")
     b = beta(returns, market_returns(returns)).select("symbol", F.col("beta").alias("_beta"))
-    j = h.join(g, "symbol", "left").join(v, "symbol", "left").join(b, "symbol", "left").join(return_drawdown(returns), "symbol", "left")
+    j = h.join(g, "symbol", "left").join(b, "symbol", "left").join(return_drawdown(returns), "symbol", "left")
     known = F.col("_er").isNotNull()
     mv, vol = F.col("market_value"), F.col("_vol")
     return j.select(
@@ -211,18 +228,17 @@ def portfolio_risk(holdings: DataFrame, returns: DataFrame, risk_free: float = 0
     """One row of portfolio measures from the weighted return series and the single volatilities."""
     p = portfolio_series(holdings, returns)
     r = F.col("r")
-    g = p.groupBy("book").agg(
+    es = tail_measures(p, ["book"], carry=[
         (F.avg("r") * 252).alias("expected_return"), (F.stddev_samp("r") * YEAR).alias("volatility"),
         (F.stddev_samp(F.when(r < 0, r)) * YEAR).alias("_down"),
-    )
-    es = expected_shortfall(p, ["book"])
+    ])
     dd = return_drawdown(p, ("book",))
     vols = returns.groupBy("symbol").agg((F.stddev_samp("r") * YEAR).alias("v"))
     h = holdings.join(vols, "symbol", "left").agg(
         F.sum("market_value").alias("total_value"), F.sum(F.col("market_value") ** 2).alias("_sq"),
         F.avg(F.coalesce("v", F.lit(0.2))).alias("_avg_vol"),
     ).withColumn("book", F.lit("portfolio"))
-    j = h.join(g, "book", "left").join(es, "book", "left").join(dd, "book", "left")
+    j = h.join(es, "book", "left").join(dd, "book", "left")
     vol, er, down, mdd = F.col("volatility"), F.col("expected_return"), F.col("_down"), F.col("max_drawdown")
     return j.select(
         "total_value", (F.abs("var") * F.col("total_value")).alias("daily_var"), "expected_return", "volatility",
@@ -266,14 +282,12 @@ def trading_metrics(returns: DataFrame, keys=("symbol",), risk_free: float = 0.0
     """Return, risk and win measures of a return series per key."""
     keys = list(keys)
     r = F.col("r")
-    g = returns.groupBy(*keys).agg(
+    g = tail_measures(returns, keys, carry=[
         (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), F.avg(r).alias("_m"), (F.stddev_samp(r) * YEAR).alias("volatility"),
         (F.stddev_samp(F.when(r < 0, r)) * YEAR).alias("_down"), (F.count_if(r > 0) / F.count(r)).alias("win_rate"),
         F.sum(F.when(r > 0, r)).alias("_win"), F.abs(F.sum(F.when(r < 0, r))).alias("_loss"),
-    )
-    q = fr.exact_quantile(returns, keys, "r", 0.05, "var_95")
-    es = returns.join(q, keys).filter(r <= F.col("var_95")).groupBy(*keys).agg(F.avg("r").alias("expected_shortfall"))
-    j = g.join(q, keys).join(es, keys, "left").join(return_drawdown(returns, keys), keys)
+    ])
+    j = g.drop("expected_shortfall").join(return_drawdown(returns, keys), keys)
     j = j.withColumn("annual_return", F.pow(1 + F.col("_m"), F.lit(252.0)) - 1)
     ar = F.col("annual_return")
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
@@ -281,7 +295,7 @@ def trading_metrics(returns: DataFrame, keys=("symbol",), risk_free: float = 0.0
         *keys, "total_return", "annual_return", "volatility", safe(ar - risk_free, F.col("volatility")).alias("sharpe_ratio"),
         safe(ar - risk_free, F.coalesce("_down", "volatility")).alias("sortino_ratio"), "max_drawdown", "win_rate",
         div(F.coalesce("_win", F.lit(0.0)), F.col("_loss")).alias("profit_factor"), safe(ar, F.col("max_drawdown")).alias("calmar_ratio"),
-        "var_95", "expected_shortfall",
+        F.col("quantile").alias("var_95"), F.col("quantile_mean").alias("expected_shortfall"),
     )
 
 

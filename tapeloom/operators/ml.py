@@ -206,11 +206,20 @@ def f_test_selection(df: DataFrame, cols: Sequence[str], target: str, k: int) ->
     return df.sparkSession.createDataFrame(found, "feature string, score double")
 
 
-def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10) -> DataFrame:
-    """Mutual information of every binned feature with a class target, from joint counts over equal-width bins."""
-    lim = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    s = lim.select(F.struct("*")).scalar()
-    binned = {c: F.coalesce(F.least(F.floor(div((F.col(c) - s[f"lo_{c}"]) * bins, s[f"hi_{c}"] - s[f"lo_{c}"])), F.lit(bins - 1)), F.lit(0)) for c in cols}
+def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10, by_rank: bool = False) -> DataFrame:
+    """Mutual information of every binned feature with a class target, from joint counts.
+
+    Bins are of equal width, or, `by_rank`, between exact quantiles: a value stands in the bin of the first edge that it is not above, so
+    equal values share a bin and a rare extreme does not squeeze the others into one. A feature without a value stands in the first bin.
+    """
+    if by_rank:
+        q = fr.exact_quantiles(df, [], list(cols), [i / bins for i in range(1, bins)])
+        edges = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("quantiles"))).alias(c) for c in cols]).select(F.struct("*")).scalar()
+        binned = {c: sum((F.when(F.col(c) > edges[c][i], 1).otherwise(0) for i in range(bins - 1)), F.lit(0)) for c in cols}
+    else:
+        lim = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
+        s = lim.select(F.struct("*")).scalar()
+        binned = {c: F.coalesce(F.least(F.floor(div((F.col(c) - s[f"lo_{c}"]) * bins, s[f"hi_{c}"] - s[f"lo_{c}"])), F.lit(bins - 1)), F.lit(0)) for c in cols}
     d = df.filter(F.col(target).isNotNull()).select(F.col(target).alias("y"), *[x.cast("bigint").alias(c) for c, x in binned.items()])
     j = d.unpivot(["y"], list(cols), "feature", "bin").groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n"))
     wf = Window.partitionBy("feature")

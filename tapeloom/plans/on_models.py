@@ -119,6 +119,9 @@ q("m10_f_test_selection", lambda t: ml.f_test_selection(numeric(t), list(FEW), "
 MI = lambda f: f"""SELECT '{f}' AS feature, sum(n / tot * ln(n * tot / (px * py))) AS score FROM (SELECT n, sum(n) OVER () AS tot, sum(n) OVER (PARTITION BY b) AS px, sum(n) OVER (PARTITION BY y) AS py FROM (
  SELECT least(floor(({f} - lo) * 10 / (hi - lo)), 9) AS b, CASE WHEN prediction > 0 THEN 1 ELSE 0 END AS y, count(*)::DOUBLE AS n FROM feats, (SELECT min({f}) AS lo, max({f}) AS hi FROM feats) m GROUP BY 1, 2) a) b"""
 q("m11_mutual_information", lambda t: ml.mutual_information(numeric(t), FEW, "up"), "feature score:6", " UNION ALL ".join(MI(f) for f in FEW))
+MIQ = lambda f: f"""SELECT '{f}' AS feature, sum(n / tot * ln(n * tot / (px * py))) AS score FROM (SELECT n, sum(n) OVER () AS tot, sum(n) OVER (PARTITION BY b) AS px, sum(n) OVER (PARTITION BY y) AS py FROM (
+ SELECT len(list_filter(edges, lambda e: e < {f})) AS b, CASE WHEN prediction > 0 THEN 1 ELSE 0 END AS y, count(*)::DOUBLE AS n FROM feats, (SELECT quantile_cont({f}::DOUBLE, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS edges FROM feats) m GROUP BY 1, 2) a) b"""
+q("m11_information_by_rank", lambda t: ml.mutual_information(numeric(t), FEW, "up", by_rank=True), "feature score:6", " UNION ALL ".join(MIQ(f) for f in FEW))
 FOLD = "event_id % 3"
 
 

@@ -10,6 +10,7 @@ from tapeloom.plans.fragments import P
 from tapeloom.plans.registry import Query
 from tapeloom.session import scratch
 from tapeloom.sources import readers as rd
+from tapeloom.sources import stored as sd
 
 QUERIES: list[Query] = []
 
@@ -90,9 +91,21 @@ q("s08_flatten_chain", lambda t: rd.flatten_chain(side_frame(t, "call"), side_fr
   "SELECT symbol, put_call, strike, last, bid, CASE WHEN contract_id % 8 <> 0 THEN ask END AS ask, volume, open_interest FROM chain WHERE contract_id % 31 <> 0")
 snap = lambda t: t.chain_snapshots().join(t.chain().select("contract_id", F.col("dte").alias("expiry")), "contract_id").withColumnRenamed("contract_id", "ingest")
 SNAP = "SELECT s.contract_id AS ingest, s.symbol, s.put_call, s.strike, s.chain_date, s.open_interest, c.dte AS expiry FROM chain_snapshots s JOIN chain c ON s.contract_id = c.contract_id"
-q("s09_snapshot_upsert", lambda t: rd.upsert(snap(t), snap(t).filter("ingest % 3 = 0").withColumn("open_interest", F.col("open_interest") + 1000)), "symbol expiry:l chain_date:l put_call strike:4 open_interest:l", f"""
+SNAP_UPSERTED = f"""
 SELECT symbol, expiry, chain_date, put_call, strike, open_interest FROM (SELECT *, row_number() OVER (PARTITION BY symbol, expiry, chain_date, put_call, strike ORDER BY fresh DESC, ingest DESC) AS rn FROM (
- SELECT *, 0 AS fresh FROM ({SNAP}) a UNION ALL SELECT * REPLACE (open_interest + 1000 AS open_interest), 1 FROM ({SNAP}) b WHERE ingest % 3 = 0) c) d WHERE rn = 1""")
+ SELECT *, 0 AS fresh FROM ({SNAP}) a UNION ALL SELECT * REPLACE (open_interest + 1000 AS open_interest), 1 FROM ({SNAP}) b WHERE ingest % 3 = 0) c) d WHERE rn = 1"""
+q("s09_snapshot_upsert", lambda t: rd.upsert(snap(t), snap(t).filter("ingest % 3 = 0").withColumn("open_interest", F.col("open_interest") + 1000)), "symbol expiry:l chain_date:l put_call strike:4 open_interest:l", SNAP_UPSERTED)
+
+
+def stored_snapshots(t):
+    """Two loads into a store partitioned by chain date, read back."""
+    path, rows = scratch(t.spark, "snapshots"), snap(t).select(*rd.SNAPSHOT_KEY, "open_interest", "ingest")
+    sd.upsert_stored(path, rows)
+    sd.upsert_stored(path, rows.filter("ingest % 3 = 0").withColumn("open_interest", F.col("open_interest") + 1000))
+    return sd.read_stored(t.spark, path, rows.schema)
+
+
+q("s09_stored_upsert", stored_snapshots, "symbol expiry:l chain_date:l put_call strike:4 open_interest:l", SNAP_UPSERTED)
 q("s10_latest_snapshot", lambda t: rd.latest_snapshot(snap(t)), "ingest:l symbol expiry:l chain_date:l open_interest:l",
   f"SELECT ingest, symbol, expiry, chain_date, open_interest FROM (SELECT *, dense_rank() OVER (PARTITION BY symbol, expiry ORDER BY chain_date DESC) AS r FROM ({SNAP}) a) b WHERE r = 1")
 
@@ -200,6 +213,17 @@ q("f15_sector_validity", lambda t: rel.sector_validity(t.quotes().select(F.col("
   "batch valid:b score:2", "SELECT symbol AS batch, bool_and(quote_id % 40 <> 0 AND quote_id % 120 - 10 <= 100) AS valid, CASE WHEN bool_and(quote_id % 40 <> 0 AND quote_id % 120 - 10 <= 100) THEN 85 ELSE 55 END AS score FROM quotes GROUP BY 1")
 q("f16_retention", lambda t: rel.retain(t.runs(), "ts", t.runs().agg(F.max("ts")).scalar(), 10), "run_id:l model", "SELECT run_id, model FROM runs WHERE ts > (SELECT max(ts) FROM runs) - INTERVAL 10 DAYS")
 
+
+def stored_runs(t):
+    """Runs in a store partitioned by day, after retention, read back."""
+    path, rows = scratch(t.spark, "runs"), t.runs().select("run_id", "model", "ts").withColumn("day", F.to_date("ts"))
+    rows.repartition("day").write.partitionBy("day").parquet(path)
+    sd.retain_stored(t.spark, path, rows.schema, "ts", rows.agg(F.max("ts")).first()[0], 10)
+    return sd.read_stored(t.spark, path, rows.schema)
+
+
+q("f16_stored_retention", stored_runs, "run_id:l model", "SELECT run_id, model FROM runs WHERE ts > (SELECT max(ts) FROM runs) - INTERVAL 10 DAYS")
+
 # Joins -----------------------------------------------------------------------------------------------------------
 # Orders of nine in ten customers keep their key, the others miss: both sides have rows without a partner.
 shifted = lambda: F.col("o_custkey") - F.when(F.col("o_custkey") % 10 == 0, 10_000_000).otherwise(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.operators import indicators as ind
 from tapeloom.operators import quality as ql
 from tapeloom.plans.registry import Query
 from tapeloom.session import scratch
@@ -106,3 +107,21 @@ def by_sql(t):
 
 
 q("y05_sql_views", by_sql, "symbol n:l mean_price:5", "SELECT symbol, count(*) AS n, avg(price) AS mean_price FROM ticks GROUP BY symbol")
+
+
+def by_table_function(t):
+    """Two operators called from SQL text, one restricted by its arguments."""
+    st.register_tables(t.spark, t.bars(), {
+        "moving_averages": (lambda b: ind.sma(b, (5, 20)), "", "true"),
+        "drawdowns": (ind.max_drawdown, "at_least double", "max_drawdown >= at_least"),
+    })
+    return t.spark.sql("""SELECT m.symbol, count(m.sma_20) AS n, avg(m.price_to_sma_5) AS ratio, max(d.max_drawdown) AS worst
+        FROM moving_averages() m JOIN drawdowns(at_least => 0.2D) d ON m.symbol = d.symbol GROUP BY m.symbol""")
+
+
+q("y05_table_functions", by_table_function, "symbol n:l ratio:5 worst:5", """
+WITH m AS (SELECT symbol, CASE WHEN count(close) OVER w20 >= 20 THEN avg(close) OVER w20 END AS sma_20, CASE WHEN count(close) OVER w5 >= 5 THEN close / avg(close) OVER w5 END AS ratio FROM bars
+ WINDOW w20 AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), w5 AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)),
+p AS (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY ts) AS peak FROM bars),
+d AS (SELECT symbol, max((peak - close) / peak) AS worst FROM p GROUP BY symbol HAVING worst >= 0.2)
+SELECT m.symbol, count(sma_20) AS n, avg(ratio) AS ratio, max(worst) AS worst FROM m JOIN d ON m.symbol = d.symbol GROUP BY m.symbol""")

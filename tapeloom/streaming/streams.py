@@ -289,3 +289,21 @@ def register_views(views: dict[str, DataFrame]) -> None:
     for name, df in views.items():
         df.createOrReplaceTempView(name)
 
+
+
+def register_tables(spark: SparkSession, source: DataFrame, operators: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]]) -> None:
+    """Make operators callable from SQL text as table functions.
+
+    ``operators``: name to (operator, parameters as in ``"level double, side string"``, condition over them and the operator's columns). The
+    result of the operator on ``source`` becomes the view ``<name>_rows`` and ``SELECT ... FROM name(...)`` its rows that meet the condition. Both are
+    plans, nothing is computed here, and a call is inlined: its columns and filters reach the scan like those of any view. Names are
+    used as given; a parameter hides no column, so it needs a name of its own.
+    """
+    for name, (operator, parameters, condition) in operators.items():
+        rows = operator(source)
+        clash = {p.split()[0].lower() for p in parameters.split(",") if p.strip()} & {c.lower() for c in rows.columns}
+        if clash:
+            raise ValueError(f"parameters of {name} named like its columns: {sorted(clash)}")
+        rows.createOrReplaceTempView(f"{name}_rows")
+        out = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({out}) RETURN SELECT * FROM {name}_rows WHERE {condition}")

@@ -326,13 +326,19 @@ def local_extremes(bars: DataFrame, half: int = 2) -> DataFrame:
     return own(s.withColumn("local_min", full & (F.min(close()).over(w) == close())))
 
 
+def _corr(x: Column, y: Column, w) -> Column:
+    """Correlation over a frame, null where either side is flat. `F.corr` is computed on every frame, also on those a condition
+    around it leaves out, and its division by zero there is an error."""
+    return div(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+
+
 def add_trend_strength(s: DataFrame, n: int = 10, c: str = "close", out: str = "trend_strength") -> DataFrame:
     """Correlation of the value with its position in the frame."""
     c = F.col(c)
     s = s.withColumn("_i", F.row_number().over(over()).cast("double"))
     w = last_n(n)
     ok = (F.count(c).over(w) >= n) & (F.max(c).over(w) > F.min(c).over(w))
-    return s.withColumn(out, F.when(ok, F.corr(F.col("_i"), c).over(w))).drop("_i")
+    return s.withColumn(out, F.when(ok, _corr(F.col("_i"), c, w))).drop("_i")
 
 
 def trend_strength(bars: DataFrame, n: int = 10) -> DataFrame:
@@ -569,7 +575,7 @@ def sentiment_features(readings: DataFrame) -> DataFrame:
     s = s.withColumn("_i", F.row_number().over(w).cast("double"))
     f = w.rowsBetween(-9, 0)
     ok = (F.count("score").over(f) >= 10) & (F.max("score").over(f) > F.min("score").over(f))
-    return own(s.withColumn("sentiment_trend", F.when(ok, F.corr("_i", "score").over(f)))).drop("_i")
+    return own(s.withColumn("sentiment_trend", F.when(ok, _corr(F.col("_i"), F.col("score"), f)))).drop("_i")
 
 
 def iv_rank(series: DataFrame, days: int = 252) -> DataFrame:

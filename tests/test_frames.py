@@ -118,3 +118,14 @@ def test_dense_blocks_are_not_copied_and_null_symbols_stay(dense):
     cut = fr.own(fine.withColumns({"m": F.avg("close").over(fr.last_n(480)), "n": F.lead("close", 5).over(fr.over())}))
     a, b = (x.orderBy(F.col("symbol").asc_nulls_first(), "ts").select("m", "n").toPandas() for x in (whole, cut))
     assert np.allclose(a, b, equal_nan=True)
+
+
+def test_trend_of_flat_frames_is_null(spark):
+    at = dt.datetime(2024, 1, 1)
+    scores = [0.5] * 15 + [0.1 * i for i in range(10)]
+    rows = [(i, "U", at + dt.timedelta(minutes=i), x) for i, x in enumerate(scores)]
+    df = spark.createDataFrame(rows, "event_id long, symbol string, ts timestamp_ntz, score double")
+    got = [r.sentiment_trend for r in ind.sentiment_features(df).orderBy("event_id").collect()]
+    assert got[:15] == [None] * 15 and got[24] == pytest.approx(1.0) and got[20] == pytest.approx(np.corrcoef(range(10), scores[11:21])[0, 1])
+    got = [r.trend_strength for r in ind.trend_strength(df.withColumnRenamed("score", "close")).orderBy("ts").collect()]
+    assert got[:15] == [None] * 15 and got[24] == pytest.approx(1.0)

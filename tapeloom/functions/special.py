@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import KEYS, ORDER
@@ -51,23 +51,37 @@ def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-# Rows of a chunk for exponential means; longer blocks are fine, the weights start anew within them.
-EMA_ROWS = 512
+# Rows of a chunk for exponential means: few chunks, so few copies of context; the weights start anew within them.
+EMA_ROWS = 8192
 
 
-def ewm_mean(c: Column, alpha: float, pos: str = "_k") -> Column:
+def ewm_stretch(s: DataFrame, reach: int) -> DataFrame:
+    """A segmented frame with ``_k``, the row number in the chunk, and ``_e``, its stretch of ``reach`` rows, for `ewm_mean`.
+
+    The rows are put in the order that all windows of `ewm_mean` share, so that none of them sorts anew.
+    """
+    s = s.withColumn("_k", F.row_number().over(Window.partitionBy(*KEYS, "_chunk").orderBy(*ORDER)))
+    return s.withColumn("_e", F.floor(F.col("_k") / reach)).sortWithinPartitions(*KEYS, "_chunk", "_e", *ORDER)
+
+
+def ewm_mean(c: Column, alpha: float, rows: int) -> Column:
     """Weighted mean Σ(1-α)^i x / Σ(1-α)^i over the chunk up to the row.
 
-    Weights grow from 1 to 1e16 over a stretch of ``ema_reach(alpha)`` rows and then start anew, so they stay finite however long the
-    chunk is. A row takes the running sums of its stretch and the decayed totals of the one before; what is older weighs
-    less than double precision. The frame must be segmented with ``lookback >= ema_reach(alpha)``; ``pos`` is the row number in the
-    chunk.
+    Weights grow from 1 over a stretch of rows and then start anew, so they stay finite however long the chunk is. A row takes the
+    running sums of its stretch and the decayed totals of the one before; what is older weighs less than double precision. The frame
+    comes from `ewm_stretch` with ``rows`` of at least ``ema_reach(alpha)``, as must its ``lookback`` be. All means over one frame share
+    its stretches, and with them one sort; only where weights over ``rows`` would leave the range of doubles a mean has stretches of its own.
     """
     reach = ema_reach(alpha)
-    stretch = F.floor(F.col(pos) / reach)
+    if rows < reach:
+        raise ValueError(f"stretches of {rows} rows are too short for alpha {alpha}: {reach} are needed")
+    if -math.log(1 - alpha) * rows < 600:
+        reach, stretch = rows, F.col("_e")
+    else:
+        stretch = F.floor(F.col("_k") / reach)
     inside = Window.partitionBy(*KEYS, "_chunk", stretch).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*KEYS, "_chunk").orderBy(stretch).rangeBetween(-1, -1)
-    weight = F.pow(F.lit(1.0 / (1 - alpha)), F.col(pos) - stretch * reach)
+    weight = F.pow(F.lit(1.0 / (1 - alpha)), F.col("_k") - stretch * reach)
     decay = (1 - alpha) ** reach
 
     def total(x: Column) -> Column:

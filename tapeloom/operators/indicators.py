@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import frames as fr
 from tapeloom.functions.frames import div, guarded, lag, last_n, max_n, mean_n, min_n, over, own, pct_change, segment, std_n
-from tapeloom.functions.special import EMA_ROWS, ema_reach, ewm_mean, span_alpha
+from tapeloom.functions.special import EMA_ROWS, ema_reach, ewm_mean, ewm_stretch, span_alpha
 
 YEAR = math.sqrt(252.0)
 
@@ -57,30 +57,29 @@ def sma(bars: DataFrame, ns=(5, 10, 20, 50)) -> DataFrame:
     return own(add_sma(segment(bars, lookback=max(ns)), ns))
 
 
-def ema_layout(bars: DataFrame, reach: int) -> DataFrame:
-    """Chunks short enough for weighted running sums, numbered from their first row."""
-    return segment(bars, lookback=reach, rows=EMA_ROWS).withColumn("_k", F.row_number().over(over()))
-
-
 def ema(bars: DataFrame, spans=(12, 26)) -> DataFrame:
     """Exponential mean with pandas ``adjust=True`` weights."""
-    s = ema_layout(bars, max(ema_reach(span_alpha(n)) for n in spans))
+    reach = max(ema_reach(span_alpha(n)) for n in spans)
+    s = ewm_stretch(segment(bars, lookback=reach, rows=max(EMA_ROWS, reach)), reach)
     for n in spans:
-        s = s.withColumn(f"ema_{n}", ewm_mean(close(), span_alpha(n)))
-    return own(s).drop("_k")
+        s = s.withColumn(f"ema_{n}", ewm_mean(close(), span_alpha(n), reach))
+    return own(s).drop("_k", "_e")
 
 
-def add_macd(s: DataFrame) -> DataFrame:
-    s = s.withColumn("macd", ewm_mean(close(), span_alpha(12)) - ewm_mean(close(), span_alpha(26)))
-    s = s.withColumn("macd_signal", ewm_mean(F.col("macd"), span_alpha(9)))
-    return s.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+MACD_STRETCH = ema_reach(span_alpha(26))
+MACD_REACH = MACD_STRETCH + ema_reach(span_alpha(9))
 
 
-MACD_REACH = ema_reach(span_alpha(26)) + ema_reach(span_alpha(9))
+def add_macd(s: DataFrame) -> DataFrame:
+    """Works on a frame of `ewm_stretch` with stretches of `MACD_STRETCH`."""
+    e = lambda c, span: ewm_mean(c, span_alpha(span), MACD_STRETCH)
+    s = s.withColumn("macd", e(close(), 12) - e(close(), 26))
+    s = s.withColumn("macd_signal", e(F.col("macd"), 9))
+    return s.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
 def macd(bars: DataFrame) -> DataFrame:
-    return own(add_macd(ema_layout(bars, MACD_REACH))).drop("_k")
+    return own(add_macd(ewm_stretch(segment(bars, lookback=MACD_REACH, rows=EMA_ROWS), MACD_STRETCH))).drop("_k", "_e")
 
 
 def _rsi_of(gain: Column, loss: Column) -> Column:
@@ -106,7 +105,8 @@ def rsi(bars: DataFrame, ns=(14, 21)) -> DataFrame:
 def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder-smoothed RSI: seed is the mean of the first ``n`` changes, then alpha = 1/n."""
     a = 1.0 / n
-    s = ema_layout(bars, ema_reach(a) + 1).withColumn("_pos", fr.position())
+    # Chunks short enough for weighted running sums, numbered from their first row.
+    s = segment(bars, lookback=ema_reach(a) + 1, rows=512).withColumn("_k", F.row_number().over(over())).withColumn("_pos", fr.position())
     s = s.withColumn("_d", close() - lag(close()))
     rel = F.col("_k") - 1
     # A change before the seed point (bar n + 1) counts with the weight it has there: 1/n.
@@ -419,15 +419,15 @@ def volume_flow(bars: DataFrame) -> DataFrame:
 
 def indicator_flags(bars: DataFrame) -> DataFrame:
     """Threshold and crossing flags on RSI, MACD, bands and moving averages."""
-    s = ema_layout(bars, MACD_REACH + 2)
-    s = add_macd(add_bollinger(add_sma(add_rsi(s), (20, 50))))
+    s = add_bollinger(add_sma(add_rsi(segment(bars, lookback=MACD_REACH + 2, rows=EMA_ROWS)), (20, 50)))
+    s = s.withColumn("rsi_divergence", F.col("rsi") - lag("rsi"))
+    s = add_macd(ewm_stretch(s, MACD_STRETCH))
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     s = s.withColumn("rsi_oversold", flag(F.col("rsi") < 30)).withColumn("rsi_overbought", flag(F.col("rsi") > 70))
-    s = s.withColumn("rsi_divergence", F.col("rsi") - lag("rsi"))
     s = s.withColumn("macd_cross", flag(F.col("macd") > F.col("macd_signal")))
-    s = s.withColumn("macd_divergence", F.col("macd_histogram") - lag("macd_histogram"))
+    s = s.withColumn("macd_divergence", F.col("macd_histogram") - F.lag("macd_histogram").over(over(order=("_e", *fr.ORDER))))
     s = s.withColumn("bb_breakout_up", flag(close() > F.col("bb_upper"))).withColumn("bb_breakout_down", flag(close() < F.col("bb_lower")))
-    return own(s.withColumn("sma_cross", flag(F.col("sma_20") > F.col("sma_50")))).drop("_k")
+    return own(s.withColumn("sma_cross", flag(F.col("sma_20") > F.col("sma_50")))).drop("_k", "_e")
 
 
 def historical_volatility(bars: DataFrame, default: float = 0.25) -> DataFrame:

@@ -24,12 +24,12 @@ FEATURES = ("returns", "volatility", "sma_20", "sma_50", "ema_12", "ema_26", "rs
 
 def feature_table(bars: DataFrame, horizons: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     """Indicators and forward targets of every bar; missing features count 0, missing targets stay null."""
-    from tapeloom.functions.special import EMA_ROWS, ema_reach, ewm_mean, span_alpha
+    from tapeloom.functions.special import EMA_ROWS, ema_reach, ewm_mean, ewm_stretch, span_alpha
 
-    s = fr.segment(bars, lookback=ema_reach(span_alpha(26)), lookahead=max(horizons), rows=EMA_ROWS)
-    s = s.withColumn("_k", F.row_number().over(fr.over()))
+    reach = ema_reach(span_alpha(26))
+    s = fr.segment(bars, lookback=reach, lookahead=max(horizons), rows=EMA_ROWS)
     c = F.col("close")
-    s = s.withColumns({"returns": fr.pct_change(c), "ema_12": ewm_mean(c, span_alpha(12)), "ema_26": ewm_mean(c, span_alpha(26))})
+    s = s.withColumn("returns", fr.pct_change(c))
     s = s.withColumn("volatility", fr.std_n(F.col("returns"), 20))
     s = ind.add_rsi(ind.add_sma(s, (20, 50)))
     s = s.withColumns({
@@ -39,8 +39,10 @@ def feature_table(bars: DataFrame, horizons: Sequence[int] = (1, 5, 10, 20)) ->
     for h in horizons:
         s = s.withColumn(f"target_return_{h}d", div(F.lead(c, h).over(fr.over()), c) - 1)
         s = s.withColumn(f"target_direction_{h}d", F.coalesce((F.col(f"target_return_{h}d") > 0).cast("int"), F.lit(0)))
+    s = ewm_stretch(s, reach)
+    s = s.withColumns({"ema_12": ewm_mean(c, span_alpha(12), reach), "ema_26": ewm_mean(c, span_alpha(26), reach)})
     s = s.withColumns({f: F.coalesce(F.col(f), F.lit(0.0)) for f in FEATURES})
-    return fr.own(s).drop("_k")
+    return fr.own(s).drop("_k", "_e")
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import frames as fr
 from tapeloom.functions.frames import div
+from tapeloom.functions.special import ewm_stretch
 from tapeloom.operators import chain as ch
 from tapeloom.operators import indicators as ind
 from tapeloom.operators.aggregates import clamp
@@ -34,12 +35,12 @@ def _texts(limit: int, *pairs: tuple[Column, Column | str]) -> Column:
 
 def technical_signals(bars: DataFrame) -> DataFrame:
     """Signals at the last bar of every symbol, from the tail the longest indicator needs."""
-    t = fr.tail(bars, ind.MACD_REACH + 2).withColumn("_k", F.row_number().over(fr.over()))
-    t = ind.add_macd(ind.add_bollinger(ind.add_sma(ind.add_rsi(t), (20, 50))))
-    t = ind.add_adx(ind.add_volatility(t, (20,)))
+    t = fr.tail(bars, ind.MACD_REACH + 2)
+    t = ind.add_adx(ind.add_volatility(ind.add_bollinger(ind.add_sma(ind.add_rsi(t), (20, 50))), (20,)))
     close, w20 = _c("close"), fr.last_n(20)
     hi, lo = F.max("high").over(w20), F.min("low").over(w20)
     t = t.withColumns({"_v20": F.avg("volume").over(w20), "_hi": hi, "_lo": lo, "_r5": fr.pct_change(close, 5), "_r20": fr.pct_change(close, 20)})
+    t = ind.add_macd(ewm_stretch(t, ind.MACD_STRETCH))
     t = t.filter(_c("_back") == 1)
     vol = _c("volatility_20")
     long_mean = F.coalesce("sma_50", "sma_20")

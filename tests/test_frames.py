@@ -129,3 +129,19 @@ def test_trend_of_flat_frames_is_null(spark):
     assert got[:15] == [None] * 15 and got[24] == pytest.approx(1.0) and got[20] == pytest.approx(np.corrcoef(range(10), scores[11:21])[0, 1])
     got = [r.trend_strength for r in ind.trend_strength(df.withColumnRenamed("score", "close")).orderBy("ts").collect()]
     assert got[:15] == [None] * 15 and got[24] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("make", [ind.ema, ind.macd, ind.indicator_flags])
+def test_exponential_means_share_a_sort(bars, make):
+    plan = make(bars)._jdf.queryExecution().executedPlan().toString()
+    final = [x for x in plan.split("\n") if "Sort [" in x and "_chunk" in x]
+    assert 0 < len(final) <= 2, plan
+
+
+def test_ema_of_short_and_long_spans_and_no_copies_of_short_symbols(bars):
+    got = ind.ema(bars, (2, 200)).toPandas().sort_values(["symbol", "ts"])
+    for n in (2, 200):
+        want = got.groupby("symbol")["close"].transform(lambda s, n=n: s.ewm(span=n).mean())
+        assert np.allclose(got[f"ema_{n}"], want, rtol=1e-12)
+    long = bars.where("symbol = 'HOT'").unionByName(bars.where("symbol = 'HOT'").withColumn("ts", F.col("ts") + F.expr("interval 20 years")))
+    assert np.allclose(ind.macd(long).orderBy("ts").toPandas()["macd"], (lambda c: c.ewm(span=12).mean() - c.ewm(span=26).mean())(long.orderBy("ts").toPandas()["close"]), atol=1e-9)

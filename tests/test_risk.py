@@ -103,3 +103,21 @@ def test_cut_table_gives_the_same_indicator(spark):
     assert cut.select(fr.FINE).distinct().count() > bars.select(fr.month_block()).distinct().count()
     a, b = (sorted(map(tuple, indicators.sma(d).drop(fr.FINE).collect())) for d in (bars, cut))
     assert len(a) == 600 and repr(a) == repr(b)
+
+
+def test_pairs_are_emitted_once_and_not_shuffled(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 30))
+    x[::3, 4] = np.nan
+    d = long(spark, x).unionByName(long(spark, x).limit(1).withColumn("ts", F.lit(None).cast("date")))
+    m = risk.pairwise_moments(d, "r", tiles=12, blocks=5)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow"), plan
+    rows = m.collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows}) == 30 * 31 // 2 and all(r.a <= r.b for r in rows)
+    want = pd.DataFrame(x, columns=[f"S{i}" for i in range(30)]).cov()
+    for r in rows:
+        if r.n == 40:
+            assert (r.sxy - r.sx * r.sy / r.n) / (r.n - 1) == pytest.approx(want[r.a][r.b], abs=1e-12)
+        else:
+            assert "S4" in (r.a, r.b) and r.n == 26

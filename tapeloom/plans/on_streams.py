@@ -18,17 +18,29 @@ def q(key, plan, out, sql=None):
 
 
 PARTS = 4
+#: Rows of a landed file; a part of more rows lands as several files, which arrive together.
+FILE_ROWS = 1_000_000
 
 
-def landed(spark, rows, order: str, per_trigger: int = 1):
-    """Rows that land in order, one file after another, and arrive as a stream of as many micro-batches."""
-    path = scratch(spark, "landed")
+def landed(spark, rows, order: str, per_trigger: int = 1, file_rows: int = FILE_ROWS):
+    """Rows that land in order, one part after another, and arrive as a stream of as many micro-batches.
+
+    The rows are computed once. All parts have the same number of files, so that a micro-batch takes whole parts; a part of fewer rows is filled up with empty files.
+    """
+    path, whole = scratch(spark, "landed"), scratch(spark, "landing")
+    rows.write.parquet(whole)
+    rows = spark.read.schema(rows.schema).parquet(whole)
     o = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
     cuts = rows.select(o.alias("o")).approxQuantile("o", [i / PARTS for i in range(1, PARTS)], 0.01)
-    part = sum(((o > c).cast("int") for c in cuts), F.lit(0))
+    part = F.coalesce(sum(((o > c).cast("int") for c in cuts), F.lit(0)), F.lit(0))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+    files = max(1, *(-(-n // file_rows) for n in sizes.values())) if sizes else 1
     for i in range(PARTS):
-        rows.filter(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
-    return st.read_files(spark, path, rows.schema, per_trigger=per_trigger)
+        own = rows.filter(part == i)
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range((i + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return st.read_files(spark, path, rows.schema, per_trigger=per_trigger * files)
 
 
 class Live:

@@ -169,30 +169,44 @@ def count_triggers(stream: DataFrame, every: dict[str, int], to: Place) -> DataF
     return t.select(F.explode(hits).alias("x")).select("x.*")
 
 
-def anomaly_stream(stream: DataFrame, to: Place, history: int = 9) -> DataFrame:
+#: Keys that travel and keep their state together: one call of Python and one row of state for a bucket, not for every key.
+BUCKETS = 4096
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    """The bucket of a key; null keys have one of their own, -1."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("bucket")
+
+
+def anomaly_stream(stream: DataFrame, to: Place, history: int = 9, buckets: int = BUCKETS) -> DataFrame:
     """Outlier checks on arriving bars against the last ``history`` bars of their symbol, by the rules of the batch operator.
 
-    State is the tail of every symbol; a row is reported in the batch it arrives in. A task holds what one trigger brings of a symbol,
-    which ``maxFilesPerTrigger`` bounds.
+    State is the tail of every symbol, kept by bucket of symbols; a row is reported in the batch it arrives in. A task holds what one
+    trigger brings of a bucket, which ``maxFilesPerTrigger`` and ``buckets`` bound.
     """
     def step(key, chunks, state: GroupState):
-        ts, close, volume = state.get if state.exists else ([], [], [])
-        tail = pd.DataFrame({"ts": list(ts), "close": list(close), "volume": list(volume)}, dtype="float64").astype({"ts": "int64"})
-        new = pd.concat([p[["ts", "close", "volume"]] for p in chunks])
-        both = pd.concat([tail.assign(fresh=False), new.assign(fresh=True)]).sort_values(["ts", "fresh"], kind="stable").reset_index(drop=True)
-        last = both.tail(history)
-        state.update(([int(x) for x in last["ts"]], [float(x) for x in last["close"]], [float(x) for x in last["volume"]]))
-        c, v = (np.column_stack([both[x].shift(i).to_numpy(float) for i in range(1, history + 1)]) for x in ("close", "volume"))
+        names, ts, close, volume = state.get if state.exists else ([], [], [], [])
+        tail = pd.DataFrame({"symbol": list(names), "ts": list(ts), "close": list(close), "volume": list(volume)}).astype({"symbol": object, "ts": "int64", "close": float, "volume": float})
+        new = pd.concat([p[["symbol", "ts", "close", "volume"]] for p in chunks])
+        both = pd.concat([tail.assign(fresh=False), new.assign(fresh=True)]).sort_values(["symbol", "ts", "fresh"], kind="stable").reset_index(drop=True)
+        last = both.groupby("symbol", sort=False).tail(history)
+        state.update(([str(x) for x in last["symbol"]], [int(x) for x in last["ts"]], [float(x) for x in last["close"]], [float(x) for x in last["volume"]]))
+        at = both.groupby("symbol", sort=False).cumcount().to_numpy()
+        c, v = (np.column_stack([np.where(at >= i, both[x].shift(i).to_numpy(float), np.nan) for i in range(1, history + 1)]) for x in ("close", "volume"))
         m, nv = c.mean(axis=1), (~np.isnan(v)).sum(axis=1)
         out = both.assign(
-            symbol=key[0], _k=(~np.isnan(c)).sum(axis=1), _m=m, _s=np.sqrt(((c - m[:, None]) ** 2).sum(axis=1) / (history - 1)),
+            _k=(~np.isnan(c)).sum(axis=1), _m=m, _s=np.sqrt(((c - m[:, None]) ** 2).sum(axis=1) / (history - 1)),
             _v=np.where(nv > 0, np.nansum(v, axis=1) / np.maximum(nv, 1), np.nan),
         )
+        if key[0] < 0:
+            out["symbol"] = None
         yield out.loc[out["fresh"], ["symbol", "ts", "close", "volume", "_k", "_m", "_s", "_v"]]
 
-    rows = stream.select("symbol", _micros("ts").alias("ts"), F.col("close").cast("double"), F.col("volume").cast("double"))
+    rows = stream.select(
+        _bucket("symbol", buckets), F.coalesce("symbol", F.lit("")).alias("symbol"), _micros("ts").alias("ts"), F.col("close").cast("double"), F.col("volume").cast("double"))
     out = "symbol string, ts bigint, close double, volume double, _k bigint, _m double, _s double, _v double"
-    seen = rows.groupBy("symbol").applyInPandasWithState(step, out, "ts array<bigint>, close array<double>, volume array<double>", "append", GroupStateTimeout.NoTimeout)
+    held = "symbol array<string>, ts array<bigint>, close array<double>, volume array<double>"
+    seen = rows.groupBy("bucket").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.NoTimeout)
     when = F.timestamp_micros(F.nullif(F.col("ts"), F.lit(EARLIEST))).cast("timestamp_ntz")
     s = seen.filter(F.col("_k") == history).select("symbol", when.alias("ts"), F.explode(bar_findings()).alias("a"))
     return drain(s.select("symbol", "ts", "a.*"), to)
@@ -227,19 +241,26 @@ def volume_bars(stream: DataFrame, to: Place, width: str = "5 minutes") -> DataF
     return t.withColumn("bar", F.col("bar").cast("timestamp_ntz"))
 
 
-def oi_changes(stream: DataFrame) -> DataFrame:
-    """Open-interest change of every arriving snapshot row against the previous one of its contract; the state is one number."""
+def oi_changes(stream: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Open-interest change of every arriving snapshot row against the previous one of its contract; the state is one number a contract, kept by bucket."""
     def change(key, chunks, state: GroupState):
-        rows = pd.concat(list(chunks)).sort_values("chain_date")
-        oi = rows["open_interest"].astype("Int64")
-        before = oi.shift(1)
-        if state.exists:
-            before.iloc[0] = pd.NA if state.get[0] is None else state.get[0]
-        state.update((None if pd.isna(oi.iloc[-1]) else int(oi.iloc[-1]),))
-        yield pd.DataFrame({"contract_id": key[0], "chain_date": rows["chain_date"], "oi_change": oi - before})
-
-    return stream.groupBy("contract_id").applyInPandasWithState(
-        change, "contract_id bigint, chain_date int, oi_change bigint", "oi bigint", "append", GroupStateTimeout.NoTimeout
+        ids, known, before = (list(x) for x in state.get) if state.exists else ([], [], [])
+        held = pd.DataFrame({"contract_id": ids, "oi": pd.array(before, "Int64")}).astype({"contract_id": "int64"})
+        held.loc[~np.array(known, bool), "oi"] = pd.NA
+        rows = pd.concat(list(chunks)).sort_values(["contract_id", "chain_date"], kind="stable").reset_index(drop=True)
+        oi, contract = rows["open_interest"].astype("Int64"), rows["contract_id"].astype("int64")
+        first = contract.ne(contract.shift(1))
+        earlier = held.set_index("contract_id")["oi"].reindex(contract[first])
+        was = oi.shift(1)
+        was[first] = earlier.array
+        last = ~contract.duplicated(keep="last")
+        now = pd.concat([held[~held["contract_id"].isin(contract)], pd.DataFrame({"contract_id": contract[last], "oi": oi[last]})])
+        state.update(([int(x) for x in now["contract_id"]], [bool(x) for x in now["oi"].notna()], [int(x) for x in now["oi"].fillna(0)]))
+        yield pd.DataFrame({"contract_id": None if key[0] < 0 else contract, "chain_date": rows["chain_date"], "oi_change": oi - was})
+
+    rows = stream.select(_bucket("contract_id", buckets), F.coalesce("contract_id", F.lit(0)).alias("contract_id"), "chain_date", "open_interest")
+    return rows.groupBy("bucket").applyInPandasWithState(
+        change, "contract_id bigint, chain_date int, oi_change bigint", "contract_id array<bigint>, known array<boolean>, oi array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
 
 

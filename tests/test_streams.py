@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import quality as ql
+from tapeloom.plans import on_streams
 from tapeloom.streaming import streams as st
 
 DAY = dt.datetime(2024, 1, 1)
@@ -66,3 +68,25 @@ def test_an_empty_stream_has_an_empty_result(spark, tmp_path):
     s = st.read_files(spark, folder, SCORES)
     assert st.track_scores(s, st.Place(str(tmp_path / "a"), str(tmp_path / "b"))).count() == 0
     assert st.count_triggers(s, {"x": 5}, st.Place(str(tmp_path / "c"), str(tmp_path / "d"))).count() == 0
+
+
+def test_contracts_of_a_bucket_keep_apart(spark, tmp_path):
+    rows = [(c if c else None, day, None if (c + day) % 5 == 0 else c * 100 + day * day) for day in range(8) for c in range(1 if day else 0, 30)]
+    got = _in_two_runs(spark, tmp_path, rows, CHAIN, lambda s, to: st.drain(st.oi_changes(s, buckets=2), to))
+    before = F.lag("open_interest").over(Window.partitionBy("contract_id").orderBy("chain_date"))
+    want = spark.createDataFrame(rows, CHAIN).select("contract_id", "chain_date", F.col("open_interest") - before)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.toDF(*got.columns).collect()))
+
+
+def test_symbols_of_a_bucket_keep_apart(spark, tmp_path):
+    rows = [(s, DAY + dt.timedelta(days=i), 100.0 + (i * 7 + k) % 5 + (60 if i % 31 == 30 else 0), None if i % 17 == 3 else 10.0 + (900 if i % 23 == 22 else i % 3)) for i in range(120) for k, s in enumerate(("a", "b", "c", "d", None))]
+    one, many = (_in_two_runs(spark, tmp_path / str(n), rows, BARS, lambda s, to, n=n: st.anomaly_stream(s, to, 9, buckets=n)) for n in (1, 512))
+    assert one.count() > 20 and {r.symbol for r in one.collect()} == {"a", "b", "c", "d", None}
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+def test_a_large_part_lands_as_files_of_one_trigger(spark):
+    rows = spark.createDataFrame([(i, 1 if i < 150 else 2) for i in range(200)], "id bigint, day int")
+    stream = on_streams.landed(spark, rows, "day", file_rows=40)
+    got = st.changes(stream.groupBy("day").agg(F.count(F.lit(1)).alias("n")), st.Place.fresh(spark, "landed-test"))
+    assert {(r.day, r.n) for r in got.collect()} == {(1, 150), (2, 50)}  # no part is split between triggers

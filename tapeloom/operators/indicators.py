@@ -4,9 +4,14 @@ compute and trim."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions import frames as fr
 from tapeloom.functions.frames import div, guarded, lag, last_n, max_n, mean_n, min_n, over, own, pct_change, segment, std_n
@@ -346,18 +351,45 @@ def trend_strength(bars: DataFrame, n: int = 10) -> DataFrame:
 
 
 def rolling_statistics(bars: DataFrame, ns=(5, 10, 20, 50), c: str = "close") -> DataFrame:
-    """Rolling mean, std, min, max and bias-corrected skew and kurtosis."""
-    s = segment(bars, lookback=max(ns))
-    x = F.col(c)
-    for n in ns:
-        w = last_n(n)
-        s = s.withColumn(f"mean_{n}", mean_n(x, n)).withColumn(f"std_{n}", std_n(x, n))
-        s = s.withColumn(f"min_{n}", min_n(x, n)).withColumn(f"max_{n}", max_n(x, n))
-        varied = (F.count(x).over(w) >= n) & (F.max(x).over(w) > F.min(x).over(w))
-        g1 = F.skewness(x).over(w) * (math.sqrt(n * (n - 1)) / (n - 2))
-        g2 = ((n + 1) * F.kurtosis(x).over(w) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
-        s = s.withColumn(f"skew_{n}", F.when(varied, g1)).withColumn(f"kurt_{n}", F.when(varied, g2))
-    return own(s)
+    """Rolling mean, std, min, max and bias-corrected skew and kurtosis, as doubles; null until n values are present.
+
+    The windows of a batch of rows are rows of an array: a sliding window of Spark would go through each of its rows anew for every measure.
+    """
+    cols, names = bars.columns, [f"{k}_{n}" for n in ns for k in ("mean", "std", "min", "max", "skew", "kurt")]
+    s = segment(bars, lookback=max(ns)).withColumns({"_at": F.row_number().over(over()), "_x": F.col(c).cast("double")})
+
+    def measures(w: np.ndarray, n: int) -> list[tuple]:
+        with np.errstate(all="ignore"):
+            odd = np.isnan(w)
+            least, most = np.fmin.reduce(w, axis=1), w.max(axis=1)  # NaN is the largest value
+            varied = np.where(odd.any(axis=1), ~odd.all(axis=1), most > least)
+            mean = w.sum(axis=1) / n
+            d = w - mean[:, None]
+            d2 = d * d
+            m2, m3, m4 = d2.sum(axis=1), (d2 * d).sum(axis=1), (d2 * d2).sum(axis=1)
+            skew = math.sqrt(n) * m3 / np.sqrt(m2 * m2 * m2) * (math.sqrt(n * (n - 1)) / (n - 2))
+            kurt = ((n + 1) * (n * m4 / (m2 * m2) - 3) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+            varied &= m2 != 0
+            return [(mean, True), (np.sqrt(m2 / (n - 1)), True), (least, True), (most, True), (skew, varied), (kurt, varied)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = max(ns) - 1
+        x, known = np.zeros(reach), np.zeros(reach, bool)
+        for b in batches:
+            col = b.column("_x")
+            x = np.concatenate([x[len(x) - reach:], pc.fill_null(col, 0.0).to_numpy(zero_copy_only=False)])
+            known = np.concatenate([known[len(known) - reach:], pc.is_valid(col).to_numpy(zero_copy_only=False)])
+            mine = np.flatnonzero(b.column("_own").to_numpy(zero_copy_only=False) == b.column("_chunk").to_numpy(zero_copy_only=False))
+            at, out = b.column("_at").to_numpy(zero_copy_only=False)[mine], []
+            for n in ns:
+                full = np.lib.stride_tricks.sliding_window_view(known, n)[mine + reach - n + 1].all(axis=1) & (at >= n)
+                for v, ok in measures(np.lib.stride_tricks.sliding_window_view(x, n)[mine + reach - n + 1], n):
+                    out.append(pa.array(v, pa.float64(), mask=~(full & ok)))
+            kept = b.select(cols).take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *out], names=[*cols, *names])
+
+    fields = [*bars.schema.fields, *(T.StructField(name, T.DoubleType()) for name in names)]
+    return s.select(*cols, "_own", "_chunk", "_at", "_x").mapInArrow(work, T.StructType(fields))
 
 
 def lag_features(bars: DataFrame, c: str = "close") -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -145,3 +146,26 @@ def test_ema_of_short_and_long_spans_and_no_copies_of_short_symbols(bars):
         assert np.allclose(got[f"ema_{n}"], want, rtol=1e-12)
     long = bars.where("symbol = 'HOT'").unionByName(bars.where("symbol = 'HOT'").withColumn("ts", F.col("ts") + F.expr("interval 20 years")))
     assert np.allclose(ind.macd(long).orderBy("ts").toPandas()["macd"], (lambda c: c.ewm(span=12).mean() - c.ewm(span=26).mean())(long.orderBy("ts").toPandas()["close"]), atol=1e-9)
+
+
+def test_rolling_statistics_across_chunks_batches_and_gaps(spark):
+    rng = np.random.default_rng(4)
+    n = 700
+    close = pd.Series(rng.lognormal(size=3 * n)).where(rng.random(3 * n) > 0.01)
+    close[100:170] = 5.0
+    pdf = pd.DataFrame({"symbol": np.repeat(["a", "b", "c"], n), "ts": np.tile(pd.date_range("2019-01-01", periods=n).date, 3), "close": close})
+    d = spark.createDataFrame(pdf).withColumn("close", F.nanvl("close", F.lit(None).cast("double")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = ind.rolling_statistics(d)
+        got = out.toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "skewness" not in out._jdf.queryExecution().toString()  # no window goes through its rows for each measure
+    for k in (5, 20, 50):
+        r = pdf.groupby("symbol")["close"].rolling(k)
+        for name, want in (("mean", r.mean()), ("std", r.std()), ("min", r.min()), ("max", r.max()), ("skew", r.skew()), ("kurt", r.kurt())):
+            want = want.to_numpy()
+            if name in ("skew", "kurt"):
+                want = np.where(r.max().to_numpy() > r.min().to_numpy(), want, np.nan)
+            assert np.allclose(got[f"{name}_{k}"].to_numpy(float), want, rtol=1e-6, atol=1e-6, equal_nan=True), (name, k)

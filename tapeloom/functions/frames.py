@@ -240,26 +240,47 @@ def keep(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumn("_stage", F.spark_partition_id()).filter(cond & (F.col("_stage") >= 0)).drop("_stage")
 
 
+#: Keys of at least so many rows are bracketed at so much of their ranks on either side: 8 ranks or more, where the sketch of a key is off by 2 at most.
+WIDTHS = ((800, 0.01), (400, 0.02), (160, 0.05))
+
+
+def _bracket(q: float, accuracy: int) -> tuple[list[float], Callable[[Column, Column], tuple[Column, Column]]]:
+    """The ranks to sketch for a quantile, and its bracket from (the sketched values by rank, the rows of the key); null for a key that is kept whole."""
+    tiers = [(2 * accuracy + 1, 3.0 / accuracy), *(t for t in WIDTHS if t[0] <= 2 * accuracy)]
+    rank = lambda p: round(min(1.0, max(0.0, p)), 12)
+
+    def ends(at: Callable[[float], Column], n: Column) -> tuple[Column, Column]:
+        pick = lambda side: F.coalesce(*[F.when(n >= rows, at(rank(q + side * eps))) for rows, eps in tiers])
+        return pick(-1), pick(1)
+
+    return sorted({rank(q + d * eps) for _, eps in tiers for d in (-1, 1)}), ends
+
+
+def quantile_counts(df: DataFrame, keys: Sequence[str], values: Sequence[str], qs: Sequence[float], accuracy: int = 10000) -> DataFrame:
+    """(keys, column_name, _slot, _v, _c): the counted rows of `exact_quantiles`, values only inside the brackets."""
+    on, brackets = [*keys, "column_name"], [_bracket(q, accuracy) for q in qs]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in values])
+    vals = df.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.*").filter(F.col("_v").isNotNull())
+    ends = sorted({p for ranks, _ in brackets for p in ranks})
+    edges = vals.groupBy(*on).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    v = F.col("_v")
+    pairs = [find(lambda p: F.element_at("_e", ends.index(p) + 1), F.col("_n")) for _, find in brackets]
+    edges = edges.select(*on, F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in pairs]).alias("_b"))
+    inside = F.exists("_b", lambda b: b["lo"].isNull() | v.between(b["lo"], b["hi"]))
+    slot = F.aggregate("_b", F.lit(0), lambda n, b: n + F.when(v > b["lo"], 1).otherwise(0) + F.when(v > b["hi"], 1).otherwise(0))
+    return vals.join(edges, on).select(*on, slot.alias("_slot"), F.when(inside, v).alias("_v")).groupBy(*on, "_slot", "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], qs: Sequence[float], accuracy: int = 10000) -> DataFrame:
     """(keys, column_name, quantiles): exact linear-interpolated quantiles of several columns per key, in two scans.
 
     The first scan makes a mergeable sketch per key and column, whose ranks are off by at most n / ``accuracy``; it brackets every
     wanted rank by two values. The second counts what lies outside the brackets and keeps values only inside them, about
-    8 n / ``accuracy`` rows a quantile before equal ones are counted together, whatever the range or scale of the values; a key of up to
-    2 ``accuracy`` rows is kept whole. A rank that its bracket does not hold is an error, never a wrong value. Nulls do not count, NaN is the largest value; a column without values gives no row.
+    8 n / ``accuracy`` rows a quantile before equal ones are counted together, whatever the range or scale of the values. A key of up to
+    2 ``accuracy`` rows has wider brackets (`WIDTHS`), below 160 rows it is kept whole. A rank that its bracket does not hold is an error, never a wrong value. Nulls do not count, NaN is the largest value; a column without values gives no row.
     """
-    on, eps = [*keys, "column_name"], 3.0 / accuracy
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in values])
-    vals = df.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.*").filter(F.col("_v").isNotNull())
-    ends = sorted({round(min(1.0, max(0.0, q + d)), 12) for q in qs for d in (-eps, eps)})
-    edges = vals.groupBy(*on).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n"))
-    v = F.col("_v")
-    at = lambda p: F.element_at("_e", ends.index(round(min(1.0, max(0.0, p)), 12)) + 1)
-    inside = F.col("_n") <= 2 * accuracy  # there a bracket may be narrower than the distance of two ranks
-    for q in qs:
-        inside = inside | v.between(at(q - eps), at(q + eps))
-    slot = F.size(F.filter("_e", lambda e: e < v))
-    counts = vals.join(edges, on).select(*on, slot.alias("_slot"), F.when(inside, v).alias("_v")).groupBy(*on, "_slot", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    on, v = [*keys, "column_name"], F.col("_v")
+    counts = quantile_counts(df, keys, values, qs, accuracy)
     w = Window.partitionBy(*on)
     upto = F.sum("_c").over(w.orderBy("_slot", "_v").rowsBetween(Window.unboundedPreceding, 0))  # within a slot what is outside comes first
     ranked = counts.select(*on, "_v", "_c", upto.alias("_to"), (F.sum("_c").over(w) - 1).alias("_last"))
@@ -281,6 +302,22 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
     return exact_quantiles(df, keys, [value], [q]).select(*keys, F.col("quantiles")[0].alias(out))
 
 
+def tail_counts(df: DataFrame, keys: Sequence[str], value: str, q: float, cut: Column, carry: Sequence[Column] = (), accuracy: int = 10000) -> DataFrame:
+    """The counted rows of `tails`: (keys, carry, _n, _cut, _slot, _in, _c, _s, _cb, _sb), values ``_in`` only inside the bracket."""
+    on, v, (ranks, find) = list(keys), F.col("_v"), _bracket(q, accuracy)
+    vals = df.filter(F.col(value).isNotNull())
+    edges = vals.groupBy(*on).agg(
+        F.percentile_approx(value, ranks, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n"), cut.cast("double").alias("_cut"), *carry)
+    known = [c for c in edges.columns if c not in {*on, "_e"}]
+    lo, hi = find(lambda p: F.element_at("_e", ranks.index(p) + 1), F.col("_n"))
+    edges = edges.select(*on, *known, lo.cast("double").alias("_lo_e"), hi.cast("double").alias("_hi_e"))
+    d = vals.select(*on, F.col(value).cast("double").alias("_v")).join(edges, on)
+    slot = F.when(v < F.col("_lo_e"), 0).when(v > F.col("_hi_e"), 2).otherwise(1)
+    below = v <= F.col("_cut")
+    return d.select(*on, *known, slot.alias("_slot"), F.when(slot == 1, v).alias("_in"), "_v", below.alias("_below")).groupBy(*on, *known, "_slot", "_in").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"), F.count_if("_below").alias("_cb"), F.sum(F.when(F.col("_below"), v)).alias("_sb"))
+
+
 def tails(df: DataFrame, keys: Sequence[str], value: str, q: float, cut: Column, carry: Sequence[Column] = (), accuracy: int = 10000) -> DataFrame:
     """Counts and sums of the values at or below an exact quantile and at or below ``cut`` per key, in two scans.
 
@@ -288,18 +325,8 @@ def tails(df: DataFrame, keys: Sequence[str], value: str, q: float, cut: Column,
     second counts and adds up what lies outside the bracket and keeps values only inside it. Gives the keys, ``carry``, ``_n``,
     ``_cut``, ``_q`` and the counts ``_n_cut``, ``_n_q`` and sums ``_s_cut``, ``_s_q``.
     """
-    on, eps, v = list(keys), 3.0 / accuracy, F.col("_v")
-    vals = df.filter(F.col(value).isNotNull())
-    ends = [max(0.0, q - eps), min(1.0, q + eps)]
-    edges = vals.groupBy(*on).agg(
-        F.percentile_approx(value, ends, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n"), cut.cast("double").alias("_cut"), *carry)
-    known = [c for c in edges.columns if c not in {*on, "_e"}]
-    d = vals.select(*on, F.col(value).cast("double").alias("_v")).join(edges, on)
-    slot = F.size(F.filter("_e", lambda e: e < v))
-    inside = (F.col("_n") <= 2 * accuracy) | v.between(F.element_at("_e", 1), F.element_at("_e", 2))
-    below = v <= F.col("_cut")
-    counts = d.select(*on, *known, slot.alias("_slot"), F.when(inside, v).alias("_in"), "_v", below.alias("_below")).groupBy(*on, *known, "_slot", "_in").agg(
-        F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"), F.count_if("_below").alias("_cb"), F.sum(F.when(F.col("_below"), v)).alias("_sb"))
+    on, counts = list(keys), tail_counts(df, keys, value, q, cut, carry, accuracy)
+    known = [c for c in counts.columns if c not in {*on, "_slot", "_in", "_c", "_s", "_cb", "_sb"}]
     w = Window.partitionBy(*on)
     upto = F.sum("_c").over(w.orderBy("_slot", "_in").rowsBetween(Window.unboundedPreceding, 0))
     h = F.lit(q) * (F.col("_n") - 1)

@@ -121,3 +121,10 @@ def test_pairs_are_emitted_once_and_not_shuffled(spark):
             assert (r.sxy - r.sx * r.sy / r.n) / (r.n - 1) == pytest.approx(want[r.a][r.b], abs=1e-12)
         else:
             assert "S4" in (r.a, r.b) and r.n == 26
+
+
+def test_quantiles_of_short_keys_keep_few_values(spark):
+    d = long(spark, np.random.default_rng(9).standard_normal((600, 6)))
+    cut = F.avg("r") - F.stddev_samp("r")
+    for counts in (fr.tail_counts(d, ["symbol"], "r", 0.05, cut), fr.quantile_counts(d, ["symbol"], ["r"], [0.05])):
+        assert counts.count() < 0.06 * 3600

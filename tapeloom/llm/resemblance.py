@@ -1,16 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands propose, the shingle sets themselves decide.
+"""Near copies by SimHash fingerprints searched with BK-trees in shards; the Jaccard similarity of the word shingles decides.
 
-Texts with equal shingle sets are one class. A class has `BANDS` band values, each of `ROWS` minima; classes that share a band value
-are candidates: a pair at 0.8 shares none with odds of 0.738 ** 32 = 0.006%, and then still may meet through others. In each bucket of
-a band value every class is first compared with the smallest class of the bucket. Only buckets that still hold more than one component
-of the links found go on: there the members of different components are compared, in pairs of blocks of bounded size, each a task unit.
+Texts with equal shingle sets are one class. Its fingerprint has `PARTS` times 64 bits: bits of sets with a similarity of 0.8 differ with
+odds of 0.15 (0.19 for the smallest sets), so over `RADIUS` of them differ with odds of 1 in 10 ** 9 at most, and 1 in 10 ** 7 of unlike
+pairs are within it (of sets of fewer than ten shingles up to 1 in 500). At such a radius two fingerprints may differ in every band of
+their own bits; so the shards, the buckets, are those of min-hashes: a class has `BANDS` band values, each of `ROWS` minima. A pair at 0.8 shares none with odds of 0.738 ** 32 = 0.006%, and
+then still may meet through others. In each bucket the smallest class is a root that every other is held against first. Only buckets
+that still hold more than one component of the links found go on: a block of classes is a tree, another its queries, each pair of blocks
+a task unit of bounded size. Pairs within the radius are then decided by their shingle sets.
 
 Texts travel as compressed words, a third of their shingle hashes; the sets are made again for classes that have a candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import components, runs, stored, texts
-from tapeloom.llm.simhash import LOWER, PART
+from tapeloom.llm.simhash import LOWER, PART, BKTree, set_bits
 
 BANDS, ROWS = 32, 6
 FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: 64-bit parts of a fingerprint, and the differing bits up to which two of them are searched.
+PARTS, RADIUS = 4, 86
 #: Shingles whose min-hashes are taken at once.
 STEP = 4096
 
@@ -55,10 +60,32 @@ def bands(tokens: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[i: i + width]) for i in range(0, len(raw), width)], np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(tokens: np.ndarray) -> bytes:
+    """The fingerprint of a shingle set: a bit is set if it is in over half of the hashes; of an empty set none is."""
+    votes = np.zeros(64 * PARTS, np.int64)
+    for at in range(0, len(tokens), STEP):
+        x = tokens[at: at + STEP, None] + np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += set_bits(x ^ (x >> np.uint64(31)))
+    return np.packbits(votes * 2 > len(tokens), bitorder="little").tobytes()
+
+
+def within(prints: np.ndarray, tree: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Which of the tree (columns) are within the radius of each of the queries (rows); `prints` has a row of parts for each position."""
+    place: dict[int, list[int]] = {}
+    for at, x in enumerate(tree.tolist()):
+        place.setdefault(int.from_bytes(prints[x].tobytes(), "little"), []).append(at)
+    near = np.zeros((len(queries), len(tree)), bool)
+    for value, hits in BKTree(place, PARTS).within(prints[queries], RADIUS):
+        near[np.ix_(hits, place[value])] = True
+    return near
+
+
 def prints(docs: DataFrame, shingle: int = 5, packed: bool = False) -> DataFrame:
     """(doc_id, class, size, bands, tokens) of every row; tokens are the shingle set's bytes, size is their number.
 
-    Where `packed`, there is `words` instead of tokens, the compressed lower-cased text, of which `unpacked` makes the set again.
+    Where `packed`, there is `words` instead of tokens, the compressed lower-cased text, of which `printed` makes the set again.
     """
     last = "words" if packed else "tokens"
 
@@ -80,24 +107,28 @@ def prints(docs: DataFrame, shingle: int = 5, packed: bool = False) -> DataFrame
     return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, class binary, size long, bands array<long>, {last} binary")
 
 
-def unpacked(rows: DataFrame, shingle: int = 5) -> DataFrame:
-    """(class, tokens) of rows (class, words): the bytes of the shingle sets."""
+def printed(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """(class, print, tokens) of rows (class, tokens) or (class, words): fingerprint and bytes of the shingle sets, made in one Python step."""
+    packed = "words" in rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                raw = [shingles(unpack.decompress(x).decode("utf-8", "surrogatepass"), shingle).tobytes() for x in b.column("words").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(raw, pa.binary())], names=["class", "tokens"])
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                raw = b.column(1).to_pylist()
+                sets = [shingles(unpack.decompress(x).decode("utf-8", "surrogatepass"), shingle) if packed else np.frombuffer(x, np.uint64) for x in raw]
+                cols = [pa.array([f(s) for s in sets], pa.binary()) for f in (fingerprint, np.ndarray.tobytes)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["class", "print", "tokens"])
 
-    return rows.select("class", "words").mapInArrow(work, f"class {rows.schema['class'].dataType.simpleString()}, tokens binary")
+    kind = rows.schema["class"].dataType.simpleString()
+    return rows.select("class", "words" if packed else "tokens").mapInArrow(work, f"class {kind}, print binary, tokens binary")
 
 
-def joined(sets: list[np.ndarray], tree: np.ndarray, queries: np.ndarray, least: float, known: np.ndarray | None = None) -> np.ndarray:
+def joined(sets: list[np.ndarray], prints: np.ndarray, tree: np.ndarray, queries: np.ndarray, least: float, known: np.ndarray | None = None) -> np.ndarray:
     """A label for each set: those of queries and tree that links of at least `least` connect have the same, a member's position.
 
-    Sets with equal `known` are connected from the start.
+    Only pairs whose `prints` the search finds are looked at. Sets with equal `known` are connected from the start.
     """
     sizes = np.array([len(s) for s in sets])
     label = np.arange(len(sets)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
@@ -111,52 +142,55 @@ def joined(sets: list[np.ndarray], tree: np.ndarray, queries: np.ndarray, least:
         low, high = sorted((label[a], label[b]))
         label[label == high] = low
 
-    last = tree[0]
-    for q in queries:
-        mine = sets[q]
-        if label[last] != label[q] and min(sizes[last], sizes[q]) >= least * max(sizes[last], sizes[q]):  # most of a large group are near any of its members
-            both = len(np.intersect1d(mine, sets[last], assume_unique=True))
-            if both / (sizes[last] + sizes[q] - both) >= least:
-                merge(last, q)
-        if not (label[tree] != label[q]).any():
+    last = 0
+    for q, near in zip(queries, within(prints, tree, queries), strict=True):
+        mine, root = sets[q], tree[last]
+        if near[last] and label[root] != label[q] and min(sizes[root], sizes[q]) >= least * max(sizes[root], sizes[q]):  # most of a large group are near any of its members
+            both = len(np.intersect1d(mine, sets[root], assume_unique=True))
+            if both / (sizes[root] + sizes[q] - both) >= least:
+                merge(root, q)
+        if not (label[tree[near]] != label[q]).any():
             continue
         start = np.searchsorted(flat, mine)
         count = np.searchsorted(flat, mine, "right") - start
         at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
         both = np.bincount(owner[at], minlength=len(tree))
-        for t in tree[both / (sizes[tree] + sizes[q] - both) >= least]:
-            if label[t] != label[q]:
-                merge(t, q)
-                last = t
+        for at in np.flatnonzero(near & (both / (sizes[tree] + sizes[q] - both) >= least)).tolist():
+            if label[tree[at]] != label[q]:
+                merge(tree[at], q)
+                last = at
     return label
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of classes with a similarity of at least `least`."""
+    """The pairs (a, b) of classes with fingerprints within the radius and a similarity of at least `least`. `sets`: (class, print, tokens)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 good = []
-                for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
+                for p, q, x, y in zip(*(part.column(c).to_pylist() for c in ("p", "q", "x", "y")), strict=True):
+                    if (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count() > RADIUS:
+                        good.append(False)
+                        continue
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
                     good.append(both > 0 and both / (len(x) + len(y) - both) >= least)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
-    x = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
+    x = sets.select(F.col("class").alias("a"), F.col("print").alias("p"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("class").alias("b"), F.col("print").alias("q"), F.col("tokens").alias("y"))
     kind = sets.schema["class"].dataType.simpleString()
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "p", "q", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def links(
-    classes: DataFrame, sets: DataFrame, least: float = 0.8, block: int = 512, most: int = 1 << 18, unpack: Callable[[DataFrame], DataFrame] | None = None,
+    classes: DataFrame, sets: DataFrame, least: float = 0.8, block: int = 512, most: int = 1 << 18, shingle: int = 5,
 ) -> DataFrame:
     """Edges (a, b) of classes with a similarity of at least `least`, reduced inside each unit to one edge a member.
 
-    `classes`: (class, size, bands); `sets`: (class, tokens), or what `unpack` turns into them, equal rows of a class as often as may be. A block has about `block` classes and `most` shingles.
+    `classes`: (class, size, bands); `sets`: (class, tokens) or (class, words), equal rows of a class as often as may be. A block has about `block` classes and `most` shingles.
     """
     bucket = ["band", "value"]
     placed = classes.select("class", "size", F.posexplode("bands").alias("band", "value"))
@@ -164,7 +198,7 @@ def links(
     shared = stored(placed.join(ends, bucket), "resemblance-buckets")
     payload = next(c for c in sets.columns if c != "class")
     sets = sets.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first(payload).alias(payload))
-    sets = stored(unpack(sets) if unpack else sets, "resemblance-sets")  # of classes with a candidate only
+    sets = stored(printed(sets, shingle), "resemblance-sets")  # of classes with a candidate only
     near = stored(similar(shared.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct(), sets, least), "resemblance-first")
     found = components(near)
     placed = shared.join(found, F.col("class") == F.col("node"), "left").select(*bucket, "class", "size", F.coalesce("component", "class").alias("c"))
@@ -189,13 +223,14 @@ def links(
             tree, queries = np.flatnonzero(g["side"] <= 0), np.flatnonzero(g["side"] >= 0)
             if len(tree) and len(queries) and (g["c"] != g["c"][0]).any():
                 known = np.unique(g["c"], return_inverse=True)[1]
-                start = joined([np.zeros(0, np.uint64)] * len(known), tree[:0], queries[:0], least, known)
-                label = joined([np.frombuffer(x, np.uint64) for x in g["tokens"]], tree, queries, least, known)
+                prints = np.frombuffer(b"".join(g["print"]), "<u8").reshape(-1, PARTS)
+                start = joined([np.zeros(0, np.uint64)] * len(known), prints, tree[:0], queries[:0], least, known)
+                label = joined([np.frombuffer(x, np.uint64) for x in g["tokens"]], prints, tree, queries, least, known)
                 if (own := label != start).any():
                     yield pd.DataFrame({"a": g["class"][own], "b": g["class"][label[own]]})
 
     kind = sets.schema["class"].dataType.simpleString()
-    more = cut.join(sets, "class").select(*unit, "side", "class", "c", "tokens").repartition(*unit).sortWithinPartitions(*unit).mapInPandas(work, f"a {kind}, b {kind}")
+    more = cut.join(sets, "class").select(*unit, "side", "class", "c", "print", "tokens").repartition(*unit).sortWithinPartitions(*unit).mapInPandas(work, f"a {kind}, b {kind}")
     return near.union(more)
 
 
@@ -207,7 +242,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     """
     rows = stored(prints(docs, shingle, packed=True), "resemblance")
     classes = stored(rows.groupBy("class").agg(F.min("doc_id").alias("root"), F.first("size").alias("size"), F.first("bands").alias("bands")), "resemblance-classes")
-    edges = stored(links(classes, rows.select("class", "words"), least, unpack=lambda x: unpacked(x, shingle)), "resemblance-links")
+    edges = stored(links(classes, rows.select("class", "words"), least, shingle=shingle), "resemblance-links")
     found = components(edges)
     grouped = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "root", F.coalesce("component", "class").alias("c"))
     smallest = grouped.groupBy("c").agg(F.min("root").alias("component_id"))

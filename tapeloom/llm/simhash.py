@@ -26,6 +26,11 @@ PART = 100_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many rows of 64-bit hashes each bit is set."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned fingerprint of one text: A-Z lower-cased, words between ASCII white space, repeats counted; no word: zero."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -36,15 +41,18 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     votes, n, digest = np.zeros(BITS, np.int64), len(words) - shingle + 1, xxhash.xxh64_intdigest
     for at in range(0, n, PART):
         part = words[at: at + PART + shingle - 1]
-        hashes = np.array([digest(b" ".join(x), seed) for x in zip(*(part[i:] for i in range(shingle)), strict=False)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        votes += set_bits(np.array([digest(b" ".join(x), seed) for x in zip(*(part[i:] for i in range(shingle)), strict=False)], "<u8")[:, None])
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
 class BKTree:
-    """Integers under the Hamming distance; a child hangs at its distance from the parent. Queries go down as an array."""
+    """Integers under the Hamming distance; a child hangs at its distance from the parent. Queries go down as an array.
+
+    Integers of more than 64 bits have `parts` 64-bit parts, the lowest first; their queries are rows of as many.
+    """
 
-    def __init__(self, values: Iterable[int]) -> None:
+    def __init__(self, values: Iterable[int], parts: int = 1) -> None:
+        self.parts = parts
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
         for x in values:
@@ -65,7 +73,9 @@ class BKTree:
         todo = [(0, np.arange(len(queries)))] if self.values else []
         while todo:
             at, who = todo.pop()
-            d = np.bitwise_count(queries[who] ^ np.uint64(self.values[at])).astype(np.int64)
+            value = np.frombuffer(self.values[at].to_bytes(8 * self.parts, "little"), "<u8")
+            d = np.bitwise_count(queries[who] ^ value).astype(np.int64)
+            d = d.sum(axis=1) if d.ndim > 1 else d
             if len(hits := who[d <= radius]):
                 yield self.values[at], hits
             for edge, child in self.children[at].items():

@@ -257,6 +257,27 @@ def test_buckets_that_the_first_class_does_not_settle(spark):
         assert sorted(list(found.values()).count(c) for c in set(found.values())) == [1] * 5 + [9, 9]
 
 
+def test_the_search_by_fingerprints_finds_all_pairs_from_0_8_on():
+    rng = np.random.default_rng(6)
+    sets, pairs = [], []
+    for n, common, m in [(5, 4, 4), (9, 8, 9), (10, 8, 8), (54, 48, 54), (900, 800, 900), (9000, 8000, 9000)]:
+        for _ in range(60 if n < 9000 else 3):
+            x = rng.choice(1 << 62, n + m - common, replace=False).astype(np.uint64)
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [np.sort(x[:n]), np.sort(x[n - common:])]
+    prints = np.frombuffer(b"".join(map(resemblance.fingerprint, sets)), "<u8").reshape(-1, resemblance.PARTS)
+    everyone = np.arange(len(sets))
+    near = resemblance.within(prints, everyone, everyone)
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).astype(int).sum(axis=2)
+    assert (near == (far <= resemblance.RADIUS)).all() and all(near[a, b] for a, b in pairs)
+    assert near.sum() <= len(sets) + 2 * len(pairs) + 100  # of 183,000 unlike pairs few, all of small sets
+    label = resemblance.joined(sets, prints, everyone, everyone, 0.8)
+    assert all(label[a] == label[b] for a, b in pairs) and len(set(label.tolist())) == len(pairs)
+    apart = prints.copy()
+    apart[1::2] = ~apart[::2]  # the search decides which sets are compared
+    assert resemblance.joined(sets, apart, everyone, everyone, 0.8).tolist() == everyone.tolist()
+
+
 def test_the_pipeline_s_stage_drops_edited_copies(spark):
     rng = random.Random(5)
     base = words(rng, 300, 5000).split()

@@ -3,7 +3,7 @@
 | stage | operator | what it does to `documents` |
 |---|---|---|
 | quality | quality classifier | rejected documents go |
-| near_copies | five-word shingles, Jaccard similarity of 0.8 or more | one document of each group stays, that of the smallest doc_id |
+| near_copies | fingerprints searched by BK-trees in shards; five-word shingles, Jaccard similarity of 0.8 or more | one document of each group stays, that of the smallest doc_id |
 | decontaminate | spaced-seed hashing | documents that hold a benchmark passage go |
 | pii | patterns, checksums, context | spans of personal data are masked in the text |
 | pack | pattern packing | the places of all token pieces in sequences |

@@ -197,23 +197,33 @@ def links(f: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
         times.append((ca[:, None] * cb).ravel())
         who.append(np.full(len(keys[-1]), owner[k]))
     who, keys, times = (np.concatenate(x) for x in (who, keys, times))
-    order = np.lexsort((keys, who))
+    span = int(keys.max(initial=0)) + 1
+    if (int(who.max(initial=0)) + 1) * span < 1 << 63:  # one key sorts faster than two
+        order = np.argsort(who * span + keys)
+    else:
+        order = np.lexsort((keys, who))
     who, keys = who[order], keys[order]
     first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.zeros(0, np.int64)
     return who[first], keys[first], np.add.reduceat(times[order], first) if len(first) else times
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct integers in order, by one sort: faster here than the hash table of `np.unique`."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def held(f: dict[str, np.ndarray], who: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of a chunk and how many of its documents hold each."""
     known, place = np.unique(keys, return_inverse=True)
     n = len(f["lg"])
     doc = np.repeat(np.arange(len(f["n_words"])), f["n_words"])
-    seen = np.unique(doc * n + f["words"]) if n else doc
+    seen = distinct(doc * n + f["words"]) if n else doc
     start = np.searchsorted(who, np.arange(n + 1))
     word, many = seen % max(n, 1), np.diff(start)
     sizes = many[word]
     at = np.repeat(start[:-1][word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    own = np.unique(np.repeat(seen // max(n, 1), sizes) * max(len(known), 1) + place[at])
+    own = distinct(np.repeat(seen // max(n, 1), sizes) * max(len(known), 1) + place[at])
     return known, np.bincount(own % max(len(known), 1), minlength=len(known))
 
 

@@ -143,6 +143,17 @@ def test_large_groups_go_through_distinct_ids():
     assert [(w, k, t) for w in want for k, t in sorted(want[w].items())] == list(zip(who.tolist(), keys.tolist(), times.tolist(), strict=True))
 
 
+def test_groups_are_listed_and_pairs_counted_once():
+    f = {"a": [1, 2, 3, 4, 5], "b": [6, 7, 8, 9, 6], "na": [1, 2, 1, 1], "nb": [1, 1, 2, 1], "lg": [2, 0, 2], "words": [2, 0, 0, 2], "n_words": [3, 0, 1]}
+    f = {k: np.array(v, np.int64) for k, v in f.items()}
+    assert alignment.listed(f) == ["1|6;2,3|7", "", "4|8,9;5|6"]
+    who, keys, times = alignment.links(f, 100)
+    assert list(zip(who.tolist(), keys.tolist(), times.tolist())) == [(0, 106, 1), (0, 207, 1), (0, 307, 1), (2, 408, 1), (2, 409, 1), (2, 506, 1)]
+    known, docs = alignment.held(f, who, keys)
+    assert dict(zip(known.tolist(), docs.tolist())) == {106: 1, 207: 1, 307: 1, 408: 2, 409: 2, 506: 2}
+    assert alignment.distinct(np.array([3, 1, 3, 2, 1])).tolist() == [1, 2, 3] and not len(alignment.distinct(known[:0]))
+
+
 def test_alignment_odd_rows(spark, both):
     own = alignment.align(odd(spark), A, B).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups").collect()
     rows = sorted(((*r[:7], hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in own), key=str)

@@ -28,8 +28,8 @@ EDGE = re.compile(rb"[ \t.,;:!?\n-\r]")
 SIGNS = frozenset(b".,;:!?\n\x0b\x0c\r")
 #: Bytes of a text looked at at once, words held before they are counted, hashed neighbours held before they are sent.
 STEP, HELD, SENT = 1 << 20, 1 << 20, 1 << 21
-#: Bits of a neighbour's hash, of its share, and of a share's slab of the filter.
-HASH, SHARE, SLAB = 42, 12, 14
+#: Bits of a neighbour's hash, of its share, and of a share's slab of the filter. Three bytes are left within a share (`packed`).
+HASH, SHARE, SLAB = 36, 12, 14
 
 
 class Words(dict):
@@ -120,6 +120,21 @@ def bits(keys: np.ndarray) -> np.ndarray:
     return (keys >> (HASH - SHARE) << SLAB) + np.stack([low >> (HASH - SHARE - SLAB), low & ((1 << SLAB) - 1)])
 
 
+def packed(keys: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Sorted keys as a value for each share, which starts at `cuts`: the low two bytes of all, then the steps of the third, mostly 0 or 1."""
+    low, high = keys.astype("<u2"), keys >> 16 & 255
+    step = np.diff(high, prepend=0)
+    step[cuts] = high[cuts]
+    step = step.astype(np.uint8)
+    return [low[a:b].tobytes() + step[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    """The keys of a share, without its number."""
+    n = len(value) // 3
+    return np.cumsum(np.frombuffer(value, np.uint8, n, 2 * n), dtype=np.int64) << 16 | np.frombuffer(value, "<u2", n)
+
+
 def sourced(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(docs["lang"].cast("string"), F.lit("und"))
     return docs.select(lang.alias("lang"), docs["text"].alias("text")).where("text is not null")
@@ -145,7 +160,8 @@ def frequent(docs: DataFrame, least: int, words: int, known: list[np.ndarray]) -
         keys, counts = merged(keys, counts)
         share = keys >> (HASH - SHARE)
         cuts = np.flatnonzero(np.diff(share, prepend=-1))
-        raw = [[(x[a:b] & mask).astype(t).tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)] for x, t, mask in ((keys, "<u4", (1 << (HASH - SHARE)) - 1), (counts, kind, -1))]
+        small = counts.astype(kind)
+        raw = [packed(keys, cuts), [small[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]]
         yield pa.RecordBatch.from_arrays([pa.array(share[cuts].astype(np.int32)), *(pa.array(x, pa.binary()) for x in raw)], names=["share", "keys", "counts"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +193,7 @@ def frequent(docs: DataFrame, least: int, words: int, known: list[np.ndarray]) -
                 if s != share:
                     yield from slab()
                     share, keys, counts, size, limit = s, [], [], 0, SENT
-                keys.append(np.frombuffer(k, "<u4").astype(np.int64)), counts.append(np.frombuffer(n, kind).astype(np.int64))
+                keys.append(unpacked(k)), counts.append(np.frombuffer(n, kind).astype(np.int64))
                 size += len(keys[-1])
                 if size > limit:
                     found, n = merged(keys, counts)

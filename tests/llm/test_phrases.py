@@ -91,6 +91,17 @@ def test_texts_longer_than_what_is_held(spark, monkeypatch):
     assert seen == want
 
 
+def test_keys_of_a_share_take_three_bytes_and_come_back():
+    rng = np.random.default_rng(1)
+    few = phrases.HASH - phrases.SHARE
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << phrases.HASH, 5000), [0, (1 << few) - 1, 1 << few, (1 << phrases.HASH) - 1]]))
+    share = keys >> few
+    cuts = np.flatnonzero(np.diff(share, prepend=-1))
+    values = phrases.packed(keys, cuts)
+    assert sum(map(len, values)) == 3 * len(keys)
+    assert np.concatenate([(s << few) + phrases.unpacked(v) for s, v in zip(share[cuts], values, strict=True)]).tolist() == keys.tolist()
+
+
 def test_the_filter_never_loses_a_common_pair(spark, monkeypatch):
     rows = [("en", "q w e r")] * 31 + [(None, " ".join(f"u{i}" for i in range(3000)))]
     for sent in (1, 1 << 21):

@@ -1,7 +1,7 @@
 """Collocations: phrases of two to four words whose two parts seldom occur without each other.
 
 Every word starts one window of the longest length, its lead columns padded with null where the piece ends; only these windows are
-counted, and a ROLLUP over their columns sums the counts of all shorter prefixes. Windows are counted inside a task before they are
+counted, and a ROLLUP over the counted windows sums the counts of all shorter prefixes. Windows are counted inside a task before they are
 shuffled. A sequence of fewer than the least number of occurrences is in no phrase, so a window ends before it would hold one. For this
 the hashes of all neighbours, then of all longer sequences of frequent neighbours, are counted; the frequent ones set bits of a filter,
 which has one size at any input and a slab for each share of the hashes. It never misses a frequent sequence; a rare one that it lets
@@ -257,7 +257,9 @@ def counts(docs: DataFrame, least: int = 30, words: int = 4) -> DataFrame:
     source = sourced(docs)
     pairs = frequent(source, least, words, [])
     seen = windows(source, words, [pairs, frequent(source, least, words, [pairs])] if words > 2 else [pairs])
-    summed = seen.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
+    # whole windows are summed first: the shuffle from the tasks holds each of them once, not once for every prefix
+    whole = seen.groupBy("lang", *names).agg(F.sum("c").alias("c"))
+    summed = whole.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     # of a prefix of k words the last words - k columns are rolled up; a pad within the prefix is no phrase
     k = reduce(lambda rest, n: F.when(F.col("g") == (1 << (words - n)) - 1, F.lit(n)).otherwise(rest), range(words + 1), F.lit(-1)).alias("k")
     summed = summed.select("lang", *names, "f", k).where((F.col("k") == 0) | ((F.col("k") > 0) & (F.col("f") >= least)))

@@ -112,3 +112,12 @@ def test_the_filter_never_loses_a_common_pair(spark, monkeypatch):
         pairs = phrases.frequent(source, 30, 4, [])
         longer = phrases.frequent(source, 30, 4, [pairs])
         assert len(pairs) == len(longer) == 1 << 23 and 7 <= np.unpackbits(pairs).sum() <= 14 and 3 <= np.unpackbits(longer).sum() <= 6
+
+
+def test_prefixes_are_summed_from_counted_windows(spark):
+    """The rows that the tasks send are windows: they are multiplied by prefixes only behind a shuffle."""
+    df = frame(spark, [("en", "a b c d a b c d")] * 9)
+    plan = phrases.counts(df, least=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and "Exchange hashpartitioning(lang" in plan.split("Expand")[1]
+    got = {(r["k"], r["phrase"]): r["f"] for r in phrases.counts(df, least=3).collect()}
+    assert got[0, ""] == 72 and got[1, "a"] == 18 and got[4, "a b c d"] == 18 and got[4, "b c d a"] == 9

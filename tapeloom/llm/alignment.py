@@ -37,8 +37,8 @@ END = regex.compile(rf"[{SPACE[1:-1]}▁]\Z|\A\Z")
 #: Texts in which some space is not such a place.
 ODD = regex.compile(rf"(?:^|[{SPACE[1:-1]}▁]) | $")
 BYTE = regex.compile(r"<0x([0-9A-F]{2})>")
-#: Tokens of a chunk (a slice of documents may go over it), and the links that are written out one by one in a group.
-CHUNK, PLAIN = 1 << 21, 64
+#: Tokens of a chunk (a slice of documents may go over it), the links that are written out one by one in a group, and the segments encoded at once.
+CHUNK, PLAIN, SOME = 1 << 21, 64, 1 << 14
 FIELDS = ("words", "n_words", "a", "b", "na", "nb", "la", "lb", "lg")
 
 
@@ -100,8 +100,9 @@ def encode(pair: Pair, words: list[str]) -> Encoded:
     Where the bytes of all don't agree, halves are looked at by themselves, down to the segments without tokens. A segment that ends in
     white space stands only at the end of a text and is encoded alone.
     """
-    alone = len(words) == 1
-    if not alone and (not pair.cuts or any(map(END.search, words))):
+    alone, text = len(words) == 1, " ".join(words)
+    # without a space behind white space in the joined text no word but the last one can end in white space
+    if not alone and (not pair.cuts or (ODD.search(text) or END.search(words[-1])) and any(map(END.search, words))):
         runs: list[list[str]] = [[]]
         for w in words:
             if pair.cuts and not END.search(w):
@@ -109,8 +110,7 @@ def encode(pair: Pair, words: list[str]) -> Encoded:
             else:
                 runs += [[w], []]
         return joined([encode(pair, r) for r in runs if r])
-    text = " ".join(words)
-    a, b = ids(pair.enc, " " + text).astype(np.int64), np.array(pair.pieces.encode(text, num_threads=1), np.int64)
+    a, b = ids(pair.enc, " " + text).astype(np.int32), np.array(pair.pieces.encode(text, num_threads=1), np.int32)
     bytes_a, bytes_b, raw = list(map(pair.a.__getitem__, a.tolist())), list(map(pair.b.__getitem__, b.tolist())), (" " + text).encode()
     ends = np.cumsum([1 + len(w.encode()) for w in words])
     if b"".join(bytes_a) == raw == b"".join(bytes_b):
@@ -120,9 +120,9 @@ def encode(pair: Pair, words: list[str]) -> Encoded:
         at = np.searchsorted(common, ends)
         if (np.array(common)[np.minimum(at, len(common) - 1)] == ends).all():
             sizes = (np.diff(x, prepend=0) for x in (upto_a[at], upto_b[at], at + 1))
-            return Encoded(a, b, np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0), *sizes, np.ones(len(words), bool))
+            return Encoded(a, b, *(x.astype(np.int32) for x in (np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0), *sizes)), np.ones(len(words), bool))
     if alone:
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         return Encoded(none, none, none, none, none, none, none, np.zeros(1, bool))
     half = len(words) // 2
     return joined([encode(pair, words[:half]), encode(pair, words[half:])])
@@ -139,10 +139,10 @@ class Chunk:
     def add(self, doc_ids: list, texts_: list[str]) -> None:
         cut = [segments(t, self.pair.cuts) for t in texts_]
         new = list({w for ws in cut for w in ws if w not in self.number})
-        if new:
-            found = encode(self.pair, new)
+        for words in (new[s: s + SOME] for s in range(0, len(new), SOME)):
+            found = encode(self.pair, words)
             own = np.where(found.good, self.size + np.cumsum(found.good) - 1, -1)
-            self.number.update(zip(new, own.tolist(), strict=True))
+            self.number.update(zip(words, own.tolist(), strict=True))
             self.parts.append(found)
             self.size += len(found.la)
         for d, ws in zip(doc_ids, cut, strict=True):
@@ -191,6 +191,7 @@ def links(f: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
     g = np.repeat(few, sizes[few])
     at = np.arange(len(g)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
     who, keys, times = [owner[g]], [a[sa[g] + at // nb[g]] * width + b[sb[g] + at % nb[g]]], [np.ones(len(g), np.int64)]
+    del g, at
     for k in np.flatnonzero(sizes > PLAIN).tolist():
         (ua, ca), (ub, cb) = (np.unique(x[s[k]: s[k] + n[k]], return_counts=True) for x, s, n in ((a, sa, na), (b, sb, nb)))
         keys.append((ua[:, None] * width + ub).ravel())
@@ -202,9 +203,10 @@ def links(f: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
         order = np.argsort(who * span + keys)
     else:
         order = np.lexsort((keys, who))
-    who, keys = who[order], keys[order]
+    who, keys, times = who[order], keys[order], times[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.zeros(0, np.int64)
-    return who[first], keys[first], np.add.reduceat(times[order], first) if len(first) else times
+    return who[first], keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -257,28 +259,44 @@ def lexicon(counted: DataFrame) -> DataFrame:
 
 
 def listed(f: dict[str, np.ndarray]) -> list[str]:
-    """Each segment's groups as text: ids of A joined by commas, a bar, ids of B; groups joined by semicolons."""
-    a, b, na, nb, out, i, j, g = [str(x) for x in f["a"].tolist()], [str(x) for x in f["b"].tolist()], f["na"].tolist(), f["nb"].tolist(), [], 0, 0, 0
-    for n in f["lg"].tolist():
-        own = []
-        for p, q in zip(na[g: g + n], nb[g: g + n], strict=True):
-            own.append(f"{a[i]}|{b[j]}" if p == q == 1 else f"{','.join(a[i: i + p])}|{','.join(b[j: j + q])}")
-            i, j = i + p, j + q
-        out.append(";".join(own))
-        g += n
-    return out
-
-
-def finished(row: dict, table: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
-    """The documents of a chunk with their groups and sums; `table` has (key, n_docs, best) of the chunk's pairs, sorted by key."""
-    f = read(row)
+    """Each segment's groups as text: ids of A joined by commas, a bar, ids of B; groups joined by semicolons. All are written as one text."""
+    na, nb = f["na"], f["nb"]
+    until = np.cumsum(na + nb)  # where the ids of a group end, those of A before those of B
+    numbers = np.empty(len(f["a"]) + len(f["b"]), np.int32)
+    of_b = np.zeros(len(numbers), bool)
+    of_b[np.repeat(until - np.cumsum(nb), nb) + np.arange(len(f["b"]))] = True
+    numbers[of_b], numbers[~of_b] = f["b"], f["a"]
+    digits = len(str(numbers.max(initial=0)))
+    signs = np.full((len(numbers), digits + 1), ord(","), np.uint8)  # a row for a number: its digits and what stands behind it
+    signs[until - nb - 1, digits], signs[until - 1, digits] = ord("|"), ord(";")
+    used = np.ones(signs.shape, bool)
+    for k in range(digits):
+        rest = numbers // np.int32(10 ** (digits - 1 - k))
+        signs[:, k] = rest % 10 + ord("0")
+        used[:, k] = (rest > 0) | (k == digits - 1)
+    whole = signs[used].tobytes().decode()
+    at = np.concatenate([[0], np.cumsum(used.sum(axis=1))])
+    at = at[np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(f["lg"])])]].tolist()
+    return [whole[i: max(i, j - 1)] for i, j in zip(at, at[1:], strict=False)]  # without the last semicolon
+
+
+def per_segment(f: dict[str, np.ndarray], table: pd.DataFrame, width: int) -> list[np.ndarray]:
+    """What each segment adds to the sums of a document; `table` has (key, n_docs, best) of the chunk's pairs, sorted by key."""
     who, keys, times = links(f, width)
     at, n = np.searchsorted(table["key"].to_numpy(), keys), len(f["lg"])
     docs, best = table["n_docs"].to_numpy()[at], table["best"].to_numpy(bool)[at]
     values = [f["la"], f["lb"], f["lg"]]
+    first = np.searchsorted(who, np.arange(n + 1))
     for x in (times, times * best, times * docs):
-        values.append(np.zeros(n, np.int64))
-        np.add.at(values[-1], who, x)
+        run = np.concatenate([[0], np.cumsum(x)])
+        values.append(run[first[1:]] - run[first[:-1]])
+    return values
+
+
+def finished(row: dict, table: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """The documents of a chunk with their groups and sums."""
+    f = read(row)
+    values = per_segment(f, table, width)
     ends = np.cumsum(f["n_words"])
     starts = ends - f["n_words"]
     sums = {}

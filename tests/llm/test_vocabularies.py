@@ -162,3 +162,21 @@ def test_alignment_odd_rows(spark, both):
     assert {r.n_a for r in alignment.align(odd(spark).where("doc_id in (1, 2)"), A, B).collect()} == {0}
     named = alignment.align(odd(spark).selectExpr("cast(doc_id as string) doc_id", "text"), A, B)
     assert {r.doc_id for r in named.collect()} == {None, *"1234567"}
+
+
+def test_segments_are_encoded_some_at_a_time(monkeypatch):
+    """Few segments at once, looked at one by one only where white space asks for it; groups are those of one call."""
+    pair, asked = alignment.tokenizers(A, B), []
+    texts = ["the cat sat\n", "a cat sat on\x00 it", "", "naïve cat 12 12", "x\n y z\u3000"]
+
+    def written():
+        c = alignment.Chunk(pair)
+        c.add([1, 2, 3, 4, 5], texts)
+        f = alignment.read(dict(zip(alignment.FIELDS, c.fields(), strict=True)))
+        text = alignment.listed(f)
+        return [[text[w] for w in ws.tolist()] for ws in np.split(f["words"], np.cumsum(f["n_words"])[:-1])]
+
+    want, encode = written(), alignment.encode
+    monkeypatch.setattr(alignment, "SOME", 3)
+    monkeypatch.setattr(alignment, "encode", lambda p, words: asked.append(len(words)) or encode(p, words))
+    assert written() == want and all(map(len, (want[0], want[3], want[4]))) and max(asked) == 3

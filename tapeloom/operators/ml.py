@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -51,22 +54,41 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(filled), outputCol=out, handleInvalid="error").transform(df.withColumns(filled)).drop(*filled)
 
 
+@contextmanager
+def held_for_training(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """These columns of all rows, dealt evenly over the cores and held while models are fitted on them.
+
+    A fit reads its rows once a level and more; from files they would be computed anew each time, in as few tasks as the files have blocks.
+    Rows are sorted within a task, for what a tree draws depends on their order.
+    """
+    rows = tr.dealt(df.select(*dict.fromkeys(columns))).sortWithinPartitions(*dict.fromkeys(columns)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def fitted(est: Estimator, train: DataFrame, label: str, features: Sequence[str]) -> Model:
+    with held_for_training(train, [*features, label]) as rows:
+        return est.fit(assemble(rows, features))
+
+
 def forest_classifier(train: DataFrame, score: DataFrame, label: str, features: Sequence[str] = FEATURES, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """Direction with the entropy of the mean class probabilities as uncertainty."""
-    m = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(train, features))
+    m = fitted(RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed), train, label, features)
     return tr.scored(score, tr.flatten(m, train.sparkSession, classes=True), features, "class")
 
 
 def forest_regressor(train: DataFrame, score: DataFrame, label: str, features: Sequence[str] = FEATURES, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """Expected value with the deviation over the single trees as uncertainty."""
-    m = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(train, features))
+    m = fitted(RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed), train, label, features)
     return tr.scored(score, tr.flatten(m, train.sparkSession), features, "mean")
 
 
 def boosted(train: DataFrame, score: DataFrame, label: str, features: Sequence[str] = FEATURES, rounds: int = 50, depth: int = 5, classify: bool = False, seed: int = 42) -> DataFrame:
     """Boosted trees: the weighted sum, or for classes whether it is positive."""
     est = (GBTClassifier if classify else GBTRegressor)(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed)
-    m = est.fit(assemble(train, features))
+    m = fitted(est, train, label, features)
     return tr.scored(score, tr.flatten(m, train.sparkSession), features, "sign" if classify else "sum").drop("uncertainty")
 
 
@@ -250,8 +272,8 @@ def lasso_conditions(df: DataFrame, cols: Sequence[str], target: str, model: lm.
 
 
 def forest_importance(df: DataFrame, cols: Sequence[str], target: str, classify: bool = False, trees: int = 50, depth: int = 5, seed: int = 42) -> dict[str, float]:
-    d = assemble(df.filter(F.col(target).isNotNull()), cols)
-    m = (RandomForestClassifier if classify else RandomForestRegressor)(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(d)
+    est = (RandomForestClassifier if classify else RandomForestRegressor)(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
+    m = fitted(est, df.filter(F.col(target).isNotNull()), target, cols)
     return dict(zip(cols, map(float, m.featureImportances.toArray()), strict=True))
 
 
@@ -284,9 +306,10 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, fold:
             left.remove(out[-1])
         return out, errors
 
-    scores = [rounds(d.filter(F.col("_fold") != f), d.filter(F.col("_fold") == f))[1] for f in range(folds)]
-    best = min(range(1, len(cols) + 1), key=lambda n: (sum(s[n] for s in scores), n))
-    order = rounds(d, None)[0][::-1]
+    with held_for_training(d, d.columns) as d:
+        scores = [rounds(d.filter(F.col("_fold") != f), d.filter(F.col("_fold") == f))[1] for f in range(folds)]
+        best = min(range(1, len(cols) + 1), key=lambda n: (sum(s[n] for s in scores), n))
+        order = rounds(d, None)[0][::-1]
     rows = [(c, 1 if i < best else i - best + 2, i < best) for i, c in enumerate(order)]
     return df.sparkSession.createDataFrame(rows, "feature string, rank int, kept boolean")
 

@@ -38,6 +38,11 @@ class Trees(NamedTuple):
         return at
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over some tasks for every core, however few blocks their files have."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def flatten(model: Any, spark: Any, classes: bool = False, most_bytes: int = 256 << 20) -> Trees:
     """The nodes of a fitted model of numeric features, read back from its stored form. Over `most_bytes` of arrays are an error."""
     path = scratch(spark, "trees")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,18 +16,217 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import frames as fr
 from tapeloom.functions.frames import div
+from tapeloom.session import scratch
 
 YEAR = math.sqrt(252.0)
 Z95 = 1.6448536269514722
-TILE = 1024
-TIMES = 256
+#: A tile has about so many symbols and cells at most; so many of its symbols and times are multiplied at once, more symbols where times are few.
+NAMES, CELLS = 2048, 1 << 20
+STRIP, SPAN = 512, 2048
+#: Series of more cells than this on average are cut by time, in tiles of so many symbols and blocks of so many times.
+LONG, TILE, TIMES = 1 << 15, 1024, 256
 #: Units that a product of few tiles is cut into by time.
 UNITS = 64
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+#: What `_pairs` makes of the sums of two symbols.
+FORMS = {
+    "sums": "a string, b string, " + ", ".join(f"{c} double" for c in SUMS),
+    "correlation": "n bigint, correlation double",
+    "covariance": "n bigint, covariance double",
+    "population": "n bigint, c double",
+    "totals": "trace double, p double, n double, delta_ double",
+    "blocks": "meet int, ta int, tb int, left array<string>, right array<string>, kept binary, covariance binary",
+}
+
+
+class Blocks(NamedTuple):
+    """A matrix of pairs: strips of ``tiles`` tiles of symbols with every pair in one of them, or the long form where there are no tiles."""
+
+    rows: DataFrame
+    tiles: int
+
+
+def _unit_work(form: str, least: int) -> tuple[Callable, Callable, Callable]:
+    """The tasks of `_pairs`, defined inside a function so that they travel whole and executors need no copy of this module."""
+    strip, span, sums, many, pairs_of = STRIP, SPAN, SUMS, 1 << 16, itertools.product
+
+    def ranks(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+        d = pa.concat_arrays([pa.array([], column.type), *column.chunks]).dictionary_encode()
+        known = d.dictionary.to_pylist()
+        order = sorted(range(len(known)), key=known.__getitem__)
+        place = np.empty(len(known), np.int64)
+        place[order] = np.arange(len(known))
+        return place[d.indices.to_numpy()], [known[i] for i in order]
+
+    def packed(cells: pa.Table) -> pa.Table:
+        """All cells of one tile as one row: names and times in order, cells by time with the counts of the times, values as distances from the mean of their name."""
+        (of, names), (at, times) = ranks(cells["symbol"]), ranks(cells["ts"])
+        order = np.lexsort((of, at))
+        of, at, v = of[order], at[order], cells["v"].to_numpy()[order]
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1])])
+        of, at, v = of[first], at[first], np.add.reduceat(v, first) / np.diff(np.r_[first, len(v)])
+        v = v - (np.bincount(of, v) / np.bincount(of))[of]
+        row = {"tile": cells["tile"][0].as_py(), "names": names, "times": [str(t) for t in times]}
+        row |= {"held": np.bincount(at).astype("<u4").tobytes(), "of": of.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes(), "v": v.astype("<f8").tobytes()}
+        kinds = [("tile", pa.int32()), ("names", pa.list_(pa.string())), ("times", pa.list_(pa.string())), ("held", pa.binary()), ("of", pa.binary()), ("v", pa.binary())]
+        return pa.Table.from_pylist([row], pa.schema(kinds))
+
+    def side(batch: pa.RecordBatch, i: int, s: str) -> dict:
+        r = {c: batch.column(f"{s}_{c}")[i] for c in ("tile", "names", "times", "held", "of", "v")}
+        held, of, v = (r.pop(c).as_buffer() for c in ("held", "of", "v"))
+        cells = {"held": np.frombuffer(held, "<u4"), "of": np.frombuffer(of, "<u2" if 4 * of.size == v.size else "<u4"), "v": np.frombuffer(v, "<f8")}
+        return {c: x.as_py() for c, x in r.items()} | cells
+
+    def common(x: dict, y: dict) -> int:
+        """Leaves both sides the cells of the times they share, numbered from 0 in order; their number."""
+        known = {*y["times"]}
+        shared = {t: k for k, t in enumerate(t for t in x["times"] if t in known)}
+        for r in (x, y):
+            at = np.repeat(np.array([shared.get(t, -1) for t in r["times"]], "i4"), r["held"])
+            here = at >= 0
+            if here.all():
+                r["at"] = at
+            else:
+                r["at"], r["of"], r["v"] = at[here], r["of"][here], r["v"][here]
+        return len(shared)
+
+    def dense(r: dict, t: int, until: int, lo: int, hi: int) -> tuple:
+        """Values and marks of a span of times and some of the names; no marks where all cells are there."""
+        i, j = np.searchsorted(r["at"], (t, until))
+        at, of, v = r["at"][i:j] - t, r["of"][i:j], r["v"][i:j]
+        if lo > 0 or hi < len(r["names"]):
+            here = (of >= lo) & (of < hi)
+            at, of, v = at[here], of[here] - lo, v[here]
+        x = np.zeros((until - t, hi - lo))
+        x[at, of] = v
+        if len(v) == x.size:
+            return x, None, None
+        m = np.zeros(x.shape, "f4")
+        m[at, of] = 1
+        return x, m, m.astype("f8")
+
+    def product(x: np.ndarray | None, y: np.ndarray | None) -> np.ndarray:
+        """Sums over the times of every pair of columns, where None is all ones."""
+        if x is None:
+            return y.sum(0, dtype="f8")[None, :]
+        return x.sum(0, dtype="f8")[:, None] if y is None else x.T @ y
+
+    def summed(x: dict, y: dict, times: int, lo: int, hi: int, first: int, last: int) -> list[np.ndarray]:
+        """The six sums of the names lo to hi of x and first to last of y, of shapes that fit together."""
+        s = [np.zeros((1, 1)) for _ in sums]
+        cuts = np.linspace(0, times, -(-times // span) + 1).astype(int).tolist()
+        for t, until in zip(cuts, cuts[1:]):
+            (xa, fa, ma), (xb, fb, mb) = dense(x, t, until, lo, hi), dense(y, t, until, first, last)
+            n = np.full((1, 1), float(until - t)) if fa is None and fb is None else product(fa, fb)
+            for i, new in enumerate((n, product(xa, mb), product(ma, xb), product(xa * xa, mb), product(ma, xb * xb), xa.T @ xb)):
+                s[i] = s[i] + new
+        return s
+
+    def measured(n, sx, sy, sxx, syy, sxy) -> tuple[np.ndarray, dict]:
+        """Which pairs count, and the columns of the form."""
+        if form == "sums":
+            return n > 0, dict(zip(sums, (n, sx, sy, sxx, syy, sxy)))
+        with np.errstate(all="ignore"):
+            co = sxy - sx * sy / n
+            if form == "correlation":
+                vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+                ok = (n >= 2) & (vx > sxx * 1e-12) & (vy > syy * 1e-12)
+                return n > 0, {"n": n, "correlation": np.ma.array(co / np.sqrt(vx) / np.sqrt(vy), mask=~np.broadcast_to(ok, co.shape))}
+            return n >= max(1, least), {"n": n, "c": co / n} if form in ("population", "totals") else {"n": n, "covariance": co / (n - 1)}
+
+    def column(name: str, v: np.ndarray) -> pa.Array:
+        if name == "n" and form != "sums":
+            return pa.array(v.astype("i8"))
+        return pa.array(v.data, mask=v.mask) if isinstance(v, np.ma.MaskedArray) else pa.array(v)
+
+    def long(left: list, right: list, s: list, meet: int | None) -> Iterator[pa.RecordBatch]:
+        """Every pair, its names in order; of one tile, where ``right`` starts ``meet`` names after ``left``, each pair once. A row a pair for sums, else two rows for a name: its pairs with the names before and after it."""
+        p, q = len(left), len(right)
+        names, after = pa.array([*left, *right], pa.string()), np.searchsorted(np.array(right, object), np.array(left, object))
+        rows = max(1, many // q)
+        for at in range(0, p, rows):
+            part = [x[at: at + rows] if x.shape[0] > 1 else x for x in s]
+            i = np.arange(at, min(p, at + rows), dtype="i4")[:, None]
+            j = np.arange(q, dtype="i4")[None, :]
+            swap = j < after[i]
+            kept, cols = measured(*part)
+            if form == "sums":
+                cols |= {c: np.where(swap, cols[d], cols[c]) for c, d in (("sx", "sy"), ("sy", "sx"), ("sxx", "syy"), ("syy", "sxx"))}
+            kept = kept & (i < j + meet if form == "correlation" else i <= j + meet) if meet is not None else np.broadcast_to(kept, swap.shape)
+            every = bool(kept.all())
+            flat = lambda x: np.broadcast_to(x, swap.shape).ravel() if every else np.broadcast_to(x, swap.shape)[kept]  # noqa: B023, E731
+            out = {c: column(c, np.ma.array(flat(v.data), mask=flat(v.mask)) if isinstance(v, np.ma.MaskedArray) else flat(v)) for c, v in cols.items()}
+            if form == "sums":
+                one, two = flat(np.where(swap, j + p, i)), flat(np.where(swap, i, j + p))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(one)), names.take(pa.array(two)), *out.values()], names=["a", "b", *out])
+            else:
+                ends = np.cumsum(np.r_[0, np.stack([(kept & swap).sum(1), (kept & ~swap).sum(1)], 1).ravel()]).astype("i4")
+                lists = {c: pa.ListArray.from_arrays(pa.array(ends), v) for c, v in {"others": names.take(pa.array(flat(j + p))), **out}.items()}
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(np.repeat(i.ravel(), 2))), pa.array(np.tile([True, False], len(i))), *lists.values()], names=["one", "last", *lists])
+
+    def told(n: np.ndarray, c: np.ndarray, diagonal: np.ndarray) -> pa.RecordBatch:
+        square = c * c
+        one = {"trace": float(c[diagonal].sum()), "p": float(diagonal.sum()), "n": float(n.max()), "delta_": float(2 * square.sum() - square[diagonal].sum())}
+        return pa.RecordBatch.from_pylist([one])
+
+    def totals(left: list, right: list, s: list, meet: int | None) -> Iterator[pa.RecordBatch]:
+        kept, cols = measured(*s)
+        shape = (len(left), len(right))
+        kept = np.broadcast_to(kept, shape) if meet is None else np.triu(np.broadcast_to(kept, shape), -meet)
+        if kept.any():
+            yield told(np.broadcast_to(cols["n"], shape)[kept], cols["c"][kept], np.eye(*shape, -meet, dtype=bool)[kept] if meet is not None else np.zeros(int(kept.sum()), bool))
+
+    def blocks(left: list, right: list, s: list, meet: int | None) -> tuple[bytes, bytes]:
+        kept, cols = measured(*s)
+        kept = np.broadcast_to(kept, (len(left), len(right)))
+        kept = kept if meet is None else np.triu(kept, -meet)
+        return b"" if kept.all() else kept.tobytes(), cols["covariance"].astype("<f8").tobytes()
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two tiles a row, met both ways round: each way takes half of the names of the lesser tile; a tile and itself take each pair once."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = side(batch, i, "l"), side(batch, i, "r")
+                same, half = x["tile"] == y["tile"], len(x["names"] if x["tile"] <= y["tile"] else y["names"]) // 2
+                if x["tile"] > y["tile"]:
+                    x, y, mine = y, x, (half, len(y["names"]))
+                else:
+                    mine = (0, len(x["names"]) if same else half)
+                times = common(x, y)
+                wide = max(strip, many * 16 // max(1, times))
+                for lo, first in pairs_of(range(*mine, strip), range(0, len(y["names"]), wide)) if times else ():
+                    hi, last = min(mine[1], lo + strip), min(len(y["names"]), first + wide)
+                    first = max(first, lo) if same else first
+                    if first < last:
+                        s, left, right, meet = summed(x, y, times, lo, hi, first, last), x["names"][lo:hi], y["names"][first:last], first - lo if same else None
+                        if form == "blocks":
+                            kept, c = blocks(left, right, s, meet)
+                            row = {"meet": meet, "ta": x["tile"], "tb": y["tile"], "left": left, "right": right, "kept": kept, "covariance": c}
+                            yield pa.RecordBatch.from_pylist([row], pa.schema([
+                                ("meet", pa.int32()), ("ta", pa.int32()), ("tb", pa.int32()), *[(k, pa.list_(pa.string())) for k in ("left", "right")],
+                                ("kept", pa.binary()), ("covariance", pa.binary())]))
+                        else:
+                            yield from (totals if form == "totals" else long)(left, right, s, meet)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The form from rows of a pair and its sums."""
+        for b in batches:
+            kept, cols = measured(*[b.column(c).to_numpy() for c in sums])
+            kept = kept & ~(pc.equal(b.column("a"), b.column("b")).to_numpy(zero_copy_only=False)) if form == "correlation" else kept
+            here = pa.array(kept)
+            one, two = b.column("a").filter(here), b.column("b").filter(here)
+            if form == "totals":
+                if kept.any():
+                    yield told(cols["n"][kept], cols["c"][kept], pc.equal(one, two).to_numpy(zero_copy_only=False))
+            else:
+                yield pa.RecordBatch.from_arrays([one, two, *[column(c, v[kept]) for c, v in cols.items()]], names=["a", "b", *cols])
+
+    return packed, units, finished
 
 
 def _tile_work() -> tuple[Callable, Callable]:
-    """The two tasks of `pairwise_moments`, defined inside a function so that they travel whole and executors need no copy of this module."""
+    """The two tasks of `_long_sums`, defined inside a function so that they travel whole and executors need no copy of this module."""
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         """The cells of one tile and block of times as one row."""
@@ -102,25 +303,70 @@ def _tile_work() -> tuple[Callable, Callable]:
 
 
 def pairwise_moments(series: DataFrame, value: str, tiles: int | None = None, blocks: int | None = None) -> DataFrame:
-    """Counts, sums and products of every pair of symbols over their common times, in long form (a <= b).
+    """Counts, sums and products of every pair of symbols over their common times, in long form (a <= b); see `_pairs`."""
+    return _pairs(series, value, "sums", tiles, blocks).rows
+
+
+def _landed(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read from there, for what reads them several times."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _unrolled(rows: DataFrame) -> DataFrame:
+    """A row a pair from the rows of a name and its pairs with others, where it is the last of the two or the first."""
+    one, other, last, values = F.col("one"), F.col("_other"), F.col("last"), rows.columns[3:]
+    each = rows.select("one", "last", F.posexplode("others").alias("_i", "_other"), *values)
+    return each.select(
+        F.when(last, other).otherwise(one).alias("a"), F.when(last, one).otherwise(other).alias("b"), *[F.get(c, F.col("_i")).alias(c) for c in values])
+
+
+def _pairs(series: DataFrame, value: str, form: str, tiles: int | None = None, blocks: int | None = None, least: int = 1) -> Blocks:
+    """One of `FORMS` over every pair of symbols and their common times, each pair once.
 
     Two passes: the mean of every symbol, then blocked matrix products of the distances from it, so that small moves of
-    large values keep their digits. Symbols are hashed into ``tiles`` of about ``TILE``, times into ``blocks`` of about
-    ``TIMES`` whatever their calendar density. The cells of a tile and block travel as one packed row, once for each tile it meets;
-    a unit of two tiles adds up its blocks one after the other and emits each pair once, so nothing a pair long is shuffled. Only
-    where there are fewer units than ``UNITS``, they are cut by time as well and their sums added per pair. Repeated rows of a
-    symbol and time count as their mean; null values, symbols and times do not count.
+    large values keep their digits. Symbols are hashed into ``tiles`` of up to about ``NAMES`` symbols and ``CELLS`` cells. A tile is one packed row in a
+    partition of its own, and every two partitions meet in a task that reads both: a cell is written once, however many tiles there are, and a
+    task holds two tiles and the sums of ``STRIP`` symbols and one tile. Repeated rows of a symbol and time count as their mean; null values,
+    symbols and times do not count. Series of more than ``LONG`` cells on average, or where ``blocks`` are given for few tiles, go through `_long_sums`.
+    """
+    v, kind = F.col(value).cast("double"), dict(series.dtypes)["ts"]
+    at = F.unix_micros("ts") if kind == "timestamp" else F.unix_date("ts") if kind == "date" else F.col("ts") if kind in ("int", "bigint") else F.col("ts").cast("string")
+    cells = series.filter(v.isNotNull() & F.col("ts").isNotNull() & F.col("symbol").isNotNull())
+    cells = _landed(cells.select(F.col("symbol").cast("string").alias("symbol"), at.alias("ts"), v.alias("v")), "cells")
+    n = cells.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("ts").alias("t"), F.count(F.lit(1)).alias("c")).first()
+    dealt = tiles or max(1, math.ceil(n["c"] / CELLS), math.ceil(n["s"] / NAMES), min(16, math.ceil(n["s"] / 256)))
+    if n["c"] > LONG * n["s"] or (blocks and dealt * (dealt + 1) // 2 < UNITS):
+        sums = _long_sums(cells, tiles or max(1, math.ceil(n["s"] / TILE)), blocks or max(1, math.ceil(n["t"] / TIMES)))
+        if form == "sums":
+            return Blocks(sums, 0)
+        form = "covariance" if form == "blocks" else form
+        return Blocks(sums.mapInArrow(_unit_work(form, least)[2], ("" if form == "totals" else "a string, b string, ") + FORMS[form]), 0)
+    packed, units, _ = _unit_work(form, least)
+    tile = F.pmod(F.hash("symbol"), F.lit(dealt)).alias("tile")
+    kept = cells.select(tile, "symbol", "ts", "v").groupBy("tile").applyInArrow(
+        packed, "tile int, names array<string>, times array<string>, held binary, of binary, v binary").repartitionById(dealt, F.col("tile"))
+    left, right = (kept.select(*[F.col(c).alias(f"{s}_{c}") for c in kept.columns]) for s in "lr")
+    met = left.hint("shuffle_replicate_nl").crossJoin(right)
+    if form in ("sums", "totals", "blocks"):
+        return Blocks(met.mapInArrow(units, FORMS[form]), dealt)
+    lists = ", ".join("{} array<{}>".format(*c.split()) for c in FORMS[form].split(", "))
+    return Blocks(_unrolled(met.mapInArrow(units, f"one string, last boolean, others array<string>, {lists}")), dealt)
+
+
+def _long_sums(cells: DataFrame, tiles: int, blocks: int) -> DataFrame:
+    """The sums of every pair of symbols whose series are long, in long form.
+
+    Times are hashed into ``blocks`` of about ``TIMES`` whatever their calendar density. The cells of a tile and block travel as one packed row,
+    once for each tile it meets; a unit of two tiles adds up its blocks one after the other and emits each pair once, so nothing a pair long is
+    shuffled. Only where there are fewer units than ``UNITS``, they are cut by time as well and their sums added per pair.
     """
-    v = F.col(value).cast("double")
-    at = F.unix_micros("ts") if dict(series.dtypes)["ts"] == "timestamp" else F.col("ts")
-    rows = series.filter(v.isNotNull() & F.col("ts").isNotNull()).groupBy("symbol", "ts").agg(F.avg(v).alias("v"))
-    if tiles is None or blocks is None:
-        n = series.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("ts").alias("t")).first()
-        tiles, blocks = tiles or max(1, math.ceil(n["s"] / TILE)), blocks or max(1, math.ceil(n["t"] / TIMES))
     splits = min(blocks, math.ceil(UNITS / (tiles * (tiles + 1) // 2)))
+    rows = cells.groupBy("symbol", "ts").agg(F.avg("v").alias("v"))
     means = rows.groupBy("symbol").agg(F.avg("v").alias("_m"))
     d = rows.join(means, "symbol").select(
-        "symbol", at.cast("string").alias("ts"), (F.col("v") - F.col("_m")).alias("v"), F.pmod(F.hash("symbol"), F.lit(tiles)).alias("tile"),
+        "symbol", F.col("ts").cast("string").alias("ts"), (F.col("v") - F.col("_m")).alias("v"), F.pmod(F.hash("symbol"), F.lit(tiles)).alias("tile"),
         F.pmod(F.hash("ts"), F.lit(blocks)).alias("block"))
     pack, products = _tile_work()
     packed = d.groupBy("tile", "block").applyInPandas(pack, "tile int, block int, names array<string>, times array<string>, at binary, of binary, v binary")
@@ -128,7 +374,7 @@ def pairwise_moments(series: DataFrame, value: str, tiles: int | None = None, bl
     met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
         F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.pmod("block", F.lit(splits)).alias("part"),
         "block", "tile", "names", "times", "at", "of", "v")
-    parts = met.repartition(*unit).sortWithinPartitions(*unit, "block", "tile").mapInArrow(products, "a string, b string, " + ", ".join(f"{c} double" for c in SUMS))
+    parts = met.repartition(*unit).sortWithinPartitions(*unit, "block", "tile").mapInArrow(products, FORMS["sums"])
     if splits == 1:
         return parts
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in SUMS])
@@ -142,13 +388,7 @@ def correlations(
     ``least`` keeps pairs of at least that absolute correlation. ``most`` keeps a pair that is among the ``most`` strongest of one
     of its symbols (ties to the smaller partner); pairs without a correlation are dropped by either.
     """
-    m = pairwise_moments(series, value, tiles).filter(F.col("a") < F.col("b"))
-    n = F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    ok = (n >= 2) & (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
-    pairs = m.select("a", "b", n.cast("bigint").alias("n"), F.when(ok, cov / F.sqrt(vx) / F.sqrt(vy)).alias("correlation"))
+    pairs = _pairs(series, value, "correlation", tiles).rows
     if least is not None:
         pairs = pairs.filter(F.abs("correlation") >= least)
     if most is None:
@@ -171,23 +411,18 @@ def complete_rows(returns: DataFrame) -> DataFrame:
     return returns.join(full, "ts", "left_semi").select("symbol", "ts", "r")
 
 
-def covariance(returns: DataFrame, least: int = 30, tiles: int | None = None) -> DataFrame:
-    """Sample covariance over complete rows in long form (a <= b); empty below ``least`` rows."""
-    full = complete_rows(returns)
-    m = pairwise_moments(full, "r", tiles).filter(F.col("n") >= least)
-    return m.select("a", "b", "n", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
+def covariance(returns: DataFrame, least: int = 30, tiles: int | None = None, blocks: bool = False) -> DataFrame | Blocks:
+    """Sample covariance over complete rows in long form (a <= b); empty below ``least`` rows. With ``blocks`` as matrices, for what multiplies it."""
+    m = _pairs(complete_rows(_landed(returns, "returns")), "r", "blocks" if blocks else "covariance", tiles, least=least)
+    return m if blocks else m.rows
 
 
 def shrunk_covariance(returns: DataFrame, least: int = 30, tiles: int | None = None) -> DataFrame:
     """Covariance shrunk toward a scaled identity (Ledoit and Wolf 2004), long form (a <= b)."""
-    full = complete_rows(returns)
-    m = pairwise_moments(full, "r", tiles).filter(F.col("n") >= least)
-    m = m.select("a", "b", "n", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n")).alias("c"))
+    full = _landed(complete_rows(_landed(returns, "returns")), "complete")
+    m, tot = (_pairs(full, "r", form, tiles, least=least).rows for form in ("population", "totals"))
     diag = F.col("a") == F.col("b")
-    tot = m.agg(
-        F.sum(F.when(diag, F.col("c"))).alias("trace"), F.sum(F.when(diag, F.lit(1.0))).alias("p"), F.max("n").alias("n"),
-        F.sum(F.when(diag, F.col("c") * F.col("c")).otherwise(2 * F.col("c") * F.col("c"))).alias("delta_"),
-    )
+    tot = tot.agg(F.sum("trace").alias("trace"), F.sum("p").alias("p"), F.max("n").alias("n"), F.sum("delta_").alias("delta_"))
     means = full.groupBy("symbol").agg(F.avg("r").alias("_m"))
     x2 = (F.col("r") - F.col("_m")) ** 2
     beta_ = full.join(means, "symbol").groupBy("ts").agg(F.sum(x2).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("beta_"))

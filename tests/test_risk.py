@@ -128,3 +128,31 @@ def test_quantiles_of_short_keys_keep_few_values(spark):
     cut = F.avg("r") - F.stddev_samp("r")
     for counts in (fr.tail_counts(d, ["symbol"], "r", 0.05, cut), fr.quantile_counts(d, ["symbol"], ["r"], [0.05])):
         assert counts.count() < 0.06 * 3600
+
+
+def test_cells_are_written_once_however_many_tiles(spark):
+    """a27: a cell was sent once for each tile that its own one meets."""
+    x = np.random.default_rng(10).standard_normal((60, 24))
+    x[::5, 3] = np.nan
+    d = long(spark, x)
+    got = risk.correlations(d.unionByName(d.withColumn("symbol", F.lit(None).cast("string"))), "r", tiles=9)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan and "Aggregate" not in plan, plan
+    want = pd.DataFrame(x, columns=[f"S{i}" for i in range(24)]).corr()
+    rows = got.collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows}) == 24 * 23 // 2 and all(r.a < r.b for r in rows)
+    for r in rows:
+        assert r.correlation == pytest.approx(want[r.a][r.b], abs=1e-12) and r.n == (48 if "S3" in (r.a, r.b) else 60)
+
+
+def test_pieces_of_tiles_and_times_give_every_pair_once(spark, monkeypatch):
+    for name, v in (("STRIP", 5), ("SPAN", 7), ("NAMES", 12), ("CELLS", 300)):
+        monkeypatch.setattr(risk, name, v)
+    x = np.random.default_rng(11).standard_normal((40, 33))
+    x[:9, 4] = np.nan
+    want = pd.DataFrame(x, columns=[f"S{i}" for i in range(33)]).cov()
+    rows = risk.pairwise_moments(long(spark, x), "r").collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows}) == 33 * 34 // 2 and all(r.a <= r.b for r in rows)
+    for r in rows:
+        assert r.n == (31 if "S4" in (r.a, r.b) else 40)
+        assert (r.sxy - r.sx * r.sy / r.n) / (r.n - 1) == pytest.approx(want[r.a][r.b], abs=1e-12)

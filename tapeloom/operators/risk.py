@@ -603,13 +603,49 @@ def trading_metrics(returns: DataFrame, keys=("symbol",), risk_free: float = 0.0
     )
 
 
-def equilibrium_returns(cov: DataFrame, holdings: DataFrame, views: DataFrame, aversion: float = 3.0, view_share: float = 0.5) -> DataFrame:
-    """λ·Σ·w from the long covariance, blended with views where a symbol has one."""
+def _weigher() -> Callable:
+    """The task of `equilibrium_returns`, defined inside a function so that it travels whole."""
+
+    def toward(c: np.ndarray, kept: np.ndarray, names: list, of: list, w: dict) -> pa.RecordBatch:
+        """For every name of a row the sum over the names ``of`` the columns, where a pair of it has a weight; null where all weights of its pairs are."""
+        found = [w.get(x) for x in of]
+        held, known = np.array([x in w for x in of], bool), np.array([x is not None for x in found], bool)
+        totals = np.where(kept[:, known], c[:, known], 0.0) @ np.array([x for x in found if x is not None], float)
+        here = kept[:, held].any(1)
+        some = kept[:, known].any(1)[here]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).filter(pa.array(here)), pa.array(totals[here], mask=~some)], names=["symbol", "total"])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = {c: batch.column(c)[at] for c in batch.schema.names}
+                left, right = r["left"].as_py(), r["right"].as_py()
+                c = np.frombuffer(r["covariance"].as_buffer(), "<f8").reshape(len(left), len(right))
+                kept = np.frombuffer(r["kept"].as_buffer(), bool).reshape(c.shape) if len(r["kept"].as_py()) else np.ones(c.shape, bool)
+                wa, wb = ({x["symbol"]: x["w"] for x in r[s].as_py() or ()} for s in ("wa", "wb"))
+                yield toward(c, kept, left, right, wb)
+                if r["meet"].is_valid:  # a symbol meets itself once
+                    kept = kept & ~np.eye(*c.shape, -r["meet"].as_py(), dtype=bool)
+                yield toward(c.T, kept.T, right, left, wa)
+
+    return weighed
+
+
+def equilibrium_returns(cov: DataFrame | Blocks, holdings: DataFrame, views: DataFrame, aversion: float = 3.0, view_share: float = 0.5) -> DataFrame:
+    """λ·Σ·w from the covariance in long form or in blocks, blended with views where a symbol has one."""
     total = holdings.agg(F.sum("market_value")).scalar()
     w = holdings.select(F.col("symbol").alias("b"), (F.col("market_value") / total).alias("w"))
-    sides = F.array(F.struct("a", "b"), F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    both = cov.select("covariance", F.explode(F.array_compact(sides)).alias("_p")).select("_p.a", "_p.b", "covariance")  # one pass over the pairs
-    pi = both.join(w, "b").groupBy(F.col("a").alias("symbol")).agg((F.sum(F.col("covariance") * F.col("w")) * aversion).alias("equilibrium_return"))
+    if isinstance(cov, Blocks) and cov.tiles:
+        one = w.filter(F.col("b").isNotNull()).groupBy(F.col("b").alias("symbol")).agg(F.sum("w").alias("w"))
+        tile = F.pmod(F.hash("symbol"), F.lit(cov.tiles))
+        of = lambda t, c: F.broadcast(one.groupBy(tile.alias(t)).agg(F.collect_list(F.struct("symbol", "w")).alias(c)))
+        terms = cov.rows.join(of("ta", "wa"), "ta", "left").join(of("tb", "wb"), "tb", "left").mapInArrow(_weigher(), "symbol string, total double")
+    else:
+        long = cov.rows if isinstance(cov, Blocks) else cov
+        sides = F.array(F.struct("a", "b"), F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = long.select("covariance", F.explode(F.array_compact(sides)).alias("_p")).select("_p.a", "_p.b", "covariance")  # one pass over the pairs
+        terms = both.join(w, "b").select(F.col("a").alias("symbol"), (F.col("covariance") * F.col("w")).alias("total"))
+    pi = terms.groupBy("symbol").agg((F.sum("total") * aversion).alias("equilibrium_return"))
     j = pi.join(views, "symbol", "left")
     mix = F.coalesce((1 - view_share) * F.col("equilibrium_return") + view_share * F.col("view"), F.col("equilibrium_return"))
     return j.select("symbol", "equilibrium_return", mix.alias("expected_return"))

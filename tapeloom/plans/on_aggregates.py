@@ -252,7 +252,7 @@ j AS (SELECT coalesce(c.symbol, t.symbol) AS symbol, coalesce(c.w, 0) AS cw, coa
 SELECT symbol, CASE WHEN tw > cw THEN 'increase' ELSE 'decrease' END AS action, cw AS current_weight, tw AS target_weight, abs(cw - tw) AS deviation,
  abs(tw - cw) * (SELECT sum(market_value) FROM c) AS amount FROM j WHERE abs(cw - tw) > 0.01""")
 q("g23_equilibrium_returns", lambda t: risk.equilibrium_returns(
-    risk.covariance(risk.simple_returns(t.periods(), two_years())), t.holdings(),
+    risk.covariance(risk.simple_returns(t.periods(), two_years()), blocks=True), t.holdings(),
     t.raw("supplier").filter("s_nationkey < 5").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.col("s_nationkey") / 10.0).alias("view"))),
   "symbol equilibrium_return:4 expected_return:4", f"""
 WITH c AS ({COV}), f AS (SELECT a, b, covariance AS v FROM c UNION ALL SELECT b, a, covariance FROM c WHERE a <> b),

@@ -156,3 +156,43 @@ def test_pieces_of_tiles_and_times_give_every_pair_once(spark, monkeypatch):
     for r in rows:
         assert r.n == (31 if "S4" in (r.a, r.b) else 40)
         assert (r.sxy - r.sx * r.sy / r.n) / (r.n - 1) == pytest.approx(want[r.a][r.b], abs=1e-12)
+
+
+def test_long_series_give_the_same(spark, monkeypatch):
+    x = np.random.default_rng(12).standard_normal((50, 6))
+    d = long(spark, x)
+    holdings = spark.createDataFrame([(f"S{i}", float(i + 1)) for i in range(6)], "symbol string, market_value double")
+    views = spark.createDataFrame([("S1", 0.3)], "symbol string, view double")
+
+    def found():
+        frames = (risk.correlations(d, "r"), risk.covariance(d), risk.shrunk_covariance(d), risk.equilibrium_returns(risk.covariance(d, blocks=True), holdings, views))
+        return [sorted(tuple(f"{v:.9g}" if isinstance(v, float) else v for v in r) for r in f.collect()) for f in frames]
+
+    short = found()
+    monkeypatch.setattr(risk, "LONG", 0)
+    assert [len(f) for f in short] == [15, 21, 21, 6] and found() == short
+
+
+def test_equilibrium_returns_of_blocks(spark):
+    """g23: pairs were rows that met their weights one at a time; a matrix meets them as a vector."""
+    x = np.random.default_rng(15).standard_normal((40, 30))
+    held = [(f"S{i}", float(i)) for i in range(28)] + [("S5", 7.0), ("S6", None), (None, 3.0), ("other", 2.0), ("S28", None)]
+    holdings = spark.createDataFrame(held, "symbol string, market_value double")
+    views = spark.createDataFrame([("S1", 0.3), ("S29", None)], "symbol string, view double")
+    d = long(spark, x)
+    got = risk.equilibrium_returns(risk.covariance(d, tiles=4, blocks=True), holdings, views)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan, plan
+    rows = {r.symbol: r for r in got.collect()}
+    w = np.array([i + 7.0 * (i == 5) if i < 28 else 0.0 for i in range(30)])
+    want = 3 * np.cov(x.T) @ (w / (w.sum() + 5.0))
+    assert len(rows) == 30
+    for s, r in rows.items():
+        i = int(s[1:])
+        assert r.equilibrium_return == pytest.approx(want[i], rel=1e-9, abs=1e-12)
+        assert r.expected_return == pytest.approx(0.5 * want[i] + 0.15 if i == 1 else want[i], rel=1e-9, abs=1e-12)
+    by_pair = {r.symbol: r for r in risk.equilibrium_returns(risk.covariance(d), holdings, views).collect()}
+    assert {s: f"{r.equilibrium_return:.9g}" for s, r in by_pair.items()} == {s: f"{r.equilibrium_return:.9g}" for s, r in rows.items()}
+    none = spark.createDataFrame([("S0", None), ("S1", None)], "symbol string, market_value double")
+    assert {r.equilibrium_return for r in risk.equilibrium_returns(risk.covariance(d, tiles=4, blocks=True), none, views).collect()} == {None}
+    assert risk.equilibrium_returns(risk.covariance(d.limit(20), blocks=True), holdings, views).count() == 0

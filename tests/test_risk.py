@@ -173,6 +173,28 @@ def test_long_series_give_the_same(spark, monkeypatch):
     assert [len(f) for f in short] == [15, 21, 21, 6] and found() == short
 
 
+def numbered(spark, d):
+    """The rows of ``d`` and the number of times a row of it was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(v):
+        seen.add(1)
+        return v
+
+    return d.select("symbol", "ts", F.udf(noted, "double")("r").alias("r")), seen
+
+
+def test_covariance_computes_its_returns_once(spark):
+    """a28: rows, dates and symbols were counted over returns computed anew each time."""
+    x = np.random.default_rng(13).standard_normal((35, 4))
+    d, seen = numbered(spark, long(spark, x))
+    got = {(r.a, r.b): r.covariance for r in risk.covariance(d, tiles=3).collect()}
+    want = np.cov(x.T)
+    assert len(got) == 10 and seen.value == 140
+    for (a, b), c in got.items():
+        assert c == pytest.approx(want[int(a[1]), int(b[1])], abs=1e-12)
+
+
 def test_equilibrium_returns_of_blocks(spark):
     """g23: pairs were rows that met their weights one at a time; a matrix meets them as a vector."""
     x = np.random.default_rng(15).standard_normal((40, 30))

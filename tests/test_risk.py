@@ -195,6 +195,23 @@ def test_covariance_computes_its_returns_once(spark):
         assert c == pytest.approx(want[int(a[1]), int(b[1])], abs=1e-12)
 
 
+def test_shrunk_covariance_computes_its_returns_once(spark):
+    """a29: the totals took the pairs anew, from returns computed anew."""
+    x = np.random.default_rng(14).standard_normal((40, 5)) * [1, 2, 3, 4, 5]
+    d, seen = numbered(spark, long(spark, x))
+    rows = risk.shrunk_covariance(d, tiles=2).collect()
+    y = x - x.mean(0)
+    s = y.T @ y / 40
+    mu, p = np.trace(s) / 5, 5
+    delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+    beta = min(((y**2).sum(1) ** 2).sum() / 40 - (s**2).sum(), delta * p * 40) / (p * 40)
+    assert len(rows) == 15 and seen.value == 200
+    for r in rows:
+        i, j = int(r.a[1]), int(r.b[1])
+        assert r.shrinkage == pytest.approx(beta / delta, rel=1e-9)
+        assert r.covariance == pytest.approx((1 - beta / delta) * s[i, j] + (beta / delta * mu if i == j else 0), abs=1e-12)
+
+
 def test_equilibrium_returns_of_blocks(spark):
     """g23: pairs were rows that met their weights one at a time; a matrix meets them as a vector."""
     x = np.random.default_rng(15).standard_normal((40, 30))
